@@ -10,11 +10,12 @@ from attrix.operators.evaluate import predictions_frame
 from attrix.plans import views
 
 
-def r6(df: DataFrame, places: int = 6) -> DataFrame:
-    """Round every floating column (the oracle SQL rounds the same columns)."""
+def r6(df: DataFrame, places: int = 6, **overrides: int) -> DataFrame:
+    """Round every floating column (the oracle SQL rounds the same columns);
+    ``overrides`` gives other precisions per column (e.g. long sums)."""
     return df.select(
         *[
-            F.round(F.col(f.name), places).alias(f.name)
+            F.round(F.col(f.name), overrides.get(f.name, places)).alias(f.name)
             if isinstance(f.dataType, (DoubleType, FloatType))
             else F.col(f.name)
             for f in df.schema.fields
