@@ -49,6 +49,8 @@ FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey""",
 
 
 def with_views(sql: str, *names: str) -> str:
+    if not names:
+        return sql.strip()
     ctes = ",\n".join(f"{n} AS ({VIEW_SQL[n]}\n)" for n in names)
     body = sql.strip()
     if body.upper().startswith("WITH "):
