@@ -59,13 +59,18 @@ def score_requests(
     """SRV-1: parse each JSON request with ``schema``, score it, round to 2
     places, flag ``high_risk`` at ``cutoff`` and attach ltv.  Rows whose JSON
     does not parse take the error branch: error text and prediction 0."""
-    parsed = requests.select(*keep, F.from_json(F.col(payload_col), schema).alias("_r"))
-    flat = parsed.select(*keep, "_r", "_r.*")
+    # malformed JSON parses to a struct of nulls, so validity is checked on the text
+    parsed = requests.select(
+        *keep,
+        F.get_json_object(F.col(payload_col), "$").isNotNull().alias("_ok"),
+        F.from_json(F.col(payload_col), schema).alias("_r"),
+    )
+    flat = parsed.select(*keep, "_ok", "_r.*")
     scored = flat.withColumn("_p", F.round(scorer, 2))
-    ok = F.col("_r").isNotNull()
+    ok = F.col("_ok")
     out = scored.select(
         *keep,
-        *[c for c in flat.columns if c not in keep and c != "_r"],
+        *[c for c in flat.columns if c not in keep and c != "_ok"],
         F.when(ok, F.col("_p")).otherwise(F.lit(0.0)).alias("prediction"),
         F.when(ok, F.when(F.col("_p") >= cutoff, "yes").otherwise("no")).alias("high_risk"),
         F.when(~ok, F.lit(ERROR_TEXT)).alias("error"),
