@@ -136,53 +136,67 @@ def label_counts(df: DataFrame, groups: Sequence[str], score: str, label: str) -
     )
 
 
+def _positions(method: str, q: Column):
+    """0-based (low, high) order-statistic positions and the interpolation
+    fraction for quantile ``q`` of ``tot_cnt`` sorted values."""
+    n = F.col("tot_cnt")
+    if method == "linear":  # numpy/pandas default, DuckDB quantile_cont
+        h = (n - 1) * q
+        lo = F.floor(h)
+        return lo, F.least(lo + 1, n - 1), h - lo
+    if method == "lower":  # numpy interpolation='lower'
+        lo = F.floor((n - 1) * q)
+        return lo, lo, F.lit(0.0)
+    if method == "mquantiles":  # scipy mquantiles, alphap = betap = 0.4
+        aleph = n * q + (0.4 + q * 0.2)
+        k = F.floor(F.least(F.greatest(aleph, F.lit(1.0)), n - 1))
+        gamma = F.least(F.greatest(aleph - k, F.lit(0.0)), F.lit(1.0))
+        return k - 1, k, gamma
+    raise ValueError(f"unknown quantile method {method!r}")
+
+
 def exact_quantiles(
-    df: DataFrame, groups: Sequence[str], value: str, probs: Sequence[float], n_ranges: int | None = None
+    df: DataFrame,
+    groups: Sequence[str],
+    value: str,
+    probs: Sequence[float],
+    n_ranges: int | None = None,
+    method: str = "linear",
 ) -> DataFrame:
-    """Linear-interpolated quantiles (numpy/pandas default, DuckDB
-    ``quantile_cont``) per group: columns ``groups..., q, quantile``.
+    """Exact quantiles per group: columns ``groups..., q, quantile``.
 
-    Position h = (n-1)q; the values at floor(h) and floor(h)+1 are found in
-    the cumulative-count table by a per-row generator over ``probs`` (no
-    join, no value map held per group).
+    ``method``: 'linear' (numpy/pandas default, DuckDB ``quantile_cont``),
+    'lower' (numpy interpolation='lower') or 'mquantiles' (scipy defaults).
+    The two order statistics around each position are found in the
+    cumulative-count table by a per-row generator over ``probs`` (no join, no
+    value map held per group).
     """
     groups = list(groups)
     cum = cumulate(df, groups, value, {"cnt": F.lit(1).cast("long")}, n_ranges)
     qs = F.array(*[F.lit(float(p)) for p in probs])
-    lo_expr = lambda q: F.floor((F.col("tot_cnt") - 1) * q)
+
+    def pos(q):
+        lo, hi, frac = _positions(method, q)
+        return F.struct(q.alias("q"), lo.alias("klo"), hi.alias("khi"), frac.cast("double").alias("frac"))
+
+    inside = lambda k: (k >= F.col("cum_cnt") - F.col("cnt")) & (k < F.col("cum_cnt"))
     hits = cum.select(
         *groups,
         F.col(value).alias("_v"),
-        F.explode(
-            F.filter(
-                F.transform(
-                    qs,
-                    lambda q: F.struct(
-                        q.alias("q"),
-                        ((F.col("tot_cnt") - 1) * q).alias("h"),
-                        lo_expr(q).alias("klo"),
-                        F.least(lo_expr(q) + 1, F.col("tot_cnt") - 1).alias("khi"),
-                    ),
-                ),
-                lambda s: ((s["klo"] >= F.col("cum_cnt") - F.col("cnt")) & (s["klo"] < F.col("cum_cnt")))
-                | ((s["khi"] >= F.col("cum_cnt") - F.col("cnt")) & (s["khi"] < F.col("cum_cnt"))),
-            )
-        ).alias("_s"),
+        F.explode(F.filter(F.transform(qs, pos), lambda s: inside(s["klo"]) | inside(s["khi"]))).alias("_s"),
         F.col("cum_cnt"),
         F.col("cnt"),
     )
-    is_lo = (F.col("_s.klo") >= F.col("cum_cnt") - F.col("cnt")) & (F.col("_s.klo") < F.col("cum_cnt"))
-    is_hi = (F.col("_s.khi") >= F.col("cum_cnt") - F.col("cnt")) & (F.col("_s.khi") < F.col("cum_cnt"))
     g = hits.groupBy(*groups, F.col("_s.q").alias("q")).agg(
-        F.max(F.when(is_lo, F.col("_v"))).alias("_vlo"),
-        F.max(F.when(is_hi, F.col("_v"))).alias("_vhi"),
-        F.max(F.col("_s.h") - F.col("_s.klo")).alias("_frac"),
-    )
-    return g.select(
-        *groups,
-        "q",
-        (F.col("_vlo") + F.col("_frac") * (F.col("_vhi") - F.col("_vlo"))).alias("quantile"),
+        F.max(F.when(inside(F.col("_s.klo")), F.col("_v"))).alias("_vlo"),
+        F.max(F.when(inside(F.col("_s.khi")), F.col("_v"))).alias("_vhi"),
+        F.max(F.col("_s.frac")).alias("_frac"),
     )
+    if method == "mquantiles":
+        val = (1.0 - F.col("_frac")) * F.col("_vlo") + F.col("_frac") * F.col("_vhi")
+    else:
+        val = F.col("_vlo") + F.col("_frac") * (F.col("_vhi") - F.col("_vlo"))
+    return g.select(*groups, "q", val.alias("quantile"))
 
 
 def qcut_edges(df: DataFrame, groups: Sequence[str], value: str, n_bins: int) -> DataFrame:
