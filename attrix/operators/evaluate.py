@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from attrix.functions.stats import ks_pvalue
+from attrix.session import materialize
 from attrix.operators.kernels import (
     _n_ranges,
     cumulate,
@@ -395,7 +396,8 @@ def bootstrap_scores(
         redo = [r["sample"] for r in short]
         cand = cand.where(~F.col("sample").isin(redo)).unionByName(exp.where(F.col("sample").isin(redo)))
     ranked = row_numbers(cand, ["_h", key], ["sample"], cuts=uniform_hash_cuts(_n_ranges(cand, None)))
-    drawn = ranked.where(F.col("rn") <= m).drop("rn", "_h")
+    # the draws feed both the metric aggregation and the AUC kernel: materialise once
+    drawn = materialize(ranked.where(F.col("rn") <= m).drop("rn", "_h"), "bootstrap-draws")
     scores = metric_scores(drawn, label, prob, cls, ["sample"], metrics)
     return describe(scores, ["metric"], "score")
 
@@ -437,7 +439,8 @@ def metrics_by_partition(
     """
     cats = [c for c in categorical if c not in drop_cols]
     nums = [c for c in numeric if c not in drop_cols]
-    j = preds.select(key, label, prob, cls).join(features.select(key, *cats, *nums), key)
+    # read by the qcut kernel, the metric aggregation and the AUC kernel: materialise once
+    j = materialize(preds.select(key, label, prob, cls).join(features.select(key, *cats, *nums), key), "by-partition")
     parts = []
     if cats:
         parts.append(

@@ -62,32 +62,79 @@ def dummies_long(df: DataFrame, key: str, categorical: Sequence[str]) -> DataFra
     )
 
 
+def _pairwise_moments(cols: Sequence[str]):
+    """mapInPandas body: per partition, pairwise-complete sufficient statistics
+    of every column pair (i < j) by dense matrix products.  Columns arrive
+    centred on their global means, so the one-pass sums stay well conditioned."""
+    import numpy as np
+    import pandas as pd
+
+    k = len(cols)
+    iu = np.triu_indices(k, 1)
+
+    def run(batches):
+        n = s1 = s2 = p = None
+        for pdf in batches:
+            x = pdf[list(cols)].to_numpy(dtype="float64")
+            m = (~np.isnan(x)).astype("float64")
+            x0 = np.where(m > 0, x, 0.0)
+            if n is None:
+                n = np.zeros((k, k)); s1 = np.zeros((k, k)); s2 = np.zeros((k, k)); p = np.zeros((k, k))
+            n += m.T @ m
+            s1 += x0.T @ m
+            s2 += (x0 * x0).T @ m
+            p += x0.T @ x0
+        if n is None:
+            return
+        i, j = iu
+        yield pd.DataFrame(
+            {
+                "i": i.astype("int32"),
+                "j": j.astype("int32"),
+                "n": n[i, j],
+                "sx": s1[i, j],
+                "sy": s1[j, i],
+                "sxx": s2[i, j],
+                "syy": s2[j, i],
+                "sxy": p[i, j],
+            }
+        )
+
+    return run
+
+
 def correlated_features(
     df: DataFrame,
     categorical: Sequence[str],
     numeric: Sequence[str],
     cutoff: float = HIGH_CORRELATION,
-    chunk: int = 1000,
 ) -> DataFrame:
     """EXP-2: |Pearson r| for every unordered pair of dummy-coded and numeric
-    columns (pairwise-complete rows, as pandas), flagged when >= cutoff.
+    columns over pairwise-complete rows (as pandas), flagged when >= cutoff.
 
-    One aggregation pass per ``chunk`` pairs of ``corr`` aggregates; each
-    pair appears once with feature1 < feature2."""
+    Each partition reduces its rows to F x F pairwise moment matrices with
+    numpy (Arrow batches); Spark sums the partial matrices per pair.  Work is
+    rows x F^2 flops, the shuffle is partitions x F^2 / 2 small rows, and no
+    pair rows are formed from the data.  Each pair appears once with
+    feature1 < feature2."""
     wide = dummies(df, categorical, keep=[F.col(c).cast("double").alias(c) for c in numeric])
     names = sorted(wide.columns)
-    pairs = [(a, b) for i, a in enumerate(names) for b in names[i + 1 :]]
-    out = None
-    for s in range(0, len(pairs), chunk):
-        part = pairs[s : s + chunk]
-        row = wide.agg(*[F.corr(F.col(f"`{a}`"), F.col(f"`{b}`")).alias(f"c{i}") for i, (a, b) in enumerate(part)])
-        stack = F.explode(
-            F.array(*[F.struct(F.lit(a).alias("f1"), F.lit(b).alias("f2"), F.col(f"c{i}").alias("r")) for i, (a, b) in enumerate(part)])
-        )
-        t = row.select(stack.alias("s")).select(
-            F.col("s.f1").alias("feature1"), F.col("s.f2").alias("feature2"), F.abs(F.col("s.r")).alias("correlation")
-        )
-        out = t if out is None else out.unionByName(t)
+    means = wide.agg(*[F.avg(F.col(f"`{c}`").cast("double")).alias(f"m{i}") for i, c in enumerate(names)]).first()
+    centred = wide.select(
+        *[(F.col(f"`{c}`").cast("double") - F.lit(means[f"m{i}"] or 0.0)).alias(f"c{i}") for i, c in enumerate(names)]
+    )
+    cols = [f"c{i}" for i in range(len(names))]
+    schema = "i int, j int, n double, sx double, sy double, sxx double, syy double, sxy double"
+    parts = centred.mapInPandas(_pairwise_moments(cols), schema)
+    tot = parts.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy")])
+    num = F.col("n") * F.col("sxy") - F.col("sx") * F.col("sy")
+    den = F.sqrt((F.col("n") * F.col("sxx") - F.col("sx") * F.col("sx")) * (F.col("n") * F.col("syy") - F.col("sy") * F.col("sy")))
+    lookup = F.create_map(*[x for i, c in enumerate(names) for x in (F.lit(i), F.lit(c))])
+    out = tot.select(
+        F.element_at(lookup, F.col("i")).alias("feature1"),
+        F.element_at(lookup, F.col("j")).alias("feature2"),
+        F.abs(F.try_divide(num, den)).alias("correlation"),
+    )
     return out.withColumn("high_correlation", F.when(F.col("correlation") >= cutoff, "yes").otherwise("no"))
 
 

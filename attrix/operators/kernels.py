@@ -79,8 +79,15 @@ def running_sums(
     if cuts is None:
         cuts = range_cuts(df, order[0], _n_ranges(df, n_ranges))
     ranged = assign_range(df, order[0], cuts)
-    # per-range totals: at most #ranges x #groups rows
-    btot = ranged.groupBy("_rng", *groups).agg(*[F.sum(m).alias(f"_bt_{m}") for m in measures])
+    w = (
+        Window.partitionBy("_rng", *groups)
+        .orderBy(*[F.col(c) for c in order])
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
+    local = ranged.select("*", *[F.sum(m).over(w).alias(f"_lc_{m}") for m in measures])
+    # per-range totals from the same windowed frame, so both consumers share
+    # one exchange: at most #ranges x #groups rows
+    btot = local.groupBy("_rng", *groups).agg(*[F.sum(m).alias(f"_bt_{m}") for m in measures])
     before = Window.partitionBy(*groups).orderBy("_rng").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*groups)
     offs = btot.select(
@@ -89,12 +96,6 @@ def running_sums(
         *[F.coalesce(F.sum(f"_bt_{m}").over(before), F.lit(0)).alias(f"_off_{m}") for m in measures],
         *[F.sum(f"_bt_{m}").over(whole).alias(f"tot_{m}") for m in measures],
     )
-    w = (
-        Window.partitionBy("_rng", *groups)
-        .orderBy(*[F.col(c) for c in order])
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    local = ranged.select("*", *[F.sum(m).over(w).alias(f"_lc_{m}") for m in measures])
     out = local.join(offs, ["_rng", *groups])
     return out.select(
         *[c for c in df.columns],
@@ -212,19 +213,35 @@ def bin_of(value: Column, edges: Column) -> Column:
     return F.aggregate(edges, F.lit(1), lambda acc, e: acc + F.when(value > e, 1).otherwise(0))
 
 
+MAX_LITERAL_GROUPS = 10_000
+
+
 def qcut(df: DataFrame, value: str, n_bins: int, groups: Sequence[str] = (), out: str = "bin") -> DataFrame:
     """Equal-frequency bins (pandas ``qcut`` edges, right-closed, lowest included).
 
-    Edges are a small per-group table (n_bins - 1 values per group) joined back;
-    Spark/AQE broadcasts it when it is small.
-    """
+    The edges are fitted parameters (n_bins - 1 values per group).  When there
+    are at most ``MAX_LITERAL_GROUPS`` groups they are collected once and
+    applied as literals, so downstream consumers do not recompute the
+    quantile job; otherwise the edge table is joined back (AQE broadcasts it
+    when small)."""
     groups = list(groups)
-    edges = qcut_edges(df, groups, value, n_bins).withColumn("_j", F.lit(1))
-    j = df.withColumn("_j", F.lit(1)).join(edges, ["_j", *groups], "left")
-    return (
-        j.withColumn(out, F.when(F.col(value).isNotNull(), bin_of(F.col(value), F.col("edges"))))
-        .drop("edges", "_j")
-    )
+    edges = qcut_edges(df, groups, value, n_bins)
+    x = F.col(value)
+    if len(groups) <= 1:
+        rows = edges.limit(MAX_LITERAL_GROUPS + 1).collect()
+        if len(rows) <= MAX_LITERAL_GROUPS:
+            if not groups:
+                arr = F.array(*[F.lit(float(e)) for e in (rows[0]["edges"] if rows else [])]).cast("array<double>")
+            else:
+                g = groups[0]
+                m = F.create_map(
+                    *[t for r in rows for t in (F.lit(r[g]), F.array(*[F.lit(float(e)) for e in r["edges"]]).cast("array<double>"))]
+                ) if rows else None
+                arr = F.element_at(m, F.col(g)) if m is not None else F.array().cast("array<double>")
+            return df.withColumn(out, F.when(x.isNotNull(), bin_of(x, F.coalesce(arr, F.array().cast("array<double>")))))
+    e = edges.withColumn("_j", F.lit(1))
+    j = df.withColumn("_j", F.lit(1)).join(e, ["_j", *groups], "left")
+    return j.withColumn(out, F.when(x.isNotNull(), bin_of(x, F.col("edges")))).drop("edges", "_j")
 
 
 def uniform_hash_cuts(n_ranges: int) -> list[float]:
