@@ -300,3 +300,56 @@ def density_by_target(df: DataFrame, feature: str, target: str, grid: int = 200)
         F.col(target).cast("string").alias("level"), F.coalesce(F.col(feature).cast("double"), F.col("_m")).alias("x")
     )
     return density_points(imp, "x", groups=["level"], grid=grid)
+
+
+# ---------------------------------------------------------------- EXP-1 / EXP-5 (MLlib fits)
+def projection_2d(df: DataFrame, key: str, target: str, numeric: Sequence[str], sample: int = 10_000, seed: int = 19):
+    """EXP-1 (re-aimed t-SNE view): hash-ordered sample, all-null numerics
+    dropped, mean-imputed, standardised, 2 principal components + target."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import PCA, Imputer, StandardScaler, VectorAssembler
+
+    from attrix.operators.windows import head_hash_ordered
+
+    s = head_hash_ordered(df, key, sample, seed)
+    nn = s.agg(*[F.count(c).alias(c) for c in numeric]).first()
+    cols = [c for c in numeric if nn[c] > 0]
+    pipe = Pipeline(stages=[
+        Imputer(inputCols=cols, outputCols=[f"{c}__m" for c in cols], strategy="mean"),
+        VectorAssembler(inputCols=[f"{c}__m" for c in cols], outputCol="_v"),
+        StandardScaler(inputCol="_v", outputCol="_z", withMean=True, withStd=True),
+        PCA(k=2, inputCol="_z", outputCol="_pc"),
+    ])
+    from pyspark.ml.functions import vector_to_array
+
+    out = pipe.fit(s).transform(s)
+    return out.select(key, vector_to_array("_pc")[0].alias("x"), vector_to_array("_pc")[1].alias("y"), target)
+
+
+def kmeans_clusters(
+    df: DataFrame, key: str, categorical: Sequence[str], numeric: Sequence[str], max_clusters: int = 7,
+    sample: int = 25_000, seed: int = 19,
+):
+    """EXP-5: dummies + numerics (missing -> 0), standardised; k = 2..max by
+    best silhouette (MLlib's squared-Euclidean silhouette), refit, cluster id.
+    Returns (rows with ``cluster``, {k: silhouette})."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.evaluation import ClusteringEvaluator
+    from pyspark.ml.feature import StandardScaler, VectorAssembler
+
+    from attrix.operators.windows import head_hash_ordered
+
+    s = head_hash_ordered(df, key, sample, seed)
+    wide = dummies(s, categorical, keep=[key, *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in numeric]])
+    feats = [c for c in wide.columns if c != key]
+    v = VectorAssembler(inputCols=feats, outputCol="_v").transform(wide)
+    z = StandardScaler(inputCol="_v", outputCol="features", withMean=True, withStd=True).fit(v).transform(v).cache()
+    ev_ = ClusteringEvaluator(featuresCol="features")
+    scores = {}
+    for k in range(2, max_clusters + 1):
+        m = KMeans(k=k, seed=seed, featuresCol="features").fit(z)
+        scores[k] = ev_.evaluate(m.transform(z))
+    best = max(scores, key=scores.get)
+    m = KMeans(k=best, seed=seed, featuresCol="features").fit(z)
+    out = m.transform(z).withColumnRenamed("prediction", "cluster").drop("_v", "features")
+    return out, scores

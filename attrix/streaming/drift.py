@@ -18,7 +18,7 @@ from attrix.operators.drift import chi_square_from_counts
 
 def windowed_level_counts(stream: DataFrame, features: Sequence[str], ts_col: str, window: str = "1 hour",
                           watermark: str = "10 minutes") -> DataFrame:
-    long = stream.withWatermark(ts_col, watermark).select(
+    long = stream.withColumn(ts_col, F.col(ts_col).cast("timestamp")).withWatermark(ts_col, watermark).select(
         ts_col, *[F.col(c).cast("string").alias(c) for c in features]
     ).unpivot([ts_col], list(features), "feature", "level")
     return long.where(F.col("level").isNotNull()).groupBy(

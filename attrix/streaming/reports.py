@@ -27,14 +27,20 @@ def windowed_report(
     ``watermark`` (e.g. '10 minutes') is required for an append-mode stream;
     rows later than the watermark are dropped.  ``min_count`` keeps only the
     windows that would trigger the report."""
-    src = logs.withWatermark(ts_col, watermark) if watermark else logs
+    src = logs
+    if watermark:
+        # watermarks need TIMESTAMP (with zone); window bounds are cast back below
+        src = logs.withColumn(ts_col, F.col(ts_col).cast("timestamp")).withWatermark(ts_col, watermark)
     w = F.window(F.col(ts_col), window, slide) if slide else F.window(F.col(ts_col), window)
     agg = src.groupBy(w.alias("w")).agg(
         F.count(F.lit(1)).alias("prediction_count"),
         F.avg(F.get_json_object(payload_col, "$.output.prediction").cast("double")).alias("mean_prediction"),
     )
     out = agg.select(
-        F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "prediction_count", "mean_prediction"
+        F.col("w.start").cast("timestamp_ntz").alias("window_start"),
+        F.col("w.end").cast("timestamp_ntz").alias("window_end"),
+        "prediction_count",
+        "mean_prediction",
     )
     return out.where(F.col("prediction_count") >= min_count) if min_count else out
 
