@@ -160,13 +160,17 @@ def permutation_importance(
     grid = grid.withColumn("_h", hash_order(F.col(key), F.col("feature"), F.col("rep")))
     ranked = row_numbers(grid, ["_h", key], ["feature", "rep"], out="_slot", cuts=uniform_hash_cuts(_n_ranges(grid, None)))
     perm = ranked.join(donors, ["feature", "_slot"]).select(key, "feature", "rep", "donor")
-    j = perm.join(df.select(key, label, *feats), key)
+    # every other input column passes through, so any model can score the copies
+    j = perm.join(df, key)
     j = j.select(
-        key,
-        label,
         "feature",
         "rep",
-        *[F.when(F.col("feature") == c, F.col("donor")).otherwise(F.col(c).cast("double")).alias(c) for c in feats],
+        *[
+            F.when(F.col("feature") == c, F.col("donor")).otherwise(F.col(c).cast("double")).alias(c)
+            if c in feats
+            else F.col(c)
+            for c in df.columns
+        ],
     )
     per = score_df(j).groupBy("feature", "rep").agg(_neg_log_loss(label).alias("_s"))
     imp = with_scalar(per, base).withColumn("_imp", F.col("_base") - F.col("_s"))
