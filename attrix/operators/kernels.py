@@ -47,6 +47,20 @@ def range_cuts(df: DataFrame, col: str, n_ranges: int) -> list[float]:
 
 
 _INF = float("inf")
+SINGLE_RANGE_BYTES = 32 * 1024 * 1024
+
+
+def _small(df: DataFrame) -> bool:
+    """True when Catalyst's size estimate of ``df`` is below
+    ``attrix.kernel.singleRangeBytes`` (default 32 MB): one range then holds
+    the data comfortably and the cut-point job is skipped.  Results never
+    depend on the ranges, only balance does."""
+    limit = int(df.sparkSession.conf.get("attrix.kernel.singleRangeBytes", str(SINGLE_RANGE_BYTES)))
+    try:
+        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    except Exception:  # noqa: BLE001  (no estimate: compute cut points)
+        return False
+    return size <= limit
 
 
 def assign_range(df: DataFrame, col: str, cuts: Sequence[float], out: str = "_rng") -> DataFrame:
@@ -77,7 +91,7 @@ def running_sums(
     """
     groups, order, measures = list(groups), list(order), list(measures)
     if cuts is None:
-        cuts = range_cuts(df, order[0], _n_ranges(df, n_ranges))
+        cuts = [] if _small(df) else range_cuts(df, order[0], _n_ranges(df, n_ranges))
     ranged = assign_range(df, order[0], cuts)
     w = (
         Window.partitionBy("_rng", *groups)
