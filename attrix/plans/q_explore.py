@@ -277,3 +277,48 @@ FROM g JOIN dv ON g.level = dv.level GROUP BY g.level, point, gx, n, bw""",
 )
 def exp9(spark, d):
     return r6(ex.density_by_target(views.v_obs(spark, d), "num_c", "target"))
+
+
+PPS_SQL = f"""WITH b AS (SELECT CAST(('0x' || substr(md5(CAST(key AS VARCHAR)), 1, 15))::BIGINT % 4 AS INTEGER) AS fold,
+                     target AS y, cat_a, cat_b, cat_c, num_a, num_b, num_c FROM v_obs),
+l AS ({_union("SELECT fold, y, '{c}_' || coalesce({c}, 'nan') AS attribute FROM b", CATS)}),
+n1 AS (SELECT attribute, fold, y, count(*) AS n1 FROM l GROUP BY 1, 2, 3),
+nt AS (SELECT fold, y, count(*) AS nt FROM b GROUP BY 1, 2),
+gr AS (SELECT a.attribute, nt.fold, nt.y, nt.nt, coalesce(n1.n1, 0) AS n1 FROM (SELECT DISTINCT attribute FROM n1) a
+       CROSS JOIN nt LEFT JOIN n1 ON n1.attribute = a.attribute AND n1.fold = nt.fold AND n1.y = nt.y),
+nl AS ({_union("SELECT fold, y, '{c}' AS attribute, {c} AS x FROM b WHERE {c} IS NOT NULL", NUMS)}),
+ed AS (SELECT attribute, list_sort(list_distinct(quantile_cont(x, {DECILES}))) AS e FROM nl GROUP BY 1),
+cells0 AS (SELECT attribute, fold, 1 AS v, y, n1 AS n FROM gr UNION ALL SELECT attribute, fold, 0, y, nt - n1 FROM gr
+           UNION ALL SELECT nl.attribute, fold, CAST(1 + len(list_filter(e, lambda t: x > t)) AS INTEGER), y, count(*)
+           FROM nl JOIN ed ON nl.attribute = ed.attribute GROUP BY ALL),
+cells AS (SELECT * FROM cells0 WHERE n > 0),
+allc AS (SELECT attribute, v, y, sum(n) AS na FROM cells GROUP BY 1, 2, 3),
+fk AS (SELECT DISTINCT fold FROM cells),
+tr AS (SELECT a.attribute, fk.fold, a.v, a.y, a.na - coalesce(c.n, 0) AS t FROM allc a CROSS JOIN fk
+       LEFT JOIN cells c ON c.attribute = a.attribute AND c.fold = fk.fold AND c.v = a.v AND c.y = a.y),
+pred AS (SELECT attribute, fold, v, first(y ORDER BY t DESC, y ASC) AS yhat FROM tr WHERE t > 0 GROUP BY 1, 2, 3),
+dfl AS (SELECT attribute, fold, first(y ORDER BY tc DESC, y ASC) AS ydef
+        FROM (SELECT attribute, fold, y, sum(t) AS tc FROM tr GROUP BY 1, 2, 3) WHERE tc > 0 GROUP BY 1, 2),
+held AS (SELECT c.attribute, c.fold, c.y, coalesce(p.yhat, d.ydef) AS yp, c.n FROM cells c
+         LEFT JOIN pred p ON p.attribute = c.attribute AND p.fold = c.fold AND p.v = c.v
+         LEFT JOIN dfl d ON d.attribute = c.attribute AND d.fold = c.fold),
+conf AS (SELECT attribute, fold, y, yp, sum(n) AS c FROM held GROUP BY 1, 2, 3, 4),
+pc AS (SELECT attribute, fold, cls, sum(sup) AS sup, sum(tp) AS tp, sum(pcn) AS pcn FROM (
+         SELECT attribute, fold, y AS cls, c AS sup, CASE WHEN y = yp THEN c ELSE 0 END AS tp, 0 AS pcn FROM conf
+         UNION ALL SELECT attribute, fold, yp, 0, 0, c FROM conf) GROUP BY 1, 2, 3),
+wf AS (SELECT attribute, fold, sum(sup * CASE WHEN 2 * tp + (pcn - tp) + (sup - tp) > 0
+                                            THEN 2.0 * tp / (2 * tp + (pcn - tp) + (sup - tp)) ELSE 0.0 END) / sum(sup) AS wf1
+       FROM pc GROUP BY 1, 2),
+md AS (SELECT attribute, avg(wf1) AS model_score FROM wf GROUP BY 1),
+ct AS (SELECT attribute, y, sum(n) AS nc FROM cells GROUP BY 1, 2),
+bl AS (SELECT attribute, (max(nc) / sum(nc)) * (2.0 * max(nc) / (2.0 * max(nc) + (sum(nc) - max(nc)))) AS baseline_score
+       FROM ct GROUP BY 1)
+SELECT md.attribute AS feature,
+       round(CASE WHEN model_score <= baseline_score THEN 0.0 ELSE (model_score - baseline_score) / (1 - baseline_score) END, 6) AS pps,
+       round(model_score, 6) AS model_score, round(baseline_score, 6) AS baseline_score
+FROM md JOIN bl ON md.attribute = bl.attribute"""
+
+
+@query("exp4_predictive_power", PPS_SQL, ("v_obs",))
+def exp4(spark, d):
+    return r6(ex.predictive_power(views.v_obs(spark, d), "key", "target", CATS, NUMS))
