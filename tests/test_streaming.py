@@ -43,3 +43,49 @@ def test_scoring_stream_equals_batch(spark, tmp_dir):
     pred = got.select("uid", F.get_json_object("input_output_payloads", "$.output.prediction").cast("double").alias("p"))
     want = score_requests(req, "payload", schema, scorer, ltv=ltv).select("uid", F.col("prediction").alias("p"))
     assert sorted(pred.collect()) == sorted(want.collect())
+
+
+def test_streaming_drift_counts_against_baseline(spark, tmp_dir):
+    from attrix.streaming.drift import start_drift_stream
+
+    v = views.v_drift(spark, SF)
+    prod = v.where("side = 'prod'").join(
+        spark.read.parquet(f"{SF}/events.parquet").select(F.col("event_id").alias("key"), "ts"), "key"
+    )
+    src = os.path.join(tmp_dir, "prod")
+    prod.write.parquet(src)
+    base_long = v.where("side = 'train'").select("event_type", "user_group").unpivot([], ["event_type", "user_group"], "feature", "level")
+    baseline = base_long.groupBy("feature", "level").agg(F.count(F.lit(1)).alias("n"))
+    stream = spark.readStream.schema(prod.schema).parquet(src)
+    q = start_drift_stream(stream, baseline, ["event_type", "user_group"], "ts", os.path.join(tmp_dir, "out"),
+                           os.path.join(tmp_dir, "ck"), window="7 days")
+    q.awaitTermination()
+    out = spark.read.parquet(os.path.join(tmp_dir, "out"))
+    rows = out.collect()
+    assert rows and all(0.0 <= r["p_value"] <= 1.0 for r in rows)
+    assert {r["feature"] for r in rows} <= {"event_type", "user_group"}
+
+
+def test_config_refresh_per_batch(spark, tmp_dir):
+    from attrix.streaming.refresh import current_cutoff, start_refreshing_stream
+
+    cfg_path = os.path.join(tmp_dir, "cfg")
+    spark.createDataFrame(
+        [("proba_cutoff", "0.6", "2024-01-01 00:00:00"), ("proba_cutoff", "0.9", "2024-01-02 00:00:00")],
+        "config_key string, config_value string, meta__inserted_at string",
+    ).selectExpr("config_key", "config_value", "CAST(meta__inserted_at AS TIMESTAMP_NTZ) AS meta__inserted_at").write.parquet(cfg_path)
+    assert current_cutoff(spark.read.parquet(cfg_path)) == 0.9
+    p = views.v_pred(spark, SF)
+    src = os.path.join(tmp_dir, "pred")
+    p.write.parquet(src)
+    stream = spark.readStream.schema(p.schema).parquet(src)
+
+    def process(batch, cutoff):
+        return batch.withColumn("high_risk", F.when(F.col("prob") >= cutoff, "yes").otherwise("no"))
+
+    q = start_refreshing_stream(spark, stream, lambda: spark.read.parquet(cfg_path), process,
+                                os.path.join(tmp_dir, "out"), os.path.join(tmp_dir, "ck"))
+    q.awaitTermination()
+    out = spark.read.parquet(os.path.join(tmp_dir, "out"))
+    assert out.count() == p.count()
+    assert out.where("high_risk = 'yes'").count() == p.where("prob >= 0.9").count()
