@@ -1,8 +1,8 @@
 """Exploratory aggregations (survey section 2.7).
 
 Every per-feature loop of the reference becomes one ``unpivot`` followed by
-one grouped aggregation; scalar totals are one-row aggregates joined on a
-constant key (a broadcast of one row), never a window over a whole feature.
+one grouped aggregation; scalar totals are one-row aggregates attached as
+scalar subqueries, never a window over a whole feature or a join.
 """
 
 from __future__ import annotations
@@ -18,8 +18,31 @@ FILL_UNKNOWN = "unknown"
 
 
 def with_scalar(df: DataFrame, scalars: DataFrame) -> DataFrame:
-    """Attach the columns of a one-row DataFrame to every row (keyed broadcast join)."""
-    return df.withColumn("_j", F.lit(1)).join(F.broadcast(scalars.withColumn("_j", F.lit(1))), "_j").drop("_j")
+    """Attach the columns of a one-row DataFrame (an aggregate) to every row as
+    a scalar subquery: computed once, substituted as a value — no join."""
+    cols = scalars.columns
+    s = scalars.select(F.struct(*[F.col(f"`{c}`") for c in cols]).alias("_s")).scalar()
+    return df.select("*", *[s[c].alias(c) for c in cols])
+
+
+MAX_ATTACHED_ROWS = 10_000
+
+
+def attach_rows(df: DataFrame, small: DataFrame, limit: int = MAX_ATTACHED_ROWS) -> DataFrame:
+    """Pair every row of ``df`` with every row of a *bounded* table (target
+    classes, folds x classes, a PDP grid): the table is collected once (its
+    size is checked against ``limit``) and exploded from a literal array, so
+    the plan has no cross join."""
+    rows = small.limit(limit + 1).collect()
+    if len(rows) > limit:
+        raise ValueError(f"attach_rows: table has more than {limit} rows")
+    fields = small.schema.fields
+    arr = F.array(
+        *[F.struct(*[F.lit(r[f.name]).cast(f.dataType).alias(f.name) for f in fields]) for r in rows]
+    )
+    if not rows:
+        return df.limit(0).select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in fields])
+    return df.select("*", F.explode(arr).alias("_a")).select(*[F.col(f"`{c}`") for c in df.columns], "_a.*")
 
 
 def long_categorical(df: DataFrame, features: Sequence[str], ids: Sequence[str] = (), fill: str | None = FILL_UNKNOWN):

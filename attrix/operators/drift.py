@@ -38,26 +38,40 @@ def chi_square_shift(train: DataFrame, prod: DataFrame, features: Sequence[str])
 
 def chi_square_from_counts(baseline: DataFrame, current: DataFrame, groups: Sequence[str], cutoff: float = P_VALUE_CUTOFF):
     """Streaming form (STR-3): baseline (feature, level, n) against current
-    (groups..., feature, level, n), each side scaled to 1000 rows plus one."""
+    (groups..., feature, level, n), each side scaled to 1000 rows plus one and
+    truncated, as in DRF-1.
+
+    Without pairing every group with the whole baseline: levels present in a
+    group join the baseline on (feature, level); baseline levels absent from
+    the group each add (0 - e)^2 / e = e, i.e. the baseline total minus the
+    expected counts of the present levels (per-feature totals, one row per
+    feature).  Levels unseen in the baseline make the statistic infinite."""
     groups = list(groups)
 
     def scale(df, name, g):
         t = df.groupBy(*g, "feature").agg(F.sum("n").alias("_t"))
-        return df.join(t, [*g, "feature"]).select(*g, "feature", "level", (F.col("n") / F.col("_t") * 1000.0 + 1.0).alias(name))
+        return df.join(t, [*g, "feature"]).select(
+            *g, "feature", "level", (F.col("n") / F.col("_t") * 1000.0 + 1.0).cast("int").alias(name)
+        )
 
+    base = scale(baseline, "train_count", [])
     cur = scale(current, "prod_count", groups)
-    keys = cur.select(*groups).distinct()
-    # every current group against the whole baseline (keyed join; AQE broadcasts a small baseline)
-    base = keys.withColumn("_j", F.lit(1)).join(scale(baseline, "train_count", []).withColumn("_j", F.lit(1)), "_j").drop("_j")
-    j = base.join(cur, [*groups, "feature", "level"], "full_outer").select(
-        *groups,
-        "feature",
-        "level",
-        F.coalesce("train_count", F.lit(0.0)).cast("int").alias("train_count"),
-        F.coalesce("prod_count", F.lit(0.0)).cast("int").alias("prod_count"),
+    j = cur.join(base, ["feature", "level"], "left")
+    per = j.groupBy(*groups, "feature").agg(
+        F.sum(
+            F.when(F.col("train_count").isNull(), F.lit(_INF)).otherwise(
+                F.pow(F.col("prod_count") - F.col("train_count"), 2) / F.col("train_count")
+            )
+        ).alias("_present"),
+        F.sum(F.coalesce("train_count", F.lit(0))).alias("_tp"),
+        F.sum(F.when(F.col("train_count").isNull(), 1).otherwise(0)).alias("_new"),
     )
-    r = _chi_from_frequencies(j, groups)
-    return r.withColumn("shift_occurred", F.col("p_value") <= cutoff)
+    totals = base.groupBy("feature").agg(F.sum("train_count").alias("_ta"), F.count(F.lit(1)).alias("_nb"))
+    r = per.join(totals, "feature", "left")
+    chi2 = F.col("_present") + (F.coalesce("_ta", F.lit(0)) - F.col("_tp"))
+    levels = F.coalesce("_nb", F.lit(0)) + F.col("_new")
+    out = r.select(*groups, "feature", chi2.alias("chi2"), chi2_sf(chi2, levels - 1).alias("p_value"))
+    return out.withColumn("shift_occurred", F.col("p_value") <= cutoff)
 
 
 def ks_shift(train: DataFrame, prod: DataFrame, features: Sequence[str]) -> DataFrame:

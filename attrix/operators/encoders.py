@@ -17,7 +17,7 @@ from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attrix.operators.aggregates import with_scalar
+from attrix.operators.aggregates import attach_rows, with_scalar
 
 SPARSE_LABEL = "sparse_combined"
 SPARSITY_CUTOFF = 0.001
@@ -148,7 +148,7 @@ def chi2_scores(df: DataFrame, label: str, key: str, categorical: Sequence[str],
     cls = y.groupBy("_y").agg(F.count(F.lit(1)).alias("ny"))
     n = y.agg(F.count(F.lit(1)).alias("n"))
     feats = obs.groupBy("feature").agg(F.sum("obs").alias("ft"))
-    grid = with_scalar(feats.withColumn("_j", F.lit(1)).join(cls.withColumn("_j", F.lit(1)), "_j").drop("_j"), n)
+    grid = with_scalar(attach_rows(feats, cls), n)  # classes: a bounded, collected table
     g = grid.join(obs, ["feature", "_y"], "left").withColumn("obs", F.coalesce("obs", F.lit(0.0)))
     e = F.col("ny") / F.col("n") * F.col("ft")
     s = g.groupBy("feature").agg(F.sum(F.pow(F.col("obs") - e, 2) / e).alias("score"))

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from attrix.functions.stats import ks_pvalue
+from attrix.operators.aggregates import with_scalar
 from attrix.session import materialize
 from attrix.operators.kernels import (
     _n_ranges,
@@ -34,10 +35,6 @@ LOG_LOSS_EPS = 1e-15
 METRIC_NAMES = ["log_loss", "brier_score_loss", "roc_auc", "f1", "balanced_accuracy_score"]
 
 
-def _one(df: DataFrame) -> DataFrame:
-    return df.withColumn("_j", F.lit(1))
-
-
 def predictions_frame(df: DataFrame, prob: str = "prob", cutoff: float = CLASS_CUTOFF) -> DataFrame:
     """EVL-1: add ``prob_0 = 1 - prob`` and ``predicted_class = prob >= cutoff``."""
     return df.withColumn("prob_0", 1.0 - F.col(prob)).withColumn(
@@ -109,9 +106,8 @@ def metric_scores(
         *[simple[m].alias(m) for m in metrics if m in simple],
     )
     if "roc_auc" in metrics:
-        wide = wide.join(roc_auc(df, label, prob, groups), groups, "left") if groups else _one(wide).join(
-            _one(roc_auc(df, label, prob)), "_j"
-        ).drop("_j")
+        auc = roc_auc(df, label, prob, groups)
+        wide = wide.join(auc, groups, "left") if groups else with_scalar(wide, auc)
     wide = wide.withColumn("n_neg", F.col("observations") - F.col("n_pos"))
     return wide.unpivot(
         [*groups, "observations", "n_pos", "n_neg"], [m for m in metrics], "metric", "score"
@@ -256,7 +252,7 @@ def confusion_table(df: DataFrame, label: str = "label", prob: str = "prob", cut
     fixed = confusion_counts(df.withColumn("_c", F.when(F.col(prob) >= cutoff, 1).otherwise(0)), label, "_c")
     fixed = fixed.select(F.lit("predicted_class").alias("class_column"), F.lit(float(cutoff)).alias("cutoff"), "*")
     opt = optimal_cutoff(df, label, prob).select(F.col("optimal_threshold").alias("_t"))
-    j = _one(df).join(_one(opt), "_j").withColumn("_c", F.when(F.col(prob) >= F.col("_t"), 1).otherwise(0))
+    j = with_scalar(df, opt).withColumn("_c", F.when(F.col(prob) >= F.col("_t"), 1).otherwise(0))
     tp, fp, fn, tn = _conf(label, "_c")
     best = j.agg(
         F.lit("optimal_predicted_class").alias("class_column"),
@@ -296,8 +292,7 @@ def calibration_table(
             F.array_sort(F.collect_list("quantile")).alias("edges")
         )
         binned = (
-            _one(df)
-            .join(_one(q), "_j")
+            with_scalar(df, q)
             .withColumn(
                 "bin", F.aggregate("edges", F.lit(0), lambda acc, e: acc + F.when(F.col(prob) >= e, 1).otherwise(0))
             )
@@ -322,7 +317,7 @@ def probability_lift(df: DataFrame, label: str = "label", prob: str = "prob", n_
     binned = qcut(df, prob, n_bins, out="_bin")
     per_bin = binned.groupBy("_bin").agg(F.avg(prob).alias("p"), F.avg(F.col(label).cast("double")).alias("y"))
     base = df.agg(F.avg(F.col(label).cast("double")).alias("base"))
-    j = _one(per_bin).join(_one(base), "_j")
+    j = with_scalar(per_bin, base)
     return j.agg(
         F.try_divide(F.sum(F.abs(F.col("base") - F.col("y"))), F.sum(F.abs(F.col("p") - F.col("y")))).alias("lift")
     )
@@ -345,7 +340,7 @@ def density_points(df: DataFrame, value: str, groups: Sequence[str] = (), grid:
         F.max(value).alias("_hi"),
     ).withColumn("_bw", F.col("_sd") * F.pow(F.col("_n"), -0.2))
     dv = d.groupBy(*groups, value).agg(F.count(F.lit(1)).alias("_c"))
-    j = _one(dv).join(_one(st), ["_j", *groups]).drop("_j")
+    j = dv.join(st, groups) if groups else with_scalar(dv, st)
     lo = F.col("_lo") - cut * F.col("_bw")
     hi = F.col("_hi") + cut * F.col("_bw")
     pts = j.select(

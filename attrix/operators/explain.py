@@ -15,7 +15,7 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from attrix.operators.aggregates import with_scalar
+from attrix.operators.aggregates import attach_rows, with_scalar
 from attrix.operators.evaluate import LOG_LOSS_EPS
 from attrix.operators.kernels import _n_ranges, exact_quantiles, hash_order, row_numbers, uniform_hash_cuts
 
@@ -24,6 +24,7 @@ EXPLANATION_SAMPLE_N = 10_000
 PDP_GRID = 100
 PDP_PERCENTILES = (0.05, 0.95)
 ALE_GRID = 20
+PDP_GRID_LIMIT = 10_000
 
 
 def expr_scorer(expr: Callable[[], Column]) -> ScoreFn:
@@ -204,9 +205,8 @@ def pdp_grid(df: DataFrame, feature: str, resolution: int = PDP_GRID, percentile
 
 
 def _substitute(df: DataFrame, feature: str, grid: DataFrame) -> DataFrame:
-    # grid has at most ``resolution`` rows: keyed broadcast join with a proven bound
-    g = F.broadcast(grid.withColumn("_j", F.lit(1)))
-    return df.withColumn("_j", F.lit(1)).join(g, "_j").drop("_j").withColumn(feature, F.col("grid_value"))
+    # the grid has at most ``resolution`` rows: collected and exploded per row
+    return attach_rows(df, grid, limit=PDP_GRID_LIMIT).withColumn(feature, F.col("grid_value"))
 
 
 def partial_dependence(df: DataFrame, feature: str, score_df: ScoreFn, resolution: int = PDP_GRID) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attrix.operators.aggregates import category_dispersion, category_target_connection, with_scalar
+from attrix.operators.aggregates import attach_rows, category_dispersion, category_target_connection, with_scalar
 from attrix.operators.evaluate import density_points
 from attrix.operators.kernels import qcut
 
@@ -190,9 +190,9 @@ def mutual_information(
 
 
 def with_scalar_join(levels: DataFrame, classes: DataFrame) -> DataFrame:
-    """Every (level, class) combination: the class table has one row per target
-    class (two for a binary target), so it is broadcast on a constant key."""
-    return levels.withColumn("_j", F.lit(1)).join(F.broadcast(classes.withColumn("_j", F.lit(1))), "_j").drop("_j")
+    """Every (level, class) combination: the class table (one row per target
+    class, or folds x classes) is bounded, so it is collected and exploded."""
+    return attach_rows(levels, classes)
 
 
 def to_transactions(df: DataFrame, key: str, categorical: Sequence[str], numeric: Sequence[str]) -> DataFrame:
@@ -404,8 +404,7 @@ def predictive_power(
         cells = cells.unionByName(p)
     cells = cells.where(F.col("n") > 0)
     allc = cells.groupBy("attribute", "v", "_y").agg(F.sum("n").alias("na"))
-    fk = cells.select("_fold").distinct()
-    tr = with_scalar_join(allc, fk).join(
+    tr = allc.select("*", F.explode(F.sequence(F.lit(0), F.lit(folds - 1))).alias("_fold")).join(
         cells.withColumnRenamed("n", "nk"), ["attribute", "_fold", "v", "_y"], "left"
     ).withColumn("t", F.col("na") - F.coalesce("nk", F.lit(0)))
     pick = lambda cnt: F.min_by("_y", F.struct((-F.col(cnt)).alias("c"), F.col("_y")))

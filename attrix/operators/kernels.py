@@ -47,6 +47,7 @@ def range_cuts(df: DataFrame, col: str, n_ranges: int) -> list[float]:
 
 
 _INF = float("inf")
+_DMAX = 1.7976931348623157e308
 SINGLE_RANGE_BYTES = 32 * 1024 * 1024
 
 
@@ -67,7 +68,8 @@ def assign_range(df: DataFrame, col: str, cuts: Sequence[float], out: str = "_rn
     """Deterministic, order-preserving range id of ``col`` given sorted cut points
     (nulls first, NaN last, matching Spark's ascending sort)."""
     if not cuts:
-        return df.withColumn(out, F.lit(0.0))
+        # one effective range: a real (non-foldable) assignment keeps the offset join keyed
+        cuts = [_DMAX]
     b = Bucketizer(splits=[-_INF, *cuts, _INF], inputCol="_rq", outputCol=out, handleInvalid="keep")
     return b.transform(df.withColumn("_rq", F.coalesce(F.col(col).cast("double"), F.lit(-_INF)))).drop("_rq")
 
@@ -253,9 +255,8 @@ def qcut(df: DataFrame, value: str, n_bins: int, groups: Sequence[str] = (), out
                 ) if rows else None
                 arr = F.element_at(m, F.col(g)) if m is not None else F.array().cast("array<double>")
             return df.withColumn(out, F.when(x.isNotNull(), bin_of(x, F.coalesce(arr, F.array().cast("array<double>")))))
-    e = edges.withColumn("_j", F.lit(1))
-    j = df.withColumn("_j", F.lit(1)).join(e, ["_j", *groups], "left")
-    return j.withColumn(out, F.when(x.isNotNull(), bin_of(x, F.col("edges")))).drop("edges", "_j")
+    j = df.join(edges, groups, "left")
+    return j.withColumn(out, F.when(x.isNotNull(), bin_of(x, F.col("edges")))).drop("edges")
 
 
 def uniform_hash_cuts(n_ranges: int) -> list[float]:
