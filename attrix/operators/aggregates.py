@@ -1,8 +1,8 @@
 """Exploratory aggregations (survey section 2.7).
 
 Every per-feature loop of the reference becomes one ``unpivot`` followed by
-one grouped aggregation; scalar totals are one-row aggregates attached as
-scalar subqueries, never a window over a whole feature or a join.
+one grouped aggregation; scalar totals are one-row aggregates evaluated once
+and attached as literals, never a window over a whole feature or a join.
 """
 
 from __future__ import annotations
@@ -18,11 +18,15 @@ FILL_UNKNOWN = "unknown"
 
 
 def with_scalar(df: DataFrame, scalars: DataFrame) -> DataFrame:
-    """Attach the columns of a one-row DataFrame (an aggregate) to every row as
-    a scalar subquery: computed once, substituted as a value — no join."""
-    cols = scalars.columns
-    s = scalars.select(F.struct(*[F.col(f"`{c}`") for c in cols]).alias("_s")).scalar()
-    return df.select("*", *[s[c].alias(c) for c in cols])
+    """Attach the columns of a one-row DataFrame (an aggregate) to every row.
+
+    The aggregate is evaluated once (one small job, as a scalar subquery would
+    be) and attached as typed literals: no join, no repeated subquery, and a
+    recomputation after an executor loss sees the same values."""
+    row = scalars.first()
+    fields = scalars.schema.fields
+    vals = [F.lit(None if row is None else row[f.name]).cast(f.dataType).alias(f.name) for f in fields]
+    return df.select("*", *vals)
 
 
 MAX_ATTACHED_ROWS = 10_000

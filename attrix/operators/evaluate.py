@@ -468,3 +468,44 @@ def metrics_by_partition(
         F.concat_ws("_", "feature", "level").alias("partition"),
         "observations",
     )
+
+
+def evaluate_all(
+    preds: DataFrame,
+    model_uid: str,
+    features: DataFrame | None = None,
+    categorical: Sequence[str] = (),
+    numeric: Sequence[str] = (),
+    key: str = "key",
+    label: str = "label",
+    prob: str = "prob",
+) -> dict[str, DataFrame]:
+    """EVL-21: every evaluation table of a model, by name.  The predictions
+    frame is read by ~15 reports, so it is materialised once first."""
+    p = materialize(predictions_frame(preds.select(key, label, prob), prob), "predictions")
+    out = {
+        "metric_table": metric_table(p, model_uid, label, prob),
+        "density": density_points(p, prob),
+        "bootstrap": bootstrap_scores(p, key, label, prob),
+        "calibration": None,
+        "optimal_cutoff": optimal_cutoff(p, label, prob),
+        "confusion": confusion_table(p, label, prob),
+        "roc": roc_points(p, label, prob),
+        "class_lift": class_lift(p, label),
+        "probability_lift": probability_lift(p, label, prob),
+        "gains": gains_points(p, label, prob),
+        "ks": ks_by_class(p, label, prob),
+        "ks_curve": ks_curve_points(p, label, prob),
+        "concordance": concordance(p, label, prob),
+    }
+    cal = None
+    for n in CALIBRATION_BINS:
+        for s in ("uniform", "quantile"):
+            t = calibration_table(p, label, prob, n, s)
+            cal = t if cal is None else cal.unionByName(t)
+    out["calibration"] = cal
+    if features is not None:
+        out["by_partition"] = metrics_by_partition(
+            p, features, key, label, prob, categorical=categorical, numeric=numeric
+        )
+    return out

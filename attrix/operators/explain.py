@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from attrix.operators.aggregates import attach_rows, with_scalar
 from attrix.operators.evaluate import LOG_LOSS_EPS
 from attrix.operators.kernels import _n_ranges, exact_quantiles, hash_order, row_numbers, uniform_hash_cuts
+from attrix.session import materialize
 
 ScoreFn = Callable[[DataFrame], DataFrame]
 EXPLANATION_SAMPLE_N = 10_000
@@ -315,3 +316,23 @@ def drop_column_importance(
     with ThreadPoolExecutor(max_workers=parallelism) as pool:
         res = list(pool.map(one, columns))
     return sorted(res, key=lambda t: -t[1])
+
+
+def explain_all(df: DataFrame, key: str, label: str, features: Sequence[str], score_df: ScoreFn,
+                background_n: int = 100, sample_n: int = EXPLANATION_SAMPLE_N, model_uid: str = "model") -> dict[str, DataFrame]:
+    """XPL-9: explanations on the first ``sample_n`` rows in md5 order (the
+    reference's explanation sample)."""
+    from attrix.operators.windows import head_hash_ordered
+
+    s = materialize(head_hash_ordered(df, key, sample_n), "explain-sample")
+    bg = head_hash_ordered(s, key, background_n, seed=1)
+    shap = sampled_shapley(s, key, features, score_df, bg)
+    out = {
+        "shap": shap,
+        "global_importance": global_importance(shap, model_uid),
+        "permutation_importance": permutation_importance(s, key, label, features, score_df),
+    }
+    for c in features:
+        out[f"pdp_{c}"] = partial_dependence(s, c, score_df)
+        out[f"ale_{c}"] = ale(s, c, score_df)
+    return out

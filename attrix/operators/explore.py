@@ -440,3 +440,30 @@ def predictive_power(
         (F.col("model_score") - F.col("baseline_score")) / (1.0 - F.col("baseline_score"))
     )
     return out.select(F.col("attribute").alias("feature"), pps.alias("pps"), "model_score", "baseline_score")
+
+
+def explore_all(df: DataFrame, key: str, target: str, categorical: Sequence[str], numeric: Sequence[str],
+                positive: str = "yes", max_clusters: int = 7) -> dict[str, DataFrame]:
+    """EXP-10: the exploration reports of the reference, by name (fits run
+    eagerly; aggregations stay lazy until written)."""
+    from attrix.operators.aggregates import summary_statistics, target_balance
+
+    y01 = df.withColumn("_y01", F.when(F.col(target).cast("string").startswith(positive[:1]), 1).otherwise(0))
+    trans = to_transactions(df, key, categorical, numeric)
+    rules = association_rules(trans, key, "item")
+    clustered, _ = kmeans_clusters(df, key, categorical, numeric, max_clusters)
+    out = {
+        "projection": projection_2d(df, key, target, numeric),
+        "summary": summary_statistics(df, target, numeric, categorical),
+        "correlation": correlated_features(df, categorical, numeric),
+        "mutual_information": mutual_information(df, target, categorical, numeric),
+        "predictive_power": predictive_power(df, key, target, categorical, numeric),
+        "clusters": clustered,
+        "rules": rules,
+        "rule_outcomes": rule_outcomes(rules, trans, y01, key, "item", "_y01"),
+        "target_balance": target_balance(df, target),
+        "category_connection": category_connection(df, categorical, target, positive),
+    }
+    for c in numeric:
+        out[f"density_{c}"] = density_by_target(df, c, target)
+    return out

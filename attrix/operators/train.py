@@ -346,3 +346,36 @@ def bootstrap_predictions(
         )
         out = p if out is None else out.unionByName(p)
     return out
+
+
+MODEL_FAMILIES = [("random_forest", FOREST_SPACE), ("extra_trees", FOREST_SPACE), ("gradient_boosting", BOOSTING_SPACE)]
+
+
+def train_all(
+    df: DataFrame,
+    key: str,
+    target: str,
+    spec: Mapping,
+    families=MODEL_FAMILIES,
+    trials: int = TRIALS,
+    folds: int = CV_FOLDS,
+    parallelism: int = 2,
+) -> dict[str, dict]:
+    """TRN-9: for each model family: split, tune, refit, evaluate on the test
+    split.  Returns {family: {model, leaderboard, params, evaluation}}."""
+    frame = training_frame(df, key, target)
+    train, test = frame.where("split = 'train'"), frame.where("split = 'test'")
+    out = {}
+    for name, space in families:
+        def make(p, name=name):
+            return build_pipeline(model_family(name, p), **spec)
+
+        model, board, params = tune(train, key, make, space, trials, folds, parallelism)
+        preds = _prob(model.transform(test)).select(key, "label", "prob")
+        out[name] = {
+            "model": model,
+            "leaderboard": board,
+            "params": params,
+            "evaluation": ev.evaluate_all(preds, name),
+        }
+    return out

@@ -99,3 +99,18 @@ def test_model_scorer_permutation_importance(frame):
     score = xp.model_scorer(m)
     imp = xp.permutation_importance(train.limit(200), "key", "label", ["num_a", "num_b"], score, repeats=2)
     assert imp.count() == 2
+
+
+def test_orchestrators(spark):
+    from attrix.operators.evaluate import evaluate_all
+    from attrix.operators.explain import explain_all
+
+    p = views.v_pred(spark, SF)
+    rep = evaluate_all(p, "m1", views.v_obs(spark, SF), categorical=["cat_b"], numeric=["num_a"])
+    assert rep["metric_table"].count() == 5 and rep["by_partition"].count() > 0
+    x = views.v_obs(spark, SF).select("key", F.when(F.col("target") == "yes", 1).otherwise(0).alias("label"), "num_a", "num_b")
+    from attrix.operators.serve import linear_scorer
+
+    xr = explain_all(x.na.fill(0.0), "key", "label", ["num_a", "num_b"],
+                     xp.expr_scorer(lambda: linear_scorer({"num_a": 4e-6, "num_b": 1e-4}, -1.0)), background_n=20, sample_n=200)
+    assert xr["global_importance"].count() == 2 and xr["ale_num_a"].count() > 1
