@@ -30,3 +30,12 @@ def preds(spark, d) -> DataFrame:
 
 # SQL for the same predictions frame
 PRED_SQL = "SELECT *, CASE WHEN prob >= 0.5 THEN 1 ELSE 0 END AS predicted_class FROM v_pred"
+
+
+def obs_once(spark, d) -> DataFrame:
+    """v_obs written once under the checkpoint folder, for operators that read
+    their input from several branches (quantile jobs, kernels, per-feature
+    aggregates): the three joins and the lineitem aggregation run once."""
+    from attrix.session import materialize
+
+    return materialize(views.v_obs(spark, d), "v_obs")

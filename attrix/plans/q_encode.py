@@ -13,7 +13,7 @@ from attrix.operators.explore import dummies_long
 from attrix.operators.leaderboard import cv_leaderboard, fold_of
 from attrix.operators.projections import pivot_folds
 from attrix.plans import views
-from attrix.plans.common import r6
+from attrix.plans.common import obs_once, r6
 from attrix.plans.registry import query
 
 CATS = ["cat_a", "cat_b", "cat_c"]
@@ -178,7 +178,7 @@ SELECT feature, round(score, 4) AS score, position,
     ("v_obs",),
 )
 def enc6(spark, d):
-    o = en.impute_mean(views.v_obs(spark, d).select("target", *NUMS), NUMS)
+    o = en.impute_mean(obs_once(spark, d).select("target", *NUMS), NUMS)
     return r6(en.f_classif_scores(o, "target", NUMS, 10), 4)
 
 
@@ -201,7 +201,7 @@ SELECT feature, round(score, 6) AS score,
     ("v_obs",),
 )
 def enc7(spark, d):
-    o = views.v_obs(spark, d).select("key", "target", *CATS)
+    o = obs_once(spark, d).select("key", "target", *CATS)
     return r6(en.chi2_scores(o, "target", "key", CATS, 10).select("feature", "score", "selected"))
 
 
@@ -215,7 +215,7 @@ SELECT feature, round(variance, 4) AS variance, variance > 0 AS keep FROM v""",
     ("v_obs",),
 )
 def enc8(spark, d):
-    o = views.v_obs(spark, d)
+    o = obs_once(spark, d)
     return r6(en.variance_filter(o, "key", CATS, ["num_b", "num_c"]), 4)
 
 

@@ -11,7 +11,7 @@ from attrix.operators import explain as xp
 from attrix.operators.serve import linear_scorer
 from attrix.operators.windows import head_hash_ordered
 from attrix.plans import views
-from attrix.plans.common import r6
+from attrix.plans.common import obs_once, r6
 from attrix.plans.registry import query
 
 NUMS = ["num_a", "num_b", "num_c"]
@@ -34,7 +34,7 @@ def nll(p: str) -> str:
 
 
 def xframe(spark, d):
-    o = views.v_obs(spark, d).select(
+    o = obs_once(spark, d).select(
         "key", F.when(F.col("target") == "yes", 1).otherwise(0).alias("label"), *NUMS
     )
     return en.impute_mean(o, NUMS)

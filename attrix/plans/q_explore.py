@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from attrix.operators import aggregates as ag
 from attrix.operators import explore as ex
 from attrix.plans import views
-from attrix.plans.common import preds, r6
+from attrix.plans.common import obs_once, preds, r6
 from attrix.plans.registry import query
 
 CATS = ["cat_a", "cat_b", "cat_c"]
@@ -80,7 +80,7 @@ SELECT level, feature, "count", "unique", top, freq, round(mean, 4) AS mean, rou
     ("v_obs",),
 )
 def agg4(spark, d):
-    return r6(ag.summary_statistics(views.v_obs(spark, d), "target", NUMS, CATS), 4)
+    return r6(ag.summary_statistics(obs_once(spark, d), "target", NUMS, CATS), 4)
 
 
 @query(
@@ -147,7 +147,7 @@ FROM dum a JOIN dum b ON a.key = b.key AND a.f < b.f GROUP BY a.f, b.f""",
     ("v_obs",),
 )
 def exp2(spark, d):
-    return r6(ex.correlated_features(views.v_obs(spark, d), CATS, NUMS))
+    return r6(ex.correlated_features(obs_once(spark, d), CATS, NUMS))
 
 
 MI_SQL = f"""
@@ -177,7 +177,7 @@ mi AS (SELECT c.attribute, greatest(sum(c.n / tt.nt * ln(c.n * tt.nt / (px.nx *
 
 @query("exp3_mutual_information", f"WITH {MI_SQL} SELECT attribute, round(score, 6) AS score FROM mi", ("v_obs",))
 def exp3(spark, d):
-    return r6(ex.mutual_information(views.v_obs(spark, d), "target", CATS, NUMS))
+    return r6(ex.mutual_information(obs_once(spark, d), "target", CATS, NUMS))
 
 
 def _rules_sql(min_support: float, min_lift: float) -> str:
@@ -259,7 +259,7 @@ UNION ALL SELECT feature, category, 'diff_from_expectation', round(dfe, 6) FROM
     ("v_obs",),
 )
 def exp8(spark, d):
-    return r6(ex.category_connection(views.v_obs(spark, d), CATS, "target"))
+    return r6(ex.category_connection(obs_once(spark, d), CATS, "target"))
 
 
 @query(
@@ -276,7 +276,7 @@ FROM g JOIN dv ON g.level = dv.level GROUP BY g.level, point, gx, n, bw""",
     ("v_obs",),
 )
 def exp9(spark, d):
-    return r6(ex.density_by_target(views.v_obs(spark, d), "num_c", "target"))
+    return r6(ex.density_by_target(obs_once(spark, d), "num_c", "target"))
 
 
 PPS_SQL = f"""WITH b AS (SELECT CAST(('0x' || substr(md5(CAST(key AS VARCHAR)), 1, 15))::BIGINT % 4 AS INTEGER) AS fold,
@@ -321,4 +321,4 @@ FROM md JOIN bl ON md.attribute = bl.attribute"""
 
 @query("exp4_predictive_power", PPS_SQL, ("v_obs",))
 def exp4(spark, d):
-    return r6(ex.predictive_power(views.v_obs(spark, d), "key", "target", CATS, NUMS))
+    return r6(ex.predictive_power(obs_once(spark, d), "key", "target", CATS, NUMS))
