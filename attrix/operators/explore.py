@@ -15,6 +15,7 @@ from attrix.operators.kernels import qcut
 HIGH_CORRELATION = 0.98
 MIN_SUPPORT = 0.1
 MIN_LIFT = 2.0
+MAX_DUMMY_LEVELS = 10_000
 
 
 def dummy_levels(df: DataFrame, categorical: Sequence[str]) -> dict[str, tuple[list[str], bool]]:
@@ -25,7 +26,10 @@ def dummy_levels(df: DataFrame, categorical: Sequence[str]) -> dict[str, tuple[l
     long = df.select(*[F.col(c).cast("string").alias(c) for c in categorical]).unpivot(
         [], list(categorical), "category", "level"
     )
-    rows = long.groupBy("category", "level").agg(F.count(F.lit(1)).alias("n")).collect()
+    # a wide dummy frame needs one column per level, so the level count is bounded by design
+    rows = long.groupBy("category", "level").agg(F.count(F.lit(1)).alias("n")).limit(MAX_DUMMY_LEVELS + 1).collect()
+    if len(rows) > MAX_DUMMY_LEVELS:
+        raise ValueError(f"more than {MAX_DUMMY_LEVELS} dummy levels: combine sparse levels first (ENC-1)")
     out: dict[str, tuple[list[str], bool]] = {c: ([], False) for c in categorical}
     for r in rows:
         levels, has_null = out[r["category"]]

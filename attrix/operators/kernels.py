@@ -229,7 +229,7 @@ def bin_of(value: Column, edges: Column) -> Column:
     return F.aggregate(edges, F.lit(1), lambda acc, e: acc + F.when(value > e, 1).otherwise(0))
 
 
-MAX_LITERAL_GROUPS = 10_000
+MAX_LITERAL_GROUPS = 1_000
 
 
 def qcut(df: DataFrame, value: str, n_bins: int, groups: Sequence[str] = (), out: str = "bin") -> DataFrame:

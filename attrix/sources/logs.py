@@ -18,6 +18,7 @@ from attrix.functions.columns import all_parse_as_double, strip_json_text
 
 PAYLOAD = "input_output_payloads"
 DROP_INPUT_FIELDS = ("uid", "url", "endpoint")
+MAX_INPUT_KEYS = 10_000
 
 
 def parse_requests(df: DataFrame, json_col: str, schema: StructType | str, keep: Sequence[str] = ()) -> DataFrame:
@@ -48,9 +49,10 @@ def production_requests(
     keys and, per key, whether all values parse (one aggregate row)."""
     f = logs.where((F.get_json_object(payload_col, model_path) == model_uid) & (F.col(ts_col) >= F.lit(since)))
     m = f.select(input_map(F.col(payload_col)).alias("_in"))
-    keys = sorted(
-        r["k"] for r in m.select(F.explode(F.map_keys("_in")).alias("k")).distinct().collect() if r["k"] not in drop
-    )
+    found = m.select(F.explode(F.map_keys("_in")).alias("k")).distinct().limit(MAX_INPUT_KEYS + 1).collect()
+    if len(found) > MAX_INPUT_KEYS:
+        raise ValueError(f"more than {MAX_INPUT_KEYS} distinct input keys: not a request schema")
+    keys = sorted(r["k"] for r in found if r["k"] not in drop)
     if not keys:
         return m.select().limit(0)
     wide = m.select(*[strip_json_text(F.col("_in")[k]).alias(k) for k in keys])
