@@ -51,3 +51,12 @@ def test_pipeline_save_and_load(spark, tmp_dir):
     save_pipeline(m, p)
     again = PipelineModel.load(p)
     assert sorted(r[0] for r in again.transform(df).distinct().collect()) == ["b", "sparse_combined"]
+
+
+def test_create_table_from_reads_back(spark, tmp_dir):
+    from attrix.sinks.writers import create_table_from
+
+    o = views.v_obs(spark, SF).select("key", "target", "num_a")
+    t = create_table_from(o, "attrix_obs_snapshot", path=os.path.join(tmp_dir, "tbl"))
+    assert t.count() == o.count() and t.columns == o.columns
+    spark.sql("DROP TABLE IF EXISTS attrix_obs_snapshot")
