@@ -76,3 +76,31 @@ def test_split_is_about_twenty_percent(spark):
     s = train_test_split(views.v_obs(spark, SF), "key", 0.2)
     frac = s.where("split = 'test'").count() / s.count()
     assert 0.1 < frac < 0.3
+
+
+def _preds(spark):
+    return views.v_pred(spark, SF).withColumn("predicted_class", F.when(F.col("prob") >= 0.5, 1).otherwise(0))
+
+
+def test_roc_curve_endpoints(spark):
+    pts = ev.roc_points(_preds(spark)).orderBy(F.desc("threshold")).collect()
+    assert (pts[0]["fpr"], pts[0]["tpr"]) == (0.0, 0.0)
+    assert (pts[-1]["fpr"], pts[-1]["tpr"]) == (1.0, 1.0)
+    assert all(a["tpr"] <= b["tpr"] and a["fpr"] <= b["fpr"] for a, b in zip(pts, pts[1:]))
+
+
+def test_gains_reach_one_and_calibration_counts(spark):
+    p = _preds(spark)
+    g = ev.gains_points(p)
+    for cls in (0, 1):
+        last = g.where(F.col("class") == cls).orderBy("percentage", ascending=False).first()
+        assert last["percentage"] == pytest.approx(1.0) and last["gain"] == pytest.approx(1.0)
+    n = p.count()
+    for strategy in ("uniform", "quantile"):
+        c = ev.calibration_table(p, n_bins=10, strategy=strategy)
+        assert c.agg(F.sum("count")).first()[0] == n
+
+
+def test_ks_cdfs_end_at_one(spark):
+    c = ev.ks_curve_points(_preds(spark)).orderBy(F.desc("threshold")).first()
+    assert c["cdf_pos"] == pytest.approx(1.0) and c["cdf_neg"] == pytest.approx(1.0)
