@@ -48,10 +48,22 @@ def service_local(ts_utc) -> Column:
     return F.convert_timezone(F.lit("UTC"), F.lit(SERVICE_TZ), _c(ts_utc).cast("timestamp_ntz"))
 
 
+def trunc_seconds_ntz(c) -> Column:
+    """Wall time truncated to whole seconds, independent of the session zone
+    (``date_trunc`` would pass a zone-free timestamp through the session zone)."""
+    fmt = "yyyy-MM-dd HH:mm:ss"
+    return F.to_timestamp_ntz(F.date_format(_c(c).cast("timestamp_ntz"), fmt), F.lit(fmt))
+
+
+def day_start_ntz(c) -> Column:
+    """Wall-clock midnight of the day, independent of the session zone."""
+    return _c(c).cast("timestamp_ntz").cast("date").cast("timestamp_ntz")
+
+
 def lookback_start(as_of_utc, minutes: int) -> Column:
     """SCL-5: service-local time truncated to seconds minus ``minutes``.
     ``as_of_utc`` is explicit (pass ``current_timestamp()`` in production)."""
-    return F.date_trunc("second", service_local(as_of_utc)) - F.make_interval(mins=F.lit(minutes))
+    return trunc_seconds_ntz(service_local(as_of_utc)) - F.make_interval(mins=F.lit(minutes))
 
 
 def run_id(base: str, ts_utc) -> Column:

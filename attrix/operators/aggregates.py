@@ -9,8 +9,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import TimestampNTZType
 
 from attrix.operators.kernels import exact_quantiles
 
@@ -25,10 +26,19 @@ def with_scalar(df: DataFrame, scalars: DataFrame) -> DataFrame:
     recomputation after an executor loss sees the same values."""
     row = scalars.first()
     fields = scalars.schema.fields
-    vals = [F.lit(None if row is None else row[f.name]).cast(f.dataType).alias(f.name) for f in fields]
+    vals = [typed_lit(None if row is None else row[f.name], f.dataType).alias(f.name) for f in fields]
     return df.select("*", *vals)
 
 
+def typed_lit(value, dtype) -> Column:
+    """Literal of a collected value with its Spark type.  Zone-free timestamps
+    go through their text form (a Python datetime literal would be read as a
+    zoned timestamp and shifted by the session zone)."""
+    if value is not None and isinstance(dtype, TimestampNTZType):
+        return F.lit(value.isoformat(sep=" ")).cast(dtype)
+    return F.lit(value).cast(dtype)
+
+
 MAX_ATTACHED_ROWS = 10_000
 
 
@@ -42,7 +52,7 @@ def attach_rows(df: DataFrame, small: DataFrame, limit: int = MAX_ATTACHED_ROWS)
         raise ValueError(f"attach_rows: table has more than {limit} rows")
     fields = small.schema.fields
     arr = F.array(
-        *[F.struct(*[F.lit(r[f.name]).cast(f.dataType).alias(f.name) for f in fields]) for r in rows]
+        *[F.struct(*[typed_lit(r[f.name], f.dataType).alias(f.name) for f in fields]) for r in rows]
     )
     if not rows:
         return df.limit(0).select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in fields])

@@ -13,7 +13,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from attrix.functions.columns import lookback_start
+from attrix.functions.columns import lookback_start, trunc_seconds_ntz
 from attrix.operators.aggregates import with_scalar
 
 PROBA_CUTOFF = 0.75
@@ -105,7 +105,7 @@ def prediction_report(
     """SRV-3: count and mean prediction of the requests logged since the
     lookback start; a row is emitted only when count >= ``min_count``.
     ``as_of_utc`` is a timestamp literal/Column (``current_timestamp()`` live)."""
-    start = F.date_trunc("second", F.lit(as_of_utc).cast("timestamp_ntz")) - F.make_interval(mins=F.lit(minutes))
+    start = trunc_seconds_ntz(F.lit(as_of_utc)) - F.make_interval(mins=F.lit(minutes))
     recent = logs.where(F.col(ts_col) >= start)
     agg = recent.agg(
         F.count(F.lit(1)).alias("prediction_count"),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from attrix.functions.columns import day_start_ntz
 from attrix.operators import serve as sv
 from attrix.operators import windows as wn
 from attrix.operators.kernels import qcut
@@ -61,7 +62,7 @@ def src4(spark, d):
     cfg = e.select(
         F.col("event_type").alias("config_key"),
         F.col("user_id").cast("string").alias("config_value"),
-        F.date_trunc("day", "ts").cast("timestamp_ntz").alias("meta__inserted_at"),
+        day_start_ntz("ts").alias("meta__inserted_at"),
     )
     return tb.latest_snapshot(cfg)
 
