@@ -288,6 +288,7 @@ def concept_shift_report(
     model_uid: str,
     threshold: float = CONCEPT_THRESHOLD,
     folds: int = 3,
+    grid: Mapping | None = None,
 ) -> DataFrame:
     """DRF-4: can a forest tell production rows (1) from training rows (0)?
     Grid search over the reference's 12-point grid with k-fold ROC AUC; AUC
@@ -313,10 +314,11 @@ def concept_shift_report(
         stages.append(Imputer(inputCols=list(numeric), outputCols=[f"{c}__m" for c in numeric], strategy="mean"))
         vec_in += [f"{c}__m" for c in numeric]
     stages.append(VectorAssembler(inputCols=vec_in, outputCol="features", handleInvalid="keep"))
+    grid = grid or CONCEPT_GRID
     best = None
-    for depth in CONCEPT_GRID["maxDepth"]:
-        for leaf in CONCEPT_GRID["minInstancesPerNode"]:
-            for feat in CONCEPT_GRID["featureSubsetStrategy"]:
+    for depth in grid["maxDepth"]:
+        for leaf in grid["minInstancesPerNode"]:
+            for feat in grid["featureSubsetStrategy"]:
                 rf = RandomForestClassifier(maxDepth=depth, minInstancesPerNode=leaf, featureSubsetStrategy=feat, seed=SEED)
                 aucs = []
                 for f in range(folds):

@@ -62,8 +62,8 @@ def test_calibration_prefit_and_cv(frame):
 def test_concept_shift_row(spark):
     v = views.v_drift(spark, SF)
     t, p = v.where("side = 'train'"), v.where("side = 'prod'")
-    tr.CONCEPT_GRID.update({"maxDepth": [3], "minInstancesPerNode": [1], "featureSubsetStrategy": ["sqrt"]})
-    r = tr.concept_shift_report(t, p, ["value"], ["event_type", "user_group"], "key", "m1", folds=2).first()
+    small = {"maxDepth": [3], "minInstancesPerNode": [1], "featureSubsetStrategy": ["sqrt"]}
+    r = tr.concept_shift_report(t, p, ["value"], ["event_type", "user_group"], "key", "m1", folds=2, grid=small).first()
     assert r["metric_used"] == "roc_auc" and 0 <= r["model_score"] <= 1
     assert r["shift_occurred"] == (r["model_score"] >= 0.55)
 
