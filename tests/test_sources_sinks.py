@@ -60,3 +60,22 @@ def test_create_table_from_reads_back(spark, tmp_dir):
     t = create_table_from(o, "attrix_obs_snapshot", path=os.path.join(tmp_dir, "tbl"))
     assert t.count() == o.count() and t.columns == o.columns
     spark.sql("DROP TABLE IF EXISTS attrix_obs_snapshot")
+
+
+def test_production_requests_by_key_name_with_commas(spark):
+    import json
+
+    from attrix.sources.logs import production_requests
+
+    rows = [
+        ("u1", "2024-01-20 10:00:00", json.dumps({"input": {"note": "a, b", "score": " 1.5", "uid": "x"}, "output": {"model_uid": "m1"}})),
+        ("u2", "2024-01-20 11:00:00", json.dumps({"input": {"note": "c", "score": "2"}, "output": {"model_uid": "m1"}})),
+        ("u3", "2024-01-21 11:00:00", json.dumps({"input": {"note": "d", "score": "3"}, "output": {"model_uid": "m2"}})),
+    ]
+    logs = spark.createDataFrame(rows, "uid string, ts string, input_output_payloads string").selectExpr(
+        "uid", "CAST(ts AS TIMESTAMP_NTZ) AS logging_timestamp", "input_output_payloads"
+    )
+    out = production_requests(logs, "m1", F.expr("TIMESTAMP_NTZ '2024-01-01 00:00:00'"))
+    assert out.columns == ["note", "score"]  # 'uid' dropped, keys by name
+    got = sorted(tuple(r) for r in out.collect())
+    assert got == [("a, b", 1.5), ("c", 2.0)]
