@@ -102,3 +102,24 @@ def test_chi2_sf_and_kolmogorov_values(spark):
     assert r["b"] == pytest.approx(0.040427681994512805, abs=1e-9)  # exp(-5)(1 + 5) ... 4 dof closed form
     assert r["c"] == 1.0 and r["d"] == 0.0
     assert r["k"] == pytest.approx(0.26999967167735456, abs=1e-9)
+
+
+def test_row_numbers_consistent_across_consumers(spark):
+    """Two branches of one plan (simple metrics and the AUC kernel) must see the
+    same draws: range ids are a pure function of the row, not of sampling."""
+    from attrix.operators.kernels import hash_order, uniform_hash_cuts
+
+    rnd = random.Random(5)
+    rows = [(i, rnd.randint(0, 1), rnd.random()) for i in range(3000)]
+    df = spark.createDataFrame(rows, "key long, label int, prob double").withColumn(
+        "predicted_class", F.when(F.col("prob") >= 0.5, 1).otherwise(0)
+    )
+    m = 100
+    exp = df.select("*", F.explode(F.sequence(F.lit(0), F.lit(9))).alias("sample")).withColumn(
+        "_h", hash_order(F.col("key"), F.col("sample"))
+    )
+    ranked = row_numbers(exp, ["_h", "key"], ["sample"], cuts=uniform_hash_cuts(8))
+    drawn = ranked.where(F.col("rn") <= m)
+    sc = ev.metric_scores(drawn, groups=["sample"], metrics=["log_loss", "roc_auc"]).collect()
+    assert {r["observations"] for r in sc} == {m}
+    assert all(r["score"] is not None for r in sc)
