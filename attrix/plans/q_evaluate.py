@@ -335,3 +335,24 @@ def evl1(spark, d):
 
 
 __all__ = ["F"]
+
+
+DOCS = "p AS (SELECT key, label, score AS prob FROM v_docs)"
+
+
+@query(
+    "evl3_roc_auc_docs",
+    f"WITH {DOCS}, {kernel_sql()} SELECT round({AUC}, 6) AS roc_auc, CAST(max(tot_pos) AS BIGINT) AS n_pos, "
+    "CAST(max(tot_neg) AS BIGINT) AS n_neg FROM c",
+    ("v_docs",),
+)
+def evl3_docs(spark, d):
+    """EVL-3 cross-check on a second table: document quality vs a length score."""
+    docs = views.v_docs(spark, d).select("key", "label", F.col("score").alias("prob"))
+    k = ev.roc_auc(docs)
+    counts = docs.agg(
+        F.sum("label").cast("long").alias("n_pos"), F.sum(1 - F.col("label")).cast("long").alias("n_neg")
+    )
+    from attrix.operators.aggregates import with_scalar
+
+    return r6(with_scalar(k, counts))
