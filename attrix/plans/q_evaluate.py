@@ -356,3 +356,16 @@ def evl3_docs(spark, d):
     from attrix.operators.aggregates import with_scalar
 
     return r6(with_scalar(k, counts))
+
+
+@query(
+    "evl14_ks_statistic_docs",
+    f"""WITH {DOCS}, {kernel_sql()},
+a AS (SELECT max(abs(cum_pos / tot_pos - cum_neg / tot_neg)) AS ks, max(tot_pos) AS n1, max(tot_neg) AS n2 FROM c)
+SELECT round(ks, 6) AS ks_statistic, round({kolmogorov_sf_sql('ks * sqrt(n1 * n2 / (n1 + n2))')}, 6) AS p_value FROM a""",
+    ("v_docs",),
+)
+def evl14_docs(spark, d):
+    """EVL-14 cross-check on the documents view."""
+    docs = views.v_docs(spark, d).select("key", "label", F.col("score").alias("prob"))
+    return r6(ev.ks_by_class(docs))
