@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -38,16 +40,26 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the cluster's shared checkpoint folder (``spark.checkpoint.dir``).
 
-    On a cluster the setting names a shared folder and is used as is.  Only
-    when it is unset (local tests) do we create a private folder under /tmp.
+    On a cluster the setting names a folder that the driver and every executor
+    share, and it is used as is.  Without it a cluster session raises: files
+    that executors write to their own disks are invisible to later readers.
+    Only a local master, where all tasks run in this process, gets a private
+    temporary folder.
     """
+    context = spark.sparkContext
     current = spark.conf.get("spark.checkpoint.dir", None)
-    if not current:
-        current = spark.sparkContext.getCheckpointDir()
-    if not current:
-        current = tempfile.mkdtemp(prefix="attrix-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", current)
-    spark.sparkContext.setCheckpointDir(current)
+    if current:
+        if not context.getCheckpointDir():
+            context.setCheckpointDir(current)
+        return current
+    current = context.getCheckpointDir()
+    if current:
+        return current
+    if not re.fullmatch(r"local(\[.*\])?", context.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    current = tempfile.mkdtemp(prefix="attrix-ckpt-")
+    spark.conf.set("spark.checkpoint.dir", current)
+    context.setCheckpointDir(current)
     return current
 
 
@@ -59,11 +71,12 @@ def materialize(df, label: str = "frame"):
     """Write ``df`` once as Parquet under the shared checkpoint folder and
     return a reader over it.  Used where a frame is read several times (cut
     points, kernel branches): it cuts lineage, so an executor loss re-reads
-    the files instead of replaying the upstream joins."""
-    import uuid
-
+    the files instead of replaying the upstream joins.  The files go when the
+    session's JVM ends."""
     spark = df.sparkSession
     base = ensure_checkpoint_dir(spark).rstrip("/")
     path = f"{base}/attrix-materialized/{label}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return spark.read.schema(df.schema).parquet(path)
