@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attrix.llm import exact_dedup, mixing, near_dedup
+from attrix.llm import bpe, exact_dedup, mixing, near_dedup, token_counts
 from attrix.llm.shared import read_documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,6 +35,26 @@ def op3(spark, sf_dir):
     return mixed.select("doc_id", "source", "mix_rate", "mix_copy", "mix_key", F.coalesce("text", F.lit("")).alias("text"))
 
 
+def tokenizer_path(name: str) -> str:
+    """Place of a public vocabulary file; another one is a parameter of the operators."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query("op4_token_counts")
+def op4(spark, sf_dir):
+    return token_counts.token_counts(read_documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"))
+
+
+@query("op5_byte_bpe")
+def op5(spark, sf_dir):
+    path = tokenizer_path("byte_bpe_multi_50k.tiktoken")
+    ids = bpe.encode(read_documents(spark, sf_dir), path)
+    decoded = ids.withColumn("decoded", bpe.decode(F.col("ids"), path))
+    return decoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 @query("op10_minhash_near_dedup", near_dedup.SQL)
 def op10(spark, sf_dir):
     return near_dedup.near_duplicates(read_documents(spark, sf_dir), percent=85)
