@@ -11,12 +11,17 @@
 4. In each bucket one centre meets all the others: a star, so pairs grow with
    the members, not with their square.  The centre is the class that sits in
    the most and largest buckets, in a family of edited copies their original.
-5. A candidate is confirmed on the full sets.  Members that are not yet in
-   their centre's component stay in the bucket and meet new centres in the
-   next round (1, 4, 16, ... a bucket), until a bucket's remaining members
-   are in one component.  Centres leave after their round, as they have met
-   everybody.  So no candidate of the buckets is lost, and members of one
-   component never meet pair by pair.
+   Pairs are confirmed on the full sets.  A second star joins the members that
+   are not in their first centre's component.
+5. What stars can't see is a link of x and y when y isn't linked with their
+   centre c.  Let D(x) be the difference of the sets of x and c.  As y is not
+   linked, |D(y)| > r (|c| + |y|) with r = (100 - p) / (100 + p); x and y are
+   linked only if |D(x)| + |D(y)| - 2 |D(x) & D(y)| <= r (|x| + |y|).  So they
+   share more than o = (|D(x)| - r (|x| - |c|)) / 2 differences, and D(y) meets
+   any |D(x)| - floor(o) elements of D(x).  A join on these, the rarest of
+   the group, finds all such pairs; they too are confirmed on the full sets.
+   So no candidate of the buckets is lost, and a large family of copies that
+   differ from their original in ways of their own doesn't meet pair by pair.
 6. Components come from repeated minimum labels with pointer jumping.
 
 Nothing but row counts reaches the driver.  Hot buckets and centres meet in
@@ -39,7 +44,7 @@ from attrix.llm.shared import materialize, pick, ship_code
 
 WORDS = 5
 BANDS = 40
-CENTRES_GROWTH = 4
+STAR_ROUNDS = 2
 
 
 def rows_per_band(percent: int) -> int:
@@ -151,50 +156,37 @@ def near_duplicates(
         base.mapInArrow(_features(rows, words), "doc_id long, n_shingles long, digest binary, bands array<long>"), "nd-features"
     )
     classes = features.filter("doc_id IS NOT NULL AND digest IS NOT NULL").groupBy("digest").agg(
-        F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")
+        F.min("doc_id").alias("rep"), F.first("bands").alias("bands")
     )
-    members = classes.select("rep", "n", F.explode("bands").alias("band"))
+    members = classes.select("rep", F.explode("bands").alias("band"))
     buckets = members.groupBy("band").agg(F.count(F.lit(1)).alias("width")).filter("width > 1")
     hot = materialize(members.join(buckets, "band"), "nd-hot")
     rank = hot.groupBy("rep").agg(F.sum("width").alias("rank"))
-    active = materialize(hot.join(rank, "rep").select("band", "rep", "n", "rank", F.col("rep").alias("comp")), "nd-active")
+    active = materialize(hot.join(rank, "rep").select("band", "rep", "rank"), "nd-active")
     wanted = rank.select(F.col("rep").alias("wanted"))
     texts = base.join(wanted, base["doc_id"] == wanted["wanted"], "left_semi")
     sets = materialize(
         texts.mapInArrow(_sets(words), "id long, shingles array<long>").dropDuplicates(["id"]), "nd-sets"
     )
-    found: DataFrame | None = None
-    slots, label = 1, None
-    while active.limit(1).count():
-        slot = F.pmod(F.xxhash64("rep", F.lit(slots)), F.lit(slots))
-        centres = materialize(
-            active.groupBy("band", slot.alias("slot"))
-            .agg(F.max(F.struct("rank", (-F.col("rep")).alias("minus"), "n", "comp")).alias("c"))
-            .select(F.col("band").alias("c_band"), (-F.col("c.minus")).alias("centre"), F.col("c.n").alias("c_n"), F.col("c.comp").alias("c_comp")),
-            "nd-centres",
-        )
-        near_size = 100 * F.least("n", "c_n") >= percent * F.greatest("n", "c_n")
-        pairs = (
-            active.join(centres, (active["band"] == centres["c_band"]) & (active["comp"] != centres["c_comp"]))
-            .filter(near_size)
-            .select(F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b"))
-            .distinct()
-        )
-        links = materialize(_confirmed(pairs, sets, percent), "nd-links")
-        found = links if found is None else found.union(links)
-        label = components(found, "nd-cc")
-        met = centres.select(F.col("c_band").alias("m_band"), F.col("centre").alias("m_rep"))
-        left = active.join(met, (active["band"] == met["m_band"]) & (active["rep"] == met["m_rep"]), "left_anti").drop("comp")
-        left = left.join(label.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
-        left = materialize(left.select("band", "rep", "n", "rank", "comp"), "nd-left")
-        open_ = left.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("band")
-        active = materialize(left.join(open_, "band", "left_semi"), "nd-active")
-        slots *= CENTRES_GROWTH
-    class_of = features.select("doc_id", "n_shingles", "digest").join(classes.select(F.col("digest").alias("d"), "rep"), F.col("digest") == F.col("d"), "left")
-    if label is not None:
-        class_of = class_of.join(label, F.col("rep") == F.col("node"), "left")
+    stars, found, label = None, [], None
+    for _ in range(STAR_ROUNDS):
+        centres = active.groupBy("band").agg(F.max(F.struct("rank", (-F.col("rep")).alias("minus"))).alias("c"))
+        centres = centres.select(F.col("band").alias("c_band"), (-F.col("c.minus")).alias("centre"))
+        pairs = active.join(centres, (active["band"] == centres["c_band"]) & (active["rep"] != centres["centre"]))
+        star = materialize(_met(pairs.select("centre", "rep").distinct(), sets, percent), "nd-star")
+        stars = stars or star
+        found.append(star.filter("linked").select(F.least("centre", "rep").alias("a"), F.greatest("centre", "rep").alias("b")))
+        label = components(_all(found), "nd-cc")
+        apart = active.join(centres, active["band"] == centres["c_band"]).select("band", "rep", "rank", "centre")
+        apart = _labelled(_labelled(apart, label, "rep", "comp"), label, "centre", "c_comp")
+        active = materialize(apart.filter("comp <> c_comp").select("band", "rep", "rank"), "nd-active")
+        if not active.limit(1).count():
+            break
     else:
-        class_of = class_of.withColumn("comp", F.lit(None).cast("long"))
+        found.append(materialize(_unseen(stars, label, sets, percent), "nd-unseen"))
+        label = components(_all(found), "nd-cc")
+    class_of = features.select("doc_id", "n_shingles", "digest").join(classes.select(F.col("digest").alias("d"), "rep"), F.col("digest") == F.col("d"), "left")
+    class_of = class_of.join(label, F.col("rep") == F.col("node"), "left")
     has_id = F.col("doc_id").isNotNull()
     class_id = F.when(has_id, F.coalesce("rep", "doc_id"))
     component = F.when(has_id, F.coalesce("comp", "rep", "doc_id"))
@@ -207,14 +199,66 @@ def near_duplicates(
     )
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets reach the threshold."""
-    left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("of_a"))
-    right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("of_b"))
+def _all(frames: list[DataFrame]) -> DataFrame:
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.union(f)
+    return out
+
+
+def _labelled(rows: DataFrame, label: DataFrame, column: str, name: str) -> DataFrame:
+    """``rows`` with the component of the class in ``column``: itself where nothing is linked."""
+    known = label.select(F.col("node").alias(f"{name}_node"), F.col("comp").alias(f"{name}_found"))
+    joined = rows.join(known, F.col(column) == F.col(f"{name}_node"), "left")
+    return joined.withColumn(name, F.coalesce(f"{name}_found", column)).drop(f"{name}_node", f"{name}_found")
+
+
+def _with_sets(pairs: DataFrame, a: str, b: str, sets: DataFrame) -> DataFrame:
+    left = sets.select(F.col("id").alias(a), F.col("shingles").alias("of_a"))
+    right = sets.select(F.col("id").alias(b), F.col("shingles").alias("of_b"))
+    return pairs.join(left, a).join(right, b)
+
+
+def _linked(both, n_a, n_b, percent: int):
+    return 100 * both >= percent * (n_a + n_b - both)
+
+
+def _met(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Each pair (centre, rep) with its sets' sizes, whether it is linked, and the two-way difference."""
+    met = _with_sets(pairs, "centre", "rep", sets)
+    added, lost = F.array_except("of_b", "of_a"), F.array_except("of_a", "of_b")
+    met = met.select("centre", "rep", F.size("of_a").cast("long").alias("n_c"), F.size("of_b").cast("long").alias("n"), F.concat(added, lost).alias("differs"), F.size(added).alias("n_added"))
+    both = F.col("n") - F.col("n_added")
+    return met.withColumn("linked", _linked(both, F.col("n_c"), F.col("n"), percent)).drop("n_added")
+
+
+def _unseen(stars: DataFrame, label: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) of two members of a star of which one isn't linked with the centre."""
+    groups = stars.groupBy("centre").agg(F.count(F.lit(1)).alias("members"), F.max(~F.col("linked")).alias("some"))
+    groups = groups.filter("members > 1 AND some").select(F.col("centre").alias("g"))
+    rows = stars.join(groups, stars["centre"] == groups["g"], "left_semi")
+    rows = _labelled(rows, label, "rep", "comp")
+    # a difference that one component alone has can't lead to another
+    flat_rows = materialize(rows.select("centre", "rep", "comp", "linked", "n", "n_c", F.size("differs").alias("d"), F.explode("differs").alias("s")), "nd-differs")
+    shared = flat_rows.groupBy("centre", "s").agg(F.count(F.lit(1)).alias("freq"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    shared = shared.select(F.col("centre").alias("f_centre"), F.col("s").alias("f_s"), F.when(F.col("lo") < F.col("hi"), F.col("freq")).otherwise(0).alias("freq"))
+    ranked = flat_rows.join(shared, (flat_rows["centre"] == shared["f_centre"]) & (flat_rows["s"] == shared["f_s"]))
+    up, down = 100 + percent, 100 - percent
+    least = F.floor((F.col("d") * up - down * (F.col("n") - F.col("n_c"))) / (2 * up))  # floor(o)
+    rarest = (
+        ranked.groupBy("centre", "rep", "comp", "n", "n_c", "d")
+        .agg(F.sort_array(F.collect_list(F.struct("freq", "s"))).alias("by_freq"))
+        .withColumn("few", F.greatest(F.col("d") - least, F.lit(0)).cast("int"))
+        .filter("few > 0")
+        .select("centre", F.col("rep").alias("x"), F.col("comp").alias("x_comp"), F.explode(F.slice("by_freq", 1, F.col("few"))).alias("e"))
+        .filter("e.freq > 0")
+        .select("centre", "x", "x_comp", F.col("e.s").alias("s"))
+    )
+    far = ranked.filter("NOT linked AND freq > 0").select("centre", F.col("rep").alias("y"), F.col("comp").alias("y_comp"), "s")
+    pairs = rarest.join(far, ["centre", "s"]).filter("x_comp <> y_comp").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     both = F.size(F.array_intersect("of_a", "of_b"))
-    return pairs.join(left, "a").join(right, "b").withColumn("both", both).filter(
-        100 * F.col("both") >= percent * (F.size("of_a") + F.size("of_b") - F.col("both"))
-    ).select("a", "b")
+    confirmed = _with_sets(pairs, "a", "b", sets).withColumn("both", both)
+    return confirmed.filter(_linked(F.col("both"), F.size("of_a"), F.size("of_b"), percent)).select("a", "b")
 
 
 SQL = """
