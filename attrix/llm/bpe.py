@@ -22,7 +22,8 @@ from attrix.llm import flat, pretokens
 from attrix.llm.shared import pick, ship_code
 from attrix.llm.token_counts import byte_slices
 
-MEMO = 300_000  # of a generation; there are two
+MEMO = 200_000  # of a generation; there are two
+DECODE_IDS = 1 << 20
 U64 = np.uint64
 
 
@@ -98,7 +99,7 @@ class Codec:
         self.ids = np.array([self.ranks[t] for t in tokens], dtype=np.uint32)
         off = np.concatenate(([0], np.cumsum([len(t) for t in tokens])))
         pool = np.frombuffer(b"".join(tokens), dtype=np.uint8)
-        self.hash = PerfectHash(flat.span_hashes(pool, off[:-1], off[1:]))
+        self.token_off = off
         # bytes by id, for decoding
         size = np.zeros(int(self.ids.max()) + 2, dtype=np.int64)
         size[self.ids.astype(np.int64) + 1] = np.diff(off)
@@ -106,6 +107,10 @@ class Codec:
         self.memo: dict[int, bytes] = {}
         self.older: dict[int, bytes] = {}
 
+    @functools.cached_property
+    def hash(self) -> PerfectHash:
+        return PerfectHash(flat.span_hashes(self.pool, self.token_off[:-1], self.token_off[1:]))
+
     def merge(self, piece: bytes) -> list[int]:
         """BPE of one piece: the lowest rank first, the leftmost of equals, by a heap over linked parts."""
         n = len(piece)
@@ -168,8 +173,13 @@ class Codec:
 
     def decode(self, ids: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Bytes of all id rows end to end, and n + 1 offsets."""
-        place, size = gather(self.pool_off, ids.astype(np.int64))
-        return self.pool[place], np.concatenate(([0], np.cumsum(size)))[off]
+        size = (self.pool_off[1:] - self.pool_off[:-1])[ids]
+        ends = np.concatenate(([0], np.cumsum(size)))
+        out = np.empty(int(ends[-1]), dtype=np.uint8)
+        for at in range(0, len(ids), DECODE_IDS):
+            part = ids[at : at + DECODE_IDS].astype(np.int64)
+            out[ends[at] : ends[at + len(part)]] = self.pool[gather(self.pool_off, part)[0]]
+        return out, ends[off]
 
 
 @functools.cache
