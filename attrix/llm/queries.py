@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attrix.llm import bpe, exact_dedup, mixing, near_dedup, token_counts
+from attrix.llm import bpe, exact_dedup, fingerprints, licenses, mixing, near_dedup, packing, pii, quality, token_counts
 from attrix.llm.shared import read_documents
+from attrix.session import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -24,6 +25,18 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+def tokenizer_path(name: str) -> str:
+    """Place of a public vocabulary file; another one is a parameter of the operators."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query("op1_pack_tokens")
+def op1(spark, sf_dir):
+    return packing.pack_documents(read_documents(spark, sf_dir), tokenizer_path("byte_bpe_multi_50k.tiktoken"))
+
+
 @query("op2_exact_dedup", exact_dedup.SQL)
 def op2(spark, sf_dir):
     return exact_dedup.exact_duplicates(read_documents(spark, sf_dir))
@@ -35,13 +48,6 @@ def op3(spark, sf_dir):
     return mixed.select("doc_id", "source", "mix_rate", "mix_copy", "mix_key", F.coalesce("text", F.lit("")).alias("text"))
 
 
-def tokenizer_path(name: str) -> str:
-    """Place of a public vocabulary file; another one is a parameter of the operators."""
-    import public_tokenizers
-
-    return public_tokenizers.path(name)
-
-
 @query("op4_token_counts")
 def op4(spark, sf_dir):
     return token_counts.token_counts(read_documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"))
@@ -55,6 +61,36 @@ def op5(spark, sf_dir):
     return decoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+@query("op6_license_scan")
+def op6(spark, sf_dir):
+    return licenses.digest(licenses.scan_licenses(read_documents(spark, sf_dir)))
+
+
+@query("op7_fingerprints")
+def op7(spark, sf_dir):
+    found = fingerprints.compare_with_next(read_documents(spark, sf_dir))
+    return found.select(
+        "doc_id",
+        "n_chars",
+        "edited_sha256",
+        fingerprints.as_text(F.col("samples")).alias("fingerprint"),
+        fingerprints.as_text(F.col("edited_samples")).alias("edited_fingerprint"),
+        "near_edited",
+        "near_next",
+    )
+
+
+@query("op8_quality")
+def op8(spark, sf_dir):
+    docs = read_documents(spark, sf_dir)
+    return quality.score_documents(docs, quality.fit_quality(docs, read_table(spark, sf_dir, "labels")))
+
+
+@query("op9_personal_data")
+def op9(spark, sf_dir):
+    return pii.digest(pii.personal_data(read_documents(spark, sf_dir)))
+
+
 @query("op10_minhash_near_dedup", near_dedup.SQL)
 def op10(spark, sf_dir):
     return near_dedup.near_duplicates(read_documents(spark, sf_dir), percent=85)
