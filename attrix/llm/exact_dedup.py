@@ -28,6 +28,8 @@ def _named(rows: DataFrame, keys: list[str]) -> DataFrame:
     """``rows`` with the name and size of their group by ``keys``."""
     groups = rows.groupBy(*keys).agg(F.min("doc_id").alias("name"), F.count(F.lit(1)).alias("size"))
     groups = groups.filter("size > 1").select(*[F.col(k).alias(f"g_{k}") for k in keys], "name", "size")
+    # a table of its own, so that the join has two plain exchanges and AQE can split a hot group
+    groups = materialize(groups, "radix-groups")
     same = [rows[k].eqNullSafe(groups[f"g_{k}"]) for k in keys]
     condition = same[0]
     for s in same[1:]:

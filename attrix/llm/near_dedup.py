@@ -158,6 +158,8 @@ def near_duplicates(
     classes = features.filter("doc_id IS NOT NULL AND digest IS NOT NULL").groupBy("digest").agg(
         F.min("doc_id").alias("rep"), F.first("bands").alias("bands")
     )
+    # a table of its own, so that the join below has two plain exchanges and AQE can split a hot class
+    classes = materialize(classes, "nd-classes")
     members = classes.select("rep", F.explode("bands").alias("band"))
     buckets = members.groupBy("band").agg(F.count(F.lit(1)).alias("width")).filter("width > 1")
     hot = materialize(members.join(buckets, "band"), "nd-hot")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from attrix.session import materialize, read_table
 
-__all__ = ["materialize", "read_documents", "pick", "normal_text", "ship_code", "same_id", "keep_rows", "shuffle_width"]
+__all__ = ["materialize", "read_documents", "pick", "normal_text", "ship_code", "shuffle_width"]
 
 #: White space of the text contracts: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
@@ -40,20 +40,10 @@ def normal_text(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), f"{SPACE_CLASS}+", " ")
 
 
-def same_id(a: Column, b: Column) -> Column:
-    return a.eqNullSafe(b)
-
-
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def keep_rows(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Rows of ``docs`` whose id is in ``ids`` (one column), nulls matching nulls."""
-    key = ids.toDF("kept_id__")
-    return docs.join(key, docs[id_col].eqNullSafe(key["kept_id__"]), "left_semi")
-
-
 def ship_code(spark: SparkSession) -> None:
     """Give the workers this package, once a context: sent as a zip by Spark
     itself, so it needs no folder that driver and executors share."""
