@@ -42,13 +42,14 @@ def typed_lit(value, dtype) -> Column:
 MAX_ATTACHED_ROWS = 10_000
 
 
-def attach_rows(df: DataFrame, small: DataFrame, limit: int = MAX_ATTACHED_ROWS) -> DataFrame:
+def attach_rows(df: DataFrame, small: DataFrame, limit: int | None = MAX_ATTACHED_ROWS) -> DataFrame:
     """Pair every row of ``df`` with every row of a *bounded* table (target
     classes, folds x classes, a PDP grid): the table is collected once (its
-    size is checked against ``limit``) and exploded from a literal array, so
+    size is checked against ``limit``; None when the caller chose the number of
+    rows, such as a grid's resolution) and exploded from a literal array, so
     the plan has no cross join."""
-    rows = small.limit(limit + 1).collect()
-    if len(rows) > limit:
+    rows = small.collect() if limit is None else small.limit(limit + 1).collect()
+    if limit is not None and len(rows) > limit:
         raise ValueError(f"attach_rows: table has more than {limit} rows")
     fields = small.schema.fields
     arr = F.array(
@@ -111,11 +112,18 @@ def category_target_connection(
     )
 
 
+def _with_total(long: DataFrame, label: str) -> DataFrame:
+    """Rows of each level and, flagged, all rows again under ``label``."""
+    each = long.where(F.col("level").isNotNull()).withColumn("_all", F.lit(False))
+    return each.unionByName(long.withColumn("level", F.lit(label)).withColumn("_all", F.lit(True)))
+
+
 def summary_statistics(
     df: DataFrame, target: str, numeric: Sequence[str], categorical: Sequence[str], total_label: str = "total"
 ) -> DataFrame:
     """AGG-4: pandas ``describe(include='all')`` for all rows ('total') and per
-    target level, long form: level, feature, count, unique, top, freq, mean,
+    target level (rows of null level count in the total only; a level that is
+    itself called like the total keeps rows of its own), long form: level, feature, count, unique, top, freq, mean,
     std, min, p25, p50, p75, max.  Quartiles are exact (prefix kernel); top
     takes the smallest value among equally frequent ones."""
     lvl = F.col(target).cast("string")
@@ -124,8 +132,8 @@ def summary_statistics(
         nl = df.select(lvl.alias("level"), *[F.col(c).cast("double").alias(c) for c in numeric]).unpivot(
             ["level"], list(numeric), "feature", "x"
         )
-        nl = nl.unionByName(nl.withColumn("level", F.lit(total_label)))
-        mom = nl.groupBy("level", "feature").agg(
+        nl = _with_total(nl, total_label)
+        mom = nl.groupBy("_all", "level", "feature").agg(
             F.count("x").alias("count"),
             F.avg("x").alias("mean"),
             F.stddev_samp("x").alias("std"),
@@ -133,14 +141,14 @@ def summary_statistics(
             F.max("x").alias("max"),
         )
         q = (
-            exact_quantiles(nl, ["level", "feature"], "x", [0.25, 0.5, 0.75])
-            .groupBy("level", "feature")
+            exact_quantiles(nl, ["_all", "level", "feature"], "x", [0.25, 0.5, 0.75])
+            .groupBy("_all", "level", "feature")
             .pivot("q", [0.25, 0.5, 0.75])
             .agg(F.first("quantile"))
         )
-        q = q.select("level", "feature", *[F.col(f"`{v}`").alias(n) for v, n in ((0.25, "p25"), (0.5, "p50"), (0.75, "p75"))])
+        q = q.select("_all", "level", "feature", *[F.col(f"`{v}`").alias(n) for v, n in ((0.25, "p25"), (0.5, "p50"), (0.75, "p75"))])
         parts.append(
-            mom.join(q, ["level", "feature"], "left").select(
+            mom.join(q, ["_all", "level", "feature"], "left").select(
                 "level",
                 "feature",
                 "count",
@@ -160,17 +168,17 @@ def summary_statistics(
         cl = df.select(lvl.alias("level"), *[F.col(c).cast("string").alias(c) for c in categorical]).unpivot(
             ["level"], list(categorical), "feature", "v"
         )
-        cl = cl.unionByName(cl.withColumn("level", F.lit(total_label)))
-        vc = cl.where(F.col("v").isNotNull()).groupBy("level", "feature", "v").agg(F.count(F.lit(1)).alias("c"))
-        top = vc.groupBy("level", "feature").agg(
+        cl = _with_total(cl, total_label)
+        vc = cl.where(F.col("v").isNotNull()).groupBy("_all", "level", "feature", "v").agg(F.count(F.lit(1)).alias("c"))
+        top = vc.groupBy("_all", "level", "feature").agg(
             F.sum("c").alias("count"),
             F.count(F.lit(1)).alias("unique"),
             F.min_by("v", F.struct((-F.col("c")).alias("nc"), F.col("v"))).alias("top"),
             F.max("c").alias("freq"),
         )
         # features whose values are all null still report count 0
-        present = cl.select("level", "feature").distinct()
-        cat = present.join(top, ["level", "feature"], "left").select(
+        present = cl.select("_all", "level", "feature").distinct()
+        cat = present.join(top, ["_all", "level", "feature"], "left").select(
             "level",
             "feature",
             F.coalesce("count", F.lit(0)).cast("long").alias("count"),

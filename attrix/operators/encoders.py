@@ -132,7 +132,7 @@ def f_classif_scores(df: DataFrame, label: str, features: Sequence[str], percent
         F.count(F.lit(1)).alias("k"),
         F.max("n").alias("n"),
     )
-    f = F.try_divide(F.col("ssb") / (F.col("k") - 1), F.col("ssw") / (F.col("n") - F.col("k")))
+    f = F.try_divide(F.try_divide(F.col("ssb"), F.col("k") - 1), F.try_divide(F.col("ssw"), F.col("n") - F.col("k")))
     pos = F.create_map(*[x for i, c in enumerate(features) for x in (F.lit(c), F.lit(i))])
     scores = s.select("feature", f.alias("score"), F.element_at(pos, F.col("feature")).alias("position"))
     return _select_percentile(scores, percentile)
@@ -148,10 +148,11 @@ def chi2_scores(df: DataFrame, label: str, key: str, categorical: Sequence[str],
     cls = y.groupBy("_y").agg(F.count(F.lit(1)).alias("ny"))
     n = y.agg(F.count(F.lit(1)).alias("n"))
     feats = obs.groupBy("feature").agg(F.sum("obs").alias("ft"))
-    grid = with_scalar(attach_rows(feats, cls), n)  # classes: a bounded, collected table
-    g = grid.join(obs, ["feature", "_y"], "left").withColumn("obs", F.coalesce("obs", F.lit(0.0)))
+    # a class without the feature adds its expected count, and these add up to
+    # the feature's total over all classes: only the classes present are needed
+    g = with_scalar(obs.join(cls, "_y").join(feats, "feature"), n)
     e = F.col("ny") / F.col("n") * F.col("ft")
-    s = g.groupBy("feature").agg(F.sum(F.pow(F.col("obs") - e, 2) / e).alias("score"))
+    s = g.groupBy("feature").agg((F.sum(F.try_divide(F.pow(F.col("obs") - e, 2), e) - e) + F.max("ft")).alias("score"))
     return _select_percentile(s.withColumn("position", F.col("feature")), percentile)
 
 

@@ -325,7 +325,8 @@ def probability_lift(df: DataFrame, label: str = "label", prob: str = "prob", n_
 
 def density_points(df: DataFrame, value: str, groups: Sequence[str] = (), grid: int = 200, cut: float = 3.0) -> DataFrame:
     """EVL-20: Gaussian KDE on a ``grid``-point support (Scott bandwidth,
-    support min - cut*bw .. max + cut*bw).
+    support min - cut*bw .. max + cut*bw).  A constant column has no bandwidth:
+    its density is null.
 
     Exact: rows are first reduced to (value, count) so the work is
     #distinct values x grid, and the grid is generated per row with
@@ -353,9 +354,9 @@ def density_points(df: DataFrame, value: str, groups: Sequence[str] = (), grid:
         lo.alias("_a"),
         hi.alias("_b"),
     ).withColumn("x", F.col("_a") + F.col("point") * (F.col("_b") - F.col("_a")) / (grid - 1))
-    kern = F.col("_c") * F.exp(-0.5 * F.pow((F.col("x") - F.col("_v")) / F.col("_bw"), 2))
+    kern = F.col("_c") * F.exp(-0.5 * F.pow(F.try_divide(F.col("x") - F.col("_v"), F.col("_bw")), 2))
     return pts.groupBy(*groups, "point", "x").agg(
-        (F.sum(kern) / (F.max("_n") * F.max("_bw") * F.lit((2 * 3.141592653589793) ** 0.5))).alias("density")
+        F.try_divide(F.sum(kern), F.max("_n") * F.max("_bw") * F.lit((2 * 3.141592653589793) ** 0.5)).alias("density")
     ).drop("_p")
 
 

@@ -21,11 +21,9 @@ from attrix.operators.kernels import _n_ranges, exact_quantiles, hash_order, row
 from attrix.session import materialize
 
 ScoreFn = Callable[[DataFrame], DataFrame]
-EXPLANATION_SAMPLE_N = 10_000
 PDP_GRID = 100
 PDP_PERCENTILES = (0.05, 0.95)
 ALE_GRID = 20
-PDP_GRID_LIMIT = 10_000
 
 
 def expr_scorer(expr: Callable[[], Column]) -> ScoreFn:
@@ -92,7 +90,7 @@ def sampled_shapley(
     f(x) - mean over permutations of f(z)."""
     feats = list(features)
     nf = len(feats)
-    bg = row_numbers(background.select(*feats), [feats[0]], out="_bid")
+    bg = row_numbers(background.select(*feats), feats, out="_bid")  # ties are equal rows
     n_bg = bg.agg(F.count(F.lit(1)).alias("_nbg"))
     rows = df.select(key, *feats).select("*", F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))).alias("_perm"))
     rows = with_scalar(rows, n_bg).withColumn("_bid", (hash_order(F.col(key), F.col("_perm")) % F.col("_nbg")) + 1)
@@ -207,7 +205,7 @@ def pdp_grid(df: DataFrame, feature: str, resolution: int = PDP_GRID, percentile
 
 def _substitute(df: DataFrame, feature: str, grid: DataFrame) -> DataFrame:
     # the grid has at most ``resolution`` rows: collected and exploded per row
-    return attach_rows(df, grid, limit=PDP_GRID_LIMIT).withColumn(feature, F.col("grid_value"))
+    return attach_rows(df, grid, limit=None).withColumn(feature, F.col("grid_value"))
 
 
 def partial_dependence(df: DataFrame, feature: str, score_df: ScoreFn, resolution: int = PDP_GRID) -> DataFrame:
@@ -292,18 +290,22 @@ def drop_column_importance(
     columns: Sequence[str],
     make_pipeline: Callable[[Sequence[str]], object],
     parallelism: int = 2,
+    metric: Callable[[str], Column] | None = None,
 ) -> list[tuple[str, float]]:
-    """XPL-5: refit without each column; importance = baseline neg log loss
-    minus the score without it (raw difference; failures score 0).  Fits run
+    """XPL-5: refit without each column; importance = the metric with all
+    columns minus the metric without it, as it is (log loss by default, an
+    aggregate over ``label`` and ``_score``); a failed refit counts as 0.  Fits run
     from a small driver thread pool, each one a distributed MLlib job."""
     from concurrent.futures import ThreadPoolExecutor
 
     from pyspark.ml.functions import vector_to_array
 
+    measure = metric or (lambda y: -_neg_log_loss(y))
+
     def score(cols):
         m = make_pipeline(cols).fit(train)
         s = m.transform(test).withColumn("_score", vector_to_array("probability")[1])
-        return float(s.agg(_neg_log_loss(label).alias("s")).first()["s"])
+        return float(s.agg(measure(label).alias("s")).first()["s"])
 
     base = score(list(columns))
 
@@ -319,12 +321,12 @@ def drop_column_importance(
 
 
 def explain_all(df: DataFrame, key: str, label: str, features: Sequence[str], score_df: ScoreFn,
-                background_n: int = 100, sample_n: int = EXPLANATION_SAMPLE_N, model_uid: str = "model") -> dict[str, DataFrame]:
-    """XPL-9: explanations on the first ``sample_n`` rows in md5 order (the
-    reference's explanation sample)."""
+                background_n: int = 100, sample_n: int | None = None, model_uid: str = "model") -> dict[str, DataFrame]:
+    """XPL-9: explanations on all rows, or on the first ``sample_n`` in md5
+    order when the caller asks for a sample."""
     from attrix.operators.windows import head_hash_ordered
 
-    s = materialize(head_hash_ordered(df, key, sample_n), "explain-sample")
+    s = materialize(df if sample_n is None else head_hash_ordered(df, key, sample_n), "explain-rows")
     bg = head_hash_ordered(s, key, background_n, seed=1)
     shap = sampled_shapley(s, key, features, score_df, bg)
     out = {

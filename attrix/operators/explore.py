@@ -237,11 +237,11 @@ def association_rules(
     freq = model.freqItemsets.select(F.array_sort("items").alias("items"), (F.col("freq") / F.lit(n)).alias("support"))
     multi = freq.where(F.size("items") >= 2)
     subsets = multi.select(
-        "items", "support", F.explode(F.expr("sequence(1, (1 << size(items)) - 2)")).alias("_mask")
+        "items", "support", F.explode(F.expr("sequence(1L, shiftleft(1L, size(items)) - 2L)")).alias("_mask")
     ).select(
         "support",
-        F.expr("filter(items, (x, i) -> ((_mask >> i) & 1) = 1)").alias("antecedents"),
-        F.expr("filter(items, (x, i) -> ((_mask >> i) & 1) = 0)").alias("consequents"),
+        F.expr("filter(items, (x, i) -> (shiftright(_mask, i) & 1L) = 1L)").alias("antecedents"),
+        F.expr("filter(items, (x, i) -> (shiftright(_mask, i) & 1L) = 0L)").alias("consequents"),
     )
     a = freq.select(F.col("items").alias("antecedents"), F.col("support").alias("antecedent_support"))
     c = freq.select(F.col("items").alias("consequents"), F.col("support").alias("consequent_support"))
@@ -307,15 +307,15 @@ def density_by_target(df: DataFrame, feature: str, target: str, grid: int = 200)
 
 
 # ---------------------------------------------------------------- EXP-1 / EXP-5 (MLlib fits)
-def projection_2d(df: DataFrame, key: str, target: str, numeric: Sequence[str], sample: int = 10_000, seed: int = 19):
-    """EXP-1 (re-aimed t-SNE view): hash-ordered sample, all-null numerics
+def projection_2d(df: DataFrame, key: str, target: str, numeric: Sequence[str], sample: int | None = None, seed: int = 19):
+    """EXP-1 (re-aimed t-SNE view): all rows (or a hash-ordered sample), all-null numerics
     dropped, mean-imputed, standardised, 2 principal components + target."""
     from pyspark.ml import Pipeline
     from pyspark.ml.feature import PCA, Imputer, StandardScaler, VectorAssembler
 
     from attrix.operators.windows import head_hash_ordered
 
-    s = head_hash_ordered(df, key, sample, seed)
+    s = df if sample is None else head_hash_ordered(df, key, sample, seed)
     nn = s.agg(*[F.count(c).alias(c) for c in numeric]).first()
     cols = [c for c in numeric if nn[c] > 0]
     pipe = Pipeline(stages=[
@@ -332,7 +332,7 @@ def projection_2d(df: DataFrame, key: str, target: str, numeric: Sequence[str],
 
 def kmeans_clusters(
     df: DataFrame, key: str, categorical: Sequence[str], numeric: Sequence[str], max_clusters: int = 7,
-    sample: int = 25_000, seed: int = 19,
+    sample: int | None = None, seed: int = 19,
 ):
     """EXP-5: dummies + numerics (missing -> 0), standardised; k = 2..max by
     best silhouette (MLlib's squared-Euclidean silhouette), refit, cluster id.
@@ -343,7 +343,7 @@ def kmeans_clusters(
 
     from attrix.operators.windows import head_hash_ordered
 
-    s = head_hash_ordered(df, key, sample, seed)
+    s = df if sample is None else head_hash_ordered(df, key, sample, seed)
     wide = dummies(s, categorical, keep=[key, *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in numeric]])
     feats = [c for c in wide.columns if c != key]
     v = VectorAssembler(inputCols=feats, outputCol="_v").transform(wide)

@@ -21,6 +21,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.ml.feature import Bucketizer
 
 
@@ -42,26 +43,25 @@ def range_cuts(df: DataFrame, col: str, n_ranges: int) -> list[float]:
     if n_ranges <= 1:
         return []
     probs = [i / n_ranges for i in range(1, n_ranges)]
-    qs = df.select(F.col(col).cast("double").alias("_q")).approxQuantile("_q", probs, 1.0 / (4 * n_ranges))
+    qs = df.select(range_key(df, col).alias("_q")).approxQuantile("_q", probs, 1.0 / (4 * n_ranges))
     return sorted({q for q in qs if q == q and q not in (_INF, -_INF)})
 
 
 _INF = float("inf")
 _DMAX = 1.7976931348623157e308
-SINGLE_RANGE_BYTES = 32 * 1024 * 1024
 
 
-def _small(df: DataFrame) -> bool:
-    """True when Catalyst's size estimate of ``df`` is below
-    ``attrix.kernel.singleRangeBytes`` (default 32 MB): one range then holds
-    the data comfortably and the cut-point job is skipped.  Results never
-    depend on the ranges, only balance does."""
-    limit = int(df.sparkSession.conf.get("attrix.kernel.singleRangeBytes", str(SINGLE_RANGE_BYTES)))
-    try:
-        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    except Exception:  # noqa: BLE001  (no estimate: compute cut points)
-        return False
-    return size <= limit
+def range_key(df: DataFrame, col: str) -> Column:
+    """A double that grows with ``col``: numbers as they are, times as seconds,
+    strings by their first six bytes (ties only affect the balance)."""
+    kind = df.schema[col].dataType
+    c = F.col(f"`{col}`")
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        head = F.rpad(F.hex(F.substring(c.cast("binary"), 1, 6)), 12, "0")
+        return F.conv(head, 16, 10).cast("double")
+    if isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+        return c.cast("timestamp").cast("double")
+    return c.cast("double")
 
 
 def assign_range(df: DataFrame, col: str, cuts: Sequence[float], out: str = "_rng") -> DataFrame:
@@ -71,7 +71,7 @@ def assign_range(df: DataFrame, col: str, cuts: Sequence[float], out: str = "_rn
         # one effective range: a real (non-foldable) assignment keeps the offset join keyed
         cuts = [_DMAX]
     b = Bucketizer(splits=[-_INF, *cuts, _INF], inputCol="_rq", outputCol=out, handleInvalid="keep")
-    return b.transform(df.withColumn("_rq", F.coalesce(F.col(col).cast("double"), F.lit(-_INF)))).drop("_rq")
+    return b.transform(df.withColumn("_rq", F.coalesce(range_key(df, col), F.lit(-_INF)))).drop("_rq")
 
 
 def running_sums(
@@ -93,7 +93,7 @@ def running_sums(
     """
     groups, order, measures = list(groups), list(order), list(measures)
     if cuts is None:
-        cuts = [] if _small(df) else range_cuts(df, order[0], _n_ranges(df, n_ranges))
+        cuts = range_cuts(df, order[0], _n_ranges(df, n_ranges))
     ranged = assign_range(df, order[0], cuts)
     w = (
         Window.partitionBy("_rng", *groups)
@@ -229,32 +229,19 @@ def bin_of(value: Column, edges: Column) -> Column:
     return F.aggregate(edges, F.lit(1), lambda acc, e: acc + F.when(value > e, 1).otherwise(0))
 
 
-MAX_LITERAL_GROUPS = 1_000
-
-
 def qcut(df: DataFrame, value: str, n_bins: int, groups: Sequence[str] = (), out: str = "bin") -> DataFrame:
     """Equal-frequency bins (pandas ``qcut`` edges, right-closed, lowest included).
 
-    The edges are fitted parameters (n_bins - 1 values per group).  When there
-    are at most ``MAX_LITERAL_GROUPS`` groups they are collected once and
-    applied as literals, so downstream consumers do not recompute the
-    quantile job; otherwise the edge table is joined back (AQE broadcasts it
-    when small)."""
+    The edges are fitted parameters, n_bins - 1 values: without groups they are
+    one row and become literals; a table of edges by group is joined back (AQE
+    picks the join)."""
     groups = list(groups)
     edges = qcut_edges(df, groups, value, n_bins)
     x = F.col(value)
-    if len(groups) <= 1:
-        rows = edges.limit(MAX_LITERAL_GROUPS + 1).collect()
-        if len(rows) <= MAX_LITERAL_GROUPS:
-            if not groups:
-                arr = F.array(*[F.lit(float(e)) for e in (rows[0]["edges"] if rows else [])]).cast("array<double>")
-            else:
-                g = groups[0]
-                m = F.create_map(
-                    *[t for r in rows for t in (F.lit(r[g]), F.array(*[F.lit(float(e)) for e in r["edges"]]).cast("array<double>"))]
-                ) if rows else None
-                arr = F.element_at(m, F.col(g)) if m is not None else F.array().cast("array<double>")
-            return df.withColumn(out, F.when(x.isNotNull(), bin_of(x, F.coalesce(arr, F.array().cast("array<double>")))))
+    if not groups:
+        row = edges.first()
+        arr = F.array(*[F.lit(float(e)) for e in (row["edges"] if row else [])]).cast("array<double>")
+        return df.withColumn(out, F.when(x.isNotNull(), bin_of(x, arr)))
     j = df.join(edges, groups, "left")
     return j.withColumn(out, F.when(x.isNotNull(), bin_of(x, F.col("edges")))).drop("edges")
 

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from attrix.functions.columns import lookback_start, trunc_seconds_ntz
 from attrix.operators.aggregates import with_scalar
 
+# Fixed values of the service contract: cut-off and reply texts.
 PROBA_CUTOFF = 0.75
 MISSING_CLIENT = "000000"
 NOT_FOUND = "client_id_not_found"
@@ -31,10 +32,11 @@ def linear_scorer(coefs: Mapping[str, float], intercept: float = 0.0) -> Column:
 
 
 def latest_per_key(dim: DataFrame, key: str, value: str, order: str | None = None) -> DataFrame:
-    """Deduplicated lookup dimension: the last ``value`` per key (by ``order``)."""
+    """Deduplicated lookup dimension: the last ``value`` per key by ``order``, of
+    equals (and without an order) the largest, so a re-run gives the same."""
     if order is None:
-        return dim.groupBy(key).agg(F.last(value).alias(value))
-    return dim.groupBy(key).agg(F.max_by(F.col(value), F.col(order)).alias(value))
+        return dim.groupBy(key).agg(F.max(value).alias(value))
+    return dim.groupBy(key).agg(F.max_by(F.col(value), F.struct(F.col(order), F.col(value))).alias(value))
 
 
 def ltv_lookup(
@@ -84,10 +86,9 @@ def score_clients(
     requests: DataFrame, ids_col: str, scores: DataFrame, score_key: str, score_col: str, keep: tuple[str, ...] = ()
 ) -> DataFrame:
     """SRV-2 / JN-2: comma-separated client ids per request -> one row per
-    (trimmed) id with its score as text, or 'client_id_not_found'."""
-    ids = requests.select(*keep, F.explode(F.split(F.col(ids_col), ",")).alias("_id")).select(
-        *keep, F.trim("_id").alias("client_id")
-    )
+    distinct trimmed id with its score as text, or 'client_id_not_found'."""
+    parts = F.array_distinct(F.transform(F.split(F.col(ids_col), ","), lambda x: F.trim(x)))
+    ids = requests.select(*keep, F.explode(parts).alias("client_id"))
     s = scores.select(F.col(score_key).cast("string").alias("client_id"), F.col(score_col).alias("_s"))
     return ids.join(s, "client_id", "left").select(
         *keep, "client_id", F.coalesce(F.col("_s").cast("string"), F.lit(NOT_FOUND)).alias("prediction")

@@ -81,14 +81,19 @@ def feature_stages(
     categorical selector uses MLlib's contingency chi-square."""
     sel = ["*"]
     num = list(numeric)
+    clipped: dict[str, str] = {}
     for c, cut, new, kind in clips:
         op = ">" if kind == "upper" else "<"
-        sel.append(f"CASE WHEN `{c}` {op} {cut} THEN {new} ELSE `{c}` END AS `{c}__clip`")
+        x = clipped.get(c, f"`{c}`")  # bounds of one column apply one after the other
+        clipped[c] = f"(CASE WHEN {x} {op} {cut} THEN {new} ELSE {x} END)"
+    sel += [f"{x} AS `{c}__clip`" for c, x in clipped.items()]
     for a, b in ratios:
-        sel.append(f"try_divide(CAST(`{a}` AS DOUBLE), nullif(CAST(`{b}` AS DOUBLE), 0D)) AS `{a}_{b}_ratio`")
+        x, y = (clipped.get(c, f"`{c}`") for c in (a, b))  # the reference clips first
+        sel.append(f"try_divide(CAST({x} AS DOUBLE), nullif(CAST({y} AS DOUBLE), 0D)) AS `{a}_{b}_ratio`")
         num.append(f"{a}_{b}_ratio")
     for c in log_cols:
-        sel.append(f"CASE WHEN `{c}` = 0 THEN 0D WHEN `{c}` > 0 THEN ln(`{c}`) END AS `{c}__log`")
+        x = clipped.get(c, f"`{c}`")
+        sel.append(f"CASE WHEN {x} = 0 THEN 0D WHEN {x} > 0 THEN ln({x}) END AS `{c}__log`")
     cats = list(categorical)
     if date_col:
         d = f"try_to_date(`{date_col}`)"
@@ -96,8 +101,7 @@ def feature_stages(
         cats += ["month", "quarter", "year"]
     sql = SQLTransformer(statement=f"SELECT {', '.join(sel)} FROM __THIS__")
     # replace clipped / logged columns by their transformed versions
-    num_out = [f"{c}__clip" if any(c == x[0] for x in clips) else c for c in num]
-    num_out = [f"{c}__log" if c in log_cols else c for c in num_out]
+    num_out = [f"{c}__log" if c in log_cols else f"{c}__clip" if c in clipped else c for c in num]
     fill = SQLTransformer(
         statement="SELECT *, "
         + ", ".join(f"coalesce(nullif(CAST(`{c}` AS STRING), 'nan'), 'missing') AS `{c}__f`" for c in cats)
@@ -106,7 +110,7 @@ def feature_stages(
     cf = [f"{c}__f" for c in cats]
     combine = CombineSparseLevels(inputCols=cf, cutoff=combine_cutoff)
     idx = StringIndexer(inputCols=cf, outputCols=[f"{c}__i" for c in cf], handleInvalid="keep", stringOrderType="alphabetAsc")
-    ohe = OneHotEncoder(inputCols=[f"{c}__i" for c in cf], outputCols=[f"{c}__v" for c in cf], dropLast=True, handleInvalid="keep")
+    ohe = OneHotEncoder(inputCols=[f"{c}__i" for c in cf], outputCols=[f"{c}__v" for c in cf], dropLast=True, handleInvalid="error")
     imp = Imputer(inputCols=num_out, outputCols=[f"{c}__m" for c in num_out], strategy="mean")
     va_num = VectorAssembler(inputCols=[f"{c}__m" for c in num_out], outputCol="_num_vec", handleInvalid="keep")
     scale = StandardScaler(inputCol="_num_vec", outputCol="_num_scaled", withMean=True, withStd=True)
@@ -144,9 +148,10 @@ def feature_lineage(model: PipelineModel) -> list[str]:
     for col, labels in zip(idx.getInputCols(), idx.labelsArray):
         cat_names += [f"{col.removesuffix('__f')}={lv}" for lv in labels]
     num_kept = [num_names[i] for i in sel_num.selectedFeatures]
-    cat_kept = [cat_names[i] for i in sel_cat.selectedFeatures if i < len(cat_names)]
+    # the slot of unseen levels is the one that the encoder drops, so slots are levels
+    cat_kept = [cat_names[i] for i in sel_cat.selectedFeatures]
     both = num_kept + cat_kept
-    return [both[i] for i in var.selectedFeatures if i < len(both)]
+    return [both[i] for i in var.selectedFeatures]
 
 
 # ---------------------------------------------------------------- TRN-4/5/6

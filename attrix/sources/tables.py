@@ -18,10 +18,13 @@ def latest_snapshot(df: DataFrame, ts_col: str = "meta__inserted_at") -> DataFra
     return with_scalar(df, mx).where(F.col(ts_col) == F.col("_mx")).drop("_mx")
 
 
-def snapshot_map(df: DataFrame, key: str = "config_key", value: str = "config_value") -> DataFrame:
-    """SRC-4 map form: one row holding key -> value (later duplicates win).
-    Meant for the small config table only."""
-    return df.agg(
+def snapshot_map(df: DataFrame, key: str = "config_key", value: str = "config_value", ts_col: str = "meta__inserted_at") -> DataFrame:
+    """SRC-4 map form: one row holding key -> value.  Of repeated keys the
+    latest by ``ts_col`` wins (of equal times, or without that column, the
+    largest value).  Meant for the small config table only."""
+    age = [F.col(ts_col)] if ts_col in df.columns else []
+    last = df.groupBy(key).agg(F.max_by(F.col(value), F.struct(*age, F.col(value))).alias(value))
+    return last.agg(
         F.map_from_entries(F.collect_list(F.struct(F.col(key), F.col(value)))).alias("config")
     )
 

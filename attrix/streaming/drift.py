@@ -37,7 +37,7 @@ def start_drift_stream(stream: DataFrame, baseline: DataFrame, features: Sequenc
     counts = windowed_level_counts(stream, features, ts_col, window)
 
     def write(batch: DataFrame, epoch: int) -> None:
-        drift_batch(batch, baseline).write.mode("append").parquet(sink_path)
+        drift_batch(batch, baseline).write.mode("overwrite").parquet(f"{sink_path}/epoch={epoch}")  # a replayed batch replaces its own rows
 
     q = counts.writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(write)
     return q.trigger(**(trigger or {"availableNow": True})).start()

@@ -31,7 +31,7 @@ def start_refreshing_stream(spark: SparkSession, stream: DataFrame, load_config:
 
     def write(batch: DataFrame, epoch: int) -> None:
         cutoff = current_cutoff(load_config())
-        process(batch, cutoff).write.mode("append").parquet(sink_path)
+        process(batch, cutoff).write.mode("overwrite").parquet(f"{sink_path}/epoch={epoch}")  # a replayed batch replaces its own rows
 
     q = stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(write)
     return q.trigger(**(trigger or {"availableNow": True})).start()

@@ -35,7 +35,11 @@ def test_pipeline_fit_transform_and_lineage(frame):
     names = tr.feature_lineage(m)
     assert len(names) > 0 and any(n.startswith("num_a") for n in names)
     enc = tr.transform_only(m).transform(train)
-    assert "features" in enc.columns
+    assert all(r["features"].size == len(names) for r in enc.select("features").collect())
+    # the log is of the clipped column, and every name is an input of the encoder
+    assert "num_a__log" in names and "num_a__clip" not in names and "num_a_num_c_ratio" in names
+    levels = {f"cat_b={r[0]}" for r in train.select("cat_b").distinct().collect()}
+    assert levels <= set(names)
 
 
 def test_tune_leaderboard(frame):
@@ -80,7 +84,7 @@ def test_embedded_and_drop_column(frame):
     m = _pipe().fit(train)
     names = tr.feature_lineage(m)
     scores = xp.embedded_scores(m.stages[-1], names)
-    assert len(scores) == len(names)
+    assert len(names) == len(m.stages[-1].featureImportances.toArray()) == len(scores)
     res = xp.drop_column_importance(train, test, "label", ["num_a", "num_b"], lambda cols: _pipe(nums=list(cols) or ["num_c"]))
     assert {c for c, _ in res} == {"num_a", "num_b"}
 
