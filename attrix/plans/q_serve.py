@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from attrix.functions.columns import day_start_ntz
 from attrix.operators import serve as sv
+from attrix.operators import train as tr
 from attrix.operators import windows as wn
 from attrix.operators.kernels import qcut
 from attrix.plans import views
 from attrix.plans.common import preds, r6
 from attrix.plans.registry import query
+from attrix.session import ensure_checkpoint_dir
+from attrix.sinks.writers import export_csv
 from attrix.sources import logs as lg
 from attrix.sources import tables as tb
-from attrix.sources.observations import normalize_nulls
+from attrix.sources.observations import normalize_nulls, read_csv_observations
 
 REQ_SCHEMA = "input struct<client_id:string,event_type:string>, output struct<prediction:double,model_uid:string>"
 P = "input_output_payloads"
@@ -318,3 +323,53 @@ def str2(spark, d):
 
 
 __all__ = ["preds"]
+
+
+TRN1_SQL = """SELECT key, num_a, num_b, num_c, cat_a, cat_b, cat_c, acquired_date,
+       CASE WHEN target = 'yes' THEN 1 ELSE 0 END AS label,
+       CASE WHEN substr(md5(CAST(key AS VARCHAR)), 1, 4) < '3333' THEN 'test' ELSE 'train' END AS split
+FROM v_obs"""
+
+
+@query("trn1_training_frame", TRN1_SQL, ("v_obs",))
+def trn1(spark, d):
+    return tr.training_frame(views.v_obs(spark, d), "key", "target", drop=["client_id"])
+
+
+def _snapshot_path(spark, d):
+    """A run's train and test rows, written as the training run does."""
+    frame = tr.training_frame(views.v_obs(spark, d), "key", "target", drop=["client_id"]).drop("split")
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/attrix-snapshots/{uuid.uuid4().hex}"
+    split = wn.train_test_split(frame, "key", 0.2)
+    for name in ("train", "test"):
+        tb.save_dataset_snapshot(split.where(F.col("split") == name).drop("split"), path, "m1", name)
+    return path
+
+
+@query("snk5_snapshot", f"SELECT *, 'm1' AS model_uid FROM ({TRN1_SQL})", ("v_obs",))
+def snk5(spark, d):
+    return spark.read.parquet(_snapshot_path(spark, d))
+
+
+@query("src8_training_snapshot", "SELECT num_a, num_b, cat_b FROM v_obs", ("v_obs",))
+def src8(spark, d):
+    return tb.training_snapshot(spark, _snapshot_path(spark, d), "m1", ["num_a", "num_b", "cat_b"])
+
+
+@query("src2_csv_observations", "SELECT key, target, num_a, num_c, cat_a FROM v_obs", ("v_obs",))
+def src2(spark, d):
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/attrix-csv/{uuid.uuid4().hex}"
+    export_csv(views.v_obs(spark, d).select("key", "target", "num_a", "num_c", "cat_a"), path)
+    return read_csv_observations(spark, path, "key long, target string, num_a double, num_c double, cat_a string")
+
+
+@query(
+    "src4_snapshot_map",
+    """WITH c AS (SELECT event_type AS config_key, arg_max(CAST(user_id AS VARCHAR), (ts, CAST(user_id AS VARCHAR))) AS config_value
+                  FROM events GROUP BY event_type)
+SELECT config_key, config_value FROM c""",
+)
+def src4_map(spark, d):
+    e = spark.read.parquet(f"{d}/events.parquet")
+    cfg = e.select(F.col("event_type").alias("config_key"), F.col("user_id").cast("string").alias("config_value"), F.col("ts").alias("meta__inserted_at"))
+    return tb.snapshot_map(cfg).select(F.explode("config").alias("config_key", "config_value"))
