@@ -105,7 +105,8 @@ def sampled_shapley(
         key,
         "_perm",
         "_step",
-        F.when(F.col("_step") > 0, F.element_at("_ord", F.greatest(F.col("_step"), F.lit(1)))).alias("_added"),
+        F.get("_ord", F.col("_step") - 1).alias("_added"),
+        F.get("_ord", F.col("_step")).alias("_next"),
         *[
             F.when(F.array_position(F.slice("_ord", 1, nf), F.lit(c)).between(1, F.col("_step")), F.col(c))
             .otherwise(F.col(f"_z_{c}"))
@@ -114,11 +115,13 @@ def sampled_shapley(
         ],
     )
     scored = score_df(hybrid)
-    w = Window.partitionBy(key, "_perm").orderBy("_step")  # F + 1 rows per partition
-    contrib = scored.select(key, "_added", (F.col("_score") - F.lag("_score").over(w)).alias("_d")).where(
-        F.col("_added").isNotNull()
+    # a hybrid's score counts for the feature just added and against the next one
+    signed = scored.select(
+        key,
+        F.explode(F.array(F.struct(F.col("_added").alias("feature"), F.col("_score").alias("d")), F.struct(F.col("_next").alias("feature"), (-F.col("_score")).alias("d")))).alias("_s"),
     )
-    return contrib.groupBy(key, F.col("_added").alias("feature")).agg(F.avg("_d").alias("shap"))
+    total = signed.where(F.col("_s.feature").isNotNull()).groupBy(key, F.col("_s.feature").alias("feature"))
+    return total.agg((F.sum("_s.d") / F.lit(float(permutations))).alias("shap"))
 
 
 def global_importance(shap: DataFrame, model_uid: str = "model") -> DataFrame:

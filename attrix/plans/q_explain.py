@@ -56,7 +56,29 @@ def xpl1(spark, d):
     return r6(xp.linear_shapley(views.v_obs(spark, d), "key", COEFS, INTERCEPT))
 
 
-@query("xpl1_sampled_shapley")
+def _h(text: str) -> str:
+    return f"CAST(('0x' || substr(md5({text}), 1, 15)) AS BIGINT)"
+
+
+_KP = "CAST(key AS VARCHAR) || '-' || CAST(perm AS VARCHAR)"
+_PLACES = ", ".join(
+    "1 + " + " + ".join(f"CASE WHEN h_{o} < h_{f} THEN 1 ELSE 0 END" for o in "abc" if o != f) + f" AS p_{f}" for f in "abc"
+)
+_HYBRID = sig(*[f"(CASE WHEN p_{f} <= step THEN num_{f} ELSE z_{f} END)" for f in "abc"])
+SAMPLED_SQL = f"""WITH {X_SQL},
+bg AS (SELECT num_a AS z_a, num_b AS z_b, num_c AS z_c, row_number() OVER (ORDER BY num_a, num_b, num_c) AS bid
+       FROM (SELECT * FROM x ORDER BY {_h("CAST(key AS VARCHAR)")}, key LIMIT 100)),
+r AS (SELECT key, num_a, num_b, num_c, p.range AS perm FROM x CROSS JOIN range(10) p),
+o AS (SELECT *, {_h(_KP)} % (SELECT count(*) FROM bg) + 1 AS bid,
+             {", ".join(f"{_h(_KP + f" || '-num_{f}'")} AS h_{f}" for f in "abc")} FROM r),
+q AS (SELECT o.*, z_a, z_b, z_c, {_PLACES} FROM o JOIN bg ON o.bid = bg.bid),
+s AS (SELECT key, perm, p_a, p_b, p_c, step, {_HYBRID} AS score
+      FROM q CROSS JOIN (SELECT range AS step FROM range(4)) st),
+c AS ({" UNION ALL ".join(f"SELECT key, 'num_{f}' AS feature, CASE WHEN step = p_{f} THEN score ELSE -score END AS d FROM s WHERE step IN (p_{f}, p_{f} - 1)" for f in "abc")})
+SELECT key, feature, round(sum(d) / 10, 6) AS shap FROM c GROUP BY key, feature"""
+
+
+@query("xpl1_sampled_shapley", SAMPLED_SQL, ("v_obs",))
 def xpl1s(spark, d):
     x = xframe(spark, d)
     background = head_hash_ordered(x, "key", 100)

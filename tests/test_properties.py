@@ -25,8 +25,8 @@ def test_partition_observations_reaggregate(spark):
     p = views.v_pred(spark, SF).withColumn("predicted_class", F.when(F.col("prob") >= 0.5, 1).otherwise(0))
     o = views.v_obs(spark, SF)
     full = ev.metrics_by_partition(p, o, numeric=["num_a"], metrics=["log_loss"]).collect()
-    # every row falls in exactly one bin (or 'nan'); bins with one class are skipped, so <=
-    assert sum(r["observations"] for r in full) <= p.count()
+    # every row falls in exactly one bin (or 'nan'), and here all bins have both classes
+    assert sum(r["observations"] for r in full) == p.count()
     assert all(r["partition"].startswith("num_a_") for r in full)
 
 
@@ -41,11 +41,13 @@ def test_linear_shapley_additivity(spark):
 
 def test_sampled_shapley_additivity(spark):
     x = _x(spark).limit(50)
-    bg = head_hash_ordered(_x(spark), "key", 20)
+    z = head_hash_ordered(_x(spark), "key", 1)  # one background row: the values add up to f(x) - f(z)
     score = xp.expr_scorer(lambda: linear_scorer(COEFS, -1.0))
-    sh = xp.sampled_shapley(x, "key", list(COEFS), score, bg, permutations=4)
-    assert sh.count() == 50 * 3
-    assert sh.where(F.col("shap").isNull()).count() == 0
+    sh = xp.sampled_shapley(x, "key", list(COEFS), score, z, permutations=4)
+    base = score(z).first()["_score"]
+    want = {r["key"]: r["_score"] - base for r in score(x).collect()}
+    got = {r["key"]: r["s"] for r in sh.groupBy("key").agg(F.sum("shap").alias("s"), F.count("shap").alias("n")).where("n = 3").collect()}
+    assert len(got) == 50 and all(abs(got[k] - want[k]) < 1e-9 for k in want)
 
 
 def test_drift_of_a_table_against_itself_is_zero(spark):
