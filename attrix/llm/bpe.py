@@ -22,8 +22,9 @@ from attrix.llm import flat, pretokens
 from attrix.llm.shared import pick, ship_code
 from attrix.llm.token_counts import byte_slices
 
-MEMO = 200_000  # of a generation; there are two
-DECODE_IDS = 1 << 20
+MEMO = 150_000  # of a generation; there are two
+DECODE_IDS = 1 << 19
+SLICE = 1 << 21
 U64 = np.uint64
 
 
@@ -191,27 +192,33 @@ def binary_column(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(np.ascontiguousarray(offsets, dtype=np.int64)), pa.py_buffer(np.ascontiguousarray(data))]).cast(pa.binary())
 
 
-def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode(docs: DataFrame, path: str, with_bytes: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, n_tokens, ids (unsigned 32-bit little-endian).
 
-    Ids are those of the tiktoken library for the ranks at ``path`` and the
-    split pattern of public byte-level vocabularies, without special tokens.
-    A null or empty text has no ids.  Doc ids are passed through (null,
-    repeated); an empty table gives an empty result; other columns are ignored.
+    ``with_bytes`` adds ``decoded``, the bytes that the ids decode to, made in
+    the same workers.  Ids are those of the tiktoken library for the ranks at
+    ``path`` and the split pattern of public byte-level vocabularies, without
+    special tokens.  A null or empty text has no ids.  Doc ids are passed
+    through (null, repeated); an empty table gives an empty result; other
+    columns are ignored.
     """
     ship_code(docs.sparkSession)
     base = pick(docs, doc_id=id_col, text=text_col).select("doc_id", F.col("text").cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tool = codec(path)
         for batch in batches:
-            for part in byte_slices(batch):
-                ids, off = codec(path).encode(*flat.flat(part.column(1)))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(np.diff(off), pa.int64()), binary_column(ids.astype("<u4").view(np.uint8), off * 4)],
-                    ["doc_id", "n_tokens", "ids"],
-                )
-
-    return base.mapInArrow(run, f"doc_id {dict(base.dtypes)['doc_id']}, n_tokens long, ids binary")
+            for part in byte_slices(batch, most=SLICE):
+                ids, off = tool.encode(*flat.flat(part.column(1)))
+                columns = [part.column(0), pa.array(np.diff(off), pa.int64()), binary_column(ids.astype("<u4").view(np.uint8), off * 4)]
+                names = ["doc_id", "n_tokens", "ids"]
+                if with_bytes:
+                    columns.append(binary_column(*tool.decode(ids, off)))
+                    names.append("decoded")
+                yield pa.RecordBatch.from_arrays(columns, names)
+
+    more = ", decoded binary" if with_bytes else ""
+    return base.mapInArrow(run, f"doc_id {dict(base.dtypes)['doc_id']}, n_tokens long, ids binary{more}")
 
 
 def decode(ids: Column, path: str) -> Column:

@@ -69,7 +69,7 @@ def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each row, with digests of the ids and of the bytes that they decode to."""
     path = tokenizer_path(RANKS)
-    ids = bpe.encode(docs, path).withColumn("decoded", bpe.decode(F.col("ids"), path))
+    ids = bpe.encode(docs, path, with_bytes=True)
     return ids.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), "ids")
 
 
