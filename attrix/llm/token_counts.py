@@ -33,6 +33,8 @@ from attrix.llm import flat, pretokens
 from attrix.llm.shared import pick, ship_code
 
 LIMIT = 512
+#: Bytes of a piece that is stepped on its own.
+LONG_PIECE = 256
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -155,6 +157,7 @@ class CountMachine:
                 at = go[at][b]
             if v.encode(t) == [i]:  # else no text ever gives this token
                 own[at] = i
+        self.length = self.size.tolist()
         self.next = np.zeros((len(go), 256), dtype=np.int32)
         fail = [0] * len(go)
         ends: list[tuple[int, ...]] = [()] * len(go)
@@ -176,8 +179,34 @@ class CountMachine:
         for node, tokens in enumerate(ends):
             self.ends[: len(tokens), node] = tokens
 
+    def count_one(self, piece: bytes) -> int:
+        """Tokens of one piece, byte by byte: for the few that are much longer than the rest."""
+        node, last, total, known = 0, [], [], {}
+        for j, b in enumerate(piece):
+            node = int(self.next[node * 256 + b])
+            for t in self.ends[:, node].tolist():
+                before = j - self.length[t]
+                if before < 0:
+                    stays = True
+                else:
+                    pair = last[before], t
+                    stays = known.get(pair)
+                    if stays is None:
+                        stays = known[pair] = self.v.stay(*pair)
+                if stays:
+                    break
+            last.append(t)
+            total.append(1 + (total[before] if before >= 0 else 0))
+        return total[-1]
+
     def counts(self, body: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """Tokens of each piece; all pieces advance together by a byte."""
+        """Tokens of each piece; all pieces but the longest advance together by a byte."""
+        if len(lengths) and lengths.max() > LONG_PIECE:
+            out = np.empty(len(lengths), dtype=np.int64)
+            few = lengths > LONG_PIECE
+            out[~few] = self.counts(body, starts[~few], lengths[~few])
+            out[few] = [self.count_one(body[a : a + n].tobytes()) for a, n in zip(starts[few].tolist(), lengths[few].tolist())]
+            return out
         order = np.argsort(-lengths, kind="stable")
         size = lengths[order]
         begin = np.cumsum(size) - size  # registers of a piece
