@@ -5,9 +5,10 @@ texts.  A text is compressed piece by piece with each of them; what the good
 dictionary saves against the bad one, a byte of text, is the feature, and a
 logistic curve fitted on other labelled texts turns it into a score.
 
-The fit uses a bounded sample (``SAMPLE_PIECES`` pieces a class for the
-dictionaries, ``SAMPLE_ROWS`` rows for the curve), chosen by hash, so what
-comes to the driver doesn't grow with the data.  Scoring reads whole texts, a
+The fit uses a bounded sample (``SAMPLE_PIECES`` pieces of ``SAMPLE_DOCS`` rows
+a class for the dictionaries, ``SAMPLE_ROWS`` rows for the curve), chosen by
+hash, so neither what is sent to the executors nor what comes to the driver
+grows with the data.  Scoring reads whole texts, a
 piece at a time, without a shuffle.
 """
 
@@ -22,11 +23,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from attrix.llm import flat
-from attrix.llm.shared import pick, ship_code
+from attrix.llm.shared import materialize, pick, ship_code
 
 SAMPLE_PIECES = 6000
 SAMPLE_PIECE_CHARS = 1024
 SAMPLE_ROWS = 8000
+SAMPLE_DOCS = 3000
 DICTIONARY_BYTES = 500_000
 LEVEL = 3
 #: Bytes that are compressed together: short, so that a repeated phrase can't hide in its own history.
@@ -125,26 +127,34 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     """
     ship_code(docs.sparkSession)
     known = pick(labels, id=id_col, label=label_col).dropna().groupBy("id").agg(F.max("label").alias("label"))
-    rows = pick(docs, doc_id=id_col, text=text_col).filter(fold(F.col("doc_id")) != HELD_OUT)
-    rows = rows.join(known, F.col("doc_id") == F.col("id")).select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), "label")
+    known = known.withColumn("curve", fold(F.col("id")) == CURVE_FOLD).filter(fold(F.col("id")) != HELD_OUT)
+
+    def some(condition, most: int) -> DataFrame:
+        return known.filter(condition).orderBy(F.xxhash64("id"), "id").limit(most)
+
+    # a bounded list of ids, so the texts stay where they are
+    chosen = some("NOT curve AND label = 1", SAMPLE_DOCS).union(some("NOT curve AND label = 0", SAMPLE_DOCS)).union(some("curve", SAMPLE_ROWS))
+    chosen = materialize(chosen, "quality-sample")
+    rows = pick(docs, doc_id=id_col, text=text_col).join(F.broadcast(chosen), F.col("doc_id") == F.col("id"))
+    rows = rows.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), "label", "curve")
     n_pieces = F.ceil(F.length("text") / F.lit(SAMPLE_PIECE_CHARS)).cast("int")
     pieces = (
-        rows.filter(fold(F.col("doc_id")) != CURVE_FOLD)
+        rows.filter("NOT curve")
         .withColumn("k", F.explode(F.when(n_pieces > 0, F.sequence(F.lit(0), n_pieces - 1))))
         .select("label", "doc_id", "k", F.col("text").substr(F.col("k") * SAMPLE_PIECE_CHARS + 1, F.lit(SAMPLE_PIECE_CHARS)).alias("piece"))
     )
 
     def sample(label: int) -> list[bytes]:
-        chosen = pieces.filter(F.col("label") == label).orderBy(F.xxhash64("doc_id", "k"), "piece").limit(SAMPLE_PIECES)
-        return [r[0].encode() for r in chosen.select("piece").collect()]
+        most = pieces.filter(F.col("label") == label).orderBy(F.xxhash64("doc_id", "k"), "piece").limit(SAMPLE_PIECES)
+        return [r[0].encode() for r in most.select("piece").collect()]
 
     good, bad = sample(1), sample(0)
     if not good or not bad:
         n, ones = rows.agg(F.count(F.lit(1)), F.sum(F.col("label").cast("double"))).first()
         return QualityModel(constant=float(ones) / n if n else 1.0)
     good, bad = _dictionary(good, DICTIONARY_BYTES), _dictionary(bad, DICTIONARY_BYTES)
-    chosen = rows.filter(fold(F.col("doc_id")) == CURVE_FOLD).orderBy(F.xxhash64("doc_id"), "text").limit(SAMPLE_ROWS)
-    got = chosen.select("label", saved_bytes(F.col("text"), good, bad).alias("saved"), F.octet_length("text").alias("size")).collect()
+    curve = rows.filter("curve").select("label", "text").limit(SAMPLE_ROWS)
+    got = curve.select("label", saved_bytes(F.col("text"), good, bad).alias("saved"), F.octet_length("text").alias("size")).collect()
     y = np.array([r["label"] for r in got], dtype=float)
     if len(set(y.tolist())) < 2:
         return QualityModel(constant=float(y.mean()) if len(y) else 1.0)
