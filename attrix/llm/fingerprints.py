@@ -27,7 +27,8 @@ SAMPLES = 64
 CELLS = 4096
 ID_BITS = 24
 LAST = (1 << 63) - 1
-RANGES_PER_PARTITION = 8
+#: Tasks of the counting stage by shuffle partitions, so that a task's words fit in memory, and ranges by task.
+TASKS, RANGES = 4, 4
 
 
 def gamma_quantiles(p: np.ndarray) -> np.ndarray:
@@ -97,15 +98,15 @@ def fingerprint_rows(rows: DataFrame, keys: list[str], text: str = "text") -> Da
 
 def _ranged(rows: DataFrame) -> DataFrame:
     """Column ``part``: ranges of ``place`` with about as many rows."""
-    n = RANGES_PER_PARTITION * shuffle_width(rows.sparkSession)
-    cuts = rows.agg(F.percentile_approx("place", [k / n for k in range(1, n)], 20 * n)).first()[0] or []
+    n = RANGES * TASKS * shuffle_width(rows.sparkSession)
+    cuts = rows.agg(F.percentile_approx("place", [k / n for k in range(1, n)], 5 * n)).first()[0] or []
     splits = [-float("inf"), *sorted({float(c) for c in cuts}), float("inf")]
     cut = Bucketizer(splits=splits, inputCol="place_double", outputCol="part")
     return cut.transform(rows.withColumn("place_double", F.col("place").cast("double"))).drop("place_double").withColumn("part", F.col("part").cast("int"))
 
 
 def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: doc_id, n_chars, edited_sha256, samples, edited_samples, near_edited, near_next.
+    """One row per input row: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
     The edited text ends with the beginning of the next document by doc_id (of
     equal ids by text); after the last comes the first, and a lone document is
@@ -126,6 +127,7 @@ def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     here = F.slice(both, 1, F.when(F.col("place") == F.col("first"), 2).otherwise(1))
     rows = placed.select("doc_id", "place", "text", F.explode(here).alias("at"))
     rows = rows.select(F.col("at.part").alias("part"), F.col("at.ghost").alias("ghost"), "doc_id", "place", "text")
+    rows = rows.repartition(TASKS * shuffle_width(docs.sparkSession), "part")
     along = Window.partitionBy("part").orderBy("ghost", "place", "text")
     rows = rows.withColumn("row", F.row_number().over(along)).withColumn("next", F.coalesce(F.lead("text").over(along), F.lit("")))
     n = F.length("text")
@@ -137,15 +139,15 @@ def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     prints = samples.groupBy("part", "row").agg(
         F.max(F.when(F.col("kind") == 0, F.col("samples"))).alias("samples"), F.max(F.when(F.col("kind") == 1, F.col("samples"))).alias("edited_samples")
     )
-    prints = prints.withColumn("next_samples", F.lead("samples").over(Window.partitionBy("part").orderBy("row")))
-    facts = rows.filter("NOT ghost").select(F.col("part").alias("r_part"), F.col("row").alias("r_row"), "doc_id", n.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"))
-    joined = facts.join(prints, (F.col("part") == F.col("r_part")) & (F.col("row") == F.col("r_row")))
-    return joined.select(
-        "doc_id",
-        "n_chars",
-        "edited_sha256",
-        "samples",
-        "edited_samples",
+    after = F.lead("samples").over(Window.partitionBy("part").orderBy("row"))
+    prints = prints.withColumn("next_samples", after).select(
+        "part",
+        "row",
+        as_text(F.col("samples")).alias("fingerprint"),
+        as_text(F.col("edited_samples")).alias("edited_fingerprint"),
         likeness(F.col("samples"), F.col("edited_samples")).alias("near_edited"),
         likeness(F.col("samples"), F.col("next_samples")).alias("near_next"),
     )
+    facts = rows.filter("NOT ghost").select(F.col("part").alias("r_part"), F.col("row").alias("r_row"), "doc_id", n.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"))
+    joined = facts.join(prints, (F.col("part") == F.col("r_part")) & (F.col("row") == F.col("r_row")))
+    return joined.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")

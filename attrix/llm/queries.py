@@ -67,16 +67,7 @@ def op6(spark, sf_dir):
 
 @query("op7_fingerprints")
 def op7(spark, sf_dir):
-    found = fingerprints.compare_with_next(read_documents(spark, sf_dir))
-    return found.select(
-        "doc_id",
-        "n_chars",
-        "edited_sha256",
-        fingerprints.as_text(F.col("samples")).alias("fingerprint"),
-        fingerprints.as_text(F.col("edited_samples")).alias("edited_fingerprint"),
-        "near_edited",
-        "near_next",
-    )
+    return fingerprints.compare_with_next(read_documents(spark, sf_dir))
 
 
 @query("op8_quality")
