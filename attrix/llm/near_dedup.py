@@ -252,12 +252,15 @@ def _unseen(stars: DataFrame, label: DataFrame, sets: DataFrame, percent: int) -
         .agg(F.sort_array(F.collect_list(F.struct("freq", "s"))).alias("by_freq"))
         .withColumn("few", F.greatest(F.col("d") - least, F.lit(0)).cast("int"))
         .filter("few > 0")
-        .select("centre", F.col("rep").alias("x"), F.col("comp").alias("x_comp"), F.explode(F.slice("by_freq", 1, F.col("few"))).alias("e"))
+        .select("centre", F.col("rep").alias("x"), F.col("comp").alias("x_comp"), F.col("n").alias("x_n"), F.col("d").alias("x_d"), F.posexplode(F.slice("by_freq", 1, F.col("few"))).alias("k", "e"))
         .filter("e.freq > 0")
-        .select("centre", "x", "x_comp", F.col("e.s").alias("s"))
+        .select("centre", "x", "x_comp", "x_n", "x_d", "k", F.col("e.s").alias("s"))
     )
-    far = ranked.filter("NOT linked AND freq > 0").select("centre", F.col("rep").alias("y"), F.col("comp").alias("y_comp"), "s")
-    pairs = rarest.join(far, ["centre", "s"]).filter("x_comp <> y_comp").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    far = ranked.filter("NOT linked AND freq > 0").select("centre", F.col("rep").alias("y"), F.col("comp").alias("y_comp"), F.col("n").alias("y_n"), F.col("d").alias("y_d"), "s")
+    # at the first difference that a linked pair shares, enough of them are left on either side
+    left = F.least(F.col("x_d") - F.col("k"), F.col("y_d"))
+    enough = 2 * up * left >= up * (F.col("x_d") + F.col("y_d")) - down * (F.col("x_n") + F.col("y_n"))
+    pairs = rarest.join(far, ["centre", "s"]).filter("x_comp <> y_comp").filter(enough).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     both = F.size(F.array_intersect("of_a", "of_b"))
     confirmed = _with_sets(pairs, "a", "b", sets).withColumn("both", both)
     return confirmed.filter(_linked(F.col("both"), F.size("of_a"), F.size("of_b"), percent)).select("a", "b")
