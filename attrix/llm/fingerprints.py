@@ -100,7 +100,7 @@ def _ranged(rows: DataFrame) -> DataFrame:
     """Column ``part``: ranges of ``place`` with about as many rows."""
     n = RANGES * TASKS * shuffle_width(rows.sparkSession)
     cuts = rows.agg(F.percentile_approx("place", [k / n for k in range(1, n)], 5 * n)).first()[0] or []
-    splits = [-float("inf"), *sorted({float(c) for c in cuts}), float("inf")]
+    splits = [-float("inf"), *(sorted({float(c) for c in cuts}) or [0.0]), float("inf")]
     cut = Bucketizer(splits=splits, inputCol="place_double", outputCol="part")
     return cut.transform(rows.withColumn("place_double", F.col("place").cast("double"))).drop("place_double").withColumn("part", F.col("part").cast("int"))
 

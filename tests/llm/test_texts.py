@@ -74,8 +74,8 @@ def test_license_operator(docs):
     text = "Permission is hereby granted, free of charge, to any oddperson obtaining a copy of this software. Released under the MIT License."
     got = licenses.digest(licenses.scan_licenses(docs([(1, text), (2, "is the of"), (3, None), (None, "CC BY-SA 4.0"), (1, "")]))).collect()
     by = {(r.doc_id, r.n_words): r for r in got}
-    one = by[1, 20]
-    assert (one.n_base, one.first_word, one.last_word, one.base_labels, one.labels, one.score) == (1, 18, 18, "mit", "mit,mit-notice,mit-text", 1.0)
+    one = by[1, 21]
+    assert (one.n_base, one.first_word, one.last_word, one.base_labels, one.labels, one.score) == (1, 19, 19, "mit", "mit,mit-notice,mit-text", 1.0)
     assert (by[2, 3].n_base, by[2, 3].first_word, by[2, 3].labels, by[2, 3].score) == (0, None, "", 0.0)
     assert by[3, 0].n_words == by[1, 0].n_words == 0 and by[None, 5].base_labels == "cc-by"
     assert licenses.scan_licenses(docs([])).count() == 0
