@@ -171,7 +171,7 @@ def near_duplicates(
         texts.mapInArrow(_sets(words), "id long, shingles array<long>").dropDuplicates(["id"]), "nd-sets"
     )
     stars, found, label = None, [], None
-    for _ in range(STAR_ROUNDS):
+    while True:
         centres = active.groupBy("band").agg(F.max(F.struct("rank", (-F.col("rep")).alias("minus"))).alias("c"))
         centres = centres.select(F.col("band").alias("c_band"), (-F.col("c.minus")).alias("centre"))
         pairs = active.join(centres, (active["band"] == centres["c_band"]) & (active["rep"] != centres["centre"]))
@@ -179,12 +179,15 @@ def near_duplicates(
         stars = stars or star
         found.append(star.filter("linked").select(F.least("centre", "rep").alias("a"), F.greatest("centre", "rep").alias("b")))
         label = components(_all(found), "nd-cc")
+        if len(found) == STAR_ROUNDS:
+            break
         apart = active.join(centres, active["band"] == centres["c_band"]).select("band", "rep", "rank", "centre")
         apart = _labelled(_labelled(apart, label, "rep", "comp"), label, "centre", "c_comp")
         active = materialize(apart.filter("comp <> c_comp").select("band", "rep", "rank"), "nd-active")
         if not active.limit(1).count():
             break
-    else:
+    # later rounds leave out members that met the first centre: only after the first can all be in one component
+    if len(found) > 1:
         found.append(materialize(_unseen(stars, label, sets, percent), "nd-unseen"))
         label = components(_all(found), "nd-cc")
     class_of = features.select("doc_id", "n_shingles", "digest").join(classes.select(F.col("digest").alias("d"), "rep"), F.col("digest") == F.col("d"), "left")

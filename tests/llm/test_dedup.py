@@ -92,6 +92,30 @@ def test_near_family_of_copies_that_are_not_linked_with_their_original(docs):
     assert near(docs, rows, 80) == near_brute(rows, 80)
 
 
+def test_near_links_of_members_whose_centre_is_linked_with_one_only(docs):
+    """The only content of the table: x at 85 % of y, and c, which has one shingle more than x and so isn't linked with y."""
+    rows = []
+    for g in range(4):
+        x = [f"g{g}w{i}" for i in range(374)]
+        y = [f"g{g}new{i}" if i % 60 == 30 else w for i, w in enumerate(x)]
+        rows += [(10 * g, " ".join([*x, "end"])), (10 * g + 1, " ".join(x)), (10 * g + 2, " ".join(y))]
+    assert len({r[2] for r in near_brute(rows, 85)}) == 4
+    assert near(docs, rows, 85) == near_brute(rows, 85)
+
+
+def test_near_version_chains_alone(docs):
+    """Each version is linked with its neighbours, few with the centre."""
+    rows = []
+    for g in range(3):
+        words = [f"g{g}w{i}" for i in range(204)]
+        for v in range(9):
+            rows.append((100 * g + v, " ".join(words)))
+            for j in range(3):
+                words[(5 + 7 * v + 67 * j) % 204] = f"g{g}v{v}e{j}"
+    assert len({r[2] for r in near_brute(rows, 85)}) == 3
+    assert near(docs, rows, 85) == near_brute(rows, 85)
+
+
 def test_near_null_ids_repeats_and_empty(docs):
     got = near_dedup.near_duplicates(docs([(None, "a b c d e f"), (None, None), (4, "a b c d e f"), (4, "a b c d e f"), (5, "A b c d e f")]))
     rows = sorted([(r.doc_id, r.component_id, r.kept) for r in got.collect()], key=str)
