@@ -14,14 +14,19 @@
    Pairs are confirmed on the full sets.  A second star joins the members that
    are not in their first centre's component.
 5. What stars can't see is a link of x and y when y isn't linked with their
-   centre c.  Let D(x) be the difference of the sets of x and c.  As y is not
-   linked, |D(y)| > r (|c| + |y|) with r = (100 - p) / (100 + p); x and y are
-   linked only if |D(x)| + |D(y)| - 2 |D(x) & D(y)| <= r (|x| + |y|).  So they
-   share more than o = (|D(x)| - r (|x| - |c|)) / 2 differences, and D(y) meets
-   any |D(x)| - floor(o) elements of D(x).  A join on these, the rarest of
-   the group, finds all such pairs; they too are confirmed on the full sets.
-   So no candidate of the buckets is lost, and a large family of copies that
-   differ from their original in ways of their own doesn't meet pair by pair.
+   centre.  Let the core be the shingles that most members of the star have,
+   and D(x) the difference of x and the core.  x and y are linked if and only
+   if |D(x)| + |D(y)| - 2 |D(x) & D(y)| <= r (|x| + |y|) with
+   r = (100 - p) / (100 + p), so with v(x) = |D(x)| - r |x| they share at least
+   (v(x) + v(y)) / 2 differences.  If v(x) + v(y) <= 0 they are linked anyhow,
+   and both with the member of the least v: a star of its own.  All other
+   links share at least o = max(1, (v(x) + w) / 2) differences, w the least v
+   of the possible partners; so in one order of the star's differences, rare
+   ones first, the first |D| - o + 1 of x and of y have one in common.  A join
+   on these finds all such pairs; they too are confirmed on the full sets.
+   So no candidate of the buckets is lost.  Copies that differ from one text
+   in ways of their own don't meet pair by pair, and neither do members whose
+   common text the centre lacks or whose centre has text of its own.
 6. Components come from repeated minimum labels with pointer jumping.
 
 Nothing but row counts reaches the driver.  Hot buckets and centres meet in
@@ -237,33 +242,59 @@ def _met(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return met.withColumn("linked", _linked(both, F.col("n_c"), F.col("n"), percent)).drop("n_added")
 
 
-def _unseen(stars: DataFrame, label: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) of two members of a star of which one isn't linked with the centre."""
+def _prefixes(stars: DataFrame, label: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Rare differences by which members can meet, and pairs (a, b) that are near the core: see step 5."""
+    up, down = 100 + percent, 100 - percent
     groups = stars.groupBy("centre").agg(F.count(F.lit(1)).alias("members"), F.max(~F.col("linked")).alias("some"))
-    groups = groups.filter("members > 1 AND some").select(F.col("centre").alias("g"))
-    rows = stars.join(groups, stars["centre"] == groups["g"], "left_semi")
-    rows = _labelled(rows, label, "rep", "comp")
+    groups = materialize(groups.filter("members > 1 AND some").select(F.col("centre").alias("g"), "members"), "nd-groups")
+    rows = stars.join(groups, stars["centre"] == groups["g"])
+    often = rows.select("centre", "members", F.explode("differs").alias("s")).groupBy("centre", "s").agg(F.count(F.lit(1)).alias("freq"), F.max("members").alias("members"))
+    turned = often.filter("2 * freq > members").groupBy(F.col("centre").alias("t_centre")).agg(F.collect_list("s").alias("turned"))
+    turned = materialize(turned, "nd-turned")
+    rows = _labelled(rows, label, "rep", "comp").join(turned, F.col("centre") == F.col("t_centre"), "left")
+    differs = F.concat(F.array_except("differs", "turned"), F.array_except("turned", "differs"))
+    rows = rows.select("centre", "rep", "comp", "linked", "n", F.when(F.col("turned").isNull(), F.col("differs")).otherwise(differs).alias("differs"))
+    rows = rows.withColumn("d", F.size("differs").cast("long"))
+    rows = materialize(rows.withColumn("v", up * F.col("d") - down * F.col("n")), "nd-members")
+    bounds = rows.groupBy(F.col("centre").alias("b_centre")).agg(F.min(F.when(~F.col("linked"), F.col("v"))).alias("far_v"), F.min(F.struct("v", "rep", "comp")).alias("near"))
+    rows = rows.join(materialize(bounds, "nd-bounds"), F.col("centre") == F.col("b_centre"))
+    sure = rows.filter("v + near.v <= 0 AND comp <> near.comp").select(F.least("rep", "near.rep").alias("a"), F.greatest("rep", "near.rep").alias("b"))
+
+    def few(other):
+        return F.col("d") + 1 - F.greatest(F.ceil((F.col("v") + other) / (2 * up)), F.lit(1))
+
+    # elements that a member takes to meet others, and those by which one that isn't linked with the centre is met
+    rows = rows.withColumn("meets", few(F.col("far_v"))).withColumn("is_met", F.when(F.col("linked"), 0).otherwise(few(F.col("near.v"))))
+    flat_rows = materialize(rows.select("centre", "rep", "comp", "v", "d", "meets", "is_met", F.explode("differs").alias("s")), "nd-differs")
     # a difference that one component alone has can't lead to another
-    flat_rows = materialize(rows.select("centre", "rep", "comp", "linked", "n", "n_c", F.size("differs").alias("d"), F.explode("differs").alias("s")), "nd-differs")
     shared = flat_rows.groupBy("centre", "s").agg(F.count(F.lit(1)).alias("freq"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
     shared = shared.select(F.col("centre").alias("f_centre"), F.col("s").alias("f_s"), F.when(F.col("lo") < F.col("hi"), F.col("freq")).otherwise(0).alias("freq"))
     ranked = flat_rows.join(shared, (flat_rows["centre"] == shared["f_centre"]) & (flat_rows["s"] == shared["f_s"]))
-    up, down = 100 + percent, 100 - percent
-    least = F.floor((F.col("d") * up - down * (F.col("n") - F.col("n_c"))) / (2 * up))  # floor(o)
-    rarest = (
-        ranked.groupBy("centre", "rep", "comp", "n", "n_c", "d")
-        .agg(F.sort_array(F.collect_list(F.struct("freq", "s"))).alias("by_freq"))
-        .withColumn("few", F.greatest(F.col("d") - least, F.lit(0)).cast("int"))
-        .filter("few > 0")
-        .select("centre", F.col("rep").alias("x"), F.col("comp").alias("x_comp"), F.col("n").alias("x_n"), F.col("d").alias("x_d"), F.posexplode(F.slice("by_freq", 1, F.col("few"))).alias("k", "e"))
-        .filter("e.freq > 0")
-        .select("centre", "x", "x_comp", "x_n", "x_d", "k", F.col("e.s").alias("s"))
-    )
-    far = ranked.filter("NOT linked AND freq > 0").select("centre", F.col("rep").alias("y"), F.col("comp").alias("y_comp"), F.col("n").alias("y_n"), F.col("d").alias("y_d"), "s")
-    # at the first difference that a linked pair shares, enough of them are left on either side
-    left = F.least(F.col("x_d") - F.col("k"), F.col("y_d"))
-    enough = 2 * up * left >= up * (F.col("x_d") + F.col("y_d")) - down * (F.col("x_n") + F.col("y_n"))
-    pairs = rarest.join(far, ["centre", "s"]).filter("x_comp <> y_comp").filter(enough).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    whole = ["centre", "rep", "comp", "v", "d", "meets", "is_met"]
+    first = F.greatest("meets", "is_met", F.lit(0)).cast("int")
+    by_freq = ranked.groupBy(*whole).agg(F.sort_array(F.collect_list(F.struct("freq", "s"))).alias("by_freq"))
+    prefixes = by_freq.select(*whole, F.posexplode(F.slice("by_freq", 1, first)).alias("k", "e")).filter("e.freq > 0")
+    return materialize(prefixes.select(*whole, "k", F.col("e.s").alias("s")), "nd-prefixes"), sure
+
+
+def _matches(prefixes: DataFrame) -> DataFrame:
+    """Pairs of prefix elements that meet, once for each element that the two share."""
+
+    def side(name: str, filter_: str) -> DataFrame:
+        of = [F.col(c).alias(f"{name}_{c}") for c in ("comp", "v", "d", "k")]
+        return prefixes.filter(filter_).select("centre", "s", F.col("rep").alias(name), *of)
+
+    return side("x", "k < meets").join(side("y", "k < is_met"), ["centre", "s"])
+
+
+def _unseen(stars: DataFrame, label: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) of two members of a star of which one isn't linked with the centre."""
+    prefixes, sure = _prefixes(stars, label, percent)
+    # at the first difference that a linked pair shares, enough of them are left on both sides
+    left = F.least(F.col("x_d") - F.col("x_k"), F.col("y_d") - F.col("y_k"))
+    enough = 2 * (100 + percent) * left >= F.col("x_v") + F.col("y_v")
+    pairs = _matches(prefixes).filter("x_comp <> y_comp").filter(enough).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    pairs = pairs.union(sure).distinct()
     both = F.size(F.array_intersect("of_a", "of_b"))
     confirmed = _with_sets(pairs, "a", "b", sets).withColumn("both", both)
     return confirmed.filter(_linked(F.col("both"), F.size("of_a"), F.size("of_b"), percent)).select("a", "b")

@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 from collections import defaultdict
 
@@ -116,6 +117,44 @@ def test_near_version_chains_alone(docs):
     assert near(docs, rows, 85) == near_brute(rows, 85)
 
 
+def test_near_form_letters_do_not_meet_pair_by_pair(docs, monkeypatch):
+    """A template with words of each letter's own: no two are linked, so each lacks the centre's own words."""
+    met, real = [], near_dedup._matches
+
+    def counted(prefixes):
+        met.append(real(prefixes).count())
+        return real(prefixes)
+
+    rows = []
+    for k in range(60):
+        words = [f"t{i}" for i in range(150)]
+        for j in range(4 + k % 3):
+            words[20 * j + 10] = f"own{k}x{j}"
+        rows.append((k, " ".join(words)))
+    rows += [(100, rows[59][1] + " end"), (101, rows[59][1] + " the end")]
+    monkeypatch.setattr(near_dedup, "_matches", counted)
+    assert near(docs, rows, 85) == near_brute(rows, 85)
+    assert len(met) == 1 and met[0] < 2 * 60
+
+
+def test_near_members_that_share_what_their_centre_lacks(docs):
+    """Random families around a core, with words shared by some and words of their own."""
+    rng = random.Random(3)
+    rows = []
+    for g in range(6):
+        base = [f"g{g}w{i}" for i in range(120)]
+        for m in range(14):
+            words = list(base)
+            for _ in range(rng.randint(0, 5)):
+                place = rng.randrange(120)
+                words[place] = f"g{g}x{place}" if rng.random() < 0.6 else f"g{g}m{m}p{place}"
+            if rng.random() < 0.5:
+                words += [f"g{g}tail{i}" for i in range(rng.choice([3, 9, 20]))]
+            rows.append((100 * g + m, " ".join(words)))
+    for percent in (80, 85):
+        assert near(docs, rows, percent) == near_brute(rows, percent)
+
+
 def test_near_null_ids_repeats_and_empty(docs):
     got = near_dedup.near_duplicates(docs([(None, "a b c d e f"), (None, None), (4, "a b c d e f"), (4, "a b c d e f"), (5, "A b c d e f")]))
     rows = sorted([(r.doc_id, r.component_id, r.kept) for r in got.collect()], key=str)
