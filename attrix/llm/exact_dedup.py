@@ -5,7 +5,8 @@ normalised text.  The first round splits on the length and the first
 ``FIRST_WIDTH`` bytes, each later one on the next bytes, eight times as many
 as before.  A group that is down to one document, or whose bytes have ended,
 is settled and leaves; the rest goes on.  A group is named by the smallest
-doc_id in it, so equality never rests on a digest.
+doc_id in it and told apart by a number, as an id may repeat with other texts
+or be null; so equality never rests on a digest.
 
 The rows of a group meet only as partial aggregates (``min`` and ``count``);
 the group's name goes back by an equi-join, whose hot keys AQE can split.  So
@@ -25,10 +26,10 @@ GROWTH = 8
 
 
 def _named(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """``rows`` with the name and size of their group by ``keys``."""
+    """``rows`` with the name, size and number of their group by ``keys``."""
     groups = rows.groupBy(*keys).agg(F.min("doc_id").alias("name"), F.count(F.lit(1)).alias("size"))
-    groups = groups.filter("size > 1").select(*[F.col(k).alias(f"g_{k}") for k in keys], "name", "size")
-    # a table of its own, so that the join has two plain exchanges and AQE can split a hot group
+    groups = groups.filter("size > 1").select(*[F.col(k).alias(f"g_{k}") for k in keys], "name", "size", F.monotonically_increasing_id().alias("number"))
+    # a table of its own, so that the join has two plain exchanges and AQE can split a hot group, and numbers stay
     groups = materialize(groups, "radix-groups")
     same = [rows[k].eqNullSafe(groups[f"g_{k}"]) for k in keys]
     condition = same[0]
@@ -65,6 +66,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             "n_bytes",
             F.sha2("body", 256).alias("text_sha256"),
             "name",
+            "number",
             F.coalesce("size", F.lit(1)).alias("size"),
             going.alias("going"),
             F.when(going, F.col("body")).alias("body"),
@@ -81,13 +83,11 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             "doc_id",
             "n_bytes",
             "text_sha256",
-            F.col("name").alias("group"),
-            # groups whose documents all lack an id have no name: all bytes so far stand for it
-            F.when(F.col("name").isNull(), F.substring("body", 1, offset)).alias("path"),
+            F.col("number").alias("group"),
             F.substring("body", offset + 1, width).alias("digit"),
             "body",
         )
-        named = _named(rows, ["group", "path", "n_bytes", "digit"])
+        named = _named(rows, ["group", "digit"])
         offset += width
         width *= GROWTH
         going = F.col("size").isNotNull() & (F.col("n_bytes") > offset)
@@ -97,6 +97,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                 "n_bytes",
                 "text_sha256",
                 "name",
+                "number",
                 F.coalesce("size", F.lit(1)).alias("size"),
                 going.alias("going"),
                 F.when(going, F.col("body")).alias("body"),

@@ -4,7 +4,7 @@
    is cut into ``BANDS * rows`` equal bins, the smallest hash in each bin is
    the signature, and empty bins borrow by optimal densification: a bin's
    probe sequence, the same for all texts, is followed to the first full bin.
-2. Texts with equal sets are one class; only its smallest id goes on, so exact
+2. Texts with equal sets are one class; only its number goes on, so exact
    copies cost one row.
 3. Bands of ``rows`` bins are bucket keys.  At a similarity of 0.85 six rows
    and 40 bands miss a pair with probability 6e-9, at 0.8 five rows 1e-7.
@@ -89,6 +89,11 @@ def band_keys(sig: np.ndarray, rows: int) -> np.ndarray:
     return key
 
 
+def _digests(sets: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    at = zip(offsets[:-1].tolist(), offsets[1:].tolist())
+    return pa.array([hashlib.blake2b(sets[a:b].tobytes(), digest_size=16).digest() if b > a else None for a, b in at], pa.binary())
+
+
 def _features(rows: int, words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -97,10 +102,9 @@ def _features(rows: int, words: int):
                 sets, off = flat.shingle_sets(part.column(1), words)
                 keys = band_keys(signatures(sets, off, BANDS * rows), rows)
                 size = np.diff(off)
-                digest = [hashlib.blake2b(sets[a:b].tobytes(), digest_size=16).digest() if b > a else None for a, b in zip(off[:-1].tolist(), off[1:].tolist())]
                 bounds = np.concatenate(([0], np.cumsum(np.where(size > 0, BANDS, 0))))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(size, pa.int64()), pa.array(digest, pa.binary()), flat.long_lists(keys[size > 0].reshape(-1), bounds)],
+                    [part.column(0), pa.array(size, pa.int64()), _digests(sets, off), flat.long_lists(keys[size > 0].reshape(-1), bounds)],
                     ["doc_id", "n_shingles", "digest", "bands"],
                 )
 
@@ -113,7 +117,7 @@ def _sets(words: int):
             for at in range(0, batch.num_rows, 2000):
                 part = batch.slice(at, 2000)
                 sets, off = flat.shingle_sets(part.column(1), words)
-                yield pa.RecordBatch.from_arrays([part.column(0), flat.long_lists(sets, off)], ["id", "shingles"])
+                yield pa.RecordBatch.from_arrays([part.column(0), _digests(sets, off), flat.long_lists(sets, off)], ["id", "of", "shingles"])
 
     return run
 
@@ -161,20 +165,21 @@ def near_duplicates(
         base.mapInArrow(_features(rows, words), "doc_id long, n_shingles long, digest binary, bands array<long>"), "nd-features"
     )
     classes = features.filter("doc_id IS NOT NULL AND digest IS NOT NULL").groupBy("digest").agg(
-        F.min("doc_id").alias("rep"), F.first("bands").alias("bands")
+        F.min("doc_id").alias("first_id"), F.first("bands").alias("bands")
     )
-    # a table of its own, so that the join below has two plain exchanges and AQE can split a hot class
-    classes = materialize(classes, "nd-classes")
+    # a table of its own, so that the join below has two plain exchanges and AQE can split a hot class; an id may
+    # be the smallest of several classes, so they are numbered as they are written
+    classes = materialize(classes.withColumn("rep", F.monotonically_increasing_id()), "nd-classes")
     members = classes.select("rep", F.explode("bands").alias("band"))
     buckets = members.groupBy("band").agg(F.count(F.lit(1)).alias("width")).filter("width > 1")
     hot = materialize(members.join(buckets, "band"), "nd-hot")
     rank = hot.groupBy("rep").agg(F.sum("width").alias("rank"))
     active = materialize(hot.join(rank, "rep").select("band", "rep", "rank"), "nd-active")
-    wanted = rank.select(F.col("rep").alias("wanted"))
-    texts = base.join(wanted, base["doc_id"] == wanted["wanted"], "left_semi")
-    sets = materialize(
-        texts.mapInArrow(_sets(words), "id long, shingles array<long>").dropDuplicates(["id"]), "nd-sets"
-    )
+    wanted = classes.join(rank, "rep", "left_semi").select("rep", "first_id", F.col("digest").alias("wanted"))
+    texts = base.join(wanted, base["doc_id"] == wanted["first_id"], "left_semi")
+    texts = texts.mapInArrow(_sets(words), "id long, of binary, shingles array<long>").dropDuplicates(["id", "of"])
+    known = (F.col("id") == F.col("first_id")) & (F.col("of") == F.col("wanted"))
+    sets = materialize(texts.join(wanted, known).select(F.col("rep").alias("id"), "shingles"), "nd-sets")
     stars, found, label = None, [], None
     while True:
         centres = active.groupBy("band").agg(F.max(F.struct("rank", (-F.col("rep")).alias("minus"))).alias("c"))
@@ -195,11 +200,15 @@ def near_duplicates(
     if len(found) > 1:
         found.append(materialize(_unseen(stars, label, sets, percent), "nd-unseen"))
         label = components(_all(found), "nd-cc")
-    class_of = features.select("doc_id", "n_shingles", "digest").join(classes.select(F.col("digest").alias("d"), "rep"), F.col("digest") == F.col("d"), "left")
-    class_of = class_of.join(label, F.col("rep") == F.col("node"), "left")
+    first_ids = label.join(classes.select("rep", "first_id"), F.col("node") == F.col("rep")).groupBy("comp").agg(F.min("first_id").alias("component"))
+    first_ids = materialize(first_ids.withColumnRenamed("comp", "of_comp"), "nd-components")
+    class_of = features.select("doc_id", "n_shingles", "digest")
+    class_of = class_of.join(classes.select(F.col("digest").alias("d"), "rep", "first_id"), F.col("digest") == F.col("d"), "left")
+    named = label.join(first_ids, F.col("comp") == F.col("of_comp")).select("node", "component")
+    class_of = class_of.join(named, F.col("rep") == F.col("node"), "left")
     has_id = F.col("doc_id").isNotNull()
-    class_id = F.when(has_id, F.coalesce("rep", "doc_id"))
-    component = F.when(has_id, F.coalesce("comp", "rep", "doc_id"))
+    class_id = F.when(has_id, F.coalesce("first_id", "doc_id"))
+    component = F.when(has_id, F.coalesce("component", "first_id", "doc_id"))
     return class_of.select(
         "doc_id",
         F.col("n_shingles"),

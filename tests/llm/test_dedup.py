@@ -155,6 +155,25 @@ def test_near_members_that_share_what_their_centre_lacks(docs):
         assert near(docs, rows, percent) == near_brute(rows, percent)
 
 
+def test_near_one_id_on_long_texts_with_copies(docs):
+    """Each text of an id has its own class and its own near copies."""
+    texts = [[f"t{n}w{i}" for i in range(120)] for n in range(3)]
+    rows = [(1, " ".join(t)) for t in texts]
+    rows += [(10 + n, " ".join([*t, "end"])) for n, t in enumerate(texts)] + [(20, " ".join(texts[2]))]
+    got = near_dedup.near_duplicates(docs(rows), percent=85).collect()
+    assert sorted((r.doc_id, r.class_id, r.component_id, r.kept) for r in got) == [(1, 1, 1, True)] * 3 + [(10, 10, 1, False), (11, 11, 1, False), (12, 12, 1, False), (20, 1, 1, False)]
+    rows += [(0, " ".join(["new", *texts[1]]))]
+    got = near_dedup.near_duplicates(docs(rows), percent=85).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == [(0, 0), (1, 0), (1, 1), (1, 1), (10, 1), (11, 0), (12, 1), (20, 1)]
+
+
+def test_exact_one_id_on_long_texts_with_copies(docs):
+    """Texts of equal length that differ in their first bytes only."""
+    tail = "q" * 3000
+    rows = [(1, "a" + tail), (1, "b" + tail), (2, "a" + tail), (3, "b" + tail), (4, "b" + tail)]
+    assert exact(docs, rows) == exact_brute(rows)
+
+
 def test_near_null_ids_repeats_and_empty(docs):
     got = near_dedup.near_duplicates(docs([(None, "a b c d e f"), (None, None), (4, "a b c d e f"), (4, "a b c d e f"), (5, "A b c d e f")]))
     rows = sorted([(r.doc_id, r.component_id, r.kept) for r in got.collect()], key=str)
