@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import functools
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -120,11 +120,11 @@ class Automaton:
 
 
 class Scanner:
-    def __init__(self):
-        texts = [*BASE, *STATEMENTS]
-        self.labels = [*BASE.values(), *STATEMENTS.values()]
-        self.automaton = a = Automaton([tuple(t.encode().split()) for t in texts])
-        self.sizes = [len(t.split()) for t in texts]
+    def __init__(self, templates: tuple[tuple[str, str], ...]):
+        texts = [tuple(WORD.findall(t.encode().lower())) for t in [*BASE, *(t for t, _ in templates)]]
+        self.labels = [*BASE.values(), *(label for _, label in templates)]
+        self.automaton = a = Automaton(texts)
+        self.sizes = [len(t) for t in texts]
         #: By state, the base phrases (size, number) that its strings may end with.
         self.base: list[list[tuple[int, int]]] = [[] for _ in a.go]
         for n in range(len(BASE)):
@@ -179,26 +179,28 @@ class Scanner:
 
 
 @functools.cache
-def scanner() -> Scanner:
-    return Scanner()
+def scanner(templates: tuple[tuple[str, str], ...] = tuple(STATEMENTS.items())) -> Scanner:
+    return Scanner(templates)
 
 
-def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: Mapping[str, str] = STATEMENTS) -> DataFrame:
     """One row per input row: doc_id, n_words, base and spans.
 
     ``base`` has (word, label) for each place of a base phrase, ``spans`` has
     (start, end, label, covered) for each chain over half of a statement, in
-    words from 0, ends exclusive.  Null and empty texts have no words.  Ids are passed
+    words from 0, ends exclusive.  ``templates`` has the statements, or whole
+    licence texts, and their labels; it goes to every worker.  Null and empty texts have no words.  Ids are passed
     through (null, repeated); an empty table gives an empty result; other
     columns are ignored.
     """
     ship_code(docs.sparkSession)
     base = pick(docs, doc_id=id_col, text=text_col).select("doc_id", F.col("text").cast("string").alias("text"))
+    listed = tuple(templates.items())
     place = pa.struct([("word", pa.int64()), ("label", pa.string())])
     span = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("label", pa.string()), ("covered", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        s = scanner()
+        s = scanner(listed)
         for batch in batches:
             found = [s.scan((t.as_py() or "").encode()) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays(

@@ -81,6 +81,18 @@ def test_license_operator(docs):
     assert licenses.scan_licenses(docs([])).count() == 0
 
 
+def test_license_templates_of_any_length(docs):
+    """A whole text given as a template is found with edits, a half of it isn't."""
+    words = [f"term{i}" if i % 3 else "the" for i in range(900)]
+    text = " ".join(words)
+    edited = " ".join("changed" if i % 90 == 4 else w for i, w in enumerate(words))
+    rows = [(1, "Start. " + text.upper()), (2, edited), (3, " ".join(words[:400])), (4, "all rights reserved")]
+    got = licenses.digest(licenses.scan_licenses(docs(rows), templates={text.title(): "whole", "All rights, reserved!": "own"})).collect()
+    by = {r.doc_id: r for r in got}
+    assert [by[i].labels for i in (1, 2, 3, 4)] == ["whole", "whole", "", "own"]
+    assert by[1].score == 1.0 and by[2].score == 890 / 900 and by[3].score == 0.0
+
+
 def generalised(a, b):
     a, b = (collections.Counter(t.lower().split()) for t in (a, b))
     words = set(a) | set(b)
