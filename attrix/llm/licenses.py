@@ -164,17 +164,20 @@ class Scanner:
 
     def _chains(self, matches: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, float]]:
         """Matches (statement, word, place in it, words) to chains of one statement."""
-        out, open_ = [], {}
+        chains, open_, of = [], [], -1
         for n, at, place, size in sorted(matches):
-            for k in sorted(open_.get(n, []), key=lambda k: -k[3]):
+            # matches come by place: a chain that ended too far back can't go on
+            open_ = [k for k in open_ if k[2] + MAX_GAP >= at] if n == of else []
+            of = n
+            for k in sorted(open_, key=lambda k: -k[4]):
                 # the most covered chain that this match goes on
-                if k[1] <= at <= k[1] + MAX_GAP and k[2] <= place <= k[2] + MAX_GAP:
-                    k[1], k[2], k[3] = at + size, place + size, k[3] + size
+                if k[2] <= at <= k[2] + MAX_GAP and k[3] <= place <= k[3] + MAX_GAP:
+                    k[2], k[3], k[4] = at + size, place + size, k[4] + size
                     break
             else:
-                open_.setdefault(n, []).append([at, at + size, place + size, size])
-        for n, chains in open_.items():
-            out += [(n, first, end, covered / self.sizes[n]) for first, end, _, covered in chains if covered >= MIN_MATCH]
+                open_.append([n, at, at + size, place + size, size])
+                chains.append(open_[-1])
+        out = [(n, first, end, covered / self.sizes[n]) for n, first, end, _, covered in chains if covered >= MIN_MATCH]
         return sorted(out)
 
 
