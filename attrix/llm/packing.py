@@ -2,7 +2,8 @@
 
 Documents become pieces of at most ``length`` ids: one that is longer is cut
 without loss, and every piece knows its place.  Pieces are dealt to shards by
-a hash of (doc_id, piece), so a hot source or a very long document is spread;
+a hash of (doc_id, piece, ids, copy), so a hot source, a very long document or
+a row that repeats is spread;
 the number of shards follows the volume, so a shard fits a task.  In a shard,
 pieces go by decreasing size into the open row with the least room that
 suffices, found in a segment tree over the possible rooms.
@@ -14,10 +15,13 @@ cumulative segment lengths, and position ids that restart with each segment.
 from __future__ import annotations
 
 import functools
+import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -97,30 +101,41 @@ def encoding(path: str):
 
 
 def token_pieces(docs: DataFrame, path: str, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, piece, n, ids): the ids of each text, 32-bit little-endian, cut to at most ``length``."""
+    """(doc_id, piece, n, ids, copy): the ids of each text, 32-bit little-endian, cut to at most ``length``.
+
+    ``copy`` tells equal rows of one task apart: 0 for the first, from then on
+    a number of its own.  It depends on what rows a task has, not on their
+    order, so a task that runs again gives the same pieces.
+    """
     ship_code(docs.sparkSession)
     base = pick(docs, doc_id=id_col, text=text_col).select("doc_id", F.col("text").cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = encoding(path)
+        task, seen = TaskContext.get().partitionId() << 32, Counter()
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                take, piece, size, ids = [], [], [], []
-                for i, t in enumerate(part.column(1)):
-                    all_ids = np.array(tool.encode_ordinary(t.as_py() or ""), dtype="<u4")
+                take, piece, size, ids, copy = [], [], [], [], []
+                for i, (d, t) in enumerate(zip(part.column(0), part.column(1))):
+                    t = t.as_py() or ""
+                    row = hashlib.blake2b(f"{d.as_py()} {t}".encode(errors="surrogatepass"), digest_size=8).digest()
+                    before = seen[row]
+                    seen[row] += 1
+                    all_ids = np.array(tool.encode_ordinary(t), dtype="<u4")
                     for k, lo in enumerate(range(0, len(all_ids), length)):
                         cut = all_ids[lo : lo + length]
                         take.append(i)
                         piece.append(k)
                         size.append(len(cut))
                         ids.append(cut.tobytes())
+                        copy.append(task + before if before else 0)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(pa.array(take, pa.int64())), pa.array(piece, pa.int32()), pa.array(size, pa.int32()), pa.array(ids, pa.binary())],
-                    ["doc_id", "piece", "n", "ids"],
+                    [part.column(0).take(pa.array(take, pa.int64())), pa.array(piece, pa.int32()), pa.array(size, pa.int32()), pa.array(ids, pa.binary()), pa.array(copy, pa.int64())],
+                    ["doc_id", "piece", "n", "ids", "copy"],
                 )
 
-    return base.mapInArrow(run, f"doc_id {dict(base.dtypes)['doc_id']}, piece int, n int, ids binary")
+    return base.mapInArrow(run, f"doc_id {dict(base.dtypes)['doc_id']}, piece int, n int, ids binary, copy long")
 
 
 def pack_pieces(pieces: DataFrame, shards: int, length: int = LENGTH, pad: int = PAD) -> DataFrame:
@@ -164,7 +179,7 @@ def pack_pieces(pieces: DataFrame, shards: int, length: int = LENGTH, pad: int =
             names=["shard", "row_no", "n_tokens", "ids", "cu_seqlens", "position_ids", "doc_ids", "pieces"],
         )
 
-    dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", F.xxhash64("ids")), F.lit(shards)).cast("int"))
+    dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", F.xxhash64("ids"), "copy"), F.lit(shards)).cast("int")).drop("copy")
     schema = f"shard int, row_no int, n_tokens int, ids binary, cu_seqlens array<int>, position_ids binary, doc_ids array<{id_type}>, pieces array<int>"
     return dealt.groupBy("shard").applyInArrow(run, schema)
 

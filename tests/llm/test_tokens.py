@@ -1,6 +1,7 @@
 import base64
 import hashlib
 import random
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -119,6 +120,16 @@ def test_packing_is_lossless(docs, corpus, tik):
     assert packing.pack_documents(docs([]), RANKS).count() == 0
 
 
+def test_equal_rows_spread_over_shards(docs):
+    """The same row many times, without an id: no shard gets most of it."""
+    rows = [(None, "the same words again " * 20)] * 400
+    packed = packing.pack_documents(docs(rows), RANKS, length=256, shard_bytes=20_000).collect()
+    by_shard = Counter()
+    for r in packed:
+        by_shard[r.shard] += len(r.doc_ids)
+    assert sum(by_shard.values()) == 400 and len(by_shard) > 5 and max(by_shard.values()) < 100
+
+
 def test_rows_repeat_between_runs(spark, docs, corpus):
     def digest():
         rows = packing.pack_documents(docs(corpus), RANKS, length=256).collect()
