@@ -72,6 +72,25 @@ def test_concept_shift_row(spark):
     assert r["shift_occurred"] == (r["model_score"] >= 0.55)
 
 
+def test_concept_shift_scores_rows_it_was_not_fitted_on(spark, monkeypatch):
+    """Both sides alike: the AUC is that of the test split, not the best of the grid's cross-validation."""
+    v = views.v_drift(spark, SF)
+    sizes, real = [], tr.ev.roc_auc
+    monkeypatch.setattr(tr.ev, "roc_auc", lambda s, *a: (sizes.append(s.select("key", "split").distinct().groupBy("split").count().collect()), real(s, *a))[1])
+    small = {"maxDepth": [2], "minInstancesPerNode": [1], "featureSubsetStrategy": ["sqrt"]}
+    tr.concept_shift_report(v.where("side = 'train'"), v.where("side = 'prod'"), ["value"], ["event_type"], "key", "m1", folds=2, grid=small)
+    assert [{r["split"] for r in rows} for rows in sizes] == [{"train"}, {"train"}, {"test"}]
+
+
+def test_calibrated_cv_averages_its_folds(frame):
+    train, test = frame.where("split = 'train'"), frame.where("split = 'test'")
+    cv = tr.calibrated_cv(train, "key", _pipe(), folds=2)
+    got = {r["key"]: r["prob"] for r in cv.transform(test).select("key", "prob").collect()}
+    each = [{r["key"]: r["prob"] for r in m.transform(test).select("key", "prob").collect()} for m in cv.members]
+    assert len(each) == 2 and any(abs(each[0][k] - each[1][k]) > 1e-6 for k in got)
+    assert all(abs(p - (each[0][k] + each[1][k]) / 2) < 1e-9 for k, p in got.items())
+
+
 def test_bias_variance_refits(frame):
     train, test = frame.where("split = 'train'"), frame.where("split = 'test'")
     preds = tr.bootstrap_predictions(train, test, "key", _pipe(), rounds=3)
