@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attrix.llm import bpe, exact_dedup, fingerprints, licenses, mixing, near_dedup, packing, pii, quality, token_counts
+from attrix.llm import bpe, exact_dedup, fingerprints, licenses, mixing, near_dedup, packing, pii, quality, spelling, token_counts
 from attrix.llm.shared import read_documents
 from attrix.session import read_table
 
@@ -84,3 +84,8 @@ def op9(spark, sf_dir):
 @query("op10_minhash_near_dedup", near_dedup.SQL)
 def op10(spark, sf_dir):
     return near_dedup.near_duplicates(read_documents(spark, sf_dir), percent=85)
+
+
+@query("op11_spelling_variants", spelling.SQL)
+def op11(spark, sf_dir):
+    return spelling.spelling_variants(read_documents(spark, sf_dir))
