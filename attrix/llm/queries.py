@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attrix.llm import bpe, exact_dedup, fingerprints, licenses, mixing, near_dedup, packing, pii, quality, spelling, token_counts
+from attrix.llm import bpe, exact_dedup, fingerprints, licenses, mixing, near_dedup, packing, pii, quality, ranking, rules, spelling, token_counts
 from attrix.llm.shared import read_documents
 from attrix.session import read_table
 
@@ -89,3 +89,14 @@ def op10(spark, sf_dir):
 @query("op11_spelling_variants", spelling.SQL)
 def op11(spark, sf_dir):
     return spelling.spelling_variants(read_documents(spark, sf_dir))
+
+
+@query("op12_quality_rules")
+def op12(spark, sf_dir):
+    docs = read_documents(spark, sf_dir)
+    return rules.apply_rules(docs, rules.fit_rules(docs, read_table(spark, sf_dir, "labels")))
+
+
+@query("op13_ranked_search", ranking.SQL)
+def op13(spark, sf_dir):
+    return ranking.rank_documents(read_documents(spark, sf_dir), read_table(spark, sf_dir, "benchmark"))
