@@ -77,6 +77,15 @@ def ks_pvalue(d, n1, n2) -> Column:
     return kolmogorov_sf(_c(d) * F.sqrt(n1 * n2 / (n1 + n2)))
 
 
+def digamma(x) -> Column:
+    """psi(x) for x > 0: six steps of psi(x) = psi(x + 1) - 1/x, then the asymptotic series."""
+    x = _c(x).cast("double")
+    y = x + 6.0
+    w = 1.0 / (y * y)
+    tail = w * (1.0 / 12 - w * (1.0 / 120 - w * (1.0 / 252 - w * (1.0 / 240 - w / 132))))
+    return F.log(y) - 0.5 / y - tail - (1 / x + 1 / (x + 1) + 1 / (x + 2) + 1 / (x + 3) + 1 / (x + 4) + 1 / (x + 5))
+
+
 # DuckDB text of the same series, for oracle SQL.  {x} and {dof} are SQL expressions.
 CHI2_SF_SQL = (
     "CASE WHEN ({x}) IS NULL OR ({dof}) < 1 THEN NULL "
@@ -101,3 +110,12 @@ def chi2_sf_sql(x: str, dof: str) -> str:
 
 def kolmogorov_sf_sql(lam: str) -> str:
     return KOLMOGOROV_SF_SQL.format(lam=lam)
+
+
+def digamma_sql(x: str) -> str:
+    steps = " + ".join(f"1.0::DOUBLE / (({x}) + {i})" for i in range(6))
+    y = f"(({x}) + 6.0::DOUBLE)"
+    return (
+        f"(ln{y} - 0.5::DOUBLE / {y} - (1 / (12::DOUBLE * pow({y}, 2)) - 1 / (120::DOUBLE * pow({y}, 4)) + 1 / (252::DOUBLE * pow({y}, 6))"
+        f" - 1 / (240::DOUBLE * pow({y}, 8)) + 1 / (132::DOUBLE * pow({y}, 10))) - ({steps}))"
+    )

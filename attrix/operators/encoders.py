@@ -13,14 +13,26 @@ from collections.abc import Callable, Sequence
 from pyspark import keyword_only
 from pyspark.ml import Estimator, Model, Transformer
 from pyspark.ml.param.shared import Param, Params, TypeConverters
-from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
+from pyspark.ml.util import (
+    DefaultParamsReadable,
+    DefaultParamsReader,
+    DefaultParamsWritable,
+    DefaultParamsWriter,
+    MLReadable,
+    MLReader,
+    MLWritable,
+    MLWriter,
+)
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attrix.operators.aggregates import attach_rows, with_scalar
+from attrix.operators.aggregates import with_scalar
+from attrix.operators.kernels import exact_quantiles, row_numbers
+from attrix.session import materialize
 
 SPARSE_LABEL = "sparse_combined"
 SPARSITY_CUTOFF = 0.001
+LOWEST = -1.7976931348623157e308
 
 
 # ---------------------------------------------------------------- ENC-1
@@ -31,8 +43,9 @@ def sparse_levels(df: DataFrame, features: Sequence[str], cutoff: float = SPARSI
         [], list(features), "feature", "level"
     ).where(F.col("level").isNotNull())
     c = long.groupBy("feature", "level").agg(F.count(F.lit(1)).alias("_c"))
-    t = long.groupBy("feature").agg(F.count(F.lit(1)).alias("_t"))
-    return c.join(t, "feature").where(F.col("_c") / F.col("_t") <= cutoff).select("feature", "level")
+    # one total a column, from the counts: the rows are read once
+    totals = c.groupBy("feature").agg(F.sum("_c").alias("_t"))
+    return c.join(totals, "feature").where(F.col("_c") / F.col("_t") <= cutoff).select("feature", "level")
 
 
 def combine_sparse_levels(df: DataFrame, sparse: DataFrame, features: Sequence[str]) -> DataFrame:
@@ -90,27 +103,27 @@ def standard_scale(df: DataFrame, cols: Sequence[str], stats: DataFrame | None =
 
 
 # ---------------------------------------------------------------- ENC-6 / ENC-7 / ENC-8
-def _select_percentile(scores: DataFrame, percentile: float, order_col: str = "position") -> DataFrame:
-    """Keep scores above the (100 - p)th linear percentile of all scores; ties
-    at the threshold fill up to int(n * p / 100) features in column order."""
-    n_feat = scores.agg(F.count(F.lit(1)).alias("_nf"), F.percentile("score", 1.0 - percentile / 100.0).alias("_thr"))
-    j = with_scalar(scores, n_feat)
-    above = j.agg(F.sum(F.when(F.col("score") > F.col("_thr"), 1).otherwise(0)).alias("_gt"))
-    j = with_scalar(j, above)
-    from pyspark.sql import Window
-
-    tie_rank = F.sum(F.when(F.col("score") == F.col("_thr"), 1).otherwise(0)).over(
-        Window.orderBy(order_col).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    max_feats = F.floor(F.col("_nf") * F.lit(percentile) / 100.0)
-    keep = (F.col("score") > F.col("_thr")) | (
-        (F.col("score") == F.col("_thr")) & (tie_rank <= max_feats - F.col("_gt"))
-    )
-    if percentile >= 100:
-        keep = F.lit(True)
-    elif percentile <= 0:
-        keep = F.lit(False)
-    return j.withColumn("selected", keep).drop("_nf", "_thr", "_gt")
+def select_percentile(scores: DataFrame, percentile: float, order: str = "position") -> DataFrame:
+    """Column ``selected``: scores above the (100 - p)th linear percentile of all
+    scores; ties at the threshold fill up to int(n * p / 100) features by ``order``
+    (a unique column).
+
+    ``scores`` has a row a feature, which can be a row a level, so the threshold
+    comes from the quantile kernel and ties get distributed row numbers.  A
+    feature without a score (no variance) counts as the lowest."""
+    if percentile >= 100 or percentile <= 0:
+        return scores.withColumn("selected", F.lit(percentile >= 100))
+    scores = materialize(scores.withColumn("_s", F.coalesce("score", F.lit(LOWEST))), "feature-scores")
+    row = exact_quantiles(scores, [], "_s", [1.0 - percentile / 100.0]).first()
+    if row is None:
+        return scores.drop("_s").withColumn("selected", F.lit(False))
+    cut = F.lit(float(row["quantile"]))
+    n, above = scores.agg(F.count(F.lit(1)), F.count(F.when(F.col("_s") > cut, 1))).first()
+    room = int(n * percentile / 100.0) - above
+    ties = row_numbers(scores.where(F.col("_s") == cut), [order], out="_rn").where(F.col("_rn") <= room)
+    ties = ties.select(F.col(order).alias("_tie"), F.lit(True).alias("_in"))
+    j = scores.join(ties, scores[order] == ties["_tie"], "left")
+    return j.withColumn("selected", F.coalesce((F.col("_s") > cut) | F.col("_in"), F.lit(False))).drop("_tie", "_in", "_s")
 
 
 def f_classif_scores(df: DataFrame, label: str, features: Sequence[str], percentile: float = 10) -> DataFrame:
@@ -135,25 +148,41 @@ def f_classif_scores(df: DataFrame, label: str, features: Sequence[str], percent
     f = F.try_divide(F.try_divide(F.col("ssb"), F.col("k") - 1), F.try_divide(F.col("ssw"), F.col("n") - F.col("k")))
     pos = F.create_map(*[x for i, c in enumerate(features) for x in (F.lit(c), F.lit(i))])
     scores = s.select("feature", f.alias("score"), F.element_at(pos, F.col("feature")).alias("position"))
-    return _select_percentile(scores, percentile)
+    return select_percentile(scores, percentile)
+
+
+def level_class_counts(df: DataFrame, label: str, categorical: Sequence[str]) -> DataFrame:
+    """(column, level, class, obs): rows of each non-null level by class; the label
+    goes through the unpivot, so rows are read once and shuffled as partial counts."""
+    long = df.select(F.col(label).alias("_y"), *[F.col(c).cast("string").alias(c) for c in categorical])
+    long = long.unpivot(["_y"], list(categorical), "column", "level").where(F.col("level").isNotNull())
+    return long.groupBy("column", "level", "_y").agg(F.count(F.lit(1)).cast("double").alias("obs"))
+
+
+def chi2_from_counts(obs: DataFrame, classes: DataFrame) -> DataFrame:
+    """(column, level, score, n) from ``level_class_counts`` and ``class_shares``.
+
+    With e = share * n, the sum of (o - e)^2 / e over all classes is that of
+    o^2 / e less n, and a class without the level adds nothing to the former."""
+    g = obs.join(classes, obs["_y"].eqNullSafe(classes["class"])).groupBy("column", "level").agg(
+        F.sum(F.try_divide(F.col("obs") * F.col("obs"), F.col("share"))).alias("_q"), F.sum("obs").alias("n")
+    )
+    return g.select("column", "level", (F.col("_q") / F.col("n") - F.col("n")).alias("score"), F.col("n").cast("long").alias("n"))
+
+
+def class_shares(df: DataFrame, label: str) -> DataFrame:
+    """(class, share): one row a class."""
+    ny = df.groupBy(F.col(label).alias("class")).agg(F.count(F.lit(1)).alias("_ny"))
+    return with_scalar(ny, ny.agg(F.sum("_ny").alias("_n"))).select("class", (F.col("_ny") / F.col("_n")).alias("share"))
 
 
 def chi2_scores(df: DataFrame, label: str, key: str, categorical: Sequence[str], percentile: float = 10) -> DataFrame:
     """ENC-7: scikit-learn's chi2 on one-hot indicators: observed = per-class
     sum of the feature, expected = class share x feature total;
     chi2 = sum (obs - exp)^2 / exp.  Built from sparse (feature, class) counts."""
-    oh = one_hot_long(df, key, categorical)
-    y = df.select(key, F.col(label).alias("_y"))
-    obs = oh.join(y, key).groupBy("feature", "_y").agg(F.sum("value").alias("obs"))
-    cls = y.groupBy("_y").agg(F.count(F.lit(1)).alias("ny"))
-    n = y.agg(F.count(F.lit(1)).alias("n"))
-    feats = obs.groupBy("feature").agg(F.sum("obs").alias("ft"))
-    # a class without the feature adds its expected count, and these add up to
-    # the feature's total over all classes: only the classes present are needed
-    g = with_scalar(obs.join(cls, "_y").join(feats, "feature"), n)
-    e = F.col("ny") / F.col("n") * F.col("ft")
-    s = g.groupBy("feature").agg((F.sum(F.try_divide(F.pow(F.col("obs") - e, 2), e) - e) + F.max("ft")).alias("score"))
-    return _select_percentile(s.withColumn("position", F.col("feature")), percentile)
+    s = chi2_from_counts(level_class_counts(df, label, categorical), class_shares(df, label))
+    s = s.select(F.concat_ws("=", "column", "level").alias("feature"), "score")
+    return select_percentile(s.withColumn("position", F.col("feature")), percentile)
 
 
 def variance_filter(df: DataFrame, key: str, categorical: Sequence[str], numeric: Sequence[str], threshold: float = 0.0):
@@ -201,6 +230,51 @@ class FrameStage(Transformer):
         return self.fn(dataset, **self.kwargs)
 
 
+class TableModel(Model, MLReadable, MLWritable):
+    """A fitted model whose state is one table, kept beside its parameters.
+
+    Fitting leaves the table in the shared folder and ``save`` copies it into
+    the model folder, so its rows (levels of a column, say) never pass through
+    the driver; applying joins it.
+    """
+
+    def __init__(self, table: DataFrame | None = None, **params):
+        super().__init__()
+        self.table = table
+        self._set(**params)
+
+    def write(self) -> MLWriter:
+        return _TableModelWriter(self)
+
+    @classmethod
+    def read(cls) -> MLReader:
+        return _TableModelReader(cls)
+
+    def copy(self, extra=None):
+        that = super().copy(extra)
+        that.table = self.table
+        return that
+
+
+class _TableModelWriter(DefaultParamsWriter):
+    def saveImpl(self, path: str) -> None:
+        super().saveImpl(path)
+        self.instance.table.write.parquet(f"{path}/table")
+
+
+class _TableModelReader(MLReader):
+    def __init__(self, cls: type[TableModel]):
+        super().__init__()
+        self.cls = cls
+
+    def load(self, path: str) -> TableModel:
+        metadata = DefaultParamsReader.loadMetadata(path, self.sparkSession)
+        model = self.cls(self.sparkSession.read.parquet(f"{path}/table"))
+        model._resetUid(metadata["uid"])
+        DefaultParamsReader.getAndSetParams(model, metadata)
+        return model
+
+
 class _LevelParams(Params):
     inputCols = Param(Params._dummy(), "inputCols", "categorical columns", TypeConverters.toListString)
     cutoff = Param(Params._dummy(), "cutoff", "sparsity cutoff (share <= cutoff)", TypeConverters.toFloat)
@@ -208,8 +282,7 @@ class _LevelParams(Params):
 
 
 class CombineSparseLevels(Estimator, _LevelParams, DefaultParamsReadable, DefaultParamsWritable):
-    """UDF-2 / ENC-1 as an Estimator.  The fitted model keeps the sparse levels
-    as a parameter (the reference keeps the same list in its model)."""
+    """UDF-2 / ENC-1 as an Estimator; the sparse levels are the model's table."""
 
     @keyword_only
     def __init__(self, inputCols=None, cutoff=SPARSITY_CUTOFF, enabled="yes"):
@@ -219,31 +292,14 @@ class CombineSparseLevels(Estimator, _LevelParams, DefaultParamsReadable, Defaul
 
     def _fit(self, dataset: DataFrame) -> "CombineSparseLevelsModel":
         cols = self.getOrDefault(self.inputCols)
-        rows = sparse_levels(dataset, cols, self.getOrDefault(self.cutoff)).collect()
-        enc = [f"{r['feature']}\u0001{r['level']}" for r in rows]
-        return CombineSparseLevelsModel(inputCols=cols, levels=enc, enabled=self.getOrDefault(self.enabled))
-
+        levels = materialize(sparse_levels(dataset, cols, self.getOrDefault(self.cutoff)), "sparse-levels")
+        return CombineSparseLevelsModel(levels, inputCols=cols, enabled=self.getOrDefault(self.enabled))
 
-class CombineSparseLevelsModel(Model, DefaultParamsReadable, DefaultParamsWritable):
-    inputCols = Param(Params._dummy(), "inputCols", "categorical columns", TypeConverters.toListString)
-    levels = Param(Params._dummy(), "levels", "feature\\x01level pairs to combine", TypeConverters.toListString)
-    enabled = Param(Params._dummy(), "enabled", "'yes' to combine", TypeConverters.toString)
 
-    @keyword_only
-    def __init__(self, inputCols=None, levels=None, enabled="yes"):
-        super().__init__()
-        self._set(**self._input_kwargs)
+class CombineSparseLevelsModel(TableModel, _LevelParams):
+    """Table: (feature, level) pairs to combine."""
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
         if self.getOrDefault(self.enabled) != "yes":
             return dataset
-        by_col: dict[str, list[str]] = {}
-        for s in self.getOrDefault(self.levels):
-            f, lv = s.split("\u0001", 1)
-            by_col.setdefault(f, []).append(lv)
-        out = dataset
-        for c in self.getOrDefault(self.inputCols):
-            lv = by_col.get(c)
-            if lv:
-                out = out.withColumn(c, F.when(F.col(c).isin(lv), F.lit(SPARSE_LABEL)).otherwise(F.col(c)))
-        return out
+        return combine_sparse_levels(dataset, self.table, self.getOrDefault(self.inputCols))

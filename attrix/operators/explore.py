@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from attrix.operators.aggregates import attach_rows, category_dispersion, category_target_connection, with_scalar
 from attrix.operators.evaluate import density_points
 from attrix.operators.kernels import qcut
+from attrix.operators.neighbours import neighbour_information
 
 HIGH_CORRELATION = 0.98
 MIN_SUPPORT = 0.1
@@ -154,16 +155,17 @@ def _plugin_mi(cells: DataFrame, feat: str, x: str, y: str, n_col: str = "n") ->
 
 
 def mutual_information(
-    df: DataFrame, target: str, categorical: Sequence[str], numeric: Sequence[str], numeric_bins: int = 10
+    df: DataFrame, target: str, categorical: Sequence[str], numeric: Sequence[str], key: str = "key", neighbours: int = 3
 ) -> DataFrame:
     """EXP-3: MI (nats) of each dummy indicator and each numeric feature with the target.
 
     Dummies: exact plug-in MI of the 0/1 indicator, built from sparse
     (column, level, y) counts — the zero cells come from the class totals, so
-    no dense indicator matrix is formed.  Numerics: mean-imputed, then
-    plug-in MI over qcut bins (stated approximation of the k-NN estimator).
+    no dense indicator matrix is formed.  Numerics: mean-imputed, then the
+    nearest-neighbour estimator, with ties broken by a hash of ``key`` (unique)
+    where the reference adds random noise.  Columns without a value go.
     """
-    y = F.col(target).cast("string").alias("_y")
+    y = F.coalesce(F.col(target).cast("string"), F.lit("nan")).alias("_y")
     parts = []
     if categorical:
         long = df.select(y, *[F.col(c).cast("string").alias(c) for c in categorical]).unpivot(
@@ -180,13 +182,11 @@ def mutual_information(
         parts.append(_plugin_mi(c1.unionByName(c0), "attribute", "x", "_y"))
     if numeric:
         means = df.agg(*[F.avg(c).alias(f"_m_{c}") for c in numeric])
-        imp = with_scalar(df.select(y, *numeric), means).select(
-            "_y", *[F.coalesce(F.col(c).cast("double"), F.col(f"_m_{c}")).alias(c) for c in numeric]
+        imp = with_scalar(df.select(F.col(key).alias("key"), y, *numeric), means).select(
+            "key", F.col("_y").alias("class"), *[F.coalesce(F.col(c).cast("double"), F.col(f"_m_{c}")).alias(c) for c in numeric]
         )
-        long = imp.unpivot(["_y"], list(numeric), "attribute", "_x")
-        binned = qcut(long, "_x", numeric_bins, groups=["attribute"], out="x")
-        cells = binned.groupBy("attribute", "x", "_y").agg(F.count(F.lit(1)).alias("n"))
-        parts.append(_plugin_mi(cells, "attribute", "x", "_y"))
+        long = imp.unpivot(["key", "class"], list(numeric), "attribute", "x")
+        parts.append(neighbour_information(long, neighbours))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -460,7 +460,7 @@ def explore_all(df: DataFrame, key: str, target: str, categorical: Sequence[str]
         "projection": projection_2d(df, key, target, numeric),
         "summary": summary_statistics(df, target, numeric, categorical),
         "correlation": correlated_features(df, categorical, numeric),
-        "mutual_information": mutual_information(df, target, categorical, numeric),
+        "mutual_information": mutual_information(df, target, categorical, numeric, key),
         "predictive_power": predictive_power(df, key, target, categorical, numeric),
         "clusters": clustered,
         "rules": rules,

@@ -11,16 +11,13 @@ import random
 from collections.abc import Callable, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import (
     Imputer,
     OneHotEncoder,
     SQLTransformer,
-    StandardScaler,
     StringIndexer,
-    UnivariateFeatureSelector,
-    VarianceThresholdSelector,
     VectorAssembler,
 )
 from pyspark.ml.functions import vector_to_array
@@ -29,8 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from attrix.operators import evaluate as ev
-from attrix.operators.encoders import CombineSparseLevels
 from attrix.operators.kernels import hash_order
+from attrix.operators.stages import feature_lineage, feature_stages, transform_only  # noqa: F401  (ENC-9)
 from attrix.operators.windows import train_test_split
 
 # Fixed values from the reference's training configuration.
@@ -61,99 +58,11 @@ def training_frame(df: DataFrame, key: str, target: str, drop: Sequence[str] = (
 
 
 # ---------------------------------------------------------------- ENC-11
-def feature_stages(
-    numeric: Sequence[str],
-    categorical: Sequence[str],
-    date_col: str | None = None,
-    clips: Sequence[tuple[str, float, float, str]] = (),
-    ratios: Sequence[tuple[str, str]] = (),
-    log_cols: Sequence[str] = (),
-    num_percentile: float = 10.0,
-    cat_percentile: float = 10.0,
-    combine_cutoff: float = 0.001,
-) -> list:
-    """ENC-11: the reference's preprocessing as persistable MLlib stages:
-    SQL feature steps (clips, ratios, logs, date parts, fill) -> sparse-level
-    combining -> one-hot (unseen levels -> all zeros) -> mean imputation ->
-    scaling -> percentile selection per branch -> variance filter.
-
-    Deviations (stated): MLlib ``StandardScaler`` uses the sample sigma; the
-    categorical selector uses MLlib's contingency chi-square."""
-    sel = ["*"]
-    num = list(numeric)
-    clipped: dict[str, str] = {}
-    for c, cut, new, kind in clips:
-        op = ">" if kind == "upper" else "<"
-        x = clipped.get(c, f"`{c}`")  # bounds of one column apply one after the other
-        clipped[c] = f"(CASE WHEN {x} {op} {cut} THEN {new} ELSE {x} END)"
-    sel += [f"{x} AS `{c}__clip`" for c, x in clipped.items()]
-    for a, b in ratios:
-        x, y = (clipped.get(c, f"`{c}`") for c in (a, b))  # the reference clips first
-        sel.append(f"try_divide(CAST({x} AS DOUBLE), nullif(CAST({y} AS DOUBLE), 0D)) AS `{a}_{b}_ratio`")
-        num.append(f"{a}_{b}_ratio")
-    for c in log_cols:
-        x = clipped.get(c, f"`{c}`")
-        sel.append(f"CASE WHEN {x} = 0 THEN 0D WHEN {x} > 0 THEN ln({x}) END AS `{c}__log`")
-    cats = list(categorical)
-    if date_col:
-        d = f"try_to_date(`{date_col}`)"
-        sel += [f"CAST(month({d}) AS STRING) AS month", f"concat('q', quarter({d})) AS quarter", f"CAST(year({d}) AS STRING) AS year"]
-        cats += ["month", "quarter", "year"]
-    sql = SQLTransformer(statement=f"SELECT {', '.join(sel)} FROM __THIS__")
-    # replace clipped / logged columns by their transformed versions
-    num_out = [f"{c}__log" if c in log_cols else f"{c}__clip" if c in clipped else c for c in num]
-    fill = SQLTransformer(
-        statement="SELECT *, "
-        + ", ".join(f"coalesce(nullif(CAST(`{c}` AS STRING), 'nan'), 'missing') AS `{c}__f`" for c in cats)
-        + " FROM __THIS__"
-    )
-    cf = [f"{c}__f" for c in cats]
-    combine = CombineSparseLevels(inputCols=cf, cutoff=combine_cutoff)
-    idx = StringIndexer(inputCols=cf, outputCols=[f"{c}__i" for c in cf], handleInvalid="keep", stringOrderType="alphabetAsc")
-    ohe = OneHotEncoder(inputCols=[f"{c}__i" for c in cf], outputCols=[f"{c}__v" for c in cf], dropLast=True, handleInvalid="error")
-    imp = Imputer(inputCols=num_out, outputCols=[f"{c}__m" for c in num_out], strategy="mean")
-    va_num = VectorAssembler(inputCols=[f"{c}__m" for c in num_out], outputCol="_num_vec", handleInvalid="keep")
-    scale = StandardScaler(inputCol="_num_vec", outputCol="_num_scaled", withMean=True, withStd=True)
-    sel_num = UnivariateFeatureSelector(featuresCol="_num_scaled", outputCol="_num_sel", labelCol="label",
-                                        selectionMode="percentile")
-    sel_num.setFeatureType("continuous").setLabelType("categorical").setSelectionThreshold(num_percentile / 100.0)
-    va_cat = VectorAssembler(inputCols=[f"{c}__v" for c in cf], outputCol="_cat_vec")
-    sel_cat = UnivariateFeatureSelector(featuresCol="_cat_vec", outputCol="_cat_sel", labelCol="label",
-                                        selectionMode="percentile")
-    sel_cat.setFeatureType("categorical").setLabelType("categorical").setSelectionThreshold(cat_percentile / 100.0)
-    both = VectorAssembler(inputCols=["_num_sel", "_cat_sel"], outputCol="_both")
-    var = VarianceThresholdSelector(featuresCol="_both", outputCol="features", varianceThreshold=0.0)
-    return [sql, fill, combine, idx, ohe, imp, va_num, scale, sel_num, va_cat, sel_cat, both, var]
-
-
 def build_pipeline(model, **spec) -> Pipeline:
     """ENC-11: feature stages followed by the classifier (reads 'features'/'label')."""
     return Pipeline(stages=[*feature_stages(**spec), model])
 
 
-def transform_only(model: PipelineModel) -> PipelineModel:
-    """ENC-9: everything but the final model (the encoded feature matrix)."""
-    return PipelineModel(stages=model.stages[:-1])
-
-
-def feature_lineage(model: PipelineModel) -> list[str]:
-    """ENC-9: names of the encoded inputs surviving both selectors and the
-    variance filter (from the fitted stages' metadata)."""
-    stages = model.stages
-    sel_num, sel_cat, var = stages[8], stages[10], stages[12]
-    imp = stages[5]
-    num_names = [c.removesuffix("__m") for c in imp.getOutputCols()]
-    idx = stages[3]
-    cat_names = []
-    for col, labels in zip(idx.getInputCols(), idx.labelsArray):
-        cat_names += [f"{col.removesuffix('__f')}={lv}" for lv in labels]
-    num_kept = [num_names[i] for i in sel_num.selectedFeatures]
-    # the slot of unseen levels is the one that the encoder drops, so slots are levels
-    cat_kept = [cat_names[i] for i in sel_cat.selectedFeatures]
-    both = num_kept + cat_kept
-    return [both[i] for i in var.selectedFeatures]
-
-
 # ---------------------------------------------------------------- TRN-4/5/6
 def model_family(name: str, params: Mapping | None = None):
     """TRN-4 random forest, TRN-5 'extra trees' re-aimed as a forest without

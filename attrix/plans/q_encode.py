@@ -3,12 +3,14 @@
 
 from __future__ import annotations
 
+from pyspark.ml import Pipeline
 from pyspark.sql import functions as F
 
 from attrix.functions.stats import chi2_sf_sql
 from attrix.operators import compare as cm
 from attrix.operators import encoders as en
 from attrix.operators import evaluate as ev
+from attrix.operators import stages as sg
 from attrix.operators.explore import dummies_long
 from attrix.operators.leaderboard import cv_leaderboard, fold_of
 from attrix.operators.projections import pivot_folds
@@ -242,6 +244,77 @@ def enc10(spark, d):
     return en.non_dummy_columns(o, ["target_eq", "cat_a_nan", "num_b", "num_c", "big_qty"])
 
 
+# ---------------------------------------------------------------- feature matrix
+MATRIX_SPEC = {
+    "numeric": NUMS,
+    "categorical": CATS,
+    "date_col": "acquired_date",
+    "clips": [("num_b", 0, 0, "lower")],
+    "ratios": [("num_a", "num_c")],
+    "log_cols": ["num_a"],
+    "num_percentile": 60,
+    "cat_percentile": 40,
+    "combine_cutoff": SPARSE_CUT,
+    "conform": {**{c: "double" for c in NUMS}, **{c: "string" for c in [*CATS, "acquired_date"]}},
+}
+_MATRIX_NUMS = ["num_a__log", "num_a_num_c_ratio", "num_b__clip", "num_c"]
+_MATRIX_CATS = [*CATS, "month", "quarter", "year"]
+MATRIX_SQL = f"""b AS (SELECT key, CASE WHEN target = 'yes' THEN 1 ELSE 0 END AS label,
+  CASE WHEN num_a = 0 THEN 0 WHEN num_a > 0 THEN ln(num_a) END AS num_a__log, num_a / nullif(num_c, 0) AS num_a_num_c_ratio,
+  CASE WHEN num_b < 0 THEN 0 ELSE num_b END AS num_b__clip, num_c::DOUBLE AS num_c,
+  {", ".join(f"coalesce({c}, 'missing') AS {c}" for c in CATS)}, CAST(month(CAST(acquired_date AS DATE)) AS VARCHAR) AS month,
+  'q' || quarter(CAST(acquired_date AS DATE)) AS quarter, CAST(year(CAST(acquired_date AS DATE)) AS VARCHAR) AS year FROM v_obs),
+nl AS ({_u("SELECT key, label, '{c}' AS feature, {c}::DOUBLE AS x FROM b", _MATRIX_NUMS)}),
+ms AS (SELECT feature, avg(x) AS mean FROM nl GROUP BY 1),
+nf AS (SELECT key, label, feature, coalesce(x, mean) AS x, mean FROM nl JOIN ms USING (feature)),
+sd AS (SELECT feature, stddev_pop(x) AS sigma, avg(x) AS m, count(*) AS n FROM nf GROUP BY 1),
+pc AS (SELECT feature, label, count(*) AS nc, avg(x) AS mc, var_pop(x) AS vc FROM nf GROUP BY 1, 2),
+fs AS (SELECT feature, (sum(nc * pow(mc - m, 2)) / (count(*) - 1)) / (sum(nc * vc) / (max(n) - count(*))) AS score FROM pc JOIN sd USING (feature) GROUP BY 1),
+ft AS (SELECT quantile_cont(score, 0.4) AS thr, count(*) AS n FROM fs),
+fr AS (SELECT feature, score > thr AS up, score = thr AS tie, n, sum((score > thr)::INT) OVER () AS ups,
+  sum((score = thr)::INT) OVER (ORDER BY feature ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS tr FROM fs, ft),
+nk AS (SELECT feature, mean, sigma, row_number() OVER (ORDER BY feature) - 1 AS slot FROM fr JOIN ms USING (feature) JOIN sd USING (feature)
+  WHERE (up OR (tie AND tr <= floor(fr.n * 0.6) - ups)) AND sigma > 0),
+cl AS ({_u("SELECT key, label, '{c}' AS c, {c} AS lv FROM b", _MATRIX_CATS)}),
+sp AS (SELECT c, lv FROM (SELECT c, lv, count(*) AS k, sum(count(*)) OVER (PARTITION BY c) AS t FROM cl GROUP BY 1, 2) WHERE k / t <= {SPARSE_CUT}::DOUBLE),
+cc AS (SELECT key, label, cl.c, CASE WHEN sp.lv IS NULL THEN cl.lv ELSE 'sparse_combined' END AS lv FROM cl LEFT JOIN sp ON cl.c = sp.c AND cl.lv = sp.lv),
+sh AS (SELECT label, count(*) / (SELECT count(*) FROM b) AS share FROM b GROUP BY 1),
+ob AS (SELECT c, lv, label, count(*)::DOUBLE AS o FROM cc GROUP BY 1, 2, 3),
+lt AS (SELECT c, lv, sum(o) AS n FROM ob GROUP BY 1, 2),
+cs AS (SELECT lt.c, lt.lv, lt.n, sum(pow(coalesce(o, 0) - share * n, 2) / (share * n)) AS score FROM lt CROSS JOIN sh
+  LEFT JOIN ob ON ob.c = lt.c AND ob.lv = lt.lv AND ob.label = sh.label GROUP BY 1, 2, 3),
+ct AS (SELECT quantile_cont(score, 0.6) AS thr, count(*) AS nf FROM cs),
+lk AS (SELECT c, lv, row_number() OVER (ORDER BY c, lv) - 1 + (SELECT count(*) FROM nk) AS slot FROM cs, ct
+  WHERE score > thr AND n < (SELECT count(*) FROM b))"""
+
+
+def _fitted_matrix(spark, d):
+    o = obs_once(spark, d).withColumn("label", F.when(F.col("target") == "yes", 1).otherwise(0))
+    return Pipeline(stages=sg.feature_stages(**MATRIX_SPEC)).fit(o), o
+
+
+@query(
+    "enc11_feature_matrix",
+    f"""WITH {MATRIX_SQL}
+SELECT key, feature, round((x - nk.mean) / sigma, 6) AS value FROM nf JOIN nk USING (feature) WHERE (x - nk.mean) / sigma <> 0
+UNION ALL SELECT key, lk.c || '=' || lk.lv, 1.0::DOUBLE FROM cc JOIN lk ON cc.c = lk.c AND cc.lv = lk.lv""",
+    ("v_obs",),
+)
+def enc11(spark, d):
+    model, o = _fitted_matrix(spark, d)
+    return r6(sg.feature_rows(model.transform(o), sg.feature_lineage(model)))
+
+
+@query(
+    "enc9_feature_lineage",
+    f"""WITH {MATRIX_SQL}
+SELECT CAST(slot AS BIGINT) AS slot, feature FROM nk UNION ALL SELECT CAST(slot AS BIGINT), c || '=' || lv FROM lk""",
+    ("v_obs",),
+)
+def enc9(spark, d):
+    return sg.feature_lineage(_fitted_matrix(spark, d)[0])
+
+
 # ---------------------------------------------------------------- leaderboard
 FOLD_SQL = """fs AS (SELECT trial, CAST(('0x' || substr(md5(CAST(key AS VARCHAR)), 1, 15))::BIGINT % 5 AS INTEGER) AS fold,
        label, p FROM (SELECT key, label, 'prob' AS trial, prob AS p FROM v_pred UNION ALL

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from attrix.functions.stats import digamma_sql
 from attrix.operators import aggregates as ag
 from attrix.operators import explore as ex
+from attrix.operators.neighbours import FAR
 from attrix.plans import views
 from attrix.plans.common import obs_once, preds, r6
 from attrix.plans.registry import query
@@ -158,14 +160,21 @@ fl AS (SELECT a.attribute, cy.y, cy.ny, coalesce(ly.n1, 0) AS n1
        FROM (SELECT DISTINCT attribute FROM ly) a CROSS JOIN cy
        LEFT JOIN ly ON ly.attribute = a.attribute AND ly.y = cy.y),
 mm AS (SELECT avg(num_a) AS ma, avg(num_b) AS mb, avg(num_c) AS mc FROM v_obs),
-nl AS (SELECT target AS y, 'num_a' AS attribute, coalesce(num_a, ma) AS x FROM v_obs, mm
-       UNION ALL SELECT target, 'num_b', coalesce(num_b, mb) FROM v_obs, mm
-       UNION ALL SELECT target, 'num_c', coalesce(num_c, mc) FROM v_obs, mm),
-ed AS (SELECT attribute, list_sort(list_distinct(quantile_cont(x, {DECILES}))) AS e FROM nl GROUP BY 1),
-nb AS (SELECT nl.attribute, 1 + len(list_filter(e, lambda v: x > v)) AS x, y FROM nl JOIN ed ON nl.attribute = ed.attribute),
+nl AS (SELECT key, target AS y, 'num_a' AS attribute, coalesce(num_a, ma)::DOUBLE AS x FROM v_obs, mm
+       UNION ALL SELECT key, target, 'num_b', coalesce(num_b, mb) FROM v_obs, mm
+       UNION ALL SELECT key, target, 'num_c', coalesce(num_c, mc) FROM v_obs, mm),
+bd AS (SELECT attribute, min(x) AS lo, CASE WHEN max(x) > min(x) THEN pow(2, ceil(log2((max(x) - min(x)) / pow(2, 61)))) ELSE 1 END AS u FROM nl GROUP BY 1),
+pt AS (SELECT attribute, key, y, CAST(round((x - lo) / u) AS BIGINT)
+         + (('0x' || substr(md5(CAST(key AS VARCHAR) || '-' || attribute), 1, 15))::BIGINT >> 30) AS p FROM nl JOIN bd USING (attribute)),
+nn AS (SELECT *, count(*) OVER (PARTITION BY attribute, y) AS sz,
+         {", ".join(f"coalesce(p - lag(p, {j}) OVER w, {FAR}) AS l{j}, coalesce(lead(p, {j}) OVER w - p, {FAR}) AS r{j}" for j in (1, 2, 3))}
+       FROM pt WINDOW w AS (PARTITION BY attribute, y ORDER BY p, key)),
+rd AS (SELECT attribute, key, p, sz, greatest(least(l3, greatest(l2, r1), greatest(l1, r2), r3) - 1, 0) AS r FROM nn WHERE sz > 3),
+wn AS (SELECT attribute, sz, count(*) OVER (PARTITION BY attribute ORDER BY p RANGE BETWEEN r PRECEDING AND r FOLLOWING) AS m FROM rd),
+ks AS (SELECT attribute, greatest({digamma_sql('count(*)')} + avg({digamma_sql('3')} - {digamma_sql('sz')} - {digamma_sql('m')}), 0.0) AS score
+       FROM wn GROUP BY attribute),
 cells AS (SELECT attribute, 1 AS x, y, n1::DOUBLE AS n FROM fl
-          UNION ALL SELECT attribute, 0, y, (ny - n1)::DOUBLE FROM fl
-          UNION ALL SELECT attribute, x, y, count(*)::DOUBLE FROM nb GROUP BY attribute, x, y),
+          UNION ALL SELECT attribute, 0, y, (ny - n1)::DOUBLE FROM fl),
 px AS (SELECT attribute, x, sum(n) AS nx FROM cells GROUP BY 1, 2),
 py AS (SELECT attribute, y, sum(n) AS nyy FROM cells GROUP BY 1, 2),
 tt AS (SELECT attribute, sum(n) AS nt FROM cells GROUP BY 1),
@@ -175,7 +184,7 @@ mi AS (SELECT c.attribute, greatest(sum(c.n / tt.nt * ln(c.n * tt.nt / (px.nx *
        WHERE c.n > 0 GROUP BY c.attribute)"""
 
 
-@query("exp3_mutual_information", f"WITH {MI_SQL} SELECT attribute, round(score, 6) AS score FROM mi", ("v_obs",))
+@query("exp3_mutual_information", f"WITH {MI_SQL} SELECT attribute, round(score, 6) AS score FROM mi UNION ALL SELECT attribute, round(score, 6) FROM ks", ("v_obs",))
 def exp3(spark, d):
     return r6(ex.mutual_information(obs_once(spark, d), "target", CATS, NUMS))
 
