@@ -1,9 +1,10 @@
 """Byte-level BPE encoding and decoding by ranks, with a two-tier lookup.
 
 Tier one: a minimal perfect hash over the vocabulary resolves every piece that
-is itself a token, for a whole block of pieces at once.  Tier two: the other
-pieces, each distinct one once, are merged with a heap over linked bytes, and
-the latest of them are remembered in two generations of ``MEMO``.
+is itself a token, for all distinct pieces of a block at once; it names one
+token, and the bytes are compared.  Tier two: the other pieces are merged with
+a heap over linked bytes, and the latest of them are remembered in two
+generations of ``MEMO``.
 """
 
 from __future__ import annotations
@@ -20,9 +21,8 @@ from pyspark.sql import functions as F
 
 from attrix.llm import flat, pretokens
 from attrix.llm.shared import pick, ship_code
-from attrix.llm.token_counts import byte_slices
 
-MEMO = 150_000  # of a generation; there are two
+MEMO, MEMO_BYTES = 150_000, 64  # pieces of a generation (there are two), and bytes of a piece at most
 DECODE_IDS = 1 << 19
 SLICE = 1 << 21
 U64 = np.uint64
@@ -105,8 +105,8 @@ class Codec:
         size = np.zeros(int(self.ids.max()) + 2, dtype=np.int64)
         size[self.ids.astype(np.int64) + 1] = np.diff(off)
         self.pool, self.pool_off = pool, np.cumsum(size)
-        self.memo: dict[int, bytes] = {}
-        self.older: dict[int, bytes] = {}
+        self.memo: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
 
     @functools.cached_property
     def hash(self) -> PerfectHash:
@@ -140,37 +140,52 @@ class Codec:
             i = end[i]
         return out
 
+    def find(self, body: np.ndarray, off: np.ndarray) -> np.ndarray:
+        """Index of each string among the tokens, -1 for those that aren't one."""
+        found = self.hash.find(flat.span_hashes(body, off[:-1], off[1:]))
+        hit = np.flatnonzero(found >= 0)
+        size = off[hit + 1] - off[hit]
+        token = found[hit]
+        fits = self.token_off[token + 1] - self.token_off[token] == size
+        found[hit[~fits]] = -1
+        hit, token = hit[fits], token[fits]
+        mine, size = gather(off, hit)
+        differ = body[mine] != self.pool[gather(self.token_off, token)[0]]
+        found[hit[np.bincount(np.repeat(np.arange(len(hit)), size), differ, len(hit)) > 0]] = -1
+        return found
+
+    def _ids(self, piece: bytes) -> bytes:
+        ids = self.memo.get(piece)
+        if ids is None:
+            ids = self.older.get(piece)
+            if ids is None:
+                ids = np.array(self.merge(piece), dtype=np.uint32).tobytes()
+            if len(piece) <= MEMO_BYTES:
+                self.memo[piece] = ids
+        return ids
+
     def encode(self, body: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts end to end, and n + 1 offsets."""
         starts = pretokens.piece_starts(body, off, "tiktoken")
-        ends = np.append(starts[1:], len(body))[: len(starts)]
-        keys = flat.span_hashes(body, starts, ends)
-        found = self.hash.find(keys)
-        size = np.ones(len(starts), dtype=np.int64)
-        miss = np.flatnonzero(found < 0)
-        unique, first, same = np.unique(keys[miss], return_index=True, return_inverse=True)
+        pieces, same = flat.distinct(flat.pieces(body, starts))
+        found = self.find(*flat.flat(pieces))
         if len(self.memo) > MEMO:
             self.memo, self.older = {}, self.memo
-        rows = []
-        for key, at in zip(unique.tolist(), miss[first].tolist()):
-            ids = self.memo.get(key)
-            if ids is None:
-                ids = self.older.get(key)
-                if ids is None:
-                    ids = np.array(self.merge(body[starts[at] : ends[at]].tobytes()), dtype=np.uint32).tobytes()
-                self.memo[key] = ids
-            rows.append(ids)
-        rows_off = np.concatenate(([0], np.cumsum([len(r) // 4 for r in rows]))).astype(np.int64)
-        place, size[miss] = gather(rows_off, same.reshape(-1))
-        out_end = np.cumsum(size)
-        out = np.empty(int(out_end[-1]) if len(size) else 0, dtype=np.uint32)
+        miss = np.flatnonzero(found < 0)
+        rows = [self._ids(piece) for piece in pieces.take(pa.array(miss)).to_pylist()]
+        # ids of the distinct pieces end to end: whole tokens, then the others
         whole = found >= 0
-        out[(out_end - size)[whole]] = self.ids[found[whole]]
+        size = np.ones(len(found), dtype=np.int64)
+        size[miss] = [len(r) // 4 for r in rows]
+        ends = np.cumsum(size)
+        values = np.empty(int(ends[-1]) if len(size) else 0, dtype=np.uint32)
+        values[(ends - size)[whole]] = self.ids[found[whole]]
+        bounds = np.concatenate(([0], ends))
         if len(miss):
-            into, _ = gather(np.concatenate(([0], out_end)), miss)
-            out[into] = np.frombuffer(b"".join(rows), dtype=np.uint32)[place]
+            values[gather(bounds, miss)[0]] = np.frombuffer(b"".join(rows), dtype=np.uint32)
+        place, counts = gather(bounds, same)
         text = np.searchsorted(starts, off)
-        return out, np.concatenate(([0], out_end))[text]
+        return values[place], np.concatenate(([0], np.cumsum(counts)))[text]
 
     def decode(self, ids: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Bytes of all id rows end to end, and n + 1 offsets."""
@@ -208,7 +223,7 @@ def encode(docs: DataFrame, path: str, with_bytes: bool = False, id_col: str = "
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = codec(path)
         for batch in batches:
-            for part in byte_slices(batch, most=SLICE):
+            for part in flat.byte_slices(batch, most=SLICE):
                 ids, off = tool.encode(*flat.flat(part.column(1)))
                 columns = [part.column(0), pa.array(np.diff(off), pa.int64()), binary_column(ids.astype("<u4").view(np.uint8), off * 4)]
                 names = ["doc_id", "n_tokens", "ids"]

@@ -6,6 +6,9 @@ Everything here works on one Arrow batch at a time and in blocks of
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -61,6 +64,16 @@ def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return body, off - off[0]
 
 
+def byte_slices(batch: pa.RecordBatch, column: int = 1, most: int = BLOCK) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of about ``most`` bytes of text, a row at least."""
+    _, off = flat(batch.column(column))
+    at = 0
+    while at < batch.num_rows:
+        to = max(at + 1, int(np.searchsorted(off, off[at] + most, "right")) - 1)
+        yield batch.slice(at, to - at)
+        at = to
+
+
 def runs(member: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Start and end of each run of True that lies within one text."""
     before = np.zeros(len(member), dtype=bool)
@@ -72,8 +85,30 @@ def runs(member: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(member & ~before), np.flatnonzero(member & ~after) + 1
 
 
+def spans(body: np.ndarray, member: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """The runs of ``member``, which begin and end there, as an array of byte strings."""
+    bounds = np.concatenate(([0], np.cumsum(ends - starts))).astype(np.int64)
+    return pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(body[member])])
+
+
+def pieces(body: np.ndarray, starts: np.ndarray) -> pa.Array:
+    """The pieces that begin at ``starts`` (the first at 0) and end where the next begins."""
+    bounds = np.append(starts, len(body)).astype(np.int64)
+    return pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(body))])
+
+
+def distinct(strings: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The distinct byte strings and the number of each among them: equal numbers mean equal bytes."""
+    coded = strings.dictionary_encode()
+    return coded.dictionary, coded.indices.to_numpy().astype(np.int64)
+
+
 def span_hashes(body: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span (sorted, disjoint), a block of bytes at a time."""
+    """A 64-bit hash of each span (sorted, disjoint), a block of bytes at a time.
+
+    Different spans can have one hash, and such are easy to write: compare
+    the bytes after a hit.
+    """
     out = np.empty(len(starts), dtype=U64)
     i = 0
     while i < len(starts):
@@ -88,11 +123,19 @@ def span_hashes(body: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return out
 
 
+def string_hashes(strings: pa.Array) -> np.ndarray:
+    """64 bits of a cryptographic digest of each byte string."""
+    digests = [hashlib.blake2b(w, digest_size=8).digest() for w in strings.to_pylist()]
+    return np.frombuffer(b"".join(digests), dtype="<u8")
+
+
 def word_hashes(body: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hash of each word (A-Z lower-cased, split at white space) and the text it is in."""
     low = LOWER[body]
-    starts, ends = runs(~SPACE[low], off)
-    return span_hashes(low, starts, ends), np.searchsorted(off, starts, "right") - 1
+    member = ~SPACE[low]
+    starts, ends = runs(member, off)
+    words, number = distinct(spans(low, member, starts, ends))
+    return string_hashes(words)[number], np.searchsorted(off, starts, "right") - 1
 
 
 def shingle_sets(column: pa.Array, words: int = 5) -> tuple[np.ndarray, np.ndarray]:

@@ -97,15 +97,14 @@ def _digests(sets: np.ndarray, offsets: np.ndarray) -> pa.Array:
 def _features(rows: int, words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                part = batch.slice(at, 2000)
+            for part in flat.byte_slices(batch):
                 sets, off = flat.shingle_sets(part.column(1), words)
                 keys = band_keys(signatures(sets, off, BANDS * rows), rows)
                 size = np.diff(off)
                 bounds = np.concatenate(([0], np.cumsum(np.where(size > 0, BANDS, 0))))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(size, pa.int64()), _digests(sets, off), flat.long_lists(keys[size > 0].reshape(-1), bounds)],
-                    ["doc_id", "n_shingles", "digest", "bands"],
+                    [part.column(0), pa.array(size, pa.int64()), _digests(sets, off), flat.long_lists(keys[size > 0].reshape(-1), bounds), *part.columns[2:]],
+                    ["doc_id", "n_shingles", "digest", "bands", *part.schema.names[2:]],
                 )
 
     return run
@@ -114,8 +113,7 @@ def _features(rows: int, words: int):
 def _sets(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                part = batch.slice(at, 2000)
+            for part in flat.byte_slices(batch):
                 sets, off = flat.shingle_sets(part.column(1), words)
                 yield pa.RecordBatch.from_arrays([part.column(0), _digests(sets, off), flat.long_lists(sets, off)], ["id", "of", "shingles"])
 
@@ -146,9 +144,13 @@ def near_duplicates(
     words: int = WORDS,
     id_col: str = "doc_id",
     text_col: str = "text",
+    with_digest: bool = False,
 ) -> DataFrame:
     """One row per input row: doc_id, n_shingles, class_id, component_id, kept.
 
+    ``with_digest`` adds text_sha256, by which rows that repeat an id can be
+    joined back.  Ids must be whole numbers.
+
     Texts are linked when 100 * |A & B| >= percent * |A | B| for their shingle
     sets; component_id is the smallest doc_id reachable and kept marks it.
     ``class_id`` is the smallest doc_id with the same set.  A null or blank
@@ -161,9 +163,14 @@ def near_duplicates(
     ship_code(spark)
     rows = rows_per_band(percent)
     base = pick(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    digest = [F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256")] if with_digest else []
     features = materialize(
-        base.mapInArrow(_features(rows, words), "doc_id long, n_shingles long, digest binary, bands array<long>"), "nd-features"
+        base.select("*", *digest).mapInArrow(
+            _features(rows, words), f"doc_id long, n_shingles long, digest binary, bands array<long>{', text_sha256 string' if with_digest else ''}"
+        ),
+        "nd-features",
     )
+    more = ["text_sha256"] if with_digest else []
     classes = features.filter("doc_id IS NOT NULL AND digest IS NOT NULL").groupBy("digest").agg(
         F.min("doc_id").alias("first_id"), F.first("bands").alias("bands")
     )
@@ -202,7 +209,7 @@ def near_duplicates(
         label = components(_all(found), "nd-cc")
     first_ids = label.join(classes.select("rep", "first_id"), F.col("node") == F.col("rep")).groupBy("comp").agg(F.min("first_id").alias("component"))
     first_ids = materialize(first_ids.withColumnRenamed("comp", "of_comp"), "nd-components")
-    class_of = features.select("doc_id", "n_shingles", "digest")
+    class_of = features.select("doc_id", "n_shingles", "digest", *more)
     class_of = class_of.join(classes.select(F.col("digest").alias("d"), "rep", "first_id"), F.col("digest") == F.col("d"), "left")
     named = label.join(first_ids, F.col("comp") == F.col("of_comp")).select("node", "component")
     class_of = class_of.join(named, F.col("rep") == F.col("node"), "left")
@@ -215,6 +222,7 @@ def near_duplicates(
         class_id.alias("class_id"),
         component.alias("component_id"),
         F.col("doc_id").eqNullSafe(component).alias("kept"),
+        *more,
     )
 
 

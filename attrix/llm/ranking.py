@@ -51,9 +51,7 @@ def terms(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
     body, off = flat.flat(column)
     member = _TERM[body]
     starts, ends = flat.runs(member, off)
-    bounds = np.concatenate(([0], np.cumsum(ends - starts))).astype(np.int64)
-    data = flat.LOWER[body[member]]
-    found = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(data)])
+    found = flat.spans(flat.LOWER[body], member, starts, ends)
     return found, np.searchsorted(off, starts, "right") - 1
 
 

@@ -29,7 +29,6 @@ from pyspark.sql import functions as F
 from attrix.llm import flat
 from attrix.llm.quality import HELD_OUT, fold
 from attrix.llm.shared import materialize, pick, ship_code
-from attrix.llm.token_counts import byte_slices
 
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
@@ -58,13 +57,6 @@ KINDS = 9
 
 
 # ---------------------------------------------------------------- statistics
-def _pieces(body: np.ndarray, starts: np.ndarray, ends: np.ndarray, member: np.ndarray) -> np.ndarray:
-    """Number of each span's bytes among the distinct ones: equal numbers mean equal bytes."""
-    bounds = np.concatenate(([0], np.cumsum(ends - starts))).astype(np.int64)
-    spans = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(body[member])])
-    return spans.dictionary_encode().indices.to_numpy().astype(np.int64)
-
-
 def repeated_words(word: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
     """Words of each text that lie in a window of WINDOW words found at least twice in it."""
     m = len(word) - WINDOW + 1
@@ -95,7 +87,7 @@ def duplicate_lines(body: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.n
     blanks = np.concatenate(([0], np.cumsum(flat.SPACE[body])))
     worded = blanks[ends] - blanks[starts] < ends - starts
     doc = np.searchsorted(off, starts, "right") - 1
-    line = _pieces(body, starts, ends, inside)
+    line = flat.distinct(flat.spans(body, inside, starts, ends))[1]
     doc, line = doc[worded], line[worded]
     lines = np.bincount(doc, minlength=n)
     if not len(line):
@@ -115,7 +107,7 @@ def statistics(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     starts, ends = flat.runs(solid, off)
     doc = np.searchsorted(off, starts, "right") - 1
     words = np.bincount(doc, minlength=n)
-    word = _pieces(body, starts, ends, solid)
+    word = flat.distinct(flat.spans(body, solid, starts, ends))[1]
     inner = np.concatenate(([0], np.cumsum(_KIND[body] == _INNER)))
     length = ends - starts - (inner[ends] - inner[starts])
     longest = np.zeros(n, np.int64)
@@ -250,7 +242,7 @@ def fit_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in byte_slices(batch):
+            for part in flat.byte_slices(batch):
                 _, x = statistics(part.column(1))
                 yield pa.RecordBatch.from_arrays([pc.cast(part.column(0), pa.int64()), part.column(2), pa.array(list(x), pa.list_(pa.float64()))], ["label", "place", "x"])
 
@@ -274,7 +266,7 @@ def apply_rules(docs: DataFrame, model: Trees, id_col: str = "doc_id", text_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in byte_slices(batch):
+            for part in flat.byte_slices(batch):
                 base, x = statistics(part.column(1))
                 failed, score = base_failed(base), model.score(x)
                 columns = [part.column(0), *[pa.array(base[:, k]) for k in range(len(BASE))], pa.array(failed), pa.array(score), pa.array(~failed & (score >= threshold))]

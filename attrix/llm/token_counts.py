@@ -55,6 +55,8 @@ class Vocabulary:
             raise ValueError("not a plain byte-level BPE file")
         letters = byte_alphabet()
         ids = spec["model"]["vocab"]
+        if any(t.get(kind) for t in spec["added_tokens"] for kind in ("lstrip", "rstrip", "single_word")):
+            raise ValueError("added tokens that strip blanks or match whole words aren't known")
         self.added = [t["content"].encode() for t in spec["added_tokens"]]
         added = {t["id"] for t in spec["added_tokens"]}
         self.tokens = {i: bytes(letters[c] for c in t) for t, i in ids.items() if i not in added}
@@ -272,23 +274,13 @@ def text_counts(column: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     size = np.diff(off)
     body, cuts, owner, tokens = split_added(body, off, m.v.added)
     starts = pretokens.piece_starts(body, cuts, "tokenizers")
-    lengths = np.diff(np.append(starts, len(body)))
-    _, first, same = np.unique(flat.span_hashes(body, starts, starts + lengths), return_index=True, return_inverse=True)
-    per = m.counts(body, starts[first], lengths[first])[same]
+    found, same = flat.distinct(flat.pieces(body, starts))
+    piece_body, piece_off = flat.flat(found)
+    per = m.counts(piece_body, piece_off[:-1], np.diff(piece_off))[same]
     text = owner[np.searchsorted(cuts, starts, "right") - 1] if len(starts) else np.zeros(0, np.int64)
     return size, tokens + np.bincount(text, weights=per, minlength=n).astype(np.int64)
 
 
-def byte_slices(batch: pa.RecordBatch, column: int = 1, most: int = flat.BLOCK) -> Iterator[pa.RecordBatch]:
-    """The batch in slices of about ``most`` bytes of text, a row at least."""
-    _, off = flat.flat(batch.column(column))
-    at = 0
-    while at < batch.num_rows:
-        to = max(at + 1, int(np.searchsorted(off, off[at] + most, "right")) - 1)
-        yield batch.slice(at, to - at)
-        at = to
-
-
 def token_counts(
     docs: DataFrame, path: str, limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -305,7 +297,7 @@ def token_counts(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in byte_slices(batch):
+            for part in flat.byte_slices(batch):
                 size, tokens = text_counts(part.column(1), path)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(size, pa.int64()), pa.array(tokens, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
 

@@ -104,6 +104,14 @@ def test_near_links_of_members_whose_centre_is_linked_with_one_only(docs):
     assert near(docs, rows, 85) == near_brute(rows, 85)
 
 
+def test_near_words_with_one_polynomial_hash_stay_apart(docs):
+    word = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+    other = word.translate(str.maketrans("ab", "ba"))
+    words = [f"w{i}" for i in range(6)]
+    rows = [(i, " ".join([*words[:3], w, *words[3:]])) for i, w in enumerate((word, other, word))]
+    assert near(docs, rows, 85) == near_brute(rows, 85) and {r[2] for r in near_brute(rows, 85)} == {0, 1}
+
+
 def test_near_version_chains_alone(docs):
     """Each version is linked with its neighbours, few with the centre."""
     rows = []

@@ -48,6 +48,43 @@ def test_ids_match_the_library_and_decode(texts, tik):
     assert back.tobytes() == body.tobytes() and back_off.tolist() == off.tolist()
 
 
+def thue_morse(n):
+    return "".join("ab"[bin(i).count("1") % 2] for i in range(n))
+
+
+def test_pieces_with_one_polynomial_hash_stay_apart(tik):
+    """Any polynomial hash modulo 2**64 is the same for these two."""
+    t = thue_morse(1024)
+    pair = [t, t.translate(str.maketrans("ab", "ba"))]
+    body, off = flat.flat(pa.array(pair))
+    assert len(set(flat.span_hashes(body, off[:-1], off[1:]).tolist())) == 1
+    library = tokenizers.Tokenizer.from_file(JSON)
+    for texts in (pair, pair[::-1]):
+        assert token_counts.text_counts(pa.array(texts), JSON)[1].tolist() == [len(library.encode(x, add_special_tokens=False).ids) for x in texts]
+        codec = bpe.Codec(RANKS)
+        ids, bounds = codec.encode(*flat.flat(pa.array(texts)))
+        assert [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:])] == [tik.encode_ordinary(x) for x in texts]
+
+
+def test_tokens_are_found_by_their_bytes(monkeypatch):
+    """A hash that names a token for each piece doesn't make it one."""
+    codec = bpe.Codec(RANKS)
+    strings = pa.array([b"the", b"xyzzyx", b" and", b"an"], pa.large_binary())
+    monkeypatch.setattr(codec.hash, "find", lambda keys: np.full(len(keys), codec.ids.tolist().index(codec.ranks[b" and"])))
+    assert (codec.find(*flat.flat(strings)) >= 0).tolist() == [False, False, True, False]
+
+
+def test_added_tokens_that_strip_blanks_are_refused(tmp_path):
+    import json
+
+    spec = json.load(open(JSON, encoding="utf-8"))
+    spec["added_tokens"][0]["lstrip"] = True
+    with open(tmp_path / "t.json", "w", encoding="utf-8") as f:
+        json.dump(spec, f)
+    with pytest.raises(ValueError):
+        token_counts.Vocabulary(str(tmp_path / "t.json"))
+
+
 def test_blocks_and_chunks_don_t_matter(texts, monkeypatch):
     body, off = flat.flat(pa.array(texts[::40]))
     want = pretokens.piece_starts(body, off, "tiktoken").tolist()
