@@ -4,10 +4,11 @@ Each source has a target share of the mixture.  With ``v`` its share of the
 volume now and ``w`` its target share, each of its documents is repeated
 Poisson(``size * w / v``) times, so that the expected volume of the source is
 its target.  The Poisson variable is the inverse of its distribution function
-at a uniform number made from a hash of (seed, doc_id), so a re-run or a
-retried task repeats it exactly.  Each copy then gets a hash of (seed, doc_id,
-copy) and goes to a partition and a place in it by that hash: a random order
-over all sources, whatever share of the rows one source has.
+at a uniform number made from a hash of (seed, doc_id, text), so a re-run or a
+retried task repeats it exactly; a row without an id has its position in the
+input instead.  Each copy then gets a hash of (seed, doc_id, text, copy) and
+goes to a partition and a place in it by that hash: a random order over all
+sources, whatever share of the rows one source, or no id, has.
 """
 
 from __future__ import annotations
@@ -24,10 +25,8 @@ SEED = "mix-1"
 POWER = 0.5
 #: A larger mean is split into equal parts, so that exp(-mean) stays far from 0.
 PART_MEAN = 32.0
-#: Terms of the series past the mean; the tail beyond has less than 1e-16.
+#: The rows of a source meet so many copies of its rate, so that a hot source divides.
 SALTS = 64
-#: Up to so many sources (some 100 bytes each) the rates are sent to all executors.
-SMALL_SOURCES = 100_000
 
 
 def uniform(*parts: Column) -> Column:
@@ -100,33 +99,36 @@ def mix_sources(
 
     A null source is a source of its own; a null or empty text has no volume,
     and a source without any volume has rate 0, so its rows don't appear (the
-    target weights are shares of volume).  Null ids hash like the text
-    "null".  Repeated rows draw the same number.  An empty table gives an
-    empty result.  Columns of those three names in the input are replaced.
+    target weights are shares of volume).  Rows that repeat an id and its text
+    are one document and draw the same number.  A row without an id draws by
+    its text and its position in the input, so read ``docs`` from files.  An
+    empty table gives an empty result.  Columns of those three names in the
+    input are replaced; names that differ in case only stay apart.
     """
     spark = docs.sparkSession
     rates = materialize(source_rates(docs, weights, size, power, source_col, text_col).select(F.col("source").alias("mix_source"), F.col("rate").alias("mix_rate")), "mix-rates")
-    rows = docs.drop("mix_rate", "mix_copy", "mix_key", "mix_source", "mix_salt")
-    if rates.count() <= SMALL_SOURCES:
-        joined = rows.join(F.broadcast(rates), rows[source_col].eqNullSafe(rates["mix_source"]))
-    else:  # salted: the rows of a large source meet SALTS copies of its rate
-        rows = rows.withColumn("mix_salt", F.pmod(F.xxhash64(id_col), F.lit(SALTS)))
-        spread = rates.withColumn("rate_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        joined = rows.join(spread, rows[source_col].eqNullSafe(spread["mix_source"]) & (rows["mix_salt"] == spread["rate_salt"]))
-        joined = joined.drop("mix_salt", "rate_salt")
-    joined = joined.drop("mix_source")
+    kept = [(i, c) for i, c in enumerate(docs.columns) if c not in ("mix_rate", "mix_copy", "mix_key")]
+    id_, source, text = (F.col(f"in_{docs.columns.index(c)}") for c in (id_col, source_col, text_col))
+    rows = docs.toDF(*[f"in_{i}" for i in range(len(docs.columns))])
+    who = F.coalesce(id_.cast("string"), F.concat(F.lit("null@"), F.monotonically_increasing_id().cast("string")))
+    rows = rows.select(*[F.col(f"in_{i}") for i, _ in kept], who.alias("mix_who"), F.md5(F.coalesce(text.cast("string"), F.lit(""))).alias("mix_text"))
+    rows = rows.withColumn("mix_salt", F.pmod(F.xxhash64("mix_who", "mix_text"), F.lit(SALTS)))
+    spread = rates.withColumn("rate_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    joined = rows.join(spread, source.eqNullSafe(spread["mix_source"]) & (rows["mix_salt"] == spread["rate_salt"]))
     rate = F.col("mix_rate")
     parts = F.greatest(F.ceil(rate / PART_MEAN), F.lit(1)).cast("int")
 
     def draw(part: Column) -> Column:
-        return poisson_inverse(uniform(F.lit(seed), F.col(id_col), part), rate / parts)
+        return poisson_inverse(uniform(F.lit(seed), F.col("mix_who"), F.col("mix_text"), part), rate / parts)
 
     copies = F.when(rate <= PART_MEAN, draw(F.lit(1))).otherwise(
         F.aggregate(F.sequence(F.lit(1), parts), F.lit(0), lambda n, part: n + draw(part))
     )
     out = joined.withColumn("mix_copy", F.explode(F.when(copies > 0, F.sequence(F.lit(1), copies))))
-    out = out.withColumn("mix_key", F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.col("mix_copy").cast("string"))))
-    return out.repartition(shuffle_width(spark), "mix_key").sortWithinPartitions("mix_key")
+    out = out.withColumn("mix_key", F.md5(F.concat_ws("|", F.lit(seed), "mix_who", "mix_text", F.col("mix_copy").cast("string"))))
+    out = out.select(*[F.col(f"in_{i}") for i, _ in kept], "mix_rate", "mix_copy", "mix_key")
+    out = out.repartition(shuffle_width(spark), "mix_key").sortWithinPartitions("mix_key")
+    return out.toDF(*[c for _, c in kept], "mix_rate", "mix_copy", "mix_key")
 
 
 SQL = f"""
@@ -135,13 +137,13 @@ s AS (SELECT source, volume, volume / (SELECT CAST(sum(volume) AS DOUBLE) FROM v
 r AS (SELECT source, round(pow(share, {POWER}) / (SELECT sum(pow(share, {POWER})) FROM s) / share, 9) AS rate FROM s WHERE volume > 0),
 u AS (
   SELECT d.doc_id, d.source, d.text, r.rate,
-         (CAST(('0x' || substr(md5('{SEED}|' || CAST(d.doc_id AS VARCHAR) || '|1'), 1, 13)) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496::DOUBLE AS x
+         (CAST(('0x' || substr(md5('{SEED}|' || CAST(d.doc_id AS VARCHAR) || '|' || md5(coalesce(d.text, '')) || '|1'), 1, 13)) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496::DOUBLE AS x
   FROM documents d JOIN r ON d.source IS NOT DISTINCT FROM r.source
 ),
 t AS (SELECT source, rate, k, exp(-rate) * pow(rate, k) / gamma(k + 1.0) AS p FROM r, range(0, 100) AS ks(k)),
 c AS (SELECT source, k, sum(p) OVER (PARTITION BY source ORDER BY k) AS cdf FROM t),
 n AS (SELECT u.doc_id, u.source, u.text, u.rate, count(c.k) AS copies FROM u LEFT JOIN c ON c.source IS NOT DISTINCT FROM u.source AND c.cdf < u.x GROUP BY ALL)
 SELECT doc_id, source, rate AS mix_rate, CAST(copy AS INTEGER) AS mix_copy,
-       md5('{SEED}|' || CAST(doc_id AS VARCHAR) || '|' || CAST(copy AS VARCHAR)) AS mix_key, coalesce(text, '') AS text
+       md5('{SEED}|' || CAST(doc_id AS VARCHAR) || '|' || md5(coalesce(text, '')) || '|' || CAST(copy AS VARCHAR)) AS mix_key, coalesce(text, '') AS text
 FROM (SELECT *, unnest(range(1, copies + 1)) AS copy FROM n)
 """
