@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from attrix.llm import flat
 from attrix.llm.shared import pick, ship_code
 
 BASE_KINDS = ("email", "ip", "card", "phone")
@@ -105,9 +106,11 @@ def find_spans(text: str) -> list[tuple[str, int, int]]:
             if m := LOGIN.match(text, last + 1):
                 add("login", m.start(), m.end())
         elif what == "secret":
-            if (m := SECRET.match(text, last + 1)) and m.start(1) >= past["secret"] and any(c.isdigit() for c in m[1]):
-                add("secret", *m.span(1))
+            # a value that begins within the last one would end with it, except after its last sign
+            if last + 2 >= past["secret"] and (m := SECRET.match(text, last + 1)) and m.start(1) >= past["secret"]:
                 past["secret"] = m.end()
+                if any(c.isdigit() for c in m[1]):
+                    add("secret", *m.span(1))
         elif (m := (IBAN if what == "iban" else SSN).match(text, last + 1)) and m.start(1) >= past[what] and (what != "iban" or iban_valid(m[1])):
             add(what, *m.span(1))
             past[what] = m.end()
@@ -128,8 +131,9 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            spans = [find_spans(t.as_py() or "") for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([[dict(zip(("kind", "start", "end"), s)) for s in row] for row in spans], pa.list_(item))], ["doc_id", "spans"])
+            for part in flat.byte_slices(batch):
+                spans = [find_spans(t.as_py() or "") for t in part.column(1)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([[dict(zip(("kind", "start", "end"), s)) for s in row] for row in spans], pa.list_(item))], ["doc_id", "spans"])
 
     kind = dict(base.dtypes)["doc_id"]
     return base.mapInArrow(run, f"doc_id {kind}, spans array<struct<kind: string, start: long, end: long>>")
