@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from attrix.llm import flat
 from attrix.llm.shared import pick, ship_code
 
 # Base phrases and their labels.
@@ -204,11 +205,11 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = scanner(listed)
-        for batch in batches:
-            found = [s.scan((t.as_py() or "").encode()) for t in batch.column(1)]
+        for part in (p for batch in batches for p in flat.byte_slices(batch)):
+            found = [s.scan((t.as_py() or "").encode()) for t in part.column(1)]
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(0),
+                    part.column(0),
                     pa.array([f[0] for f in found], pa.int64()),
                     pa.array([[{"word": w, "label": s.labels[n]} for w, n in sorted(f[1])] for f in found], pa.list_(place)),
                     pa.array([[{"start": a, "end": b, "label": s.labels[n], "covered": c} for n, a, b, c in f[2] if c > 0.5] for f in found], pa.list_(span)),

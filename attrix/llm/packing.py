@@ -15,8 +15,6 @@ cumulative segment lengths, and position ids that restart with each segment.
 from __future__ import annotations
 
 import functools
-import hashlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,6 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from attrix.llm import flat
 from attrix.llm.shared import pick, ship_code
 
 LENGTH = 2048
@@ -103,25 +102,22 @@ def encoding(path: str):
 def token_pieces(docs: DataFrame, path: str, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, piece, n, ids, copy): the ids of each text, 32-bit little-endian, cut to at most ``length``.
 
-    ``copy`` tells equal rows of one task apart: 0 for the first, from then on
-    a number of its own.  It depends on what rows a task has, not on their
-    order, so a task that runs again gives the same pieces.
+    ``copy`` is the row's place in the input (task and position), which tells
+    equal rows apart.  Read ``docs`` from files: then a task that runs again
+    has the same rows at the same places.
     """
     ship_code(docs.sparkSession)
     base = pick(docs, doc_id=id_col, text=text_col).select("doc_id", F.col("text").cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = encoding(path)
-        task, seen = TaskContext.get().partitionId() << 32, Counter()
+        place = (TaskContext.get().partitionId() << 32) - 1
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
+            for part in flat.byte_slices(batch):
                 take, piece, size, ids, copy = [], [], [], [], []
-                for i, (d, t) in enumerate(zip(part.column(0), part.column(1))):
+                for i, t in enumerate(part.column(1)):
                     t = t.as_py() or ""
-                    row = hashlib.blake2b(f"{d.as_py()} {t}".encode(errors="surrogatepass"), digest_size=8).digest()
-                    before = seen[row]
-                    seen[row] += 1
+                    place += 1
                     all_ids = np.array(tool.encode_ordinary(t), dtype="<u4")
                     for k, lo in enumerate(range(0, len(all_ids), length)):
                         cut = all_ids[lo : lo + length]
@@ -129,7 +125,7 @@ def token_pieces(docs: DataFrame, path: str, length: int = LENGTH, id_col: str =
                         piece.append(k)
                         size.append(len(cut))
                         ids.append(cut.tobytes())
-                        copy.append(task + before if before else 0)
+                        copy.append(place)
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0).take(pa.array(take, pa.int64())), pa.array(piece, pa.int32()), pa.array(size, pa.int32()), pa.array(ids, pa.binary()), pa.array(copy, pa.int64())],
                     ["doc_id", "piece", "n", "ids", "copy"],
