@@ -7,7 +7,7 @@ rows to the shared folder and reads them again for the next.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attrix.llm import bpe, exact_dedup, mixing, near_dedup, quality
@@ -26,11 +26,12 @@ def _plain(docs: DataFrame) -> DataFrame:
     return pick(docs, **{c: c for c in COLUMNS})
 
 
-def _with_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows whose id is in ``ids``, one of each repeated (id, normalised text)."""
-    wanted = ids.toDF("wanted").filter("wanted IS NOT NULL")
-    rows = docs.join(wanted, docs["doc_id"] == wanted["wanted"], "left_semi")
-    return rows.withColumn("same", F.sha2(normal_text(F.col("text")), 256)).dropDuplicates(["doc_id", "same"]).drop("same")
+def _chosen(docs: DataFrame, kept: DataFrame, digest: Column) -> DataFrame:
+    """Rows of ``docs`` whose (id, digest) is in ``kept`` (doc_id, text_sha256), one of each."""
+    kept = kept.select(F.col("doc_id").alias("kept_id"), F.col("text_sha256").alias("kept_digest")).distinct()
+    rows = docs.withColumn("digest", digest).dropDuplicates(["doc_id", "digest"])
+    same = rows["doc_id"].eqNullSafe(kept["kept_id"]) & (rows["digest"] == kept["kept_digest"])
+    return rows.join(kept, same, "left_semi").drop("digest")
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,21 +45,18 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each text; of texts that only rows without an id have, one such row."""
+    """One row of each text, the one with the smallest id; a row without an id only where no row of its text has one."""
     docs = _plain(docs)
     kept = materialize(exact_dedup.exact_duplicates(docs).filter("kept").select("doc_id", "text_sha256"), "kept-exact")
-    named = _with_ids(docs, kept.select("doc_id"))
-    lone = kept.filter("doc_id IS NULL").select(F.col("text_sha256").alias("lone")).distinct()
-    nameless = docs.filter("doc_id IS NULL").withColumn("same", F.sha2(normal_text(F.col("text")), 256))
-    nameless = nameless.join(lone, nameless["same"] == lone["lone"], "left_semi").dropDuplicates(["same"]).drop("same")
-    return named.unionByName(nameless)
+    return _chosen(docs, kept, F.sha2(normal_text(F.col("text")), 256))
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group, the one with the smallest id; rows without an id all stay."""
     docs = _plain(docs)
-    kept = near_dedup.near_duplicates(docs, percent=80).filter("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    return _with_ids(docs, kept).unionByName(docs.filter("doc_id IS NULL"))
+    kept = near_dedup.near_duplicates(docs, percent=80, with_digest=True).filter("kept AND doc_id IS NOT NULL")
+    named = _chosen(docs.filter("doc_id IS NOT NULL"), kept, F.sha2(F.coalesce("text", F.lit("")), 256))
+    return named.unionByName(docs.filter("doc_id IS NULL"))
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
