@@ -47,7 +47,18 @@ def test_stages_on_a_fixture(spark, docs, tmp_path):
     assert sorted(got, key=str) == sorted(want, key=str)
 
 
+def test_stages_choose_rows_and_not_ids(spark, docs):
+    """An id that repeats with other texts: each of its rows is decided on its own."""
+    rows = [(0, "b"), (1, "a"), (1, "b"), (1, "b"), (None, "a"), (None, "c"), (None, "c")]
+    got = corpus_pipeline.exact_stage(spark, docs(rows), "").collect()
+    assert sorted(((r.doc_id, r.text) for r in got), key=str) == sorted([(0, "b"), (1, "a"), (None, "c")], key=str)
+    first, second = (" ".join(f"{c}{i}" for i in range(60)) for c in "xy")
+    rows = [(0, first), (1, first + " end"), (1, second), (2, second + " end"), (None, first)]
+    got = corpus_pipeline.near_stage(spark, docs(rows), "").collect()
+    assert sorted(((r.doc_id, r.text) for r in got), key=str) == sorted([(0, first), (1, second), (None, first)], key=str)
+
+
 def test_registered_queries():
     names = set(entry.queries())
-    assert {f"op{n}_" for n in range(1, 11)} <= {n.split("_")[0] + "_" for n in names} and "pipeline" in names
-    assert {"op2_exact_dedup", "op3_mix_sources", "op10_minhash_near_dedup"} <= set(entry.oracle_sql())
+    assert {f"op{n}_" for n in range(1, 14)} <= {n.split("_")[0] + "_" for n in names} and "pipeline" in names
+    assert {"op2_exact_dedup", "op3_mix_sources", "op10_minhash_near_dedup", "op11_spelling_variants", "op13_ranked_search"} <= set(entry.oracle_sql())

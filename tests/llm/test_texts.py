@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 from attrix.llm import fingerprints, licenses, mixing, pii, quality
+from attrix.llm.shared import pick
 from pyspark.sql import functions as F
 
 
@@ -40,12 +41,35 @@ def test_own_spans():
     assert got == [("login", "bob:pw1"), ("secret", "abc12345"), ("secret", "deadbeef99"), ("iban", "GB82 WEST 1234 5698 7654 32"), ("ssn", "078-05-1120")]
 
 
+def emails_from_signs(text):
+    """The email pattern from each at-sign, as it goes over a long run of letters once a start."""
+    past, out = 0, []
+    for at in (m.start() for m in re.finditer("@", text)):
+        start = at
+        while start > past and re.match(r"[A-Za-z0-9._%+-]", text[start - 1]):
+            start -= 1
+        if start < at and (m := re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+").match(text, at + 1)):
+            out.append(("email", start, m.end()))
+            past = m.end()
+    return out
+
+
+def test_pii_on_runs_of_cues_takes_linear_time():
+    began = time.process_time()
+    for text in ("token=" * 170_000, "password" * 120_000, "://a:" * 200_000, "+1" * 400_000, "iban " * 200_000, "a@" * 400_000):
+        pii.find_spans(text)
+    assert time.process_time() - began < 30
+    assert [s for s in pii.find_spans("token=" * 9 + " abcd1234") if s[0] == "secret"] == [("secret", 55, 63)]
+
+
 def test_pii_operator(docs, corpus):
     rows = [*corpus, (None, "x@y.zz"), (0, corpus[0][1])]
     got = pii.digest(pii.personal_data(docs(rows))).collect()
     want = []
     for r in rows:
-        base = pii_brute(r[1] or "")
+        text = r[1] or ""
+        plain = re.sub("x{9,}", lambda m: "_" * len(m[0]), text)  # not the slow pattern on a long run
+        base = emails_from_signs(text) + [s for s in pii_brute(plain.replace("_", " ")) if s[0] != "email"]
         text = ",".join(f"{k}:{a}:{b}" for k, a, b in base)
         want.append((r[0], sum(s[0] == "email" for s in base), sum(s[0] == "card" for s in base), hashlib.sha256(text.encode()).hexdigest()))
     assert sorted([(r.doc_id, r.n_email, r.n_card, r.base_sha256) for r in got], key=str) == sorted(want, key=str)
@@ -106,6 +130,27 @@ def test_license_chains_of_many_mentions():
     assert took < 20
 
 
+def test_quality_scores_row_by_row(spark, docs):
+    """The zstandard library on pieces of each text, and the logistic curve, one text at a time."""
+    import zstandard
+
+    rows, labels = labelled(240)
+    frame = docs([*rows, (999, ""), (998, "é漢 " * 500)])
+    model = quality.fit_quality(frame, spark.createDataFrame(labels, "doc_id long, quality int"))
+    tools = []
+    for raw in (model.good, model.bad):
+        kind = zstandard.DICT_TYPE_FULLDICT if raw[:4] == bytes.fromhex("37a430ec") else zstandard.DICT_TYPE_RAWCONTENT
+        made = zstandard.ZstdCompressionDict(raw, dict_type=kind)
+        tools.append(zstandard.ZstdCompressor(level=quality.LEVEL, dict_data=made, write_content_size=False, write_checksum=False, write_dict_id=False))
+    text = {**dict(rows), 999: "", 998: "é漢 " * 500}
+    for r in quality.score_documents(frame, model).collect():
+        data = text[r.doc_id].encode()
+        pieces = [data[i : i + quality.PIECE_BYTES] for i in range(0, len(data), quality.PIECE_BYTES)]
+        good, bad = (sum(len(t.compress(p)) for p in pieces) for t in tools)
+        rate = (bad - good + model.prior * quality.PRIOR_BYTES) / (len(data) + quality.PRIOR_BYTES)
+        assert abs(r.score - 1 / (1 + np.exp(-(model.slope * rate + model.shift)))) < 1e-9
+
+
 def generalised(a, b):
     a, b = (collections.Counter(t.lower().split()) for t in (a, b))
     words = set(a) | set(b)
@@ -127,6 +172,28 @@ def test_fingerprints(docs, corpus):
     assert abs(np.mean(errors)) < 0.02 and np.std(errors) < 0.08
 
 
+def test_fingerprints_of_rows_without_ids_divide_among_ranges(spark, docs):
+    """A third of the rows has no id, some of them one text: no range gets them all, and the chain stays whole."""
+    rows = [(i, f"word{i} and more") for i in range(400)] + [(None, f"lone {i % 60}") for i in range(200)]
+    base = pick(docs(rows), doc_id="doc_id", text="text").selectExpr("coalesce(doc_id, 9223372036854775807) AS place", "pmod(xxhash64(text, monotonically_increasing_id()), 1073741824) AS draw")
+    parts = [r["count"] for r in fingerprints._ranged(base).groupBy("part").count().collect()]
+    assert sum(parts) == 600 and max(parts) < 40
+    got = fingerprints.compare_with_next(docs(rows)).collect()
+    assert len(got) == 600
+    named = {r.doc_id: r for r in got if r.doc_id is not None}
+    for i in range(399):
+        text, after = rows[i][1], rows[i + 1][1]
+        half = len(text) // 2
+        assert named[i].edited_sha256 == hashlib.sha256((text[: len(text) - half] + after[:half]).encode()).hexdigest()
+
+
+def test_ranges_keep_the_order_of_places(spark):
+    rows = [(p, d) for p in [-5, 0, 7, 7, 7, 7, 7, 7, 2**53, 2**53 + 1, 2**62, 2**62 + 1, 2**63 - 1] * 6 for d in (0, 2**28, 2**29, 2**30 - 1)]
+    table = spark.createDataFrame(rows, "place long, draw long")
+    got = sorted((r.place, r.draw, r.part) for r in fingerprints._ranged(table).collect())
+    assert [r[2] for r in got] == sorted(r[2] for r in got) and len({r[2] for r in got if r[0] == 7}) > 1
+
+
 def test_fingerprints_alone_and_empty(docs):
     (r,) = fingerprints.compare_with_next(docs([(5, "a b c d")])).collect()
     assert r.near_next == 1.0 and r.edited_sha256 == hashlib.sha256(b"a b a b").hexdigest()
@@ -155,9 +222,28 @@ def test_mixing_meets_targets_and_repeats(docs):
     assert mixing.mix_sources(docs([])).count() == 0
 
 
-def test_mixing_large_means_and_many_sources(docs, monkeypatch):
+def test_mixing_rows_without_ids_draw_each_on_its_own(spark, docs):
+    rows = [(None, f"text {i % 150}", "hot") for i in range(600)] + [(i, "c" * 8, "cold") for i in range(300)]
+    mixed = mixing.mix_sources(docs(rows), {"hot": 2.0, "cold": 1.0})
+    got = mixed.withColumn("part", F.spark_partition_id()).collect()
+    hot = [r for r in got if r.source == "hot"]
+    copies = collections.Counter(r.mix_copy for r in hot)
+    rate = hot[0].mix_rate
+    assert abs(len(hot) - 600 * rate) < 4 * (600 * rate) ** 0.5
+    assert abs(copies[1] / 600 - (1 - np.exp(-rate))) < 0.1  # not all rows draw the same
+    assert max(collections.Counter(r.part for r in hot).values()) < len(hot) / 3
+
+
+def test_mixing_columns_that_differ_in_case_only(spark):
+    table = spark.createDataFrame([(1, "b" * 9, "s", 2, "c"), (2, "b" * 9, "t", 3, "d")], "doc_id long, text string, source string, DOC_ID int, SOURCE string")
+    mixed = mixing.mix_sources(table, {"s": 1.0, "t": 1.0}, size=50)
+    assert mixed.columns == [*table.columns, "mix_rate", "mix_copy", "mix_key"]
+    got = mixed.collect()
+    assert {(r[0], r[2], r[3], r[4]) for r in got} == {(1, "s", 2, "c"), (2, "t", 3, "d")} and 50 < len(got) < 160
+
+
+def test_mixing_large_means(docs):
     rows = [(i, "w" * 10, "big") for i in range(400)] + [(1000, "w" * 10, "tiny")]
-    monkeypatch.setattr(mixing, "SMALL_SOURCES", 0)  # the salted join
     got = collections.Counter(r.source for r in mixing.mix_sources(docs(rows), {"big": 1.0, "tiny": 1.0}).collect())
     assert abs(got["tiny"] - 200) < 60 and abs(got["big"] - 200) < 60
 
