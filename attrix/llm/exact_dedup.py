@@ -30,7 +30,7 @@ def _named(rows: DataFrame, keys: list[str]) -> DataFrame:
     groups = rows.groupBy(*keys).agg(F.min("doc_id").alias("name"), F.count(F.lit(1)).alias("size"))
     groups = groups.filter("size > 1").select(*[F.col(k).alias(f"g_{k}") for k in keys], "name", "size", F.monotonically_increasing_id().alias("number"))
     # a table of its own, so that the join has two plain exchanges and AQE can split a hot group, and numbers stay
-    groups = materialize(groups, "radix-groups")
+    groups = materialize(groups, "radix-groups").hint("merge")  # the same join at every size
     same = [rows[k].eqNullSafe(groups[f"g_{k}"]) for k in keys]
     condition = same[0]
     for s in same[1:]:
