@@ -16,6 +16,8 @@ range before it, so that no row needs another range.
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
@@ -27,6 +29,8 @@ SAMPLES = 64
 CELLS = 4096
 ID_BITS = 24
 LAST = (1 << 63) - 1
+#: Values of the draw that orders rows of one id, and positions that tell equal texts apart in it.
+DRAWS, COPIES = 1 << 30, 1 << 20
 #: Tasks of the counting stage by shuffle partitions, so that a task's words fit in memory, and ranges by task.
 TASKS, RANGES = 4, 4
 
@@ -96,47 +100,70 @@ def fingerprint_rows(rows: DataFrame, keys: list[str], text: str = "text") -> Da
     return least.select(*keys, F.array(*[F.col(f"s{i}") for i in range(SAMPLES)]).alias("samples"))
 
 
+def _array(values: list[int]) -> Column:
+    """A constant array as one string, which stays short in the plan."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
+
+
 def _ranged(rows: DataFrame) -> DataFrame:
-    """Column ``part``: ranges of ``place`` with about as many rows."""
+    """Column ``part``: ranges of (place, draw) with about as many rows.
+
+    A place that takes up several cuts has as many ranges, by ``draw``.
+    """
     n = RANGES * TASKS * shuffle_width(rows.sparkSession)
-    cuts = rows.agg(F.percentile_approx("place", [k / n for k in range(1, n)], 5 * n)).first()[0] or []
-    splits = [-float("inf"), *(sorted({float(c) for c in cuts}) or [0.0]), float("inf")]
-    cut = Bucketizer(splits=splits, inputCol="place_double", outputCol="part")
-    return cut.transform(rows.withColumn("place_double", F.col("place").cast("double"))).drop("place_double").withColumn("part", F.col("part").cast("int"))
+    cuts = rows.agg(F.percentile_approx("place", [k / n for k in range(1, n)], 5 * n)).first()[0] or [0]
+    by_key: dict[float, Counter] = {}
+    for c in cuts:
+        by_key.setdefault(float(c), Counter())[int(c)] += 1
+    # places that are one number as doubles share a cut: the commonest of them
+    marks = [(key, *max(sorted(found.items()), key=lambda f: f[1])) for key, found in sorted(by_key.items())]
+    ends = np.cumsum([0, *[times for _, _, times in marks]]).tolist()
+    splits = [-float("inf"), *[key for key, _, _ in marks], float("inf")]
+    cut = Bucketizer(splits=splits, inputCol="place_double", outputCol="bucket")
+    rows = cut.transform(rows.withColumn("place_double", F.col("place").cast("double"))).withColumn("bucket", F.col("bucket").cast("int"))
+    mark, times, end = (F.get(_array(a), F.col("bucket")) for a in ([-1, *[m for _, m, _ in marks]], [1, *[t for _, _, t in marks]], ends))
+    within = F.floor(F.col("draw") * times / F.lit(DRAWS))
+    part = F.when((F.col("bucket") == 0) | (F.col("place") > mark), end).when(F.col("place") == mark, end - times + 1 + within).otherwise(end - times + 1)
+    return rows.withColumn("part", part.cast("int")).drop("place_double", "bucket")
 
 
 def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
-    The edited text ends with the beginning of the next document by doc_id (of
-    equal ids by text); after the last comes the first, and a lone document is
-    its own next one.  A null text counts as empty; a null id comes last.  An
-    empty table gives an empty result; other columns are ignored.
+    The edited text ends with the beginning of the next document by doc_id;
+    rows of one id follow each other by a draw from their text and position,
+    so that any number of them divides among tasks.  After the last document
+    comes the first, and a lone document is its own next one.  A null text
+    counts as empty; null ids come last.  Ids must be whole numbers.  An empty
+    table gives an empty result; other columns are ignored.
     """
     base = pick(docs, doc_id=id_col, text=text_col).select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("place"),
         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
+        F.pmod(F.monotonically_increasing_id(), F.lit(COPIES)).alias("copy"),
     )
+    base = base.withColumn("draw", F.pmod(F.xxhash64("text", "copy"), F.lit(DRAWS))).drop("copy")
     ranged = _ranged(base)
     order = Window.orderBy("part")  # over one row per range
-    firsts = ranged.groupBy("part").agg(F.min("place").alias("first"))
+    firsts = ranged.groupBy("part").agg(F.min(F.struct("place", "draw")).alias("first"))
     firsts = firsts.select(F.col("part").alias("f_part"), "first", F.coalesce(F.lag("part").over(order), F.max("part").over(Window.partitionBy())).alias("before"))
     placed = ranged.join(F.broadcast(firsts), F.col("part") == F.col("f_part"))
     both = F.array(F.struct(F.col("part"), F.lit(False).alias("ghost")), F.struct(F.col("before").alias("part"), F.lit(True).alias("ghost")))
-    here = F.slice(both, 1, F.when(F.col("place") == F.col("first"), 2).otherwise(1))
-    rows = placed.select("doc_id", "place", "text", F.explode(here).alias("at"))
-    rows = rows.select(F.col("at.part").alias("part"), F.col("at.ghost").alias("ghost"), "doc_id", "place", "text")
+    here = F.slice(both, 1, F.when((F.col("place") == F.col("first.place")) & (F.col("draw") == F.col("first.draw")), 2).otherwise(1))
+    rows = placed.select("doc_id", "place", "draw", "text", F.explode(here).alias("at"))
+    rows = rows.select(F.col("at.part").alias("part"), F.col("at.ghost").alias("ghost"), "doc_id", "place", "draw", "text")
     rows = rows.repartition(TASKS * shuffle_width(docs.sparkSession), "part")
-    along = Window.partitionBy("part").orderBy("ghost", "place", "text")
+    along = Window.partitionBy("part").orderBy("ghost", "place", "draw", "text")
     rows = rows.withColumn("row", F.row_number().over(along)).withColumn("next", F.coalesce(F.lead("text").over(along), F.lit("")))
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), n - half), F.substring("next", F.lit(1), half))
     rows = rows.withColumn("edited", edited)
-    texts = rows.select("part", "row", F.posexplode(F.array("text", "edited")).alias("kind", "text"))
-    samples = fingerprint_rows(texts, ["part", "row", "kind"])
-    prints = samples.groupBy("part", "row").agg(
+    # with the id, both branches read the same columns, so the texts are exchanged once
+    texts = rows.select("part", "row", "doc_id", F.posexplode(F.array("text", "edited")).alias("kind", "text"))
+    samples = fingerprint_rows(texts, ["part", "row", "doc_id", "kind"])
+    prints = samples.groupBy("part", "row", "doc_id").agg(
         F.max(F.when(F.col("kind") == 0, F.col("samples"))).alias("samples"), F.max(F.when(F.col("kind") == 1, F.col("samples"))).alias("edited_samples")
     )
     after = F.lead("samples").over(Window.partitionBy("part").orderBy("row"))
