@@ -71,10 +71,45 @@ def kolmogorov_sf(lam) -> Column:
     )
 
 
+#: Up to n1 * n2 = KS_EXACT the two-sample p-value is exact.
+KS_EXACT = 10_000
+
+
+def ks_exact_pvalue(d, n1, n2) -> Column:
+    """Two-sided P(D >= d) of the two-sample statistic without ties, by counting
+    lattice paths: u[j] is the share of paths to (i, j) that stay within the
+    distance, one step of i at a time."""
+    n1, n2 = _c(n1).cast("long"), _c(n2).cast("long")
+    big, small = F.greatest(n1, n2), F.least(n1, n2)
+    # |i / big - j / small| >= d in whole numbers, safe from the rounding of d
+    most = F.floor(_c(d).cast("double") * big * small - 1e-7)
+
+    def inside(i, j):
+        return F.when(F.abs(i * small - j * big) <= most, 1.0).otherwise(0.0)
+
+    first = F.transform(F.sequence(F.lit(0).cast("long"), small), lambda j: inside(F.lit(0).cast("long"), j))
+    def row(u, i):
+        w = i.cast("double") / (i + small)
+        start = F.array(F.get(u, F.lit(0)) * w * inside(i, F.lit(0).cast("long")))
+        return F.aggregate(
+            F.sequence(F.lit(1).cast("long"), small),
+            start,
+            lambda v, j: F.concat(v, F.array((F.get(u, j.cast("int")) * w + F.element_at(v, -1)) * inside(i, j))),
+        )
+
+    u = F.aggregate(F.sequence(F.lit(1).cast("long"), big), first, row)
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1.0 - F.element_at(u, -1)))
+
+
 def ks_pvalue(d, n1, n2) -> Column:
-    """Two-sample KS p-value from statistic d and sample sizes (asymptotic)."""
-    n1, n2 = _c(n1).cast("double"), _c(n2).cast("double")
-    return kolmogorov_sf(_c(d) * F.sqrt(n1 * n2 / (n1 + n2)))
+    """Two-sample KS p-value from statistic d and sample sizes: exact up to
+    n1 * n2 = KS_EXACT, asymptotic beyond."""
+    m1, m2 = _c(n1).cast("double"), _c(n2).cast("double")
+    few = (m1 * m2 <= KS_EXACT) & (m1 > 0) & (m2 > 0)
+    asymptotic = kolmogorov_sf(_c(d) * F.sqrt(m1 * m2 / (m1 + m2)))
+    # sizes beyond the limit never reach the recurrence
+    exact = ks_exact_pvalue(_c(d), F.when(few, m1).otherwise(1.0), F.when(few, m2).otherwise(1.0))
+    return F.when(_c(d).isNull() | m1.isNull() | m2.isNull(), F.lit(None).cast("double")).when(few, exact).otherwise(asymptotic)
 
 
 def digamma(x) -> Column:

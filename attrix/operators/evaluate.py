@@ -9,7 +9,7 @@ sorted in one task and no negative x positive pairs are formed.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,11 +19,13 @@ from attrix.operators.aggregates import with_scalar
 from attrix.session import materialize
 from attrix.operators.kernels import (
     _n_ranges,
+    bin_of,
     cumulate,
     exact_quantiles,
     hash_order,
     label_counts,
     qcut,
+    qcut_edges,
     row_numbers,
     uniform_hash_cuts,
 )
@@ -76,13 +78,54 @@ def balanced_accuracy_expr(label: str = "label", cls: str = "predicted_class") -
 
 def roc_auc(df: DataFrame, label: str = "label", prob: str = "prob", groups: Sequence[str] = ()) -> DataFrame:
     """EVL-3: Mann-Whitney AUC with half credit for ties, per group."""
-    k = label_counts(df, groups, prob, label)
+    return _auc(label_counts(df, groups, prob, label), groups)
+
+
+def _auc(k: DataFrame, groups: Sequence[str]) -> DataFrame:
     contrib = F.col("neg") * (F.col("tot_pos") - F.col("cum_pos")) + 0.5 * F.col("neg") * F.col("pos")
     return k.groupBy(*groups).agg(
         F.try_divide(F.sum(contrib), F.max("tot_pos") * F.max("tot_neg")).alias("roc_auc"),
     )
 
 
+def score_cells(
+    df: DataFrame, label: str = "label", prob: str = "prob", cls: str = "predicted_class", groups: Sequence[str] = ()
+) -> DataFrame:
+    """The score table: (groups, prob, cls, pos, neg), written once.  Rows with one
+    score are one row, and every metric, curve and calibration follows from it."""
+    positive = F.col(label) == 1
+    cells = df.groupBy(*groups, F.col(prob).alias("prob"), F.col(cls).alias("cls")).agg(
+        F.sum(F.when(positive, 1).otherwise(0)).alias("pos"), F.sum(F.when(positive, 0).otherwise(1)).alias("neg")
+    )
+    return materialize(cells, "score-cells")
+
+
+def cell_scores(cells: DataFrame, groups: Sequence[str] = (), metrics: Sequence[str] = tuple(METRIC_NAMES)) -> DataFrame:
+    """Metrics of ``score_cells``: wide, with ``observations`` and ``n_pos``."""
+    groups = list(groups)
+    pos, neg, prob = F.col("pos"), F.col("neg"), F.col("prob")
+    p = F.least(F.greatest(prob, F.lit(LOG_LOSS_EPS)), F.lit(1.0 - LOG_LOSS_EPS))
+    scored = F.sum(F.when(prob.isNotNull(), pos + neg))
+    hit = F.col("cls") == 1
+    tp, fp = F.sum(F.when(hit, pos).otherwise(0)), F.sum(F.when(hit, neg).otherwise(0))
+    missed = F.col("cls") == 0
+    fn, tn = F.sum(F.when(missed, pos).otherwise(0)), F.sum(F.when(missed, neg).otherwise(0))
+    tpr, tnr = F.try_divide(tp, tp + fn), F.try_divide(tn, tn + fp)
+    simple = {
+        "log_loss": -F.sum(pos * F.log(p) + neg * F.log(1.0 - p)) / scored,
+        "brier_score_loss": F.sum(pos * F.pow(prob - 1, 2) + neg * F.pow(prob, 2)) / scored,
+        "f1": F.when(2 * tp + fp + fn == 0, F.lit(0.0)).otherwise(2.0 * tp / (2 * tp + fp + fn)),
+        "balanced_accuracy_score": F.when(tpr.isNull(), tnr).when(tnr.isNull(), tpr).otherwise((tpr + tnr) / 2.0),
+    }
+    wide = cells.groupBy(*groups).agg(
+        F.sum(pos + neg).alias("observations"), F.sum(pos).cast("long").alias("n_pos"), *[simple[m].alias(m) for m in metrics if m in simple]
+    )
+    if "roc_auc" not in metrics:
+        return wide
+    auc = _auc(cumulate(cells, groups, "prob", {"pos": pos, "neg": neg}), groups)
+    return wide.join(auc, groups, "left") if groups else with_scalar(wide, auc)
+
+
 def metric_scores(
     df: DataFrame,
     label: str = "label",
@@ -90,33 +133,27 @@ def metric_scores(
     cls: str = "predicted_class",
     groups: Sequence[str] = (),
     metrics: Sequence[str] = tuple(METRIC_NAMES),
+    scorers: Mapping[str, Callable[[str, str, str], Column]] | None = None,
 ) -> DataFrame:
     """UDF-3 metric registry applied per group: long form ``groups..., metric, score``
-    plus ``observations`` and class counts ``n_pos``/``n_neg``."""
+    plus ``observations`` and class counts ``n_pos``/``n_neg``, from the score table.
+
+    ``scorers`` adds metrics of the caller's own: name -> f(label, prob, class
+    column), an aggregate over the rows."""
     groups = list(groups)
-    simple = {
-        "log_loss": log_loss_expr(label, prob),
-        "brier_score_loss": brier_expr(label, prob),
-        "f1": f1_expr(label, cls),
-        "balanced_accuracy_score": balanced_accuracy_expr(label, cls),
-    }
-    wide = df.groupBy(*groups).agg(
-        F.count(F.lit(1)).alias("observations"),
-        F.sum(F.col(label)).cast("long").alias("n_pos"),
-        *[simple[m].alias(m) for m in metrics if m in simple],
-    )
-    if "roc_auc" in metrics:
-        auc = roc_auc(df, label, prob, groups)
-        wide = wide.join(auc, groups, "left") if groups else with_scalar(wide, auc)
+    wide = cell_scores(score_cells(df, label, prob, cls, groups), groups, metrics)
+    names = list(metrics)
+    if scorers:
+        own = df.groupBy(*groups).agg(*[f(label, prob, cls).alias(name) for name, f in scorers.items()])
+        wide = wide.join(own, groups, "left") if groups else with_scalar(wide, own)
+        names += list(scorers)
     wide = wide.withColumn("n_neg", F.col("observations") - F.col("n_pos"))
-    return wide.unpivot(
-        [*groups, "observations", "n_pos", "n_neg"], [m for m in metrics], "metric", "score"
-    )
+    return wide.unpivot([*groups, "observations", "n_pos", "n_neg"], names, "metric", "score")
 
 
-def metric_table(df: DataFrame, model_uid: str, label="label", prob="prob", cls="predicted_class") -> DataFrame:
+def metric_table(df: DataFrame, model_uid: str, label="label", prob="prob", cls="predicted_class", scorers=None) -> DataFrame:
     """EVL-7: (scoring_metric, holdout_score, model_uid, holdout_type='test')."""
-    m = metric_scores(df, label, prob, cls)
+    m = metric_scores(df, label, prob, cls, scorers=scorers)
     return m.select(
         F.col("metric").alias("scoring_metric"),
         F.col("score").alias("holdout_score"),
@@ -272,38 +309,46 @@ def calibration_table(
     n_bins: int = 10,
     strategy: str = "uniform",
 ) -> DataFrame:
-    """EVL-11: calibration curve points (non-empty bins only).
+    """EVL-11: one calibration curve, see ``calibration_tables``."""
+    return calibration_tables(df, label, prob, [n_bins], [strategy])
+
+
+def calibration_tables(
+    df: DataFrame, label: str = "label", prob: str = "prob", bins: Sequence[int] = tuple(CALIBRATION_BINS), strategies: Sequence[str] = ("uniform", "quantile")
+) -> DataFrame:
+    """EVL-11: calibration curve points (non-empty bins only) of each number of bins and strategy.
 
     Bins are left-closed as in ``np.digitize``: uniform edges j*(1+1e-8)/n;
     quantile edges are exact linear quantiles at j/n with the top edge
     padded by 1e-8.  Output: n_bins, strategy, bin, prob_true, prob_pred, count.
+    All quantiles come from one call over the score table, and each score goes
+    to its bins in one pass.
     """
-    if strategy == "uniform":
-        step = (1.0 + 1e-8) / n_bins
-        b = F.aggregate(
-            F.sequence(F.lit(1), F.lit(n_bins)),
-            F.lit(0),
-            lambda acc, j: acc + F.when(F.col(prob) >= j * F.lit(step), 1).otherwise(0),
-        )
-        binned = df.withColumn("bin", b)
-    elif strategy == "quantile":
-        probs = [j / n_bins for j in range(1, n_bins)]
-        q = exact_quantiles(df, [], prob, probs).agg(
-            F.array_sort(F.collect_list("quantile")).alias("edges")
-        )
-        binned = (
-            with_scalar(df, q)
-            .withColumn(
-                "bin", F.aggregate("edges", F.lit(0), lambda acc, e: acc + F.when(F.col(prob) >= e, 1).otherwise(0))
-            )
-        )
-    else:
-        raise ValueError(f"unknown strategy {strategy!r}")
-    return binned.groupBy("bin").agg(
-        F.avg(F.col(label).cast("double")).alias("prob_true"),
-        F.avg(prob).alias("prob_pred"),
-        F.count(F.lit(1)).alias("count"),
-    ).select(F.lit(n_bins).alias("n_bins"), F.lit(strategy).alias("strategy"), "bin", "prob_true", "prob_pred", "count")
+    unknown = set(strategies) - {"uniform", "quantile"}
+    if unknown:
+        raise ValueError(f"unknown strategy {sorted(unknown)}")
+    rows = df.withColumn("_cls", F.lit(0))
+    cells = score_cells(rows, label, prob, "_cls").where("prob IS NOT NULL")
+    edges: dict[float, float] = {}
+    if "quantile" in strategies:
+        probs = sorted({j / n for n in bins for j in range(1, n)})
+        counted = cells.withColumn("_n", F.col("pos") + F.col("neg"))
+        edges = {r["q"]: r["quantile"] for r in exact_quantiles(counted, [], "prob", probs, count="_n").collect()}
+    places = []
+    for n in bins:
+        for s in strategies:
+            step = (1.0 + 1e-8) / n
+            cuts = [j * step for j in range(1, n + 1)] if s == "uniform" else [edges[j / n] for j in range(1, n) if j / n in edges]
+            cuts = F.array(*[F.lit(c) for c in cuts]).cast("array<double>")
+            at = F.aggregate(cuts, F.lit(0), lambda acc, e: acc + F.when(F.col("prob") >= e, 1).otherwise(0))
+            places.append(F.struct(F.lit(n).alias("n_bins"), F.lit(s).alias("strategy"), at.alias("bin")))
+    long = cells.select("prob", "pos", "neg", F.explode(F.array(*places)).alias("_b"))
+    n = F.sum(F.col("pos") + F.col("neg"))
+    return long.groupBy("_b.n_bins", "_b.strategy", "_b.bin").agg(
+        (F.sum("pos") / n).alias("prob_true"),
+        (F.sum(F.col("prob") * (F.col("pos") + F.col("neg"))) / n).alias("prob_pred"),
+        n.alias("count"),
+    )
 
 
 def class_lift(df: DataFrame, label: str = "label", cls: str = "predicted_class") -> DataFrame:
@@ -323,41 +368,52 @@ def probability_lift(df: DataFrame, label: str = "label", prob: str = "prob", n_
     )
 
 
+#: Cells of the binned density: at least so many, up to 8 a bandwidth, at most so many.
+MIN_CELLS, MAX_CELLS, CELLS_A_BANDWIDTH = 1 << 10, 1 << 14, 8
+
+
 def density_points(df: DataFrame, value: str, groups: Sequence[str] = (), grid: int = 200, cut: float = 3.0) -> DataFrame:
     """EVL-20: Gaussian KDE on a ``grid``-point support (Scott bandwidth,
     support min - cut*bw .. max + cut*bw).  A constant column has no bandwidth:
     its density is null.
 
-    Exact: rows are first reduced to (value, count) so the work is
-    #distinct values x grid, and the grid is generated per row with
-    ``sequence`` (no join against the grid).
+    Binned: each value shares its weight between the two of a fixed number of
+    cells beside it (linear binning), one partial aggregation; the kernel is
+    then summed over cells, so the work doesn't grow with the distinct values.
+    With cells of h bandwidths the density is off by at most about h * h / 8 of
+    the kernel's largest second derivative, that is by 0.2 % of its peak at 8
+    cells a bandwidth; so while the range is under 2,048 bandwidths.
     """
     groups = list(groups)
-    d = df.where(F.col(value).isNotNull())
+    d = df.where(F.col(value).isNotNull()).select(*groups, F.col(value).cast("double").alias("_v"))
     st = d.groupBy(*groups).agg(
         F.count(F.lit(1)).alias("_n"),
-        F.stddev_samp(value).alias("_sd"),
-        F.min(value).alias("_lo"),
-        F.max(value).alias("_hi"),
+        F.stddev_samp("_v").alias("_sd"),
+        F.min("_v").alias("_lo"),
+        F.max("_v").alias("_hi"),
     ).withColumn("_bw", F.col("_sd") * F.pow(F.col("_n"), -0.2))
-    dv = d.groupBy(*groups, value).agg(F.count(F.lit(1)).alias("_c"))
-    j = dv.join(st, groups) if groups else with_scalar(dv, st)
+    cells = F.ceil(F.lit(float(CELLS_A_BANDWIDTH)) * (F.col("_hi") - F.col("_lo")) / F.col("_bw"))
+    st = st.withColumn("_m", F.when(F.col("_bw") > 0, F.least(F.greatest(cells, F.lit(MIN_CELLS)), F.lit(MAX_CELLS))).otherwise(F.lit(1)).cast("int"))
+    st = materialize(st, "density-groups")
+    step = F.when(F.col("_bw") > 0, (F.col("_hi") - F.col("_lo")) / F.col("_m")).otherwise(F.lit(1.0))
+    j = (d.join(st, groups) if groups else with_scalar(d, st)).withColumn("_at", (F.col("_v") - F.col("_lo")) / step)
+    left = F.floor("_at")
+    share = F.col("_at") - left
+    beside = F.array(F.struct(left.alias("cell"), (1.0 - share).alias("w")), F.struct((left + 1).alias("cell"), share.alias("w")))
+    weights = j.select(*groups, F.explode(beside).alias("_b")).groupBy(*groups, "_b.cell").agg(F.sum("_b.w").alias("w")).where("w > 0")
+    # at most MAX_CELLS + 1 a group
+    filled = weights.groupBy(*groups).agg(F.collect_list(F.struct("cell", "w")).alias("_cells"))
+    filled = filled.join(st, groups) if groups else with_scalar(filled, st)
     lo = F.col("_lo") - cut * F.col("_bw")
     hi = F.col("_hi") + cut * F.col("_bw")
-    pts = j.select(
-        *groups,
-        F.col(value).alias("_v"),
-        "_c",
-        "_n",
-        "_bw",
-        F.posexplode(F.sequence(F.lit(0), F.lit(grid - 1))).alias("_p", "point"),
-        lo.alias("_a"),
-        hi.alias("_b"),
+    pts = filled.withColumn("_step", step).select(
+        "*", F.posexplode(F.sequence(F.lit(0), F.lit(grid - 1))).alias("_p", "point"), lo.alias("_a"), hi.alias("_b")
     ).withColumn("x", F.col("_a") + F.col("point") * (F.col("_b") - F.col("_a")) / (grid - 1))
-    kern = F.col("_c") * F.exp(-0.5 * F.pow(F.try_divide(F.col("x") - F.col("_v"), F.col("_bw")), 2))
-    return pts.groupBy(*groups, "point", "x").agg(
-        F.try_divide(F.sum(kern), F.max("_n") * F.max("_bw") * F.lit((2 * 3.141592653589793) ** 0.5)).alias("density")
-    ).drop("_p")
+    z = lambda e: F.try_divide(F.col("x") - (F.col("_lo") + e["cell"] * F.col("_step")), F.col("_bw"))
+    total = F.aggregate("_cells", F.lit(0.0), lambda acc, e: acc + e["w"] * F.exp(-0.5 * F.pow(z(e), 2)))
+    return pts.select(
+        *groups, "point", "x", F.try_divide(total, F.col("_n") * F.col("_bw") * F.lit((2 * 3.141592653589793) ** 0.5)).alias("density")
+    )
 
 
 # ---------------------------------------------------------------- bootstrap
@@ -385,15 +441,15 @@ def bootstrap_scores(
     ids = F.sequence(F.lit(0), F.lit(samples - 1))
     frac = min(1.0, (m + 10 * m**0.5 + 100) / max(n, 1))
     band = int(frac * (1 << 60))
-    exp = df.select("*", F.explode(ids).alias("sample")).withColumn("_h", hash_order(F.col(key), F.col("sample")))
-    cand = exp.where(F.col("_h") < F.lit(band))
-    short = cand.groupBy("sample").count().where(F.col("count") < m).select("sample").collect()
+    # the hashes of a row are filtered before it is copied
+    drawn_by = F.filter(F.transform(ids, lambda i: F.struct(i.alias("sample"), hash_order(F.col(key), i).alias("h"))), lambda e: e["h"] < F.lit(band))
+    cand = materialize(df.select("*", F.explode(drawn_by).alias("_d")).select(*df.columns, "_d.sample", F.col("_d.h").alias("_h")), "bootstrap-candidates")
+    short = [r["sample"] for r in cand.groupBy("sample").count().where(F.col("count") < m).select("sample").collect()]
     if short:
-        redo = [r["sample"] for r in short]
-        cand = cand.where(~F.col("sample").isin(redo)).unionByName(exp.where(F.col("sample").isin(redo)))
+        again = df.select("*", F.explode(F.array(*[F.lit(i) for i in short])).alias("sample")).withColumn("_h", hash_order(F.col(key), F.col("sample")))
+        cand = cand.where(~F.col("sample").isin(short)).unionByName(again)
     ranked = row_numbers(cand, ["_h", key], ["sample"], cuts=uniform_hash_cuts(_n_ranges(cand, None)))
-    # the draws feed both the metric aggregation and the AUC kernel: materialise once
-    drawn = materialize(ranked.where(F.col("rn") <= m).drop("rn", "_h"), "bootstrap-draws")
+    drawn = ranked.where(F.col("rn") <= m).drop("rn", "_h")
     scores = metric_scores(drawn, label, prob, cls, ["sample"], metrics)
     return describe(scores, ["metric"], "score")
 
@@ -430,38 +486,23 @@ def metrics_by_partition(
 
     Output: metric, score, partition ('<feature>_<level>'; numeric levels are
     'q<bin>' and 'nan' for missing values, as pandas renders a NaN bin),
-    observations.  One key join, one unpivot, one grouped aggregation and one
-    grouped prefix kernel for AUC — no per-feature loop.
+    observations.  One key join, one explode into (feature, level), and one
+    grouped score table that all metrics come from — no per-feature loop.
     """
     cats = [c for c in categorical if c not in drop_cols]
     nums = [c for c in numeric if c not in drop_cols]
-    # read by the qcut kernel, the metric aggregation and the AUC kernel: materialise once
+    # read by the quantile kernel and for the score table: materialise once
     j = materialize(preds.select(key, label, prob, cls).join(features.select(key, *cats, *nums), key), "by-partition")
-    parts = []
-    if cats:
-        parts.append(
-            j.select(key, label, prob, cls, *[F.col(c).cast("string").alias(c) for c in cats])
-            .unpivot([key, label, prob, cls], cats, "feature", "level")
-            .where(F.col("level").isNotNull())
-        )
+    levels = [F.struct(F.lit(c).alias("feature"), F.col(c).cast("string").alias("level")) for c in cats]
     if nums:
-        long = j.select(key, label, prob, cls, *[F.col(c).cast("double").alias(c) for c in nums]).unpivot(
-            [key, label, prob, cls], nums, "feature", "_x"
-        )
-        binned = qcut(long, "_x", numeric_bins, groups=["feature"], out="_bin")
-        parts.append(
-            binned.select(
-                key,
-                label,
-                prob,
-                cls,
-                "feature",
-                F.when(F.col("_bin").isNull(), F.lit("nan")).otherwise(F.concat(F.lit("q"), F.col("_bin"))).alias("level"),
-            )
-        )
-    long_all = parts[0]
-    for p in parts[1:]:
-        long_all = long_all.unionByName(p)
+        # numeric_bins - 1 edges a column become literals, so no row joins them
+        long = j.select(*[F.col(c).cast("double").alias(c) for c in nums]).unpivot([], nums, "feature", "_x")
+        edges = {r["feature"]: r["edges"] for r in qcut_edges(long, ["feature"], "_x", numeric_bins).collect()}
+        for c in nums:
+            x, cuts = F.col(c).cast("double"), F.array(*[F.lit(float(e)) for e in edges.get(c, [])]).cast("array<double>")
+            level = F.when(x.isNull(), F.lit("nan")).otherwise(F.concat(F.lit("q"), bin_of(x, cuts).cast("string")))
+            levels.append(F.struct(F.lit(c).alias("feature"), level.alias("level")))
+    long_all = j.select(label, prob, cls, F.explode(F.array(*levels)).alias("_l")).select(label, prob, cls, "_l.feature", "_l.level").where("level IS NOT NULL")
     sc = metric_scores(long_all, label, prob, cls, ["feature", "level"], metrics)
     return sc.where((F.col("n_pos") > 0) & (F.col("n_neg") > 0)).select(
         "metric",
@@ -499,12 +540,7 @@ def evaluate_all(
         "ks_curve": ks_curve_points(p, label, prob),
         "concordance": concordance(p, label, prob),
     }
-    cal = None
-    for n in CALIBRATION_BINS:
-        for s in ("uniform", "quantile"):
-            t = calibration_table(p, label, prob, n, s)
-            cal = t if cal is None else cal.unionByName(t)
-    out["calibration"] = cal
+    out["calibration"] = calibration_tables(p, label, prob)
     if features is not None:
         out["by_partition"] = metrics_by_partition(
             p, features, key, label, prob, categorical=categorical, numeric=numeric

@@ -10,6 +10,9 @@ aggregated — no per-feature or per-row driver loop.
 
 from __future__ import annotations
 
+import hashlib
+import math
+import warnings
 from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -17,7 +20,7 @@ from pyspark.sql import functions as F
 
 from attrix.operators.aggregates import attach_rows, with_scalar
 from attrix.operators.evaluate import LOG_LOSS_EPS
-from attrix.operators.kernels import _n_ranges, exact_quantiles, hash_order, row_numbers, uniform_hash_cuts
+from attrix.operators.kernels import exact_quantiles, hash_order, row_numbers
 from attrix.session import materialize
 
 ScoreFn = Callable[[DataFrame], DataFrame]
@@ -146,25 +149,21 @@ def permutation_importance(
     """XPL-4: baseline neg log loss minus the score after permuting one
     feature, mean and population std over ``repeats`` permutations.
 
-    A permutation is a global join: rows ranked by key (slots) and, per
-    (feature, repeat), by md5(key-feature-repeat); row i takes the feature
-    value of the row whose slot equals its hash rank.  All F x R permuted
-    copies are scored in one pass."""
+    A permutation is a bijection of the row numbers by key, for each (feature,
+    repeat) ``slot * a + b mod n`` with a prime to n, so nothing is sorted for
+    it: each row sends its F x R values to their slots, which is one join, and
+    all permuted copies are scored in one pass."""
     feats = list(features)
+    slots = materialize(row_numbers(df.withColumn("_key", F.col(key)), ["_key"], out="_slot").withColumn("_slot", F.col("_slot") - 1).drop("_key"), "permutation-rows")
+    n = slots.count()
     base = score_df(df).agg(_neg_log_loss(label).alias("_base"))
-    slots = row_numbers(df.select(key, *feats), [key], out="_slot")
-    donors = slots.select(
-        "_slot", F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("donor")) for c in feats])).alias("_d")
-    ).select("_slot", "_d.feature", "_d.donor")
-    grid = df.select(key).select(
-        key,
-        F.explode(F.array(*[F.lit(c) for c in feats])).alias("feature"),
-    ).select("*", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("rep"))
-    grid = grid.withColumn("_h", hash_order(F.col(key), F.col("feature"), F.col("rep")))
-    ranked = row_numbers(grid, ["_h", key], ["feature", "rep"], out="_slot", cuts=uniform_hash_cuts(_n_ranges(grid, None)))
-    perm = ranked.join(donors, ["feature", "_slot"]).select(key, "feature", "rep", "donor")
+    sent = [
+        F.struct(F.pmod(F.col("_slot") * F.lit(a) + F.lit(b), F.lit(max(n, 1))).alias("_to"), F.lit(c).alias("feature"), F.lit(r).alias("rep"), F.col(c).cast("double").alias("donor"))
+        for c, r, a, b in slot_bijections(feats, repeats, n)
+    ]
+    donors = slots.select(F.explode(F.array(*sent)).alias("_d")).select("_d.*")
     # every other input column passes through, so any model can score the copies
-    j = perm.join(df, key)
+    j = donors.join(slots, donors["_to"] == slots["_slot"])
     j = j.select(
         "feature",
         "rep",
@@ -182,6 +181,19 @@ def permutation_importance(
     )
 
 
+def slot_bijections(features: Sequence[str], repeats: int, n: int) -> list[tuple[str, int, int, int]]:
+    """(feature, repeat, a, b) with a prime to n, from hashes; a * n stays under 2**62."""
+    out = []
+    for c in features:
+        for r in range(repeats):
+            h, g = (int(hashlib.md5(t.encode()).hexdigest()[:15], 16) for t in (f"{c}-{r}", f"{r}-{c}"))
+            a = max(h % max(1, min(n, (1 << 62) // max(n, 1))), 1)
+            while math.gcd(a, n) > 1:
+                a += 1
+            out.append((c, r, a, g % max(n, 1)))
+    return out
+
+
 # ---------------------------------------------------------------- XPL-6 / XPL-7
 def pdp_grid(df: DataFrame, feature: str, resolution: int = PDP_GRID, percentiles=PDP_PERCENTILES) -> DataFrame:
     """scikit-learn's grid: the unique values when there are fewer than
@@ -275,8 +287,6 @@ def ale(df: DataFrame, feature: str, score_df: ScoreFn, grid: int = ALE_GRID) ->
 def embedded_scores(model, feature_names: Sequence[str]) -> list[tuple[str, float]]:
     """XPL-3: coefficients squashed to (-1, 1) by (sigmoid(c) - 0.5) / 0.5, or
     impurity importances of tree ensembles; other models raise."""
-    import math
-
     if hasattr(model, "coefficients"):
         vals = [(1.0 / (1.0 + math.exp(-c)) - 0.5) / 0.5 for c in model.coefficients.toArray()]
     elif hasattr(model, "featureImportances"):
@@ -305,18 +315,19 @@ def drop_column_importance(
 
     measure = metric or (lambda y: -_neg_log_loss(y))
 
-    def score(cols):
-        m = make_pipeline(cols).fit(train)
-        s = m.transform(test).withColumn("_score", vector_to_array("probability")[1])
+    def score(model):
+        s = model.transform(test).withColumn("_score", vector_to_array("probability")[1])
         return float(s.agg(measure(label).alias("s")).first()["s"])
 
-    base = score(list(columns))
+    base = score(make_pipeline(list(columns)).fit(train))
 
     def one(c):
         try:
-            return c, base - score([x for x in columns if x != c])
-        except Exception:  # noqa: BLE001  (reference: a failed refit counts as 0)
+            model = make_pipeline([x for x in columns if x != c]).fit(train)
+        except Exception as e:  # noqa: BLE001  (a pipeline can fail in any way: no column left, no level selected)
+            warnings.warn(f"the refit without {c} failed and counts as 0: {e}", stacklevel=2)
             return c, 0.0
+        return c, base - score(model)
 
     with ThreadPoolExecutor(max_workers=parallelism) as pool:
         res = list(pool.map(one, columns))
@@ -324,20 +335,44 @@ def drop_column_importance(
 
 
 def explain_all(df: DataFrame, key: str, label: str, features: Sequence[str], score_df: ScoreFn,
-                background_n: int = 100, sample_n: int | None = None, model_uid: str = "model") -> dict[str, DataFrame]:
+                background_n: int = 100, sample_n: int | None = None, model_uid: str = "model", model=None,
+                make_pipeline: Callable[[Sequence[str]], object] | None = None, train: DataFrame | None = None) -> dict[str, DataFrame]:
     """XPL-9: explanations on all rows, or on the first ``sample_n`` in md5
-    order when the caller asks for a sample."""
+    order when the caller asks for a sample.
+
+    ``model`` (a fitted pipeline) adds its embedded scores, and if it ends with
+    trees their exact Shapley values take the place of the sampled ones;
+    ``make_pipeline`` and ``train`` add the importance of columns by refits."""
     from attrix.operators.windows import head_hash_ordered
 
     s = materialize(df if sample_n is None else head_hash_ordered(df, key, sample_n), "explain-rows")
-    bg = head_hash_ordered(s, key, background_n, seed=1)
-    shap = sampled_shapley(s, key, features, score_df, bg)
+    spark = df.sparkSession
+    if model is not None and has_trees(model.stages[-1]):
+        from attrix.operators.trees import model_shapley
+
+        shap = model_shapley(s, key, model)
+    else:
+        shap = sampled_shapley(s, key, features, score_df, head_hash_ordered(s, key, background_n, seed=1))
     out = {
         "shap": shap,
         "global_importance": global_importance(shap, model_uid),
         "permutation_importance": permutation_importance(s, key, label, features, score_df),
     }
+    if model is not None:
+        from attrix.operators.stages import feature_lineage
+
+        names = [r["feature"] for r in feature_lineage(model).orderBy("slot").collect()]
+        out["embedded_scores"] = spark.createDataFrame(embedded_scores(model.stages[-1], names), "feature string, importance_score double")
+    if make_pipeline is not None:
+        dropped = drop_column_importance(train if train is not None else s, s, label, features, make_pipeline)
+        out["drop_column_importance"] = spark.createDataFrame(dropped, "feature string, importance_score double")
     for c in features:
         out[f"pdp_{c}"] = partial_dependence(s, c, score_df)
+        out[f"ice_{c}"] = ice_curves(s, key, c, score_df)
         out[f"ale_{c}"] = ale(s, c, score_df)
     return out
+
+
+def has_trees(model) -> bool:
+    """Whether a fitted classifier is made of trees."""
+    return hasattr(model, "trees") or hasattr(model, "depth") or type(model).__name__ == "ExtraTreesModel"

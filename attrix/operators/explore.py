@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.ml.fpm import FPGrowth
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from attrix.operators.aggregates import attach_rows, category_dispersion, category_target_connection, with_scalar
 from attrix.operators.evaluate import density_points
 from attrix.operators.kernels import qcut
 from attrix.operators.neighbours import neighbour_information
+from attrix.session import materialize, ship_code
 
 HIGH_CORRELATION = 0.98
 MIN_SUPPORT = 0.1
@@ -116,31 +119,87 @@ def correlated_features(
 ) -> DataFrame:
     """EXP-2: |Pearson r| for every unordered pair of dummy-coded and numeric
     columns over pairwise-complete rows (as pandas), flagged when >= cutoff.
+    Each pair appears once with feature1 < feature2.
+
+    A row has one level a column, so the moments of two dummies are how often
+    their levels meet (C * C / 2 pairs a row for C columns, added up before the
+    shuffle) and those of a dummy and a number are the number's sums by level.
+    Only the numbers among themselves need dense products (numpy, by
+    partition).  The result has a row a pair, so its size is levels squared;
+    the work on rows doesn't grow with the levels."""
+    parts = []
+    levels = _level_names(df, categorical) if categorical else None
+    if categorical:
+        parts.append(_level_pairs(df, categorical, levels))
+    if numeric:
+        means = df.agg(*[F.avg(F.col(c).cast("double")).alias(c) for c in numeric]).first()
+        centred = [(F.col(c).cast("double") - F.lit(means[c] or 0.0)).alias(c) for c in numeric]
+        if categorical:
+            parts.append(_level_number_pairs(df, categorical, numeric, centred))
+        if len(numeric) > 1:
+            parts.append(_number_pairs(df.select(*centred), sorted(numeric)))
+    out = reduce(DataFrame.unionByName, parts)
+    in_order = F.col("f") < F.col("g")
+    out = out.select(F.when(in_order, F.col("f")).otherwise(F.col("g")).alias("feature1"), F.when(in_order, F.col("g")).otherwise(F.col("f")).alias("feature2"), F.abs("r").alias("correlation"))
+    return out.withColumn("high_correlation", F.when(F.col("correlation") >= cutoff, "yes").otherwise("no"))
+
+
+def _dummy_name(c: str) -> Column:
+    return F.concat_ws("_", F.lit(c), F.coalesce(F.col(c).cast("string"), F.lit("nan")))
+
 
-    Each partition reduces its rows to F x F pairwise moment matrices with
-    numpy (Arrow batches); Spark sums the partial matrices per pair.  Work is
-    rows x F^2 flops, the shuffle is partitions x F^2 / 2 small rows, and no
-    pair rows are formed from the data.  Each pair appears once with
-    feature1 < feature2."""
-    wide = dummies(df, categorical, keep=[F.col(c).cast("double").alias(c) for c in numeric])
-    names = sorted(wide.columns)
-    means = wide.agg(*[F.avg(F.col(f"`{c}`").cast("double")).alias(f"m{i}") for i, c in enumerate(names)]).first()
-    centred = wide.select(
-        *[(F.col(f"`{c}`").cast("double") - F.lit(means[f"m{i}"] or 0.0)).alias(f"c{i}") for i, c in enumerate(names)]
+def _level_names(df: DataFrame, categorical: Sequence[str]) -> DataFrame:
+    """(f, n): rows of each level, at most MAX_DUMMY_LEVELS of them."""
+    long = df.select(F.explode(F.array(*[_dummy_name(c) for c in categorical])).alias("f"))
+    levels = materialize(long.groupBy("f").agg(F.count(F.lit(1)).cast("double").alias("n")), "dummy-levels")
+    if levels.limit(MAX_DUMMY_LEVELS + 1).count() > MAX_DUMMY_LEVELS:
+        raise ValueError(f"more than {MAX_DUMMY_LEVELS} dummy levels: combine sparse levels first (ENC-1)")
+    return levels
+
+
+def _pearson(n: Column, sx: Column, sy: Column, sxx: Column, syy: Column, sxy: Column) -> Column:
+    return F.try_divide(n * sxy - sx * sy, F.sqrt((n * sxx - sx * sx) * (n * syy - sy * sy)))
+
+
+def _level_pairs(df: DataFrame, categorical: Sequence[str], levels: DataFrame) -> DataFrame:
+    names = [_dummy_name(c) for c in categorical]
+    met = [F.struct(F.least(a, b).alias("f"), F.greatest(a, b).alias("g")) for i, a in enumerate(names) for b in names[i + 1 :]]
+    total = levels.sparkSession.range(1).select(F.lit(float(df.count())).alias("_t"))
+    # the levels, of a checked number, as one constant
+    others = json.dumps([{"g": r["f"], "m": r["n"]} for r in levels.collect()])
+    pairs = levels.select("f", "n", F.explode(F.from_json(F.lit(others), "array<struct<g: string, m: double>>")).alias("_o")).select("f", "n", "_o.*").where("f < g")
+    if met:
+        both = df.select(F.explode(F.array(*met)).alias("_p")).groupBy(F.col("_p.f").alias("_f"), F.col("_p.g").alias("_g")).agg(F.count(F.lit(1)).cast("double").alias("both"))
+        pairs = pairs.join(both, (F.col("f") == F.col("_f")) & (F.col("g") == F.col("_g")), "left")
+    else:
+        pairs = pairs.withColumn("both", F.lit(None).cast("double"))
+    n, m = F.col("n"), F.col("m")
+    return with_scalar(pairs, total).select("f", "g", _pearson(F.col("_t"), n, m, n, m, F.coalesce("both", F.lit(0.0))).alias("r"))
+
+
+def _level_number_pairs(df: DataFrame, categorical: Sequence[str], numeric: Sequence[str], centred: Sequence[Column]) -> DataFrame:
+    rows = df.select(F.array(*[_dummy_name(c) for c in categorical]).alias("_names"), *centred)
+    whole = rows.agg(*[e for c in numeric for e in (F.count(c).cast("double").alias(f"n_{c}"), F.sum(c).alias(f"s_{c}"), F.sum(F.col(c) * F.col(c)).alias(f"q_{c}"))]).first()
+    by = rows.select(F.explode("_names").alias("f"), *numeric).groupBy("f").agg(
+        *[e for c in numeric for e in (F.count(c).cast("double").alias(f"n_{c}"), F.sum(c).alias(f"s_{c}"))]
     )
+
+    def r(c):
+        n, s, q = (F.lit(whole[f"{k}_{c}"] or 0.0) for k in "nsq")
+        here = F.col(f"n_{c}")
+        return _pearson(n, here, s, here, q, F.coalesce(F.col(f"s_{c}"), F.lit(0.0)))
+
+    pairs = F.array(*[F.struct(F.lit(c).alias("g"), r(c).alias("r")) for c in numeric])
+    return by.select("f", F.explode(pairs).alias("_p")).select("f", "_p.g", "_p.r")
+
+
+def _number_pairs(centred: DataFrame, names: Sequence[str]) -> DataFrame:
     cols = [f"c{i}" for i in range(len(names))]
     schema = "i int, j int, n double, sx double, sy double, sxx double, syy double, sxy double"
-    parts = centred.mapInPandas(_pairwise_moments(cols), schema)
+    parts = centred.select(*[F.col(c).alias(k) for c, k in zip(names, cols)]).mapInPandas(_pairwise_moments(cols), schema)
     tot = parts.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy")])
-    num = F.col("n") * F.col("sxy") - F.col("sx") * F.col("sy")
-    den = F.sqrt((F.col("n") * F.col("sxx") - F.col("sx") * F.col("sx")) * (F.col("n") * F.col("syy") - F.col("sy") * F.col("sy")))
-    lookup = F.create_map(*[x for i, c in enumerate(names) for x in (F.lit(i), F.lit(c))])
-    out = tot.select(
-        F.element_at(lookup, F.col("i")).alias("feature1"),
-        F.element_at(lookup, F.col("j")).alias("feature2"),
-        F.abs(F.try_divide(num, den)).alias("correlation"),
-    )
-    return out.withColumn("high_correlation", F.when(F.col("correlation") >= cutoff, "yes").otherwise("no"))
+    lookup = F.array(*[F.lit(c) for c in names])
+    return tot.select(F.get(lookup, F.col("i")).alias("f"), F.get(lookup, F.col("j")).alias("g"), _pearson(*[F.col(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy")]).alias("r"))
 
 
 def _plugin_mi(cells: DataFrame, feat: str, x: str, y: str, n_col: str = "n") -> DataFrame:
@@ -261,22 +320,93 @@ def association_rules(
     return r.where(F.col("lift") >= min_lift)
 
 
+#: Items of all rules together that a prefix tree may have; beyond, rules are walked in blocks of that size.
+MAX_TREE_ITEMS = 1 << 20
+
+
+class ItemTree:
+    """Prefix tree over item sets: children by item, and the sets that end at a node."""
+
+    def __init__(self, sets: Sequence[Sequence[str]]):
+        self.children: list[dict[str, int]] = [{}]
+        self.ends: list[list[int]] = [[]]
+        for number, items in enumerate(sets):
+            at = 0
+            for i in sorted(set(items)):
+                if i not in self.children[at]:
+                    self.children[at][i] = len(self.children)
+                    self.children.append({})
+                    self.ends.append([])
+                at = self.children[at][i]
+            self.ends[at].append(number)
+
+    def within(self, basket: Sequence[str]) -> list[int]:
+        """Numbers of the sets that the basket holds: from each node only to
+        children whose item is there, so other branches are never entered."""
+        items = sorted(set(basket))
+        found, stack = [], [(0, 0)]
+        while stack:
+            node, start = stack.pop()
+            found += self.ends[node]
+            below = self.children[node]
+            if not below:
+                continue
+            if len(below) < len(items) - start:
+                have = set(items[start:])
+                stack += [(to, start) for i, to in below.items() if i in have]
+            else:
+                stack += [(below[items[k]], k + 1) for k in range(start, len(items)) if items[k] in below]
+        return found
+
+
 def rule_outcomes(rules: DataFrame, transactions: DataFrame, outcomes: DataFrame, key: str, item: str, col: str) -> DataFrame:
     """EXP-7 / JN-9: per rule, mean of ``col`` and count over the rows that hold
-    every item of the rule (containment join: explode rule items, equi-join on
-    item, keep (rule, row) pairs that matched all items)."""
-    rr = rules.select(
+    every item of the rule.
+
+    A prefix tree over the rules' items is walked once a basket, and a task
+    sends (rule, sum, count) on, so no row meets a rule through a common item.
+    Rules come to the driver in blocks of at most MAX_TREE_ITEMS items; each
+    block reads the baskets, which are written once, again."""
+    ship_code(rules.sparkSession)
+    named = rules.select(
         F.concat(F.array_join("antecedents", ","), F.lit(" -> "), F.array_join("consequents", ",")).alias("rules"),
         F.array_union("antecedents", "consequents").alias("_items"),
+    ).distinct()
+    named = materialize(named.withColumn("_no", F.monotonically_increasing_id()), "rule-items")
+    total = named.agg(F.coalesce(F.sum(F.size("_items")), F.lit(0))).first()[0]
+    blocks = max(1, -(-total // MAX_TREE_ITEMS))
+    baskets = transactions.groupBy(key).agg(F.collect_set(F.col(item).cast("string")).alias("_basket"))
+    baskets = baskets.join(outcomes.select(key, F.col(col).cast("double").alias("_y")), key).select("_basket", "_y")
+    baskets = materialize(baskets, "rule-baskets")
+    parts = []
+    for k in range(blocks):
+        block = named.where(F.pmod(F.xxhash64("_no"), F.lit(blocks)) == k).select("_no", "_items").collect()
+        parts.append(baskets.mapInArrow(_walking([r["_no"] for r in block], ItemTree([r["_items"] for r in block])), "_no long, _sum double, _known long, _n long"))
+    sums = reduce(DataFrame.unionByName, parts).groupBy("_no").agg(F.sum("_sum").alias("_sum"), F.sum("_known").alias("_known"), F.sum("_n").alias("_n"))
+    return sums.join(named.select("_no", "rules"), "_no").groupBy("rules").agg(
+        F.try_divide(F.sum("_sum"), F.sum("_known")).alias("outcome"), F.sum("_n").alias("outcome_count")
     )
-    ex = rr.select("rules", F.size("_items").alias("_k"), F.explode("_items").alias(item))
-    hit = ex.join(transactions.select(key, item).distinct(), item).groupBy("rules", "_k", key).agg(
-        F.count(F.lit(1)).alias("_m")
-    )
-    rows = hit.where(F.col("_m") == F.col("_k")).select("rules", key)
-    return rows.join(outcomes.select(key, col), key).groupBy("rules").agg(
-        F.avg(F.col(col).cast("double")).alias("outcome"), F.count(F.lit(1)).alias("outcome_count")
-    )
+
+
+def _walking(numbers: list[int], tree: ItemTree):
+    """Task body: sums of the outcome by rule over the task's baskets."""
+    import numpy as np
+    import pyarrow as pa
+
+    def run(batches):
+        total, known, n = np.zeros(len(numbers)), np.zeros(len(numbers), np.int64), np.zeros(len(numbers), np.int64)
+        for batch in batches:
+            for basket, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                found = tree.within(basket)
+                n[found] += 1
+                if y is not None:
+                    total[found] += y
+                    known[found] += 1
+        held = np.flatnonzero(n)
+        columns = [np.array(numbers, dtype=np.int64)[held], total[held], known[held], n[held]]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["_no", "_sum", "_known", "_n"])
+
+    return run
 
 
 def category_connection(

@@ -179,9 +179,12 @@ def exact_quantiles(
     probs: Sequence[float],
     n_ranges: int | None = None,
     method: str = "linear",
+    count: str | None = None,
 ) -> DataFrame:
     """Exact quantiles per group: columns ``groups..., q, quantile``.
 
+    ``count`` names a column that says how many rows a row stands for.
+
     ``method``: 'linear' (numpy/pandas default, DuckDB ``quantile_cont``),
     'lower' (numpy interpolation='lower') or 'mquantiles' (scipy defaults).
     The two order statistics around each position are found in the
@@ -189,7 +192,7 @@ def exact_quantiles(
     value map held per group).
     """
     groups = list(groups)
-    cum = cumulate(df, groups, value, {"cnt": F.lit(1).cast("long")}, n_ranges)
+    cum = cumulate(df, groups, value, {"cnt": (F.col(count) if count else F.lit(1)).cast("long")}, n_ranges)
     qs = F.array(*[F.lit(float(p)) for p in probs])
 
     def pos(q):

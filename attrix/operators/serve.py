@@ -10,11 +10,14 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
+from pyspark.ml import Transformer
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from attrix.functions.columns import lookback_start, trunc_seconds_ntz
 from attrix.operators.aggregates import with_scalar
+from attrix.operators.stages import keeping
 
 # Fixed values of the service contract: cut-off and reply texts.
 PROBA_CUTOFF = 0.75
@@ -49,26 +52,40 @@ def ltv_lookup(
     return req.join(dim, "_lk", "left").withColumn("ltv", F.coalesce(F.col("ltv"), F.lit(0.0))).drop("_lk")
 
 
+def positive_probability(df: DataFrame, scorer: Column | Transformer) -> DataFrame:
+    """Column ``_p``: the scorer's value, or a fitted model's probability of class 1."""
+    if isinstance(scorer, Column):
+        return df.withColumn("_p", scorer)
+    scored = keeping(scorer, df.columns).transform(df)
+    return scored.select(*df.columns, vector_to_array("probability")[1].alias("_p"))
+
+
 def score_requests(
     requests: DataFrame,
     payload_col: str,
     schema: str,
-    scorer: Column,
+    scorer: Column | Transformer,
     ltv: DataFrame | None = None,
     cutoff: float = PROBA_CUTOFF,
     keep: tuple[str, ...] = ("uid",),
 ) -> DataFrame:
     """SRV-1: parse each JSON request with ``schema``, score it, round to 2
-    places, flag ``high_risk`` at ``cutoff`` and attach ltv.  Rows whose JSON
-    does not parse take the error branch: error text and prediction 0."""
+    places, flag ``high_risk`` at ``cutoff`` and attach ltv.
+
+    ``scorer`` is a Column over the parsed fields or a fitted model (a saved
+    pipeline, say).  Rows whose JSON does not parse take the error branch:
+    error text and prediction 0; with a model, which would read such a field
+    as missing, so do rows with a field that isn't of its type."""
     # malformed JSON parses to a struct of nulls, so validity is checked on the text
-    parsed = requests.select(
-        *keep,
-        F.get_json_object(F.col(payload_col), "$").isNotNull().alias("_ok"),
-        F.from_json(F.col(payload_col), schema).alias("_r"),
-    )
+    ok = F.get_json_object(F.col(payload_col), "$").isNotNull()
+    if isinstance(scorer, Column):
+        parsed = requests.select(*keep, ok.alias("_ok"), F.from_json(F.col(payload_col), schema).alias("_r"))
+    else:
+        options = {"columnNameOfCorruptRecord": "_bad"}
+        parsed = requests.select(*keep, ok.alias("_ok"), F.from_json(F.col(payload_col), f"{schema}, _bad string", options).alias("_r"))
+        parsed = parsed.withColumn("_ok", F.col("_ok") & F.col("_r._bad").isNull()).withColumn("_r", F.col("_r").dropFields("_bad"))
     flat = parsed.select(*keep, "_ok", "_r.*")
-    scored = flat.withColumn("_p", F.round(scorer, 2))
+    scored = positive_probability(flat, scorer).withColumn("_p", F.round("_p", 2))
     ok = F.col("_ok")
     out = scored.select(
         *keep,

@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import json
 from collections.abc import Mapping, Sequence
-from functools import reduce
 
 from pyspark import keyword_only
 from pyspark.ml import Estimator, PipelineModel, Transformer
@@ -19,7 +18,7 @@ from pyspark.ml.feature import OneHotEncoder, SQLTransformer, VectorAssembler
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.param.shared import Param, Params, TypeConverters
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attrix.operators.encoders import CombineSparseLevels, TableModel, chi2_from_counts, class_shares, level_class_counts, select_percentile
@@ -49,6 +48,16 @@ class ConformSchema(Transformer, DefaultParamsReadable, DefaultParamsWritable):
         return conform_schema(dataset, {**kept, **types})
 
 
+def keeping(model: Transformer, columns: Sequence[str]) -> Transformer:
+    """The model with these columns passing through its conform step, if it has one."""
+    if not isinstance(model, PipelineModel):
+        return model
+    stages = [
+        s.copy({s.keep: [*s.getOrDefault(s.keep), *columns]}) if isinstance(s, ConformSchema) else keeping(s, columns) for s in model.stages
+    ]
+    return PipelineModel(stages=stages)
+
+
 class _ColumnParams(Params):
     inputCols = Param(Params._dummy(), "inputCols", "columns", TypeConverters.toListString)
     labelCol = Param(Params._dummy(), "labelCol", "class column", TypeConverters.toString)
@@ -193,7 +202,7 @@ def feature_stages(
     combine_cutoff: float = 0.001,
     combine: str = "yes",
     conform: Mapping[str, str] | None = None,
-    keep: Sequence[str] = ("key", "label", "split"),
+    keep: Sequence[str] = ("key", "label", "split", "_weight"),
     label: str = "label",
 ) -> list:
     """ENC-11: the preprocessing chain as persistable stages: conform -> SQL
@@ -227,15 +236,17 @@ def feature_stages(
     fills = [f"coalesce(nullif(CAST(`{c}` AS STRING), 'nan'), 'missing') AS `{c}{FILLED}`" for c in cats]
     cf = [f"{c}{FILLED}" for c in cats]
     stages = [ConformSchema(mapping=json.dumps(dict(conform)), keep=list(keep))] if conform else []
-    return [
-        *stages,
-        SQLTransformer(statement=f"SELECT {', '.join(sel)} FROM __THIS__"),
-        SQLTransformer(statement=f"SELECT {', '.join(['*', *fills])} FROM __THIS__"),
-        CombineSparseLevels(inputCols=cf, cutoff=combine_cutoff, enabled=combine),
-        NumericFeatures(inputCols=num_out, labelCol=label, percentile=float(num_percentile)),
-        CategoricalFeatures(inputCols=cf, labelCol=label, percentile=float(cat_percentile)),
-        VectorAssembler(inputCols=[NUMERIC, CATEGORICAL], outputCol=FEATURES),
-    ]
+    stages += [SQLTransformer(statement=f"SELECT {', '.join(sel)} FROM __THIS__"), SQLTransformer(statement=f"SELECT {', '.join(['*', *fills])} FROM __THIS__")]
+    branches = []
+    if cf:
+        stages.append(CombineSparseLevels(inputCols=cf, cutoff=combine_cutoff, enabled=combine))
+    if num_out:
+        stages.append(NumericFeatures(inputCols=num_out, labelCol=label, percentile=float(num_percentile)))
+        branches.append(NUMERIC)
+    if cf:
+        stages.append(CategoricalFeatures(inputCols=cf, labelCol=label, percentile=float(cat_percentile)))
+        branches.append(CATEGORICAL)
+    return [*stages, VectorAssembler(inputCols=branches, outputCol=FEATURES)]
 
 
 #: Suffix of the filled categorical columns inside the pipeline.
@@ -252,17 +263,20 @@ def transform_only(model: PipelineModel) -> PipelineModel:
 def feature_lineage(model: PipelineModel) -> DataFrame:
     """ENC-9: (slot, feature) of the encoded inputs that survive both selectors
     and the variance filter, from the fitted tables: a level may fill a row each."""
-    (numeric,) = (s for s in model.stages if isinstance(s, NumericFeaturesModel))
-    (levels,) = (s for s in model.stages if isinstance(s, CategoricalFeaturesModel))
-    spark = numeric.table.sparkSession
-    names = [r["feature"] for r in numeric.kept()]
-    out = spark.createDataFrame(list(enumerate(names)), "slot long, feature string")
-    start, parts = len(names), []
-    for c, size in levels.used():
-        mine = levels.table.where(F.col("kept") & (F.col("column") == c))
-        parts.append(mine.select((F.col("slot") + F.lit(start)).alias("slot"), F.concat_ws("=", F.lit(c.removesuffix(FILLED)), "level").alias("feature")))
-        start += size
-    return reduce(DataFrame.unionByName, parts, out)
+    out = SparkSession.active().createDataFrame([], "slot long, feature string")
+    start = 0
+    for stage in model.stages:
+        if isinstance(stage, NumericFeaturesModel):
+            names = [r["feature"] for r in stage.kept()]
+            if names:
+                out = out.unionByName(out.sparkSession.createDataFrame(list(enumerate(names, start)), out.schema))
+            start += len(names)
+        if isinstance(stage, CategoricalFeaturesModel):
+            for c, size in stage.used():
+                mine = stage.table.where(F.col("kept") & (F.col("column") == c))
+                out = out.unionByName(mine.select((F.col("slot") + F.lit(start)).alias("slot"), F.concat_ws("=", F.lit(c.removesuffix(FILLED)), "level").alias("feature")))
+                start += size
+    return out
 
 
 def feature_rows(matrix: DataFrame, lineage: DataFrame, key: str = "key", vector: str = FEATURES) -> DataFrame:

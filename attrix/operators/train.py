@@ -7,11 +7,12 @@ reference's ``n_jobs``).  Randomised choices are seeded so runs repeat.
 
 from __future__ import annotations
 
+import math
 import random
 from collections.abc import Callable, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.ml import Pipeline
+from pyspark.ml import Estimator, Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import (
     Imputer,
@@ -22,13 +23,15 @@ from pyspark.ml.feature import (
 )
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from attrix.operators import evaluate as ev
+from attrix.operators.extra_trees import ExtraTreesClassifier
 from attrix.operators.kernels import hash_order
 from attrix.operators.stages import feature_lineage, feature_stages, transform_only  # noqa: F401  (ENC-9)
 from attrix.operators.windows import train_test_split
+from attrix.session import materialize
 
 # Fixed values from the reference's training configuration.
 TEST_SET_PERCENTAGE = 0.20
@@ -48,6 +51,8 @@ BOOSTING_SPACE = {
 }
 CONCEPT_GRID = {"maxDepth": [5, 10, 15], "minInstancesPerNode": [1, 3], "featureSubsetStrategy": ["log2", "sqrt"]}
 CONCEPT_THRESHOLD = 0.55
+#: Poisson(1) exceeds this with probability 1e-18, less than a hash can tell.
+POISSON_TERMS = 20
 
 
 # ---------------------------------------------------------------- TRN-1
@@ -65,19 +70,47 @@ def build_pipeline(model, **spec) -> Pipeline:
 
 # ---------------------------------------------------------------- TRN-4/5/6
 def model_family(name: str, params: Mapping | None = None):
-    """TRN-4 random forest, TRN-5 'extra trees' re-aimed as a forest without
-    bootstrap (random thresholds are not available in MLlib), TRN-6 gradient
-    boosting."""
+    """TRN-4 random forest, TRN-5 extra trees, TRN-6 gradient boosting."""
     params = dict(params or {})
     if name == "random_forest":
         return RandomForestClassifier(seed=SEED, **params)
     if name == "extra_trees":
-        return RandomForestClassifier(seed=SEED, bootstrap=False, **params)
+        return ExtraTreesClassifier(seed=SEED, **params)
     if name == "gradient_boosting":
         return GBTClassifier(seed=SEED, **params)
     raise ValueError(f"unknown model family {name!r}")
 
 
+#: The pipeline's own parameters, tuned with the model's.
+PIPELINE_SPACE = {
+    "take_log": ("choice", ["yes", "no"]),
+    "combine": ("choice", ["yes", "no"]),
+    "cat_percentile": ("int", 1, 100),
+    "num_percentile": ("int", 1, 100),
+}
+
+
+def pipeline_maker(spec: Mapping, family) -> Callable[[dict], Pipeline]:
+    """TRN-2, UDF-4: parameters of a trial -> pipeline.  Those of PIPELINE_SPACE
+    change the feature stages, the others are the model's; ``family`` is a
+    built-in name, an Estimator that gets them by name, or a function of them."""
+
+    def make(params: dict) -> Pipeline:
+        own = {k: v for k, v in params.items() if k not in PIPELINE_SPACE}
+        if isinstance(family, str):
+            model = model_family(family, own)
+        elif isinstance(family, Estimator):
+            model = family.copy({family.getParam(k): v for k, v in own.items()})
+        else:
+            model = family(own)
+        changed = {k: v for k, v in params.items() if k in PIPELINE_SPACE and k != "take_log"}
+        if params.get("take_log") == "no":
+            changed["log_cols"] = ()
+        return build_pipeline(model, **{**spec, **changed})
+
+    return make
+
+
 def draw_params(space: Mapping, trials: int = TRIALS, seed: int = SEED) -> list[dict]:
     """Seeded random search over the space (re-aims the TPE optimiser)."""
     rng = random.Random(seed)
@@ -216,6 +249,7 @@ def concept_shift_report(
     threshold: float = CONCEPT_THRESHOLD,
     folds: int = 3,
     grid: Mapping | None = None,
+    parallelism: int = 2,
 ) -> DataFrame:
     """DRF-4: can a forest tell production rows (1) from training rows (0)?
     Grid search over the reference's 12-point grid with k-fold ROC AUC on the
@@ -224,6 +258,7 @@ def concept_shift_report(
     cols = [key, *numeric, *categorical]
     data = train.select(*cols).withColumn("label", F.lit(0)).unionByName(prod.select(*cols).withColumn("label", F.lit(1)))
     data = train_test_split(data, key, TEST_SET_PERCENTAGE).withColumn("_fold", (hash_order(F.col(key)) % folds).cast("int"))
+    data = materialize(data, "concept-shift")  # read by every fit
     held_out, data = data.where("split = 'test'"), data.where("split = 'train'")
     cf = [f"{c}__f" for c in categorical]
     fill = SQLTransformer(
@@ -244,19 +279,23 @@ def concept_shift_report(
         vec_in += [f"{c}__m" for c in numeric]
     stages.append(VectorAssembler(inputCols=vec_in, outputCol="features", handleInvalid="keep"))
     grid = grid or CONCEPT_GRID
-    best, best_rf = None, None
-    for depth in grid["maxDepth"]:
-        for leaf in grid["minInstancesPerNode"]:
-            for feat in grid["featureSubsetStrategy"]:
-                rf = RandomForestClassifier(maxDepth=depth, minInstancesPerNode=leaf, featureSubsetStrategy=feat, seed=SEED)
-                aucs = []
-                for f in range(folds):
-                    m = Pipeline(stages=[*stages, rf]).fit(data.where(F.col("_fold") != f))
-                    s = _prob(m.transform(data.where(F.col("_fold") == f)))
-                    aucs.append(ev.roc_auc(s, "label", "prob").first()["roc_auc"])
-                score = sum(aucs) / len(aucs)
-                if best is None or score > best:
-                    best, best_rf = score, rf
+    points = [
+        RandomForestClassifier(maxDepth=depth, minInstancesPerNode=leaf, featureSubsetStrategy=feat, seed=SEED)
+        for depth in grid["maxDepth"]
+        for leaf in grid["minInstancesPerNode"]
+        for feat in grid["featureSubsetStrategy"]
+    ]
+
+    def fold_auc(job):
+        rf, f = job
+        m = Pipeline(stages=[*stages, rf]).fit(data.where(F.col("_fold") != f))
+        s = _prob(m.transform(data.where(F.col("_fold") == f)))
+        return ev.roc_auc(s, "label", "prob").first()["roc_auc"]
+
+    with ThreadPoolExecutor(max_workers=parallelism) as pool:
+        aucs = list(pool.map(fold_auc, [(rf, f) for rf in points for f in range(folds)]))
+    means = [sum(aucs[i : i + folds]) / folds for i in range(0, len(aucs), folds)]
+    best_rf = points[means.index(max(means))]
     model = Pipeline(stages=[*stages, best_rf]).fit(data)
     auc = ev.roc_auc(_prob(model.transform(held_out)), "label", "prob").first()["roc_auc"]
     spark = train.sparkSession
@@ -267,14 +306,33 @@ def concept_shift_report(
 
 
 # ---------------------------------------------------------------- CMP-3 (refits)
+def poisson_weight(key: str, round_) -> Column:
+    """How often a bootstrap round draws a row: Poisson(1), inverted at a hash of (key, round)."""
+    u = (hash_order(F.col(key), F.lit(round_) if isinstance(round_, int) else round_).cast("double") + 0.5) / F.lit(float(1 << 60))
+    term, below, out = math.exp(-1.0), 0.0, F.lit(0)
+    for k in range(1, POISSON_TERMS):
+        below += term
+        out = out + F.when(u > below, 1).otherwise(0)
+        term /= k
+    return out.cast("double")
+
+
 def bootstrap_predictions(
     train: DataFrame, test: DataFrame, key: str, pipeline: Pipeline, rounds: int = 20, cutoff: float = 0.5
 ) -> DataFrame:
-    """CMP-3: refit on ``rounds`` bootstrap resamples (with replacement) and
-    predict the test rows: (key, label, round, pred) for ``bias_variance``."""
+    """CMP-3: refit on ``rounds`` bootstrap resamples and predict the test rows:
+    (key, label, round, pred) for ``bias_variance``.
+
+    A resample is a Poisson(1) weight of each row by a hash of its key and the
+    round, which the last stage takes as its weight column; so a round doesn't
+    depend on how the rows lie, and a lost executor doesn't change it."""
+    *features, model = pipeline.getStages()
+    if not model.hasParam("weightCol"):
+        raise TypeError(f"{type(model).__name__} takes no weights")
+    weighted = Pipeline(stages=[*features, model.copy({model.getParam("weightCol"): "_weight"})])
     out = None
     for r in range(rounds):
-        m = pipeline.fit(train.sample(withReplacement=True, fraction=1.0, seed=SEED + r))
+        m = weighted.fit(train.withColumn("_weight", poisson_weight(key, r)).where("_weight > 0"))
         p = _prob(m.transform(test)).select(
             key, "label", F.lit(r).alias("round"), F.when(F.col("prob") >= cutoff, 1).otherwise(0).alias("pred")
         )
@@ -295,16 +353,15 @@ def train_all(
     folds: int = CV_FOLDS,
     parallelism: int = 2,
 ) -> dict[str, dict]:
-    """TRN-9: for each model family: split, tune, refit, evaluate on the test
-    split.  Returns {family: {model, leaderboard, params, evaluation}}."""
-    frame = training_frame(df, key, target)
+    """For each model family: split, tune, refit, evaluate on the test split, in
+    memory.  Returns {family: {model, leaderboard, params, evaluation}};
+    ``runs.train_run`` is the run with its folders (TRN-9)."""
+    frame = materialize(training_frame(df, key, target), "training")
     train, test = frame.where("split = 'train'"), frame.where("split = 'test'")
     out = {}
-    for name, space in families:
-        def make(p, name=name):
-            return build_pipeline(model_family(name, p), **spec)
-
-        model, board, params = tune(train, key, make, space, trials, folds, parallelism)
+    for name, space, *maker in families:
+        make = pipeline_maker(spec, maker[0] if maker else name)
+        model, board, params = tune(train, key, make, {**PIPELINE_SPACE, **space}, trials, folds, parallelism)
         preds = _prob(model.transform(test)).select(key, "label", "prob")
         out[name] = {
             "model": model,

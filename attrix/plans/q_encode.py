@@ -3,6 +3,8 @@
 
 from __future__ import annotations
 
+from math import exp, factorial
+
 from pyspark.ml import Pipeline
 from pyspark.sql import functions as F
 
@@ -12,8 +14,10 @@ from attrix.operators import encoders as en
 from attrix.operators import evaluate as ev
 from attrix.operators import stages as sg
 from attrix.operators.explore import dummies_long
+from attrix.operators.extra_trees import ExtraTreesClassifier
 from attrix.operators.leaderboard import cv_leaderboard, fold_of
 from attrix.operators.projections import pivot_folds
+from attrix.operators.train import POISSON_TERMS, poisson_weight
 from attrix.plans import views
 from attrix.plans.common import obs_once, r6
 from attrix.plans.registry import query
@@ -93,6 +97,22 @@ def cmp3(spark, d):
     return r6(cm.bias_variance(p, "key", "label", "r", "pred"))
 
 
+_POISSON_CDF = [sum(exp(-1.0) / factorial(j) for j in range(k + 1)) for k in range(POISSON_TERMS - 1)]
+
+
+@query(
+    "cmp3_bootstrap_weights",
+    f"""WITH u AS (SELECT r, (('0x' || substr(md5(CAST(key AS VARCHAR) || '-' || CAST(r AS VARCHAR)), 1, 15))::BIGINT::DOUBLE + 0.5) / pow(2, 60) AS u
+  FROM v_pred, (SELECT CAST(range AS INTEGER) AS r FROM range(20)))
+SELECT r AS round, CAST({" + ".join(f"(u > {c!r}::DOUBLE)::INT" for c in _POISSON_CDF)} AS DOUBLE) AS weight, count(*) AS n FROM u GROUP BY ALL""",
+    ("v_pred",),
+)
+def cmp3w(spark, d):
+    """Rows by round and weight of the 20 bootstrap rounds."""
+    p = views.v_pred(spark, d).select("key", F.explode(F.sequence(F.lit(0), F.lit(19))).alias("round"))
+    return p.groupBy("round", poisson_weight("key", F.col("round")).alias("weight")).agg(F.count(F.lit(1)).alias("n"))
+
+
 # ---------------------------------------------------------------- encoders
 SPARSE_CUT = 0.04
 
@@ -315,6 +335,14 @@ def enc9(spark, d):
     return sg.feature_lineage(_fitted_matrix(spark, d)[0])
 
 
+@query("trn5_extra_trees")
+def trn5(spark, d):
+    """Rows of a forest grown on the feature matrix: tree, node, feature, cut, cover, share of class 1 in its leaves."""
+    model, o = _fitted_matrix(spark, d)
+    grown = ExtraTreesClassifier(numTrees=10, maxDepth=4).fit(model.transform(o))
+    return r6(grown.table.select("tree", "node", "feature", "cut", "left", "right", "cover", (F.col("value") * 10).alias("share")))
+
+
 # ---------------------------------------------------------------- leaderboard
 FOLD_SQL = """fs AS (SELECT trial, CAST(('0x' || substr(md5(CAST(key AS VARCHAR)), 1, 15))::BIGINT % 5 AS INTEGER) AS fold,
        label, p FROM (SELECT key, label, 'prob' AS trial, prob AS p FROM v_pred UNION ALL

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from attrix.functions.stats import kolmogorov_sf_sql
 from attrix.operators import evaluate as ev
 from attrix.plans import views
-from attrix.plans.common import PRED_SQL, preds, r6
+from attrix.plans.common import PRED_SQL, density_sql, preds, r6
 from attrix.plans.registry import query
 
 P = f"p AS ({PRED_SQL})"
@@ -190,13 +190,7 @@ def _calsql() -> str:
 
 @query("evl11_calibration_table", _calsql(), ("v_pred",))
 def evl11(spark, d):
-    p = preds(spark, d)
-    out = None
-    for n in ev.CALIBRATION_BINS:
-        for s in ("uniform", "quantile"):
-            t = ev.calibration_table(p, n_bins=n, strategy=s)
-            out = t if out is None else out.unionByName(t)
-    return r6(out)
+    return r6(ev.calibration_tables(preds(spark, d)))
 
 
 @query(
@@ -311,13 +305,8 @@ def evl19(spark, d):
 
 @query(
     "evl20_density_points",
-    f"""WITH {P}, st AS (SELECT count(*) AS n, stddev_samp(prob) * pow(count(*), -0.2) AS bw,
-                       min(prob) AS lo, max(prob) AS hi FROM p),
-dv AS (SELECT prob AS v, count(*) AS c FROM p GROUP BY prob),
-g AS (SELECT CAST(range AS INTEGER) AS point,
-             (lo - 3.0 * bw) + range * ((hi + 3.0 * bw) - (lo - 3.0 * bw)) / 199 AS x, n, bw FROM st, range(200))
-SELECT point, round(x, 6) AS x, round(sum(c * exp(-0.5 * pow((x - v) / bw, 2))) / (n * bw * sqrt(2 * pi())), 6) AS density
-FROM g, dv GROUP BY point, x, n, bw""",
+    f"""WITH {P}, v AS (SELECT prob AS x FROM p), {density_sql()}
+SELECT point, round(gx, 6) AS x, round(density, 6) AS density FROM kde""",
     ("v_pred",),
 )
 def evl20(spark, d):

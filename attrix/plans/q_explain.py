@@ -4,10 +4,15 @@ SQL oracle.  Model-based variants (MLlib models) are tested in tests/."""
 
 from __future__ import annotations
 
+from itertools import combinations
+from math import factorial
+
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
 from attrix.operators import encoders as en
 from attrix.operators import explain as xp
+from attrix.operators import trees as tt
 from attrix.operators.serve import linear_scorer
 from attrix.operators.windows import head_hash_ordered
 from attrix.plans import views
@@ -85,6 +90,56 @@ def xpl1s(spark, d):
     return r6(xp.sampled_shapley(x, "key", NUMS, SCORE, background, permutations=10))
 
 
+#: A forest of two trees on (num_a, num_b, num_c): tree, node, feature, cut, left, right, value; covers come from the rows.
+FOREST = [
+    (0, 0, 0, 150000.0, 1, 2, None), (0, 1, 1, 4000.0, 3, 4, None), (0, 2, 2, 150.0, 5, 6, None), (0, 3, -1, None, -1, -1, 0.1),
+    (0, 4, 0, 60000.0, 7, 8, None), (0, 5, -1, None, -1, -1, 0.5), (0, 6, 1, 2000.0, 9, 10, None), (0, 7, -1, None, -1, -1, 0.25),
+    (0, 8, -1, None, -1, -1, 0.4), (0, 9, -1, None, -1, -1, 0.7), (0, 10, -1, None, -1, -1, 0.9),
+    (1, 0, 2, 120.0, 1, 2, None), (1, 1, 0, 100000.0, 3, 4, None), (1, 2, 1, 5000.0, 5, 6, None), (1, 3, -1, None, -1, -1, -0.2),
+    (1, 4, -1, None, -1, -1, 0.3), (1, 5, 2, 200.0, 7, 8, None), (1, 6, -1, None, -1, -1, 0.35), (1, 7, -1, None, -1, -1, 0.15),
+    (1, 8, -1, None, -1, -1, -0.1),
+]
+
+
+def _forest_sql() -> str:
+    """Sums over all subsets of each path's features, spelled out."""
+    by, covers, terms, expected = {(n[0], n[1]): n for n in FOREST}, [], {c: [] for c in NUMS}, []
+
+    def walk(tree, node, conditions, path):
+        _, _, f, cut, left, right, value = by[tree, node]
+        covers.append(f"sum(CASE WHEN {' AND '.join(conditions) or 'true'} THEN 1 ELSE 0 END)::DOUBLE AS c{tree}_{node}")
+        if f >= 0:
+            for child, sign in ((left, "<="), (right, ">")):
+                here, part = f"{NUMS[f]} {sign} {cut}", f"c{tree}_{child} / c{tree}_{node}"
+                old = path.get(NUMS[f], ([], []))
+                walk(tree, child, [*conditions, here], {**path, NUMS[f]: ([*old[0], here], [*old[1], part])})
+            return
+        fits = {c: f"(CASE WHEN {' AND '.join(k)} THEN 1.0 ELSE 0.0 END)" for c, (k, _) in path.items()}
+        share = {c: f"({' * '.join(z)})" for c, (_, z) in path.items()}
+        expected.append(f"{value}::DOUBLE * {' * '.join(share.values())}")
+        for c in path:
+            others = [o for o in path if o != c]
+            for size in range(len(others) + 1):
+                weight = factorial(size) * factorial(len(others) - size) / factorial(len(path))
+                for s in combinations(others, size):
+                    product = " * ".join([f"{value}::DOUBLE * {weight}::DOUBLE", *[fits[o] if o in s else share[o] for o in others]])
+                    terms[c].append(f"{product} * ({fits[c]} - {share[c]})")
+
+    for tree in sorted({n[0] for n in FOREST}):
+        walk(tree, 0, [], {})
+    ev = " + ".join(expected)
+    parts = [f"SELECT key, '{c}' AS feature, round({' + '.join(terms[c])}, 6) AS shap, round({ev}, 6) AS expected_value FROM x, cv" for c in NUMS]
+    return f"WITH {X_SQL},\ncv AS (SELECT {', '.join(covers)} FROM x)\n" + " UNION ALL ".join(parts)
+
+
+@query("xpl1_tree_shapley", _forest_sql(), ("v_obs",))
+def xpl1t(spark, d):
+    x = VectorAssembler(inputCols=NUMS, outputCol="features").transform(xframe(spark, d))
+    nodes = spark.createDataFrame(tt.node_covers(x, FOREST, NUMS), tt.NODES)
+    names = spark.createDataFrame(list(enumerate(NUMS)), "slot int, feature string")
+    return r6(tt.tree_shapley(x, "key", tt.tree_paths(nodes), names))
+
+
 @query(
     "xpl2_global_importance",
     f"""WITH {SHAP_SQL}
@@ -99,19 +154,20 @@ def xpl2(spark, d):
 @query(
     "xpl4_permutation_importance",
     f"""WITH {X_SQL},
-r AS (SELECT key, row_number() OVER (ORDER BY key) AS slot, num_a, num_b, num_c FROM x),
+r AS (SELECT key, label, row_number() OVER (ORDER BY key) - 1 AS slot, num_a, num_b, num_c FROM x),
 don AS (SELECT slot, 'num_a' AS feature, num_a AS donor FROM r UNION ALL SELECT slot, 'num_b', num_b FROM r
         UNION ALL SELECT slot, 'num_c', num_c FROM r),
-g AS (SELECT x.key, f.feature, rp.range AS rep FROM x CROSS JOIN (VALUES ('num_a'), ('num_b'), ('num_c')) f(feature)
-      CROSS JOIN range(10) rp),
-pm AS (SELECT key, feature, rep, row_number() OVER (PARTITION BY feature, rep ORDER BY
-          ('0x' || substr(md5(CAST(key AS VARCHAR) || '-' || feature || '-' || CAST(rep AS VARCHAR)), 1, 15))::BIGINT, key) AS slot
-       FROM g),
+nn AS (SELECT count(*) AS n FROM x),
+hh AS (SELECT feature, rp.range AS rep, n, greatest(('0x' || substr(md5(feature || '-' || CAST(rp.range AS VARCHAR)), 1, 15))::BIGINT % n, 1) AS a0,
+              ('0x' || substr(md5(CAST(rp.range AS VARCHAR) || '-' || feature), 1, 15))::BIGINT % n AS b
+       FROM (VALUES ('num_a'), ('num_b'), ('num_c')) f(feature) CROSS JOIN range(10) rp CROSS JOIN nn),
+ab AS (SELECT feature, rep, n, b, min(a0 + k.range) AS a FROM hh CROSS JOIN range(1000) k WHERE gcd(a0 + k.range, n) = 1 GROUP BY ALL),
+pm AS (SELECT ab.feature, rep, donor, (don.slot * a + b) % n AS slot FROM don JOIN ab ON don.feature = ab.feature),
 j AS (SELECT pm.feature, pm.rep, x.label,
-             CASE WHEN pm.feature = 'num_a' THEN don.donor ELSE x.num_a END AS a,
-             CASE WHEN pm.feature = 'num_b' THEN don.donor ELSE x.num_b END AS b,
-             CASE WHEN pm.feature = 'num_c' THEN don.donor ELSE x.num_c END AS c
-      FROM pm JOIN don ON pm.feature = don.feature AND pm.slot = don.slot JOIN x ON x.key = pm.key),
+             CASE WHEN pm.feature = 'num_a' THEN donor ELSE x.num_a END AS a,
+             CASE WHEN pm.feature = 'num_b' THEN donor ELSE x.num_b END AS b,
+             CASE WHEN pm.feature = 'num_c' THEN donor ELSE x.num_c END AS c
+      FROM pm JOIN r x ON x.slot = pm.slot),
 sc AS (SELECT feature, rep, {nll(sig('a', 'b', 'c'))} AS s FROM j GROUP BY feature, rep),
 base AS (SELECT {nll(sig())} AS base FROM x)
 SELECT feature, round(avg(base - s), 6) AS importance_mean, round(stddev_pop(base - s), 6) AS importance_std

@@ -9,7 +9,7 @@ from attrix.operators import aggregates as ag
 from attrix.operators import explore as ex
 from attrix.operators.neighbours import FAR
 from attrix.plans import views
-from attrix.plans.common import obs_once, preds, r6
+from attrix.plans.common import density_sql, obs_once, preds, r6
 from attrix.plans.registry import query
 
 CATS = ["cat_a", "cat_b", "cat_c"]
@@ -273,15 +273,8 @@ def exp8(spark, d):
 
 @query(
     "exp9_density_by_target",
-    """WITH mm AS (SELECT avg(num_c) AS m FROM v_obs),
-x AS (SELECT target AS level, coalesce(num_c, m) AS x FROM v_obs, mm),
-st AS (SELECT level, count(*) AS n, stddev_samp(x) * pow(count(*), -0.2) AS bw, min(x) AS lo, max(x) AS hi FROM x GROUP BY level),
-dv AS (SELECT level, x AS v, count(*) AS c FROM x GROUP BY level, x),
-g AS (SELECT level, CAST(range AS INTEGER) AS point,
-             (lo - 3.0 * bw) + range * ((hi + 3.0 * bw) - (lo - 3.0 * bw)) / 199 AS gx, n, bw FROM st, range(200))
-SELECT g.level, point, round(gx, 6) AS x,
-       round(sum(c * exp(-0.5 * pow((gx - v) / bw, 2))) / (n * bw * sqrt(2 * pi())), 6) AS density
-FROM g JOIN dv ON g.level = dv.level GROUP BY g.level, point, gx, n, bw""",
+    f"""WITH mm AS (SELECT avg(num_c) AS m FROM v_obs), v AS (SELECT target AS level, coalesce(num_c, m) AS x FROM v_obs, mm), {density_sql('level')}
+SELECT level, point, round(gx, 6) AS x, round(density, 6) AS density FROM kde""",
     ("v_obs",),
 )
 def exp9(spark, d):

@@ -6,6 +6,7 @@ import os
 import re
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -63,20 +64,43 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return current
 
 
+def ship_code(spark: SparkSession) -> None:
+    """Give the workers this package, once a context: sent as a zip by Spark
+    itself, so it needs no folder that driver and executors share."""
+    context = spark.sparkContext
+    if getattr(context, "_attrix_code", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    if os.path.isdir(root):
+        path = os.path.join(tempfile.mkdtemp(prefix="attrix-code-"), "attrix_code.zip")
+        with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+            for folder, _, names in os.walk(root):
+                for n in sorted(names):
+                    if n.endswith(".py"):
+                        full = os.path.join(folder, n)
+                        z.write(full, os.path.join("attrix", os.path.relpath(full, root)))
+        context.addPyFile(path)
+    context._attrix_code = True
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str):
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
+def shared_path(spark: SparkSession, label: str) -> str:
+    """A new path under the shared checkpoint folder, deleted when the session's JVM ends."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/attrix-materialized/{label}-{uuid.uuid4().hex}"
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return path
+
+
 def materialize(df, label: str = "frame"):
     """Write ``df`` once as Parquet under the shared checkpoint folder and
     return a reader over it.  Used where a frame is read several times (cut
     points, kernel branches): it cuts lineage, so an executor loss re-reads
     the files instead of replaying the upstream joins.  The files go when the
     session's JVM ends."""
-    spark = df.sparkSession
-    base = ensure_checkpoint_dir(spark).rstrip("/")
-    path = f"{base}/attrix-materialized/{label}-{uuid.uuid4().hex}"
+    path = shared_path(df.sparkSession, label)
     df.write.mode("overwrite").parquet(path)
-    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -7,6 +7,7 @@ dimension (re-read each batch, so updates are picked up) -> pack as log rows
 
 from __future__ import annotations
 
+from pyspark.ml import Transformer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,13 +15,13 @@ from attrix.operators.serve import score_requests
 from attrix.sources.logs import pack_requests
 
 
-def scored_stream(requests: DataFrame, payload_col: str, schema: str, scorer: Column, ltv: DataFrame,
+def scored_stream(requests: DataFrame, payload_col: str, schema: str, scorer: Column | Transformer, ltv: DataFrame,
                   cutoff: float = 0.75, keep: tuple[str, ...] = ("uid",)) -> DataFrame:
-    """The same plan as batch ``score_requests``; works on a streaming DataFrame."""
+    """The same plan as batch ``score_requests``, a fitted model included; works on a streaming DataFrame."""
     return score_requests(requests, payload_col, schema, scorer, ltv=ltv, cutoff=cutoff, keep=keep)
 
 
-def start_scoring_stream(requests: DataFrame, payload_col: str, schema: str, scorer: Column, ltv: DataFrame,
+def start_scoring_stream(requests: DataFrame, payload_col: str, schema: str, scorer: Column | Transformer, ltv: DataFrame,
                          input_cols, sink_path: str, checkpoint: str, trigger: dict | None = None):
     """Score a request stream and append packed log rows to ``sink_path``."""
     scored = scored_stream(requests, payload_col, schema, scorer, ltv).withColumn(

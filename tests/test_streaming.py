@@ -89,3 +89,39 @@ def test_config_refresh_per_batch(spark, tmp_dir):
     out = spark.read.parquet(os.path.join(tmp_dir, "out"))
     assert out.count() == p.count()
     assert out.where("high_risk = 'yes'").count() == p.where("prob >= 0.9").count()
+
+
+def test_saved_pipeline_scores_a_stream_like_a_batch(spark, tmp_dir):
+    """A fitted pipeline is the scorer; bad rows take the error branch in both."""
+    from pyspark.ml import PipelineModel
+
+    from attrix.operators import train as tr
+    from attrix.operators.serve import ERROR_TEXT
+    from attrix.sinks.writers import save_pipeline
+
+    o = views.v_obs(spark, SF).withColumn("label", F.when(F.col("target") == "yes", 1).otherwise(0))
+    types = {"num_a": "double", "num_b": "double", "cat_b": "string"}
+    pipe = tr.build_pipeline(tr.model_family("extra_trees", {"numTrees": 4, "maxDepth": 3}), numeric=["num_a", "num_b"], categorical=["cat_b"],
+                             num_percentile=100, cat_percentile=100, conform=types)
+    path = os.path.join(tmp_dir, "model")
+    save_pipeline(pipe.fit(o), path)
+    model = PipelineModel.load(path)
+    good = o.select(F.col("key").cast("string").alias("uid"), F.to_json(F.struct("client_id", *types)).alias("payload"))
+    bad = spark.createDataFrame([("x1", "{broken"), ("x2", '{"client_id": 3, "num_a": "many"}'), ("x3", '{"client_id": 3}'), ("x4", None)], good.schema)
+    src = os.path.join(tmp_dir, "req")
+    good.unionByName(bad).write.parquet(src)
+    ltv, schema = views.v_ltv(spark, SF), "client_id long, num_a double, num_b double, cat_b string"
+    batch = score_requests(spark.read.parquet(src), "payload", schema, model, ltv=ltv)
+    want = {r["uid"]: (r["prediction"], r["high_risk"], r["error"]) for r in batch.collect()}
+    assert len(want) == good.count() + 4
+    assert all(want[k] == (0.0, None, ERROR_TEXT) for k in ("x1", "x2", "x4")) and want["x3"][2] is None and 0 < want["x3"][0] < 1
+    direct = model.transform(o.withColumn("uid", F.lit(""))).select("key", "probability").collect()
+    assert all(want[str(r["key"])][0] == round(r["probability"][1], 2) for r in direct)
+    stream = spark.readStream.schema(good.schema).option("maxFilesPerTrigger", 1).parquet(src)
+    q = start_scoring_stream(stream, "payload", schema, model, ltv, ["client_id", *types], os.path.join(tmp_dir, "out"), os.path.join(tmp_dir, "ck"))
+    q.awaitTermination()
+    out = "$.output."
+    got = spark.read.parquet(os.path.join(tmp_dir, "out")).select(
+        "uid", F.get_json_object("input_output_payloads", f"{out}prediction").cast("double").alias("p"),
+        F.get_json_object("input_output_payloads", f"{out}high_risk").alias("h"), F.get_json_object("input_output_payloads", f"{out}error").alias("e"))
+    assert {r["uid"]: (r["p"], r["h"], r["e"]) for r in got.collect()} == want
