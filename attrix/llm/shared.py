@@ -2,14 +2,10 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import zipfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attrix.session import materialize, read_table
+from attrix.session import materialize, read_table, ship_code
 
 __all__ = ["materialize", "read_documents", "pick", "normal_text", "ship_code", "shuffle_width"]
 
@@ -42,24 +38,3 @@ def normal_text(text: Column) -> Column:
 
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
-def ship_code(spark: SparkSession) -> None:
-    """Give the workers this package, once a context: sent as a zip by Spark
-    itself, so it needs no folder that driver and executors share."""
-    context = spark.sparkContext
-    if getattr(context, "_attrix_code", False):
-        return
-    import attrix
-
-    root = os.path.dirname(os.path.abspath(attrix.__file__))
-    if os.path.isdir(root):
-        path = os.path.join(tempfile.mkdtemp(prefix="attrix-code-"), "attrix_code.zip")
-        with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
-            for folder, _, names in os.walk(root):
-                for n in sorted(names):
-                    if n.endswith(".py"):
-                        full = os.path.join(folder, n)
-                        z.write(full, os.path.join("attrix", os.path.relpath(full, root)))
-        context.addPyFile(path)
-    context._attrix_code = True
