@@ -39,7 +39,7 @@ FORM_FACTOR = 10
 NOISE = 31
 #: So many words place the cuts of the regions; the regions of longer words are blocks by hash.
 SAMPLE, SAMPLE_CHARS = 1 << 16, 64
-REGION_WORDS = 1 << 15
+REGION_WORDS = 1 << 13
 MAX_REGIONS = 1 << 12
 LEAF = 128
 BLOCK = 1 << 14
