@@ -95,6 +95,30 @@ def test_base_phrases_match_brute_force():
         assert (n, sorted((w, s.labels[p]) for w, p in base)) == license_brute(text), text
 
 
+def test_matching_statistics_match_brute_force():
+    """Longest run known that ends at each word, and all places where it stands in a statement."""
+    rng = random.Random(6)
+    for _ in range(400):
+        alphabet = "abcd"[: rng.randint(1, 4)]
+        statements = [tuple(rng.choice(alphabet).encode() for _ in range(rng.randint(1, 8))) for _ in range(rng.randint(1, 5))]
+        a = licenses.Automaton(statements)
+        words = [rng.choice([*a.vocabulary.values(), -1]) for _ in range(rng.randint(0, 15))]
+        got = list(a.statistics(words))
+        assert [g[0] for g in got] == list(range(len(words)))
+        for i, length, state in got:
+            best, places = 0, set()
+            for n, s in enumerate(a.statements):
+                for end in range(len(s)):
+                    k = 0
+                    while k <= end and k <= i and s[end - k] == words[i - k]:
+                        k += 1
+                    if k > best:
+                        best, places = k, set()
+                    if k == best and k:
+                        places.add((n, end))
+            assert length == best and (not best or a.ends[state] == places), (statements, words, i)
+
+
 def test_license_operator(docs):
     text = "Permission is hereby granted, free of charge, to any oddperson obtaining a copy of this software. Released under the MIT License."
     got = licenses.digest(licenses.scan_licenses(docs([(1, text), (2, "is the of"), (3, None), (None, "CC BY-SA 4.0"), (1, "")]))).collect()
