@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import TimestampNTZType
 
 from attrix.operators.kernels import exact_quantiles
+from attrix.session import materialize
 
 FILL_UNKNOWN = "unknown"
 
@@ -70,18 +71,17 @@ def long_categorical(df: DataFrame, features: Sequence[str], ids: Sequence[str]
 
 
 def target_balance(df: DataFrame, target: str) -> DataFrame:
-    """AGG-1: (level, count, percentage) of the target."""
-    counts = df.groupBy(F.col(target).alias("level")).agg(F.count(F.lit(1)).alias("count"))
-    total = df.agg(F.count(F.lit(1)).alias("_n"))
-    return with_scalar(counts, total).select("level", "count", (F.col("count") / F.col("_n")).alias("percentage"))
+    """AGG-1: (level, count, percentage) of the target; the total is that of the counts."""
+    counts = materialize(df.groupBy(F.col(target).alias("level")).agg(F.count(F.lit(1)).alias("count")), "target-counts")
+    return with_scalar(counts, counts.agg(F.sum("count").alias("_n"))).select("level", "count", (F.col("count") / F.col("_n")).alias("percentage"))
 
 
 def category_dispersion(df: DataFrame, features: Sequence[str], fill: str = FILL_UNKNOWN) -> DataFrame:
     """AGG-2: per level of each categorical: total_count and share of all rows;
-    ``feature`` is '<category>_<level>'."""
+    ``feature`` is '<category>_<level>'.  The levels of one column add up to all rows."""
     long = long_categorical(df, features, fill=fill)
-    counts = long.groupBy("category", "level").agg(F.count(F.lit(1)).alias("total_count"))
-    total = df.agg(F.count(F.lit(1)).alias("_n"))
+    counts = materialize(long.groupBy("category", "level").agg(F.count(F.lit(1)).alias("total_count")), "level-counts")
+    total = counts.where(F.col("category") == features[0]).agg(F.sum("total_count").alias("_n"))
     return with_scalar(counts, total).select(
         F.concat_ws("_", "category", "level").alias("feature"),
         "total_count",
@@ -94,13 +94,15 @@ def category_target_connection(
     df: DataFrame, features: Sequence[str], target: str, positive: str = "yes", fill: str = FILL_UNKNOWN
 ) -> DataFrame:
     """AGG-3: per level, count of positives and actual minus expected positive
-    share (expected = overall positive share).  Only levels with positives."""
+    share (expected = overall positive share, from one column's levels).  Only
+    levels with positives."""
     long = long_categorical(df, features, ids=[target], fill=fill)
     g = long.groupBy("category", "level").agg(
         F.sum(F.when(F.col(target) == positive, 1).otherwise(0)).cast("long").alias("positive_count"),
         F.count(F.lit(1)).alias("feature_count"),
     )
-    base = df.agg(F.avg(F.when(F.col(target) == positive, 1.0).otherwise(0.0)).alias("_p1"))
+    g = materialize(g, "level-targets")
+    base = g.where(F.col("category") == features[0]).agg((F.sum("positive_count") / F.sum("feature_count")).alias("_p1"))
     return (
         with_scalar(g, base)
         .where(F.col("positive_count") > 0)
@@ -112,10 +114,27 @@ def category_target_connection(
     )
 
 
-def _with_total(long: DataFrame, label: str) -> DataFrame:
-    """Rows of each level and, flagged, all rows again under ``label``."""
-    each = long.where(F.col("level").isNotNull()).withColumn("_all", F.lit(False))
-    return each.unionByName(long.withColumn("level", F.lit(label)).withColumn("_all", F.lit(True)))
+def _pooled(per: DataFrame, label: str) -> DataFrame:
+    """Moments by (level, feature), and those of all rows from them under ``label``."""
+    n, mean = F.col("count"), F.col("mean")
+    whole = per.groupBy("feature").agg(F.try_divide(F.sum(n * mean), F.sum(n)).alias("_mean"), F.sum(n).alias("_n"))
+    spread = F.coalesce((n - 1) * F.col("std") * F.col("std"), F.lit(0.0)) + F.coalesce(n * F.pow(mean - F.col("_mean"), 2), F.lit(0.0))
+    total = per.join(whole, "feature").groupBy("feature").agg(
+        F.max("_n").alias("count"),
+        F.max("_mean").alias("mean"),
+        F.when(F.max("_n") > 1, F.sqrt(F.sum(spread) / (F.max("_n") - 1))).alias("std"),
+        F.min("min").alias("min"),
+        F.max("max").alias("max"),
+    )
+    each = per.where("level IS NOT NULL").withColumn("_all", F.lit(False))
+    return each.unionByName(total.withColumn("level", F.lit(label)).withColumn("_all", F.lit(True)))
+
+
+def _counted_total(counts: DataFrame, value: str, label: str) -> DataFrame:
+    """Value counts (level, feature, value, n), and those of all rows from them under ``label``."""
+    total = counts.groupBy("feature", value).agg(F.sum("n").alias("n"))
+    each = counts.where("level IS NOT NULL").withColumn("_all", F.lit(False))
+    return each.unionByName(total.withColumn("level", F.lit(label)).withColumn("_all", F.lit(True)))
 
 
 def summary_statistics(
@@ -132,16 +151,18 @@ def summary_statistics(
         nl = df.select(lvl.alias("level"), *[F.col(c).cast("double").alias(c) for c in numeric]).unpivot(
             ["level"], list(numeric), "feature", "x"
         )
-        nl = _with_total(nl, total_label)
-        mom = nl.groupBy("_all", "level", "feature").agg(
+        mom = nl.groupBy("level", "feature").agg(
             F.count("x").alias("count"),
             F.avg("x").alias("mean"),
             F.stddev_samp("x").alias("std"),
             F.min("x").alias("min"),
             F.max("x").alias("max"),
         )
+        mom = _pooled(materialize(mom, "level-moments"), total_label)
+        values = nl.where(F.col("x").isNotNull()).groupBy("level", "feature", "x").agg(F.count(F.lit(1)).alias("n"))
+        values = _counted_total(materialize(values, "level-values"), "x", total_label)
         q = (
-            exact_quantiles(nl, ["_all", "level", "feature"], "x", [0.25, 0.5, 0.75])
+            exact_quantiles(values, ["_all", "level", "feature"], "x", [0.25, 0.5, 0.75], count="n")
             .groupBy("_all", "level", "feature")
             .pivot("q", [0.25, 0.5, 0.75])
             .agg(F.first("quantile"))
@@ -168,23 +189,22 @@ def summary_statistics(
         cl = df.select(lvl.alias("level"), *[F.col(c).cast("string").alias(c) for c in categorical]).unpivot(
             ["level"], list(categorical), "feature", "v"
         )
-        cl = _with_total(cl, total_label)
-        vc = cl.where(F.col("v").isNotNull()).groupBy("_all", "level", "feature", "v").agg(F.count(F.lit(1)).alias("c"))
-        top = vc.groupBy("_all", "level", "feature").agg(
-            F.sum("c").alias("count"),
-            F.count(F.lit(1)).alias("unique"),
-            F.min_by("v", F.struct((-F.col("c")).alias("nc"), F.col("v"))).alias("top"),
-            F.max("c").alias("freq"),
-        )
-        # features whose values are all null still report count 0
-        present = cl.select("_all", "level", "feature").distinct()
-        cat = present.join(top, ["_all", "level", "feature"], "left").select(
+        # a null value keeps its row, so a feature whose values are all null still reports count 0
+        counts = materialize(cl.groupBy("level", "feature", "v").agg(F.count(F.lit(1)).alias("n")), "level-values")
+        counts = _counted_total(counts, "v", total_label)
+        known = F.col("v").isNotNull()
+        cat = counts.groupBy("_all", "level", "feature").agg(
+            F.coalesce(F.sum(F.when(known, F.col("n"))), F.lit(0)).cast("long").alias("count"),
+            F.count("v").alias("unique"),
+            F.min_by("v", F.when(known, F.struct((-F.col("n")).alias("nc"), F.col("v")))).alias("top"),
+            F.max(F.when(known, F.col("n"))).cast("long").alias("freq"),
+        ).select(
             "level",
             "feature",
-            F.coalesce("count", F.lit(0)).cast("long").alias("count"),
-            F.coalesce("unique", F.lit(0)).cast("long").alias("unique"),
+            "count",
+            "unique",
             "top",
-            F.col("freq").cast("long").alias("freq"),
+            "freq",
             *[F.lit(None).cast("double").alias(c) for c in ("mean", "std", "min", "p25", "p50", "p75", "max")],
         )
         parts.append(cat)
@@ -215,8 +235,8 @@ def level_frequency(train: DataFrame, prod: DataFrame, features: Sequence[str],
 
     def side(df: DataFrame, name: str) -> DataFrame:
         long = long_categorical(df, features, fill=None).where(F.col("level").isNotNull())
-        c = long.groupBy("category", "level").agg(F.count(F.lit(1)).alias("_c"))
-        tot = long.groupBy("category").agg(F.count(F.lit(1)).alias("_t"))
+        c = materialize(long.groupBy("category", "level").agg(F.count(F.lit(1)).alias("_c")), "level-counts")
+        tot = c.groupBy("category").agg(F.sum("_c").alias("_t"))
         return c.join(tot, "category").select(
             "category", "level", (F.col("_c") / F.col("_t") * scale + 1.0).alias(name)
         )
@@ -233,8 +253,8 @@ def level_frequency(train: DataFrame, prod: DataFrame, features: Sequence[str],
 def normalized_value_counts(df: DataFrame, features: Sequence[str]) -> DataFrame:
     """AGG-9: share of each level among the non-null values of its feature."""
     long = long_categorical(df, features, fill=None).where(F.col("level").isNotNull())
-    c = long.groupBy("category", "level").agg(F.count(F.lit(1)).alias("count"))
-    t = long.groupBy("category").agg(F.count(F.lit(1)).alias("_t"))
+    c = materialize(long.groupBy("category", "level").agg(F.count(F.lit(1)).alias("count")), "level-counts")
+    t = c.groupBy("category").agg(F.sum("count").alias("_t"))
     return c.join(t, "category").select(
         F.col("category").alias("feature"), "level", "count", (F.col("count") / F.col("_t")).alias("share")
     )

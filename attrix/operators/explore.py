@@ -202,15 +202,25 @@ def _number_pairs(centred: DataFrame, names: Sequence[str]) -> DataFrame:
     return tot.select(F.get(lookup, F.col("i")).alias("f"), F.get(lookup, F.col("j")).alias("g"), _pearson(*[F.col(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy")]).alias("r"))
 
 
-def _plugin_mi(cells: DataFrame, feat: str, x: str, y: str, n_col: str = "n") -> DataFrame:
-    """Plug-in mutual information (nats) from a (feat, x, y, n) contingency table."""
-    px = cells.groupBy(feat, x).agg(F.sum(n_col).alias("_nx"))
-    py = cells.groupBy(feat, y).agg(F.sum(n_col).alias("_ny"))
-    tot = cells.groupBy(feat).agg(F.sum(n_col).alias("_n"))
-    j = cells.where(F.col(n_col) > 0).join(px, [feat, x]).join(py, [feat, y]).join(tot, feat)
-    n, t = F.col(n_col).cast("double"), F.col("_n").cast("double")
-    term = n / t * F.log(n * t / (F.col("_nx").cast("double") * F.col("_ny").cast("double")))
-    return j.groupBy(feat).agg(F.greatest(F.sum(term), F.lit(0.0)).alias("score"))
+def _indicator_mi(present: DataFrame, classes: DataFrame) -> DataFrame:
+    """Plug-in mutual information (nats) of indicators with the class, from the
+    (attribute, class, n1) counts that there are and (class, ny).
+
+    A class without the indicator adds ny ln(N / n0), and these add up by what
+    the other classes leave, so no (attribute, class) grid is needed."""
+    total = classes.agg(F.sum("ny").cast("double").alias("_n"))
+    j = with_scalar(present.join(classes, "_y"), total)
+    ones = j.groupBy("attribute").agg(F.sum("n1").cast("double").alias("_n1"))
+    j = j.join(ones, "attribute")
+    n, n1, ny, n_1 = (F.col(c).cast("double") for c in ("_n", "n1", "ny", "_n1"))
+    n_0 = n - n_1
+
+    def term(cell, side):
+        return F.when(cell > 0, cell * F.log(cell * n / (side * ny))).otherwise(0.0)
+
+    g = j.groupBy("attribute").agg(F.sum(term(n1, n_1) + term(ny - n1, n_0)).alias("_s"), F.sum(ny).alias("_seen"), F.max(n).alias("_n"), F.max(n_0).alias("_n0"))
+    rest = F.when(F.col("_n") > F.col("_seen"), (F.col("_n") - F.col("_seen")) * F.log(F.col("_n") / F.col("_n0"))).otherwise(0.0)
+    return g.select("attribute", F.greatest((F.col("_s") + rest) / F.col("_n"), F.lit(0.0)).alias("score"))
 
 
 def mutual_information(
@@ -233,12 +243,7 @@ def mutual_information(
         long = long.select("_y", F.concat_ws("_", "category", F.coalesce("level", F.lit("nan"))).alias("attribute"))
         ly = long.groupBy("attribute", "_y").agg(F.count(F.lit(1)).alias("n1"))
         cy = df.groupBy(y).agg(F.count(F.lit(1)).alias("ny"))
-        # every (attribute, class): indicator = 1 cells and the complementary 0 cells
-        full = with_scalar_join(ly.select("attribute").distinct(), cy)
-        cells = full.join(ly, ["attribute", "_y"], "left").withColumn("n1", F.coalesce("n1", F.lit(0)))
-        c1 = cells.select("attribute", F.lit(1).alias("x"), "_y", F.col("n1").alias("n"))
-        c0 = cells.select("attribute", F.lit(0).alias("x"), "_y", (F.col("ny") - F.col("n1")).alias("n"))
-        parts.append(_plugin_mi(c1.unionByName(c0), "attribute", "x", "_y"))
+        parts.append(_indicator_mi(ly, cy))
     if numeric:
         means = df.agg(*[F.avg(c).alias(f"_m_{c}") for c in numeric])
         imp = with_scalar(df.select(F.col(key).alias("key"), y, *numeric), means).select(
@@ -295,9 +300,11 @@ def association_rules(
     n = baskets.count()
     freq = model.freqItemsets.select(F.array_sort("items").alias("items"), (F.col("freq") / F.lit(n)).alias("support"))
     multi = freq.where(F.size("items") >= 2)
-    subsets = multi.select(
-        "items", "support", F.explode(F.expr("sequence(1L, shiftleft(1L, size(items)) - 2L)")).alias("_mask")
-    ).select(
+    # masks in two halves, so that no array has one element a subset
+    halves = multi.select("items", "support", F.expr("size(items) div 2").alias("_low"))
+    halves = halves.select("*", F.explode(F.expr("sequence(0L, shiftleft(1L, CAST(size(items) - _low AS INT)) - 1L)")).alias("_high"))
+    masks = halves.select("items", "support", F.expr("explode(transform(sequence(0L, shiftleft(1L, CAST(_low AS INT)) - 1L), x -> shiftleft(_high, CAST(_low AS INT)) + x))").alias("_mask"))
+    subsets = masks.where("_mask > 0 AND _mask < shiftleft(1L, size(items)) - 1L").select(
         "support",
         F.expr("filter(items, (x, i) -> (shiftright(_mask, i) & 1L) = 1L)").alias("antecedents"),
         F.expr("filter(items, (x, i) -> (shiftright(_mask, i) & 1L) = 0L)").alias("consequents"),

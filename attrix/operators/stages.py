@@ -14,11 +14,11 @@ from collections.abc import Mapping, Sequence
 
 from pyspark import keyword_only
 from pyspark.ml import Estimator, PipelineModel, Transformer
-from pyspark.ml.feature import OneHotEncoder, SQLTransformer, VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, SQLTransformer, VectorAssembler, VectorSizeHint
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.param.shared import Param, Params, TypeConverters
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attrix.operators.encoders import CombineSparseLevels, TableModel, chi2_from_counts, class_shares, level_class_counts, select_percentile
@@ -69,6 +69,12 @@ class _ColumnParams(Params):
         return sorted(self.getOrDefault(self.inputCols))
 
 
+def _vector(df: DataFrame, values: Sequence[Column], name: str) -> DataFrame:
+    """A vector column of known size, so that an assembler needn't look at a row (a stream has none)."""
+    out = df.withColumn(name, array_to_vector(F.array(*values).cast("array<double>")))
+    return VectorSizeHint(inputCol=name, size=len(values), handleInvalid="optimistic").transform(out)
+
+
 class NumericFeatures(Estimator, _ColumnParams, DefaultParamsReadable, DefaultParamsWritable):
     """Mean imputation, scaling by the population sigma, selection by ANOVA F,
     and no column without variance.  One pass over the rows."""
@@ -133,8 +139,7 @@ class NumericFeaturesModel(TableModel, _ColumnParams):
             x = F.nanvl(F.col(r["feature"]).cast("double"), F.lit(None).cast("double"))
             return (F.coalesce(x, F.lit(r["mean"])) - F.lit(r["mean"])) / F.lit(r["sigma"])
 
-        values = F.array(*[scaled(r) for r in self.kept()]).cast("array<double>")
-        return dataset.withColumn(self.getOrDefault(self.outputCol), array_to_vector(values))
+        return _vector(dataset, [scaled(r) for r in self.kept()], self.getOrDefault(self.outputCol))
 
 
 class CategoricalFeatures(Estimator, _ColumnParams, DefaultParamsReadable, DefaultParamsWritable):
@@ -182,7 +187,7 @@ class CategoricalFeaturesModel(TableModel, _ColumnParams):
             out = out.join(levels, out[c].cast("string") == levels["_level"], "left")
             out = out.withColumn(name, F.coalesce("_slot", F.lit(size)).cast("double")).drop("_level", "_slot")
         if not used:
-            return out.withColumn(self.getOrDefault(self.outputCol), array_to_vector(F.array().cast("array<double>")))
+            return _vector(out, [], self.getOrDefault(self.outputCol))
         largest = dataset.sparkSession.createDataFrame([tuple(float(size) for _, size in used)], at)
         encoder = OneHotEncoder(inputCols=at, outputCols=hot, dropLast=True, handleInvalid="error").fit(largest)
         joined = VectorAssembler(inputCols=hot, outputCol=self.getOrDefault(self.outputCol))

@@ -41,10 +41,18 @@ def argmax_row(df: DataFrame, groups: Sequence[str], value: str, cols: Sequence[
 
 def head_hash_ordered(df: DataFrame, key: str, n: int, seed: int | None = None) -> DataFrame:
     """WIN-6 / WIN-7 (fixed n): the n rows with the smallest md5 order of the
-    key (and seed) — ``limit`` alone is unordered.  Each partition keeps its own
-    top n before the merge, so this is a bounded top-n, not a global sort."""
+    key (and seed) — ``limit`` alone is unordered.  Only rows in the band of
+    hashes that should hold n of them are ordered, so the last task gets about
+    n rows and not n of every partition; should the band hold too few (keys
+    that repeat), all rows are."""
     h = hash_order(F.col(key)) if seed is None else hash_order(F.col(key), F.lit(seed))
-    return df.withColumn("_h", h).orderBy("_h", key).limit(n).drop("_h")
+    rows = df.withColumn("_h", h)
+    total = df.count()
+    if total > 2 * n:
+        band = rows.where(F.col("_h") < F.lit(min(int((n + 10 * n**0.5 + 100) / total * (1 << 60)), 1 << 60)))
+        if band.count() >= n:
+            rows = band
+    return rows.orderBy("_h", key).limit(n).drop("_h")
 
 
 def sample_fraction(df: DataFrame, key: str, fraction: float, seed: int = 19) -> DataFrame:
