@@ -84,7 +84,8 @@ def duplicate_lines(body: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.n
     starts, ends = flat.runs(inside, off)  # an empty line has no word, so it isn't needed
     if not len(starts):
         return np.zeros(n, np.int64), np.zeros(n, np.int64)
-    blanks = np.concatenate(([0], np.cumsum(flat.SPACE[body])))
+    blanks = np.zeros(len(body) + 1, dtype=np.int32)
+    np.cumsum(flat.SPACE[body], out=blanks[1:])
     worded = blanks[ends] - blanks[starts] < ends - starts
     doc = np.searchsorted(off, starts, "right") - 1
     line = flat.distinct(flat.spans(body, inside, starts, ends))[1]
@@ -100,15 +101,20 @@ def statistics(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The base counts (texts x BASE) and the features (texts x FEATURES) of a column of texts."""
     body, off = flat.flat(column)
     n = len(off) - 1
-    owner = np.repeat(np.arange(n), np.diff(off))
-    kinds = np.bincount(owner * KINDS + _KIND[body], minlength=n * KINDS).reshape(n, KINDS)
+    kinds = np.zeros(n * KINDS, dtype=np.int64)
+    for a in range(0, len(body), flat.BLOCK):  # a very long text is read in blocks
+        b = min(a + flat.BLOCK, len(body))
+        owner = np.repeat(np.arange(n), np.diff(np.clip(off, a, b)))
+        kinds += np.bincount(owner * KINDS + _KIND[body[a:b]], minlength=n * KINDS)
+    kinds = kinds.reshape(n, KINDS)
     chars = kinds.sum(axis=1) - kinds[:, _BLANK] - kinds[:, _INNER]
     solid = ~flat.SPACE[body]
     starts, ends = flat.runs(solid, off)
     doc = np.searchsorted(off, starts, "right") - 1
     words = np.bincount(doc, minlength=n)
     word = flat.distinct(flat.spans(body, solid, starts, ends))[1]
-    inner = np.concatenate(([0], np.cumsum(_KIND[body] == _INNER)))
+    inner = np.zeros(len(body) + 1, dtype=np.int32)  # a string has less than 2**31 bytes
+    np.cumsum((body & 0xC0) == 0x80, out=inner[1:])
     length = ends - starts - (inner[ends] - inner[starts])
     longest = np.zeros(n, np.int64)
     np.maximum.at(longest, doc, length)

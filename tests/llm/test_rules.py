@@ -40,6 +40,14 @@ def test_base_counts_match_brute_force():
     assert x.shape == (len(texts), len(rules.FEATURES)) and np.isfinite(x).all()
 
 
+def test_statistics_don_t_depend_on_blocks(monkeypatch):
+    texts = noisy_texts(80)
+    whole = rules.statistics(pa.array(texts))
+    monkeypatch.setattr(rules.flat, "BLOCK", 61)
+    parts = rules.statistics(pa.array(texts))
+    assert (whole[0] == parts[0]).all() and np.allclose(whole[1], parts[1])
+
+
 def test_statistics_don_t_depend_on_the_batch():
     texts = noisy_texts(60)
     base, x = rules.statistics(pa.array(texts))
