@@ -288,9 +288,9 @@ def embedded_scores(model, feature_names: Sequence[str]) -> list[tuple[str, floa
     """XPL-3: coefficients squashed to (-1, 1) by (sigmoid(c) - 0.5) / 0.5, or
     impurity importances of tree ensembles; other models raise."""
     if hasattr(model, "coefficients"):
-        vals = [(1.0 / (1.0 + math.exp(-c)) - 0.5) / 0.5 for c in model.coefficients.toArray()]
+        vals = [(1.0 / (1.0 + math.exp(-c)) - 0.5) / 0.5 for c in model.coefficients.toArray().tolist()]
     elif hasattr(model, "featureImportances"):
-        vals = list(model.featureImportances.toArray())
+        vals = model.featureImportances.toArray().tolist()
     else:
         raise TypeError("model has neither coefficients nor feature importances")
     return sorted(zip(feature_names, vals), key=lambda t: -t[1])

@@ -10,6 +10,7 @@ rule, and a variance filter.
 from __future__ import annotations
 
 import json
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark import keyword_only
@@ -21,7 +22,7 @@ from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attrix.operators.encoders import CombineSparseLevels, TableModel, chi2_from_counts, class_shares, level_class_counts, select_percentile
+from attrix.operators.encoders import LOWEST, CombineSparseLevels, TableModel, chi2_from_counts, class_shares, level_class_counts, select_percentile
 from attrix.operators.kernels import row_numbers
 from attrix.operators.projections import conform_schema
 from attrix.session import materialize
@@ -75,6 +76,20 @@ def _vector(df: DataFrame, values: Sequence[Column], name: str) -> DataFrame:
     return VectorSizeHint(inputCol=name, size=len(values), handleInvalid="optimistic").transform(out)
 
 
+def chosen_features(scores: Mapping[str, float | None], percentile: float) -> set[str]:
+    """The rule of ``select_percentile`` for a score a column, ties by name."""
+    plain = {f: LOWEST if x is None else x for f, x in scores.items()}
+    if percentile >= 100 or percentile <= 0 or not plain:
+        return set(plain) if percentile >= 100 else set()
+    ranked = sorted(plain.values())
+    at = (len(ranked) - 1) * (1.0 - percentile / 100.0)
+    low = math.floor(at)
+    cut = ranked[low] + (at - low) * (ranked[min(low + 1, len(ranked) - 1)] - ranked[low])
+    above = {f for f, x in plain.items() if x > cut}
+    room = max(int(len(plain) * percentile / 100.0) - len(above), 0)
+    return above | set(sorted(f for f, x in plain.items() if x == cut)[:room])
+
+
 class NumericFeatures(Estimator, _ColumnParams, DefaultParamsReadable, DefaultParamsWritable):
     """Mean imputation, scaling by the population sigma, selection by ANOVA F,
     and no column without variance.  One pass over the rows."""
@@ -119,9 +134,12 @@ class NumericFeatures(Estimator, _ColumnParams, DefaultParamsReadable, DefaultPa
         )
         score = F.try_divide(F.try_divide(F.col("ssb"), F.col("k") - 1), F.try_divide(F.col("ssw"), F.col("n") - F.col("k")))
         s = s.select("feature", "mean", F.sqrt((F.col("ssb") + F.col("ssw")) / F.col("n")).alias("sigma"), score.alias("score"))
-        s = select_percentile(s, self.getOrDefault(self.percentile), "feature")
+        found = s.collect()  # a row a column
+        chosen = chosen_features({r["feature"]: r["score"] for r in found}, self.getOrDefault(self.percentile))
+        rows = [(*r, r["feature"] in chosen, r["feature"] in chosen and r["sigma"] > 0) for r in found]
+        schema = "feature string, mean double, sigma double, score double, selected boolean, kept boolean"
         return NumericFeaturesModel(
-            materialize(s.withColumn("kept", F.col("selected") & (F.col("sigma") > 0)), "numeric-features"),
+            materialize(dataset.sparkSession.createDataFrame(rows, schema), "numeric-features"),
             inputCols=self.getOrDefault(self.inputCols),
             outputCol=self.getOrDefault(self.outputCol),
         )

@@ -33,6 +33,7 @@ def test_percentile_rule_with_ties(spark, percentile):
     df = spark.createDataFrame(list(scores.items()), "feature string, score double")
     got = {r["feature"]: r["selected"] for r in select_percentile(df, percentile, "feature").collect()}
     assert got == percentile_rule(scores, percentile)
+    assert sg.chosen_features(scores, percentile) == {f for f, on in got.items() if on}
 
 
 @pytest.fixture(scope="module")

@@ -239,3 +239,18 @@ def test_bin_edges_lie_between_values():
     x = np.array([[1.0, 5.0, i] for i in range(200)] + [[2.0, 5.0, 3.0]])
     one, none, many = bin_edges(x, 16)
     assert one.tolist() == [1.5] and none.tolist() == [] and len(many) == 15 and (np.diff(many) > 0).all()
+
+
+def test_explanation_bundle_of_a_model(table):
+    rows = table.drop("features", "d_at").where("key < 150")
+
+    def make(cols):
+        return tr.build_pipeline(ExtraTreesClassifier(numTrees=2, maxDepth=2), numeric=list(cols), categorical=[], num_percentile=100)
+
+    model = make(["a", "c"]).fit(rows)
+    found = xp.explain_all(rows, "key", "label", ["a", "c"], xp.model_scorer(model), model=model, make_pipeline=make)
+    assert {"shap", "global_importance", "permutation_importance", "embedded_scores", "drop_column_importance", "pdp_a", "ice_a", "ale_a"} <= set(found)
+    assert {r["feature"] for r in found["embedded_scores"].collect()} == {"a", "c"}
+    assert {r["feature"] for r in found["drop_column_importance"].collect()} == {"a", "c"}
+    exact = {(r["key"], r["feature"]): r["shap"] for r in found["shap"].collect()}
+    assert exact == {(r["key"], r["feature"]): pytest.approx(r["shap"]) for r in tt.model_shapley(rows, "key", model).collect()}
