@@ -27,11 +27,16 @@ def _plain(docs: DataFrame) -> DataFrame:
 
 
 def _chosen(docs: DataFrame, kept: DataFrame, digest: Column) -> DataFrame:
-    """Rows of ``docs`` whose (id, digest) is in ``kept`` (doc_id, text_sha256), one of each."""
-    kept = kept.select(F.col("doc_id").alias("kept_id"), F.col("text_sha256").alias("kept_digest")).distinct()
-    rows = docs.withColumn("digest", digest).dropDuplicates(["doc_id", "digest"])
-    same = rows["doc_id"].eqNullSafe(kept["kept_id"]) & (rows["digest"] == kept["kept_digest"])
-    return rows.join(kept, same, "left_semi").drop("digest")
+    """Rows of ``docs`` whose (id, digest) is in ``kept`` (doc_id, text_sha256), one of each.
+
+    Both parts are one key, so the join and the choice share an exchange of the texts."""
+
+    def key(d: Column) -> Column:
+        return F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), d)
+
+    kept = kept.select(key(F.col("text_sha256")).alias("kept_row"))
+    rows = docs.withColumn("row", key(digest))
+    return rows.join(kept, rows["row"] == kept["kept_row"], "left_semi").dropDuplicates(["row"]).drop("row")
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
