@@ -75,6 +75,10 @@ def ship_code(spark: SparkSession) -> None:
         path = os.path.join(tempfile.mkdtemp(prefix="attrix-code-"), "attrix_code.zip")
         with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
             for folder, _, names in os.walk(root):
+                if os.path.basename(folder) == "__pycache__":
+                    continue
+                # without entries of their own, folders without __init__.py can't be imported from a zip
+                z.write(folder, os.path.join("attrix", os.path.relpath(folder, root)) if folder != root else "attrix")
                 for n in sorted(names):
                     if n.endswith(".py"):
                         full = os.path.join(folder, n)
