@@ -88,8 +88,9 @@ def sampled_shapley(
     F + 1 hybrid rows are built (the first s features of the permutation from
     x, the rest from z); all are scored in one ``score_df`` call and the
     score differences of consecutive hybrids are the contributions.  The
-    background is a small sample (its size is the caller's bound) joined by
-    id.  Output (key, feature, shap); per row the values add up to
+    background is a small sample (its size is the caller's bound) and goes to
+    the rows, never the other way round: the exploded rows look small to the
+    optimizer.  Output (key, feature, shap); per row the values add up to
     f(x) - mean over permutations of f(z)."""
     feats = list(features)
     nf = len(feats)
@@ -98,33 +99,32 @@ def sampled_shapley(
     rows = df.select(key, *feats).select("*", F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))).alias("_perm"))
     rows = with_scalar(rows, n_bg).withColumn("_bid", (hash_order(F.col(key), F.col("_perm")) % F.col("_nbg")) + 1)
     z = bg.select("_bid", *[F.col(c).alias(f"_z_{c}") for c in feats])
-    rows = rows.join(z, "_bid")
-    order = F.array_sort(
-        F.array(*[F.struct(hash_order(F.col(key), F.col("_perm"), F.lit(c)).alias("h"), F.lit(c).alias("f")) for c in feats])
+    rows = rows.join(F.broadcast(z), "_bid")
+    # sort_array compares the structs as they are, array_sort calls a function for each pair
+    by_name = sorted(range(nf), key=lambda i: feats[i])
+    order = F.sort_array(
+        F.array(*[F.struct(hash_order(F.col(key), F.col("_perm"), F.lit(feats[i])).alias("h"), F.lit(n).alias("f")) for n, i in enumerate(by_name)])
     )
-    rows = rows.withColumn("_ord", F.transform(order, lambda s: s["f"]))
-    steps = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(nf))).alias("_step"))
+    rows = rows.withColumn("_ord", order.getField("f"))
+    # the place of each feature in the permutation, from 1
+    places = [F.array_position("_ord", F.lit(n)).cast("int").alias(f"_at_{i}") for n, i in enumerate(by_name)]
+    placed = rows.select(key, *feats, *[f"_z_{c}" for c in feats], *places)
+    steps = placed.select("*", F.explode(F.sequence(F.lit(0), F.lit(nf))).alias("_step"))
     hybrid = steps.select(
         key,
-        "_perm",
         "_step",
-        F.get("_ord", F.col("_step") - 1).alias("_added"),
-        F.get("_ord", F.col("_step")).alias("_next"),
-        *[
-            F.when(F.array_position(F.slice("_ord", 1, nf), F.lit(c)).between(1, F.col("_step")), F.col(c))
-            .otherwise(F.col(f"_z_{c}"))
-            .alias(c)
-            for c in feats
-        ],
+        *[f"_at_{i}" for i in range(nf)],
+        *[F.when(F.col(f"_at_{i}") <= F.col("_step"), F.col(c)).otherwise(F.col(f"_z_{c}")).alias(c) for i, c in enumerate(feats)],
     )
     scored = score_df(hybrid)
     # a hybrid's score counts for the feature just added and against the next one
-    signed = scored.select(
-        key,
-        F.explode(F.array(F.struct(F.col("_added").alias("feature"), F.col("_score").alias("d")), F.struct(F.col("_next").alias("feature"), (-F.col("_score")).alias("d")))).alias("_s"),
-    )
-    total = signed.where(F.col("_s.feature").isNotNull()).groupBy(key, F.col("_s.feature").alias("feature"))
-    return total.agg((F.sum("_s.d") / F.lit(float(permutations))).alias("shap"))
+    signed = [
+        F.sum(F.when(F.col(f"_at_{i}") == F.col("_step"), F.col("_score")).when(F.col(f"_at_{i}") == F.col("_step") + 1, -F.col("_score")))
+        for i in range(nf)
+    ]
+    total = scored.groupBy(key).agg(*[s.alias(f"_s_{i}") for i, s in enumerate(signed)])
+    items = F.array(*[F.struct(F.lit(c).alias("feature"), (F.col(f"_s_{i}") / F.lit(float(permutations))).alias("shap")) for i, c in enumerate(feats)])
+    return total.select(key, F.explode(items).alias("_s")).select(key, "_s.feature", "_s.shap")
 
 
 def global_importance(shap: DataFrame, model_uid: str = "model") -> DataFrame:
