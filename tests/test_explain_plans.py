@@ -46,3 +46,19 @@ def test_sampled_shapley_matches_a_loop(frame):
                 now[c] = r[c]
                 want[c] += (f(**now) - before) / 4
         assert {c: got[r["key"], c] for c in "ab"} == pytest.approx(want)
+
+
+def test_density_is_the_exact_sum(spark):
+    from attrix.operators import evaluate as ev
+
+    data = [(g, ((i * 37) % 101) ** 1.5 + (g == "b")) for i in range(150) for g in "ab"]
+    got = ev.density_points(spark.createDataFrame(data, "g string, v double"), "v", ["g"]).collect()
+    assert len(got) == 400
+    for g in "ab":
+        x = [v for h, v in data if h == g]
+        mean = sum(x) / len(x)
+        bw = math.sqrt(sum((v - mean) ** 2 for v in x) / (len(x) - 1)) * len(x) ** -0.2
+        for r in got:
+            if r["g"] == g:
+                exact = sum(math.exp(-0.5 * ((r["x"] - v) / bw) ** 2) for v in x) / (len(x) * bw * math.sqrt(2 * math.pi))
+                assert r["density"] == pytest.approx(exact, rel=1e-9)
