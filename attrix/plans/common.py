@@ -39,21 +39,3 @@ def obs_once(spark, d) -> DataFrame:
     from attrix.session import materialize
 
     return materialize(views.v_obs(spark, d), "v_obs")
-
-
-def density_sql(groups: str = "") -> str:
-    """CTEs from v (x, group columns) to kde (point, gx, density): linear binning
-    into the operator's number of cells, then the kernel over cells."""
-    from attrix.operators import evaluate as ev
-
-    by, join = (f"GROUP BY {groups}", f"USING ({groups})") if groups else ("", "ON true")
-    more = f"{groups}, " if groups else ""
-    return f"""st AS (SELECT {more}count(*) AS n, stddev_samp(x) * pow(count(*), -0.2) AS bw, min(x) AS lo, max(x) AS hi FROM v {by}),
-sm AS (SELECT *, CASE WHEN bw > 0 THEN CAST(least(greatest(ceil({ev.CELLS_A_BANDWIDTH}.0 * (hi - lo) / bw), {ev.MIN_CELLS}), {ev.MAX_CELLS}) AS INT) ELSE 1 END AS m FROM st),
-ss AS (SELECT *, CASE WHEN bw > 0 THEN (hi - lo) / m ELSE 1.0 END AS step FROM sm),
-pl AS (SELECT {more}(x - lo) / step AS a FROM v JOIN ss {join}),
-wt AS (SELECT {more}cell, sum(w) AS w FROM (SELECT {more}floor(a) AS cell, 1 - (a - floor(a)) AS w FROM pl
-       UNION ALL SELECT {more}floor(a) + 1, a - floor(a) FROM pl) GROUP BY {more}cell),
-gr AS (SELECT ss.*, CAST(range AS INTEGER) AS point, (lo - 3.0 * bw) + range * ((hi + 3.0 * bw) - (lo - 3.0 * bw)) / 199 AS gx FROM ss, range(200)),
-kde AS (SELECT {more}point, gx, sum(w * exp(-0.5 * pow((gx - (lo + cell * step)) / bw, 2))) / (n * bw * sqrt(2 * pi())) AS density
-        FROM gr JOIN wt {join} GROUP BY {more}point, gx, n, bw)"""
