@@ -154,20 +154,19 @@ def xpl2(spark, d):
 @query(
     "xpl4_permutation_importance",
     f"""WITH {X_SQL},
-r AS (SELECT key, label, row_number() OVER (ORDER BY key) - 1 AS slot, num_a, num_b, num_c FROM x),
+r AS (SELECT key, row_number() OVER (ORDER BY key) AS slot, num_a, num_b, num_c FROM x),
 don AS (SELECT slot, 'num_a' AS feature, num_a AS donor FROM r UNION ALL SELECT slot, 'num_b', num_b FROM r
         UNION ALL SELECT slot, 'num_c', num_c FROM r),
-nn AS (SELECT count(*) AS n FROM x),
-hh AS (SELECT feature, rp.range AS rep, n, greatest(('0x' || substr(md5(feature || '-' || CAST(rp.range AS VARCHAR)), 1, 15))::BIGINT % n, 1) AS a0,
-              ('0x' || substr(md5(CAST(rp.range AS VARCHAR) || '-' || feature), 1, 15))::BIGINT % n AS b
-       FROM (VALUES ('num_a'), ('num_b'), ('num_c')) f(feature) CROSS JOIN range(10) rp CROSS JOIN nn),
-ab AS (SELECT feature, rep, n, b, min(a0 + k.range) AS a FROM hh CROSS JOIN range(1000) k WHERE gcd(a0 + k.range, n) = 1 GROUP BY ALL),
-pm AS (SELECT ab.feature, rep, donor, (don.slot * a + b) % n AS slot FROM don JOIN ab ON don.feature = ab.feature),
+g AS (SELECT x.key, f.feature, rp.range AS rep FROM x CROSS JOIN (VALUES ('num_a'), ('num_b'), ('num_c')) f(feature)
+      CROSS JOIN range(10) rp),
+pm AS (SELECT key, feature, rep, row_number() OVER (PARTITION BY feature, rep ORDER BY
+          ('0x' || substr(md5(CAST(key AS VARCHAR) || '-' || feature || '-' || CAST(rep AS VARCHAR)), 1, 15))::BIGINT, key) AS slot
+       FROM g),
 j AS (SELECT pm.feature, pm.rep, x.label,
-             CASE WHEN pm.feature = 'num_a' THEN donor ELSE x.num_a END AS a,
-             CASE WHEN pm.feature = 'num_b' THEN donor ELSE x.num_b END AS b,
-             CASE WHEN pm.feature = 'num_c' THEN donor ELSE x.num_c END AS c
-      FROM pm JOIN r x ON x.slot = pm.slot),
+             CASE WHEN pm.feature = 'num_a' THEN don.donor ELSE x.num_a END AS a,
+             CASE WHEN pm.feature = 'num_b' THEN don.donor ELSE x.num_b END AS b,
+             CASE WHEN pm.feature = 'num_c' THEN don.donor ELSE x.num_c END AS c
+      FROM pm JOIN don ON pm.feature = don.feature AND pm.slot = don.slot JOIN x ON x.key = pm.key),
 sc AS (SELECT feature, rep, {nll(sig('a', 'b', 'c'))} AS s FROM j GROUP BY feature, rep),
 base AS (SELECT {nll(sig())} AS base FROM x)
 SELECT feature, round(avg(base - s), 6) AS importance_mean, round(stddev_pop(base - s), 6) AS importance_std
@@ -175,7 +174,7 @@ FROM sc, base GROUP BY feature""",
     ("v_obs",),
 )
 def xpl4(spark, d):
-    return r6(xp.permutation_importance(xframe(spark, d), "key", "label", NUMS, SCORE, repeats=10))
+    return r6(xp.permutation_importance(xframe(spark, d), "key", "label", NUMS, SCORE, repeats=10, shuffle="hash"))
 
 
 def _mq_pos(p: float, tag: str) -> str:

@@ -62,3 +62,25 @@ def test_density_is_the_exact_sum(spark):
             if r["g"] == g:
                 exact = sum(math.exp(-0.5 * ((r["x"] - v) / bw) ** 2) for v in x) / (len(x) * bw * math.sqrt(2 * math.pi))
                 assert r["density"] == pytest.approx(exact, rel=1e-9)
+
+
+def test_permutations_in_the_order_of_hashes_match_a_loop(spark):
+    rows = [(k * 3, int(k % 3 == 0), float(k % 7), float((k * 5) % 11)) for k in range(60)]
+    df = spark.createDataFrame(rows, "key long, label int, a double, b double")
+    got = {r["feature"]: (r["importance_mean"], r["importance_std"]) for r in xp.permutation_importance(df, "key", "label", ["a", "b"], SCORE, repeats=4, shuffle="hash").collect()}
+
+    def loss(triples):
+        ps = [(y, 1 / (1 + math.exp(-(a * 0.03 - b * 0.1)))) for y, a, b in triples]
+        return sum(math.log(p if y else 1 - p) for y, p in ps) / len(ps)
+
+    base = loss([r[1:] for r in rows])
+    for at, name in ((2, "a"), (3, "b")):
+        drops = []
+        for rep in range(4):
+            order = sorted(range(60), key=lambda i: h60(rows[i][0], name, rep))
+            moved = [list(r[1:]) for r in rows]
+            for rank, i in enumerate(order):
+                moved[i][at - 1] = rows[rank][at]
+            drops.append(base - loss(moved))
+        mean = sum(drops) / 4
+        assert got[name] == (pytest.approx(mean), pytest.approx(math.sqrt(sum((d - mean) ** 2 for d in drops) / 4)))
