@@ -16,7 +16,7 @@ from attrix.operators import trees as tt
 from attrix.operators.serve import linear_scorer
 from attrix.operators.windows import head_hash_ordered
 from attrix.plans import views
-from attrix.plans.common import obs_once, r6
+from attrix.plans.common import obs_once, r6, r6_many
 from attrix.plans.registry import query
 
 NUMS = ["num_a", "num_b", "num_c"]
@@ -214,7 +214,7 @@ FROM x, gr""",
     ("v_obs",),
 )
 def xpl7(spark, d):
-    return r6(xp.ice_curves(xframe(spark, d), "key", "num_b", SCORE))
+    return r6_many(xp.ice_curves(xframe(spark, d), "key", "num_b", SCORE))
 
 
 @query(

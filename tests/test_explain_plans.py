@@ -84,3 +84,17 @@ def test_permutations_in_the_order_of_hashes_match_a_loop(spark):
             drops.append(base - loss(moved))
         mean = sum(drops) / 4
         assert got[name] == (pytest.approx(mean), pytest.approx(math.sqrt(sum((d - mean) ** 2 for d in drops) / 4)))
+
+
+def test_rounding_of_many_rows_is_that_of_round(spark):
+    import random
+
+    from attrix.plans.common import r6, r6_many
+
+    rng = random.Random(4)
+    ties = [s * (k + 0.5) / 1e6 + e for k in (0, 1, 7, 249_999, 10**9, 10**11 + 3) for s in (1, -1) for e in (0.0, 1e-17, -1e-17, 1e-12, -1e-12)]
+    values = ties + [rng.uniform(-2, 2) for _ in range(3000)] + [rng.uniform(-1, 1) * 10 ** rng.randrange(-9, 18) for _ in range(3000)]
+    values += [0.0, -0.0, -1e-9, 1e300, -1e300, float("inf"), float("-inf"), float("nan"), None]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double")
+    text = lambda d: [(r["i"], repr(r["v"])) for r in d.orderBy("i").collect()]
+    assert text(r6_many(df)) == text(r6(df))
