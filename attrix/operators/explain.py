@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 
 from attrix.operators.aggregates import attach_rows, with_scalar
 from attrix.operators.evaluate import LOG_LOSS_EPS
-from attrix.operators.kernels import _n_ranges, exact_quantiles, hash_order, row_numbers, uniform_hash_cuts
+from attrix.operators.kernels import exact_quantiles, hash_order, row_numbers
+from attrix.operators.permute import permuted_scores
 from attrix.session import materialize
 
 ScoreFn = Callable[[DataFrame], DataFrame]
@@ -151,59 +152,45 @@ def permutation_importance(
     feature, mean and population std over ``repeats`` permutations.
 
     With ``shuffle`` "hash" row i by key gives its value to the row whose rank by
-    md5(key-feature-repeat) is i: all F x R x n hashes are ranked, in ranges of
-    equal shares, and two joins fetch the values and the rows.  With "bijection"
-    a permutation is ``slot * a + b mod n`` over the row numbers by key, with a
-    prime to n: nothing is sorted for it, and one join sends the values.  All
-    permuted copies are scored in one pass."""
+    md5(key-feature-repeat) is i: the rows and the values of a range of hashes meet
+    in one exchange, a few permutations at a time when there are many rows
+    (``permuted_scores``).  With "bijection" a permutation is ``slot * a + b mod n``
+    over the row numbers by key, with a prime to n: nothing is sorted for it, one
+    join sends the values, and all permuted copies are scored in one pass."""
     feats = list(features)
     if shuffle not in ("hash", "bijection"):
         raise ValueError(f"unknown shuffle {shuffle!r}")
-    slots = materialize(row_numbers(df.withColumn("_key", F.col(key)), ["_key"], out="_slot").withColumn("_slot", F.col("_slot") - 1).drop("_key"), "permutation-rows")
-    n = slots.count()
+    numbered = row_numbers(df.withColumn("_key", F.col(key)), ["_key"], out="_slot").withColumn("_slot", F.col("_slot") - 1).drop("_key")
     base = score_df(df).agg(_neg_log_loss(label).alias("_base"))
+    # every input column passes through, so any model can score the copies
     if shuffle == "hash":
-        j = _hash_ranked(slots, key, feats, repeats)
+        per = permuted_scores(numbered, key, df.columns, feats, repeats, lambda copies: score_df(copies).groupBy("_pair").agg(_neg_log_loss(label).alias("_s")))
     else:
+        slots = materialize(numbered, "permutation-rows")
+        n = slots.count()
         sent = [
             F.struct(F.pmod(F.col("_slot") * F.lit(a) + F.lit(b), F.lit(max(n, 1))).alias("_to"), F.lit(c).alias("feature"), F.lit(r).alias("rep"), F.col(c).cast("double").alias("donor"))
             for c, r, a, b in slot_bijections(feats, repeats, n)
         ]
         donors = slots.select(F.explode(F.array(*sent)).alias("_d")).select("_d.*")
         j = donors.join(slots, donors["_to"] == slots["_slot"])
-    # every other input column passes through, so any model can score the copies
-    j = j.select(
-        "feature",
-        "rep",
-        *[
-            F.when(F.col("feature") == c, F.col("donor")).otherwise(F.col(c).cast("double")).alias(c)
-            if c in feats
-            else F.col(c)
-            for c in df.columns
-        ],
-    )
-    per = score_df(j).groupBy("feature", "rep").agg(_neg_log_loss(label).alias("_s"))
+        j = j.select(
+            "feature",
+            "rep",
+            *[
+                F.when(F.col("feature") == c, F.col("donor")).otherwise(F.col(c).cast("double")).alias(c)
+                if c in feats
+                else F.col(c)
+                for c in df.columns
+            ],
+        )
+        per = score_df(j).groupBy("feature", "rep").agg(_neg_log_loss(label).alias("_s"))
     imp = with_scalar(per, base).withColumn("_imp", F.col("_base") - F.col("_s"))
     return imp.groupBy("feature").agg(
         F.avg("_imp").alias("importance_mean"), F.stddev_pop("_imp").alias("importance_std")
     )
 
 
-def _hash_ranked(slots: DataFrame, key: str, feats: Sequence[str], repeats: int) -> DataFrame:
-    """Each row R times a feature, with the ``donor`` value of the row whose slot is its
-    rank by hash (ties by key) among all rows of that (feature, rep)."""
-    ids = [F.struct(F.lit(i).alias("f"), F.lit(r).alias("rep"), hash_order(F.col(key), F.lit(c), F.lit(r)).alias("_h")) for i, c in enumerate(feats) for r in range(repeats)]
-    copies = slots.select("_slot", F.explode(F.array(*ids)).alias("_d")).select("_slot", "_d.*")
-    # slots are in the order of keys, so they break ties as keys do; ranks carry nothing else
-    cuts = uniform_hash_cuts(_n_ranges(copies, None))
-    ranked = row_numbers(copies, ["_h", "_slot"], ["f", "rep"], out="_rank", cuts=cuts)
-    ranked = ranked.select("f", "rep", F.col("_slot").alias("_to"), (F.col("_rank") - 1).alias("_from"))
-    values = slots.select(F.col("_slot").alias("_from"), F.array(*[F.col(c).cast("double") for c in feats]).alias("_v"))
-    names = F.array(*[F.lit(c) for c in feats])
-    given = ranked.join(values, "_from").select("_to", F.get(names, F.col("f")).alias("feature"), "rep", F.get("_v", F.col("f")).alias("donor"))
-    return given.join(slots, given["_to"] == slots["_slot"])
-
-
 def slot_bijections(features: Sequence[str], repeats: int, n: int) -> list[tuple[str, int, int, int]]:
     """(feature, repeat, a, b) with a prime to n, from hashes; a * n stays under 2**62."""
     out = []

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType
@@ -50,10 +52,12 @@ def preds(spark, d) -> DataFrame:
 PRED_SQL = "SELECT *, CASE WHEN prob >= 0.5 THEN 1 ELSE 0 END AS predicted_class FROM v_pred"
 
 
-def obs_once(spark, d) -> DataFrame:
+def obs_once(spark, d, columns: Sequence[str] = ()) -> DataFrame:
     """v_obs written once under the checkpoint folder, for operators that read
     their input from several branches (quantile jobs, kernels, per-feature
-    aggregates): the three joins and the lineitem aggregation run once."""
-    from attrix.session import materialize
+    aggregates): the three joins and the lineitem aggregation run once, and the
+    files of their exchanges go when they are done.  Without ``columns``, all."""
+    from attrix.session import materialize, without_shuffle_files
 
-    return materialize(views.v_obs(spark, d), "v_obs")
+    with without_shuffle_files(spark):
+        return materialize(views.v_obs(spark, d).select(*columns or "*"), "v_obs")

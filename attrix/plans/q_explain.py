@@ -39,7 +39,7 @@ def nll(p: str) -> str:
 
 
 def xframe(spark, d):
-    o = obs_once(spark, d).select(
+    o = obs_once(spark, d, ["key", "target", *NUMS]).select(
         "key", F.when(F.col("target") == "yes", 1).otherwise(0).alias("label"), *NUMS
     )
     return en.impute_mean(o, NUMS)

@@ -7,6 +7,8 @@ import re
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -99,12 +101,25 @@ def shared_path(spark: SparkSession, label: str) -> str:
     return path
 
 
-def materialize(df, label: str = "frame"):
+@contextmanager
+def without_shuffle_files(spark: SparkSession) -> Iterator[None]:
+    """Jobs run inside leave no shuffle files behind: Spark removes them when the
+    job ends, not when the driver collects its garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def materialize(df, label: str = "frame", **options):
     """Write ``df`` once as Parquet under the shared checkpoint folder and
     return a reader over it.  Used where a frame is read several times (cut
     points, kernel branches): it cuts lineage, so an executor loss re-reads
     the files instead of replaying the upstream joins.  The files go when the
-    session's JVM ends."""
+    session's JVM ends.  ``options`` are those of the writer."""
     path = shared_path(df.sparkSession, label)
-    df.write.mode("overwrite").parquet(path)
+    df.write.mode("overwrite").options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
